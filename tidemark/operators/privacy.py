@@ -18,6 +18,12 @@ PII_PATTERNS = {
     "ip_address": r"\b(?:\d{1,3}\.){3}\d{1,3}\b",
 }
 REPLACEMENT = "[REDACTED]"
+# Word boundaries, digits and blanks in the Unicode sense.
+UNICODE_CLASSES = "(?U)"
+
+
+def _pattern(name: str) -> Column:
+    return F.lit(UNICODE_CLASSES + PII_PATTERNS[name])
 
 
 def hash_identifier(value: str | Column, salt: str) -> Column:
@@ -36,7 +42,7 @@ def redact_text(text: str | Column, patterns: Sequence[str] | None = None, repla
     out = col(text)
     for name in patterns or PII_PATTERNS:
         if name in PII_PATTERNS:
-            out = F.regexp_replace(out, F.lit(PII_PATTERNS[name]), F.lit(replacement))
+            out = F.regexp_replace(out, _pattern(name), F.lit(replacement))
     return out
 
 
@@ -52,7 +58,7 @@ def redact(
     out = df
     current = text_column
     for i, n in enumerate(names):
-        pattern = F.lit(PII_PATTERNS[n])
+        pattern = _pattern(n)
         out = out.withColumns(
             {
                 f"_n{i}": F.regexp_count(F.col(current), pattern),

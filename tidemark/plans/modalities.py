@@ -117,7 +117,7 @@ scored AS (SELECT d.doc_id, l.quality AS label, d.lang, d.source,
 def order_cases(t) -> DataFrame:
     """Orders as review cases: a 0–100 score from the price, status and times."""
     score = F.round(F.least(F.col("o_totalprice") / 5000.0, F.lit(100.0)), 2)
-    status = F.when(F.col("o_orderstatus") == "F", "completed").when(F.col("o_orderstatus") == "O", "pending").otherwise("in_review")
+    status = F.when(F.col("o_orderstatus") == "F", "COMPLETED").when(F.col("o_orderstatus") == "O", "PENDING").otherwise("IN_REVIEW")
     return t.orders.select(
         F.col("o_orderkey").alias("case_id"),
         F.col("o_custkey").alias("anonymized_id"),
@@ -135,7 +135,7 @@ def order_cases(t) -> DataFrame:
 CASES_SQL = """
 cases AS (SELECT o_orderkey AS case_id, o_custkey AS anonymized_id,
   round(least(o_totalprice / 5000.0, 100.0), 2) AS risk_score,
-  CASE o_orderstatus WHEN 'F' THEN 'completed' WHEN 'O' THEN 'pending' ELSE 'in_review' END AS status,
+  CASE o_orderstatus WHEN 'F' THEN 'COMPLETED' WHEN 'O' THEN 'PENDING' ELSE 'IN_REVIEW' END AS status,
   'rev' || CAST(o_custkey % 11 AS VARCHAR) AS assigned_to, o_orderdate AS created_at,
   CASE WHEN o_orderstatus = 'F' THEN o_orderdate + to_minutes(CAST(o_orderkey % 600 AS INTEGER)) END AS reviewed_at
   FROM orders)

@@ -90,7 +90,7 @@ def query(name: str, columns: str, sql: str | None = None):
 
 
 def _load() -> None:
-    from tidemark.plans import queries_features, queries_prepare  # noqa: F401
+    from tidemark.plans import queries_features, queries_prepare, queries_profile  # noqa: F401
 
 
 def jobs() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

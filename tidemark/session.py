@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -64,3 +65,11 @@ def checkpointed(df: DataFrame) -> DataFrame:
 def small_enough_to_broadcast(df: DataFrame, limit: int = 64 << 20) -> bool:
     """Whether the plan's own inputs are below ``limit`` bytes, so a broadcast is safe."""
     return input_bytes(df) <= limit
+
+
+def scratch_folder(spark: SparkSession, name: str) -> str:
+    """A fresh path for derived files: under ``spark.checkpoint.dir``, else a local temp folder."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if base is None:
+        base = tempfile.mkdtemp(prefix="tidemark-", dir=os.environ.get("TMPDIR"))
+    return f"{base.rstrip('/')}/tidemark-{name}-{uuid.uuid4().hex}"
