@@ -90,7 +90,13 @@ def query(name: str, columns: str, sql: str | None = None):
 
 
 def _load() -> None:
-    from tidemark.plans import queries_features, queries_prepare, queries_profile  # noqa: F401
+    from tidemark.plans import (  # noqa: F401
+        queries_features,
+        queries_governance,
+        queries_prepare,
+        queries_profile,
+        queries_store,
+    )
 
 
 def jobs() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
