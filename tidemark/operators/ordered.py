@@ -337,7 +337,7 @@ def nth_in_order(df: DataFrame, order: Sequence[str], k: int) -> list:
         hit = run.filter(F.col("cum__n") > k).agg(F.min_by(F.struct(F.col(c).alias("v"), F.col("cum__n"), "_n"), c).alias("h")).first()["h"]
         found.append(hit["v"])
         k -= hit["cum__n"] - hit["_n"]
-        rest = rest.filter(F.col(c).eqNullSafe(F.lit(hit["v"])))
+        rest = rest.filter(F.col(c).eqNullSafe(literal(hit["v"], df, c)))
     return found
 
 
@@ -358,3 +358,41 @@ def _date_like_totals(counts: DataFrame, c: str) -> DataFrame:
         .withColumn("cum__n", F.col("_local") + F.col("_before"))
         .select(c, "_n", "cum__n")
     )
+
+
+def literal(value, like: DataFrame, column: str) -> Column:
+    """A Python value as a literal of a column's type (times go by text, free of zones)."""
+    return F.lit(None if value is None else str(value)).cast(like.schema[column].dataType)
+
+
+def hash_rank(df: DataFrame, keys: Sequence[str], id_cols: Sequence[str], seed: int, name: str) -> DataFrame:
+    """1-based rank by a seeded hash of the id, per key: a repeatable random order.
+
+    When large, ranks are counted inside ranges of the hash and shifted by the sizes of the
+    ranges before, so one class may hold most rows.
+    """
+    h = F.xxhash64(F.lit(seed), *[F.col(c) for c in id_cols])
+    if not is_large(df):
+        w = Window.partitionBy(*(keys or [F.lit(0)])).orderBy(h, *id_cols)
+        return df.withColumn(name, F.row_number().over(w))
+    data = df.withColumn("_h", h).withColumn("_range", F.shiftright("_h", 50))
+    w = Window.partitionBy(*keys, "_range").orderBy("_h", *id_cols)
+    local = data.withColumn(name, F.row_number().over(w))
+    sizes = data.groupBy(*keys, "_range").agg(F.count("*").alias("_n"))
+    prior = Window.partitionBy(*(list(keys) or [F.lit(0)])).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    before = sizes.select(*keys, "_range", F.coalesce(F.sum("_n").over(prior), F.lit(0)).alias("_before"))
+    joined = _null_safe_join(local, before, [*keys, "_range"])
+    return joined.withColumn(name, F.col(name) + F.col("_before")).select(*df.columns, name)
+
+
+def order_index(df: DataFrame, value: str, id_cols: Sequence[str], name: str) -> DataFrame:
+    """0-based position of each row by ``value`` (equal values in a repeatable random order)."""
+    if not is_large(df):
+        w = Window.partitionBy(F.lit(0)).orderBy(value, F.xxhash64(F.lit(0), *[F.col(c) for c in id_cols]), *id_cols)
+        return df.withColumn(name, F.row_number().over(w) - 1)
+    counts = df.groupBy(value).agg(F.count("*").alias("_n"))
+    run = running_totals(counts, [], value, ["_n"], two_level=True)
+    starts = run.select(value, (F.col("cum__n") - F.col("_n")).alias("_start"))
+    ranked = hash_rank(df, [value], id_cols, 0, "_within")
+    joined = _null_safe_join(ranked, starts, [value])
+    return joined.withColumn(name, F.col("_start") + F.col("_within") - 1).select(*df.columns, name)
