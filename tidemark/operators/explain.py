@@ -9,7 +9,7 @@ from pyspark.ml.classification import DecisionTreeClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame, Row, functions as F
 
-from tidemark.functions.common import LEVEL_RANGES, count_if, risk_level
+from tidemark.functions.common import LEVEL_RANGES, risk_level
 from tidemark.operators.ordered import attach, top_k_per_key
 
 
@@ -61,6 +61,8 @@ def counterfactuals(
 ) -> DataFrame:
     """Greedy single pass over features by |w·x|, one step each, until the target band is met.
 
+    A row already in the target band gets no change.
+
     A step is the larger of 10 % of the scaled value and 0.5, against the sign of the
     feature's pull when risk must fall and with it when it must rise. Steps fold over an
     ordered array inside the row, so no Python runs.
@@ -83,7 +85,7 @@ def counterfactuals(
     data = data.withColumn("_score", 100.0 / (1.0 + F.exp(-F.col("_logit"))))
     falling = F.col("_score") > high
     empty = F.array().cast("array<struct<feature:string,clinical_name:string,original_value:double,proposed_value:double,importance:double>>")
-    start = F.struct(F.col("_logit").alias("logit"), F.lit(False).alias("done"), empty.alias("changes"))
+    start = F.struct(F.col("_logit").alias("logit"), (risk_level(F.col("_score")) == target).alias("done"), empty.alias("changes"))
 
     def step(state: Column, f: Column) -> Column:
         pull = f["w"] * f["x"]

@@ -6,7 +6,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tidemark.operators.ordered import group_agg, latest_per_key
+from tidemark.operators.ordered import group_agg, latest_per_key, top_k_per_key
 
 # Limits of the alert and advice rules.
 DEGRADATION_LIMIT = 0.10
@@ -166,8 +166,6 @@ def model_summary(models: DataFrame, metrics: DataFrame, parity: DataFrame | Non
     if parity is not None:
         out = out.join(bias_text(parity).select("model_id", "bias_analysis"), "model_id", "left")
     if importances is not None:
-        from tidemark.operators.ordered import top_k_per_key
-
         best = top_k_per_key(importances, ["model_id"], [F.desc("importance"), F.asc("feature")], top)
         names = best.groupBy("model_id").agg(F.sort_array(F.collect_list(F.struct("rank", "feature"))).alias("_t"))
         out = out.join(names.select("model_id", F.transform("_t", lambda x: x["feature"]).alias("top_features")), "model_id", "left")

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tidemark.functions.common import count_if
 from tidemark.operators.evaluate import auroc
-from tidemark.operators.ordered import _null_safe_join, attach, column_quantiles, exact_quantiles, hash_rank
+from tidemark.operators.ordered import attach, exact_quantiles, hash_rank, latest_per_key
 from tidemark.operators.score import calibrated_score, calibration_bounds
 from tidemark.operators.split import class_counts, stratified_folds
 from tidemark.session import checkpointed
@@ -392,8 +392,6 @@ def search_advice(stats: DataFrame, strategy: str, converged: bool = False) -> D
 
 def active_models(index: DataFrame) -> DataFrame:
     """The newest model of each type that is not retired."""
-    from tidemark.operators.ordered import latest_per_key
-
     return latest_per_key(index.filter("status <> 'retired'"), ["model_type"], ["registered_at", "model_id"])
 
 

@@ -226,9 +226,8 @@ LOW_COMPLETENESS = 70
 LOW_WEAR_MINUTES = 720
 
 
-def _is_kind(v: Column, kind: str) -> Column:
-    """Strict JSON type test on a variant (an integer is also a number; 3.0 is an integer)."""
-    of = F.schema_of_variant(v)
+def _is_kind(of: Column, kind: str, as_number: Column) -> Column:
+    """Strict JSON type test from a variant's schema text (an integer is also a number; 3.0 is an integer)."""
     if kind == "string":
         return of == "STRING"
     if kind == "boolean":
@@ -240,7 +239,6 @@ def _is_kind(v: Column, kind: str) -> Column:
     numeric = (of == "BIGINT") | (of == "DOUBLE") | of.startswith("DECIMAL")
     if kind == "number":
         return numeric
-    as_number = F.try_variant_get(v, "$", "double")
     return (of == "BIGINT") | (numeric & (as_number == F.floor(as_number)))
 
 
@@ -250,80 +248,79 @@ def _message(path: str | Column, what: str | Column) -> Column:
     return F.concat(F.lit("Field '"), path, F.lit("': "), what)
 
 
-def _errors(value: Column, rule: Rule, path: str, label: Column | None = None) -> list[Column]:
-    """Null-or-message columns for the rules below one value (``label`` overrides the path)."""
-    shown = label if label is not None else F.lit(path or "root")
-    right_kind = _is_kind(value, rule.kind)
-    out = [F.when(value.isNotNull() & ~right_kind, _message(shown, f"is not of type '{rule.kind}'"))]
-    is_kind = value.isNotNull() & right_kind
+@dataclass(frozen=True)
+class _Value:
+    """The columns a field's rules read: the variant, its schema text, number and string forms."""
+
+    variant: Column
+    kind: Column
+    number: Column
+    string: Column
+
+
+def _value_of(v: Column) -> _Value:
+    return _Value(v, F.schema_of_variant(v), F.try_variant_get(v, "$", "double"), F.try_variant_get(v, "$", "string"))
+
+
+def _field_errors(value: _Value, rule: Rule, shown: Column) -> list[Column]:
+    """Null-or-message columns for one field's own rules."""
+    right_kind = _is_kind(value.kind, rule.kind, value.number)
+    there = value.variant.isNotNull()
+    out = [F.when(there & ~right_kind, _message(shown, f"is not of type '{rule.kind}'"))]
 
     def broken(test: Column, what: str):
-        out.append(F.when(is_kind & test, _message(shown, what)))
+        out.append(F.when(there & right_kind & test, _message(shown, what)))
 
     if rule.kind in ("number", "integer"):
-        n = F.try_variant_get(value, "$", "double")
         if rule.minimum is not None:
-            broken(n < rule.minimum, f"is less than the minimum of {rule.minimum:g}")
+            broken(value.number < rule.minimum, f"is less than the minimum of {rule.minimum:g}")
         if rule.maximum is not None:
-            broken(n > rule.maximum, f"is greater than the maximum of {rule.maximum:g}")
+            broken(value.number > rule.maximum, f"is greater than the maximum of {rule.maximum:g}")
     if rule.kind == "string":
-        s = F.try_variant_get(value, "$", "string")
         if rule.enum:
-            broken(~s.isin(*rule.enum), f"is not one of {list(rule.enum)}")
+            broken(~value.string.isin(*rule.enum), f"is not one of {list(rule.enum)}")
         if rule.pattern:
-            broken(~F.rlike(s, F.lit(rule.pattern)), f"does not match '{rule.pattern}'")
+            broken(~F.rlike(value.string, F.lit(rule.pattern)), f"does not match '{rule.pattern}'")
         if rule.max_length is not None:
-            broken(F.length(s) > rule.max_length, "is too long")
-    if rule.kind == "object":
-        for name, sub in rule.fields.items():
-            child = F.try_variant_get(value, f"$.{name}", "variant")
-            inner = f"{path}.{name}" if path else name
-            if sub.required:
-                broken(child.isNull(), f"'{name}' is a required property")
-            out += _errors(child, sub, inner)
-        if rule.closed:
-            keys = F.map_keys(F.try_variant_get(value, "$", "map<string,variant>"))
-            extra = F.array_sort(F.array_except(keys, F.array(*[F.lit(k) for k in rule.fields])))
-            out.append(
-                F.when(
-                    is_kind & (F.size(extra) > 0),
-                    _message(shown, F.concat(F.lit("additional properties not allowed: "), F.array_join(extra, ", "))),
-                )
-            )
+            broken(F.length(value.string) > rule.max_length, "is too long")
+    if rule.kind == "object" and rule.closed:
+        keys = F.map_keys(F.try_variant_get(value.variant, "$", "map<string,variant>"))
+        extra = F.array_sort(F.array_except(keys, F.array(*[F.lit(k) for k in rule.fields])))
+        found = F.concat(F.lit("additional properties not allowed: "), F.array_join(extra, ", "))
+        out.append(F.when(there & right_kind & (F.size(extra) > 0), _message(shown, found)))
     return out
 
 
-def _item_errors(value: Column, rule: Rule, path: str) -> Column:
-    """``array<string>`` of the messages of all items of an array value."""
-    items = F.try_variant_get(value, "$", "array<variant>")
+def _walk(rule: Rule, path: str = "") -> list[tuple[str, str, Rule, Rule | None]]:
+    """``(path, parent path, rule, parent rule)`` of a contract's objects and fields, parents first."""
+    found: list[tuple[str, str, Rule, Rule | None]] = [("", "", rule, None)] if not path else []
+    for name, sub in rule.fields.items():
+        inner = f"{path}.{name}" if path else name
+        found.append((inner, path, sub, rule))
+        if sub.fields:
+            found += _walk(sub, inner)
+    return found
+
+
+def _item_errors(items: Column, rule: Rule, path: str) -> Column:
+    """``array<string>`` of the messages of all items of an ``array<variant>``."""
 
     def one(item: Column, index: Column) -> Column:
         label = F.concat(F.lit(f"{path}."), index.cast("string"))
         if rule.item_enum:
-            return F.array_compact(F.array(*_errors(item, Rule("string", enum=rule.item_enum), path, label)))
-        parts = [F.when(~_is_kind(item, "object"), _message(label, "is not of type 'object'"))]
+            return F.array_compact(F.array(*_field_errors(_value_of(item), Rule("string", enum=rule.item_enum), label)))
+        is_object = F.schema_of_variant(item).startswith("OBJECT")
+        parts = [F.when(~is_object, _message(label, "is not of type 'object'"))]
         for name, sub in rule.items.items():
             child = F.try_variant_get(item, f"$.{name}", "variant")
             if sub.required:
-                parts.append(
-                    F.when(_is_kind(item, "object") & child.isNull(), _message(label, f"'{name}' is a required property"))
-                )
-            parts += _errors(child, sub, path, F.concat(label, F.lit(f".{name}")))
+                parts.append(F.when(is_object & child.isNull(), _message(label, f"'{name}' is a required property")))
+            parts += _field_errors(_value_of(child), sub, F.concat(label, F.lit(f".{name}")))
         return F.array_compact(F.array(*parts))
 
     return F.coalesce(F.flatten(F.transform(items, one)), F.array().cast("array<string>"))
 
 
-def _array_rules(rule: Rule, path: str = "") -> list[tuple[str, Rule]]:
-    found = []
-    for name, sub in rule.fields.items():
-        inner = f"{path}.{name}" if path else name
-        if sub.kind == "array" and (sub.items or sub.item_enum):
-            found.append((inner, sub))
-        found += _array_rules(sub, inner)
-    return found
-
-
 def quality_warnings(record: Column, source_type: str) -> Column:
     """Findings that do not make a record invalid, as ``array<string>``."""
 
@@ -355,24 +352,52 @@ def quality_warnings(record: Column, source_type: str) -> Column:
 
 
 def check_records(df: DataFrame, json_column: str, source_type: str, contract: Rule | None = None) -> DataFrame:
-    """Add ``is_valid``, ``errors`` and ``warnings`` to rows of one source type."""
+    """Add ``is_valid``, ``errors`` and ``warnings`` to rows of one source type.
+
+    The record is parsed once, then every field is read once in its own projection, so the
+    rules below only look at columns.
+    """
     if contract is None and source_type not in CONTRACTS:
         raise ValueError(f"unknown source type: {source_type}")
     rule = contract or CONTRACTS[source_type]
+    fields = _walk(rule)
+    at = {path: i for i, (path, _, _, _) in enumerate(fields)}
     data = df.withColumn("_rec", F.try_parse_json(json_column))
-    record = F.col("_rec")
-    unreadable = F.when(record.isNull(), _message("root", "is not valid JSON"))
-    flat = F.array_compact(F.array(unreadable, *_errors(record, rule, "")))
-    nested = [
-        _item_errors(F.try_variant_get(record, f"$.{path}", "variant"), sub, path) for path, sub in _array_rules(rule)
-    ]
-    errors = F.concat(flat, *nested) if nested else flat
-    return (
-        data.withColumn("errors", errors)
-        .withColumn("warnings", quality_warnings(record, source_type) if source_type in CONTRACTS else F.array().cast("array<string>"))
-        .withColumn("is_valid", F.size("errors") == 0)
-        .drop("_rec")
-    )
+    reads, kinds = {}, {}
+    for path, i in at.items():
+        sub = fields[i][2]
+        v = F.col(f"_v{i}")
+        reads[f"_v{i}"] = F.try_variant_get("_rec", f"$.{path}" if path else "$", "variant")
+        kinds[f"_k{i}"] = F.schema_of_variant(v)
+        if sub.kind in ("number", "integer"):
+            kinds[f"_n{i}"] = F.try_variant_get(v, "$", "double")
+        if sub.kind == "string" and (sub.enum or sub.pattern or sub.max_length is not None):
+            kinds[f"_s{i}"] = F.try_variant_get(v, "$", "string")
+        if sub.kind == "array":
+            kinds[f"_a{i}"] = F.try_variant_get(v, "$", "array<variant>")
+    data = data.withColumns(reads).withColumns(kinds)
+    nothing = F.lit(None)
+
+    def value(i):
+        number = F.col(f"_n{i}") if f"_n{i}" in kinds else nothing.cast("double")
+        string = F.col(f"_s{i}") if f"_s{i}" in kinds else nothing.cast("string")
+        return _Value(F.col(f"_v{i}"), F.col(f"_k{i}"), number, string)
+
+    flat = [F.when(F.col("_rec").isNull(), _message("root", "is not valid JSON"))]
+    nested = []
+    for path, parent_path, sub, parent in fields:
+        i = at[path]
+        if parent is not None and sub.required:
+            j = at[parent_path]
+            missing = F.col(f"_k{j}").startswith("OBJECT") & F.col(f"_v{i}").isNull()
+            flat.append(F.when(missing, _message(parent_path or "root", f"'{path.rpartition('.')[2]}' is a required property")))
+        flat += _field_errors(value(i), sub, F.lit(path or "root"))
+        if sub.kind == "array" and (sub.items or sub.item_enum):
+            nested.append(_item_errors(F.col(f"_a{i}"), sub, path))
+    errors = F.array_compact(F.array(*flat))
+    warnings = quality_warnings(F.col("_rec"), source_type) if source_type in CONTRACTS else F.array().cast("array<string>")
+    checked = data.select(*df.columns, (F.concat(errors, *nested) if nested else errors).alias("errors"), warnings.alias("warnings"))
+    return checked.withColumn("is_valid", F.size("errors") == 0)
 
 
 def check_by_source(df: DataFrame, json_column: str, source_column: str) -> DataFrame:

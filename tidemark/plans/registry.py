@@ -93,6 +93,7 @@ def _load() -> None:
     from tidemark.plans import (  # noqa: F401
         queries_features,
         queries_governance,
+        queries_models,
         queries_prepare,
         queries_profile,
         queries_store,
