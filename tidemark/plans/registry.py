@@ -97,6 +97,7 @@ def _load() -> None:
         queries_prepare,
         queries_profile,
         queries_store,
+        queries_streams,
     )
 
 
