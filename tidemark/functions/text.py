@@ -6,6 +6,8 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from tidemark.session import spread
+
 # Word and phrase lists of the lexicon.
 POSITIVE_WORDS = [
     "good", "great", "excellent", "happy", "joy", "love", "wonderful", "fantastic", "amazing", "better", "best",
@@ -37,28 +39,26 @@ def balance(high: Column, low: Column) -> Column:
     return F.when(total > 0, (high - low) / F.when(total > 0, total)).otherwise(F.lit(0.0))
 
 
-def valence(text: Column) -> Column:
-    t = F.lower(text)
-    return balance(words_present(t, POSITIVE_WORDS), words_present(t, NEGATIVE_WORDS))
-
+def lexicon_counts(text: Column, lowered: Column) -> dict[str, Column]:
+    """Word-presence counts behind the three scores.
 
-def arousal(text: Column) -> Column:
-    """Exclamation marks count once as a word and once more per mark."""
-    t = F.lower(text)
+    Exclamation marks count once as a word and once more per mark.
+    """
     marks = F.length(text) - F.length(F.replace(text, F.lit("!"), F.lit("")))
-    return balance(words_present(t, HIGH_AROUSAL_WORDS) + marks, words_present(t, LOW_AROUSAL_WORDS))
-
-
-def dominance(text: Column) -> Column:
-    t = F.lower(text)
-    return balance(words_present(t, HIGH_DOMINANCE_WORDS), words_present(t, LOW_DOMINANCE_WORDS))
+    return {
+        "_positive": words_present(lowered, POSITIVE_WORDS),
+        "_negative": words_present(lowered, NEGATIVE_WORDS),
+        "_high_arousal": words_present(lowered, HIGH_AROUSAL_WORDS) + marks,
+        "_low_arousal": words_present(lowered, LOW_AROUSAL_WORDS),
+        "_high_dominance": words_present(lowered, HIGH_DOMINANCE_WORDS),
+        "_low_dominance": words_present(lowered, LOW_DOMINANCE_WORDS),
+    }
 
 
-def crisis_phrases(text: Column) -> Column:
-    """Phrases found as whole words, in list order."""
-    t = F.lower(text)
+def crisis_phrases(lowered: Column) -> Column:
+    """Phrases found as whole words in lower-case text, in list order."""
     found = [
-        F.when(F.contains(t, F.lit(p)) & F.rlike(t, F.lit(r"(?U)\b" + p.replace("-", r"\-") + r"\b")), F.lit(p))
+        F.when(F.contains(lowered, F.lit(p)) & F.rlike(lowered, F.lit(r"(?U)\b" + p.replace("-", r"\-") + r"\b")), F.lit(p))
         for p in CRISIS_PHRASES
     ]
     return F.array_compact(F.array(*found))
@@ -74,29 +74,28 @@ def emotions(v: Column, a: Column) -> dict[str, Column]:
 
 
 def analyze_sentiment(df: DataFrame, text_column: str = "text_response") -> DataFrame:
-    """Sentiment and crisis columns; null or empty text gives zeros and no flag."""
-    text = F.col(text_column)
-    some = text.isNotNull() & (text != "")
-
-    def score(c):
-        return F.when(some, c).otherwise(F.lit(0.0))
-
-    scored = df.withColumns(
-        {
-            "sentiment_valence": score(valence(text)),
-            "sentiment_arousal": score(arousal(text)),
-            "sentiment_dominance": score(dominance(text)),
-            "_found": F.when(some, crisis_phrases(text)),
-        }
-    )
+    """Sentiment and crisis columns; null or empty text gives zeros and no flag.
+
+    The text is lowered once and each word list counted once, in projections of their own,
+    so no expression repeats a scan of the text.
+    """
+    data = spread(df).withColumn("_low", F.lower(text_column))
+    counted = data.withColumns({**lexicon_counts(F.col(text_column), F.col("_low")), "_found": crisis_phrases(F.col("_low"))})
+
+    def score(high, low):
+        return F.coalesce(balance(F.col(high), F.col(low)), F.lit(0.0))
+
     hit = F.coalesce(F.size("_found") > 0, F.lit(False))
-    return scored.withColumns(
-        {
-            "sentiment_compound": F.col("sentiment_valence"),
-            "crisis_keywords": F.when(hit, F.concat_ws(", ", "_found")),
-            "crisis_flag": hit,
-        }
-    ).drop("_found")
+    valence = score("_positive", "_negative")
+    return counted.select(
+        *df.columns,
+        valence.alias("sentiment_valence"),
+        score("_high_arousal", "_low_arousal").alias("sentiment_arousal"),
+        score("_high_dominance", "_low_dominance").alias("sentiment_dominance"),
+        valence.alias("sentiment_compound"),
+        F.when(hit, F.concat_ws(", ", "_found")).alias("crisis_keywords"),
+        hit.alias("crisis_flag"),
+    )
 
 
 def emotion_columns(df: DataFrame) -> DataFrame:

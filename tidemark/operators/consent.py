@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from tidemark.operators.ordered import keyed_join
+
 
 def consent_status(requests: DataFrame, consents: DataFrame, now: Column, id_column: str = "anonymized_id") -> DataFrame:
     """Add ``consent_status`` and ``consent_valid`` to requests with ``data_types``.
@@ -18,7 +20,8 @@ def consent_status(requests: DataFrame, consents: DataFrame, now: Column, id_col
         F.col("revoked_at").alias("_revoked"),
         F.lit(True).alias("_known"),
     )
-    j = requests.join(c, id_column, "left")
+    # a stream cannot be salted by its plan's size; the consent table is the static side
+    j = requests.join(c, id_column, "left") if requests.isStreaming else keyed_join(requests, c, [id_column], "left")
     uncovered = F.size(F.array_except(F.coalesce("data_types", F.array().cast("array<string>")), F.col("_granted"))) > 0
     status = (
         F.when(F.col("_known").isNull(), "not_found")

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, functions as F
 
-from tidemark.operators.ordered import attach
+from tidemark.operators.ordered import attach, keyed_join
 from tidemark.session import small_enough_to_broadcast
 
 
@@ -20,10 +20,11 @@ class TargetEncoding:
     global_mean: DataFrame
 
     def transform(self, df: DataFrame) -> DataFrame:
-        mapping = self.mapping
-        if small_enough_to_broadcast(mapping):
-            mapping = F.broadcast(mapping)
-        joined = attach(df.join(mapping, self.column, "left"), self.global_mean)
+        if small_enough_to_broadcast(self.mapping):
+            joined = df.join(F.broadcast(self.mapping), self.column, "left")
+        else:
+            joined = keyed_join(df, self.mapping, [self.column], "left")
+        joined = attach(joined, self.global_mean)
         name = f"{self.column}_encoded"
         return joined.select(*df.columns, F.coalesce("_encoded", "_global").alias(name))
 

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Row, functions as F
 
 from tidemark.functions.common import LEVEL_RANGES, risk_level
 from tidemark.operators.ordered import attach, top_k_per_key
+from tidemark.session import spread
 
 
 @dataclass(frozen=True)
@@ -64,8 +65,8 @@ def counterfactuals(
     A row already in the target band gets no change.
 
     A step is the larger of 10 % of the scaled value and 0.5, against the sign of the
-    feature's pull when risk must fall and with it when it must rise. Steps fold over an
-    ordered array inside the row, so no Python runs.
+    feature's pull when risk must fall and with it when it must rise. The at most
+    ``max_changes`` steps are unrolled into projections, all inside code generation.
     """
     low, high = LEVEL_RANGES[target]
     ranges = ranges or {}
@@ -77,40 +78,42 @@ def counterfactuals(
             F.struct(
                 (-F.abs(x * w)).alias("o"), F.lit(i).alias("i"), F.lit(c).alias("feature"), F.lit(model.names.get(c, c)).alias("clinical_name"),
                 F.lit(float(w)).alias("w"), x.alias("x"), F.col(c).cast("double").alias("original"),
-                F.lit(model.means.get(c, 0.0)).alias("mean"), F.lit(model.stds.get(c, 1.0)).alias("std"),
+                F.lit(float(model.means.get(c, 0.0))).alias("mean"), F.lit(float(model.stds.get(c, 1.0))).alias("std"),
                 F.lit(lo).cast("double").alias("lo"), F.lit(hi).cast("double").alias("hi"),
             )
         )
-    data = df.select(*keys, F.array_sort(F.array(*items)).alias("_items"), model.logit().alias("_logit"))
-    data = data.withColumn("_score", 100.0 / (1.0 + F.exp(-F.col("_logit"))))
-    falling = F.col("_score") > high
-    empty = F.array().cast("array<struct<feature:string,clinical_name:string,original_value:double,proposed_value:double,importance:double>>")
-    start = F.struct(F.col("_logit").alias("logit"), (risk_level(F.col("_score")) == target).alias("done"), empty.alias("changes"))
 
-    def step(state: Column, f: Column) -> Column:
+    def score_of(logit: Column) -> Column:
+        return 100.0 / (1.0 + F.exp(-logit))
+
+    data = spread(df).select(*keys, F.array_sort(F.array(*items)).alias("_items"), model.logit().alias("_logit0"))
+    data = data.withColumn("_score", score_of(F.col("_logit0")))
+    data = data.withColumns({"_falling": F.col("_score") > high, "_done0": risk_level(F.col("_score")) == target})
+    steps = min(max_changes, len(items))
+    for n in range(steps):
+        f, falling, done, logit = F.col("_items")[n], F.col("_falling"), F.col(f"_done{n}"), F.col(f"_logit{n}")
         pull = f["w"] * f["x"]
         up = F.when(pull > 0, F.lit(1.0)).otherwise(F.lit(-1.0))
-        way = F.when(falling, -up).otherwise(up)
-        raw = f["x"] + way * F.greatest(F.abs(f["x"] * 0.1), F.lit(0.5))
-        moved = F.least(F.greatest(raw, F.coalesce(f["lo"], raw)), F.coalesce(f["hi"], F.greatest(raw, F.coalesce(f["lo"], raw))))
-        logit = state["logit"] + f["w"] * (moved - f["x"])
-        score = 100.0 / (1.0 + F.exp(-logit))
-        met = F.when(falling, score <= high).otherwise(score >= low)
+        raw = f["x"] + F.when(falling, -up).otherwise(up) * F.greatest(F.abs(f["x"] * 0.1), F.lit(0.5))
+        # greatest and least skip a missing bound
+        data = data.withColumn("_moved", F.least(F.greatest(raw, f["lo"]), f["hi"]))
+        moved = F.col("_moved")
         change = F.struct(
             f["feature"].alias("feature"), f["clinical_name"].alias("clinical_name"), f["original"].alias("original_value"),
             (moved * f["std"] + f["mean"]).alias("proposed_value"), pull.alias("importance"),
         )
-        after = F.struct(logit.alias("logit"), met.alias("done"), F.concat(state["changes"], F.array(change)).alias("changes"))
-        return F.when(state["done"], state).otherwise(after)
-
-    end = F.aggregate(F.slice("_items", 1, max_changes), start, step)
-    out = data.withColumn("_end", end).withColumn("_final", 100.0 / (1.0 + F.exp(-F.col("_end.logit"))))
-    return out.select(
+        data = data.withColumns(
+            {f"_logit{n + 1}": F.when(done, logit).otherwise(logit + f["w"] * (moved - f["x"])), f"_change{n}": F.when(~done, change)}
+        )
+        after = score_of(F.col(f"_logit{n + 1}"))
+        data = data.withColumn(f"_done{n + 1}", done | F.when(falling, after <= high).otherwise(after >= low))
+    final = score_of(F.col(f"_logit{steps}"))
+    return data.withColumn("_final", final).select(
         *keys,
         F.col("_score").alias("current_score"),
         risk_level(F.col("_score")).alias("current_risk_level"),
         F.lit(target).alias("target_risk_level"),
-        F.col("_end.changes").alias("changes"),
+        F.array_compact(F.array(*[F.col(f"_change{n}") for n in range(steps)])).alias("changes"),
         F.col("_final").alias("counterfactual_score"),
         risk_level(F.col("_final")).alias("counterfactual_risk_level"),
         (risk_level(F.col("_final")) == target).alias("achieved_target"),

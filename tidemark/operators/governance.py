@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tidemark.functions.common import count_if, hours_between, review_flag, review_priority, stable_hash
-from tidemark.operators.ordered import attach, forward_fill, latest_per_key
+from tidemark.operators.ordered import forward_fill, keyed_join, latest_per_key
 from tidemark.sources.tables import history
 
 OPEN_STATES = ("PENDING", "ASSIGNED", "IN_REVIEW")
@@ -167,7 +167,7 @@ def case_states(events: DataFrame, order: Sequence[str]) -> DataFrame:
     first_start = events.filter("action = 'start'").groupBy("case_id").agg(
         F.min_by("actor", position).alias("_starter"), F.min(position).alias("_start_at")
     )
-    j = data.join(first_start, "case_id", "left")
+    j = keyed_join(data, first_start, ["case_id"], "left")
     holder = F.coalesce(F.col("_assigned"), F.when(F.col("_start_at") <= position, F.col("_starter")))
     valid = (
         F.when(F.col("action") == "assign", F.lit(True))

@@ -40,6 +40,23 @@ def attach(df: DataFrame, row: DataFrame) -> DataFrame:
     return df.withColumn("_s", cell).select(*df.columns, *[F.col(f"_s.{c}").alias(c) for c in names])
 
 
+def keyed_join(big: DataFrame, small: DataFrame, keys: Sequence[str], how: str = "inner", salts: int = 32) -> DataFrame:
+    """Join rows to a table of one row per key (``how``: inner or left).
+
+    A large ``big`` is spread over ``salts`` copies of the key table, so a key that owns a
+    third of all rows is still read by many tasks, also where the join feeds an aggregate on
+    the same key (where adaptive skew splitting does not apply). The salt is a hash of the
+    row, so a repeated task makes the same choice.
+    """
+    keys = list(keys)
+    if not is_large(big):
+        return big.join(small, keys, how)
+    hashed = [f.name for f in big.schema.fields if f.dataType.typeName() not in ("map", "variant")]
+    left = big.withColumn("_salt", F.pmod(F.xxhash64(*[F.col(c) for c in hashed]), F.lit(salts)).cast("int"))
+    right = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return left.join(right, [*keys, "_salt"], how).drop("_salt")
+
+
 def value_chunks(counts: DataFrame, keys: Sequence[str], value: str, n: int = VALUE_CHUNKS) -> DataFrame:
     """Add ``_chunk``, a number that never falls as ``value`` rises within ``keys``."""
     probs = F.array(*[F.lit(i / n) for i in range(1, n)])
@@ -296,7 +313,7 @@ def trailing(df: DataFrame, id_col: str, ts_col: str, days: int | None = None, m
     """
     data = df.filter(F.col(id_col).isNotNull())
     latest = data.groupBy(id_col).agg(F.max(ts_col).alias("_latest"))
-    out = data.join(latest, id_col)
+    out = keyed_join(data, latest, [id_col])
 
     def inside(n):
         return F.col(ts_col) >= F.col("_latest") - F.expr(f"INTERVAL '{int(n)}' DAY")

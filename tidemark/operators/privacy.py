@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from tidemark.functions.common import all_of, col
+from tidemark.session import spread
 
 # What is redacted, in this order.
 PII_PATTERNS = {
@@ -55,16 +56,13 @@ def redact(
     column; Spark evaluates every replacement once per row.
     """
     names = [n for n in patterns or PII_PATTERNS if n in PII_PATTERNS]
-    out = df
+    out = spread(df)
     current = text_column
     for i, n in enumerate(names):
-        pattern = _pattern(n)
-        out = out.withColumns(
-            {
-                f"_n{i}": F.regexp_count(F.col(current), pattern),
-                f"_t{i}": F.regexp_replace(F.col(current), pattern, F.lit(replacement)),
-            }
-        )
+        text, pattern = F.col(current), _pattern(n)
+        out = out.withColumn(f"_n{i}", F.regexp_count(text, pattern))
+        # most texts hold no match, so the second pass is rarely made
+        out = out.withColumn(f"_t{i}", F.when(F.col(f"_n{i}") > 0, F.regexp_replace(text, pattern, F.lit(replacement))).otherwise(text))
         current = f"_t{i}"
     total = sum((F.coalesce(F.col(f"_n{i}"), F.lit(0)) for i in range(len(names))), F.lit(0))
     kept = [F.col(current).alias(c) if c == text_column else F.col(c) for c in df.columns]

@@ -14,6 +14,9 @@ POINTS = {
 }
 
 
+LEVEL_SALTS = 256
+
+
 def _points(test: Column, key: str) -> Column:
     return F.when(F.coalesce(test, F.lit(False)), F.lit(POINTS[key])).otherwise(F.lit(0))
 
@@ -56,12 +59,17 @@ def score_resources(profiles: DataFrame, catalog: DataFrame) -> DataFrame:
     """Every profile with every active resource of its risk level, scored.
 
     An equi-join on the level: the catalog has one row per (resource, level) and is broadcast
-    only when its own size is small.
+    only when its own size is small. There are but four levels, so a large catalog is salted
+    to spread the profiles of one level.
     """
     levels = catalog.filter("active").withColumn("risk_level", F.explode("risk_levels"))
     if small_enough_to_broadcast(catalog):
-        levels = F.broadcast(levels)
-    return profiles.join(levels, "risk_level").withColumn("relevance_score", relevance_score())
+        pairs = profiles.join(F.broadcast(levels), "risk_level")
+    else:
+        salted = levels.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(LEVEL_SALTS - 1))))
+        people = profiles.withColumn("_salt", F.pmod(F.xxhash64("anonymized_id"), F.lit(LEVEL_SALTS)).cast("int"))
+        pairs = people.join(salted, ["risk_level", "_salt"]).drop("_salt")
+    return pairs.withColumn("relevance_score", relevance_score())
 
 
 def recommend(profiles: DataFrame, catalog: DataFrame, k: int = 5, immediate_only: bool = False) -> DataFrame:

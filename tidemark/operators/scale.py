@@ -7,6 +7,8 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, functions as F
 
+from tidemark.operators.ordered import keyed_join
+
 
 def _safe_std(std):
     return F.when(std > 0, std).otherwise(F.lit(1.0))
@@ -56,7 +58,7 @@ class FittedGroupScaler:
 
     def transform(self, df: DataFrame) -> DataFrame:
         """z-score within the group; a group not seen at fit gives null."""
-        joined = df.join(self.params, self.group_by, "left")
+        joined = keyed_join(df, self.params, [self.group_by], "left")
         scaled = {c: (F.col(c) - F.col(f"_mean_{c}")) / F.col(f"_std_{c}") for c in self.columns}
         return joined.select(*[scaled[c].alias(c) if c in scaled else F.col(c) for c in df.columns])
 
@@ -64,8 +66,8 @@ class FittedGroupScaler:
 def fit_group_standard(df: DataFrame, columns: Sequence[str], group_by: str = "anonymized_id"):
     """Group z-score parameters (global ones when the group column is absent).
 
-    Aggregate and join, not a window over the group: partial sums keep a hot group split,
-    and the join of a one-row-per-group table is one that adaptive skew handling can split.
+    Aggregate and join, not a window over the group: partial sums keep a hot group split, and
+    so does the salted join that applies the parameters.
     """
     if group_by not in df.columns:
         return fit_standard(df, columns)

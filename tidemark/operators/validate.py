@@ -12,6 +12,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tidemark.functions.common import any_of
+from tidemark.session import spread
 
 ID_PATTERN = "^[a-zA-Z0-9_-]+$"
 CODE_PATTERN = "^[A-Z0-9.]+$"
@@ -378,7 +379,7 @@ def check_records(df: DataFrame, json_column: str, source_type: str, contract: R
         if sub.kind == "array":
             forms.append(f"try_variant_get({v}, '$', 'array<variant>') AS _a{i}")
         values[i] = _Value(v, f"_k{i}", f"_n{i}", f"_s{i}")
-    data = df.withColumn("_rec", F.try_parse_json(json_column)).selectExpr(*reads).selectExpr(*forms)
+    data = spread(df).withColumn("_rec", F.try_parse_json(json_column)).selectExpr(*reads).selectExpr(*forms)
     flat, nested = [_says("'root'", "_rec IS NULL", _q("is not valid JSON"))], []
     for path, parent_path, sub, parent in fields:
         i = at[path]

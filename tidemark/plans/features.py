@@ -12,10 +12,10 @@ from tidemark.operators.validate import completeness
 
 
 def merge_features(parts: list[DataFrame], id_column: str = "anonymized_id") -> DataFrame:
-    """Full-outer merge on the id. A name two parts share gets the suffix of its part number.
+    """One row per id with the columns of all parts (a full-outer merge of one-row-per-id tables).
 
-    Every part is an aggregate on the id and thus already partitioned by it, so the joins
-    add no shuffle of their own.
+    Done as a union and one aggregate: a chain of outer joins would shuffle the growing
+    result once per part. A name two parts share gets the suffix of its part number.
     """
     seen: set[str] = {id_column}
     renamed = []
@@ -23,7 +23,9 @@ def merge_features(parts: list[DataFrame], id_column: str = "anonymized_id") ->
         clash = {c: f"{c}_{i}" for c in p.columns if c in seen and c != id_column}
         renamed.append(p.withColumnsRenamed(clash))
         seen.update(renamed[-1].columns)
-    return reduce(lambda a, b: a.join(b, id_column, "full_outer"), renamed)
+    stacked = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), renamed)
+    columns = [c for p in renamed for c in p.columns if c != id_column]
+    return stacked.groupBy(id_column).agg(*[F.first(c, ignorenulls=True).alias(c) for c in columns])
 
 
 def extract_features(

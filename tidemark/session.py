@@ -67,6 +67,21 @@ def small_enough_to_broadcast(df: DataFrame, limit: int = 64 << 20) -> bool:
     return input_bytes(df) <= limit
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Give every core a share of a small input that sits in fewer files than there are cores.
+
+    For row-wise work that costs much more than the scan (texts, long rule lists). Inputs of
+    a split per core or more are left as they are, so nothing is shuffled at scale.
+    """
+    if df.isStreaming:
+        return df
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    files = len(df.inputFiles())
+    if 0 < files < cores and input_bytes(df) < cores * (128 << 20):
+        return df.repartition(cores)
+    return df
+
+
 def scratch_folder(spark: SparkSession, name: str) -> str:
     """A fresh path for derived files: under ``spark.checkpoint.dir``, else a local temp folder."""
     base = spark.conf.get("spark.checkpoint.dir", None)

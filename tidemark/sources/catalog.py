@@ -60,7 +60,14 @@ DEFAULT_RESOURCES = [
 
 
 def default_catalog(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([(i, *r, True) for i, r in enumerate(DEFAULT_RESOURCES)], SCHEMA)
+    """The default resources as literals of the plan, so their size is known to it."""
+
+    def cell(value):
+        return F.array(*[F.lit(x) for x in value]) if isinstance(value, list) else F.lit(value)
+
+    names = [part.split()[0] for part in SCHEMA.split(", ")]
+    rows = [F.struct(*[cell(v).alias(n) for n, v in zip(names, (i, *r, True))]) for i, r in enumerate(DEFAULT_RESOURCES)]
+    return spark.range(1).select(F.inline(F.array(*rows)))
 
 
 def load_catalog(spark: SparkSession, path: str) -> None:
