@@ -26,15 +26,19 @@ def _sum_over(array: Column, points) -> Column:
     return F.aggregate(items, F.lit(0), lambda acc, x: acc + points(F.lower(x)))
 
 
-def relevance_score() -> Column:
-    """Score of one (profile, resource) row; see ``POINTS``. Columns of both sides by name."""
-    kind, tags, text = F.col("resource_type"), F.col("tags"), F.lower("description")
+def relevance_score(resource=F.col) -> Column:
+    """Score of one profile and one resource; see ``POINTS``.
+
+    Profile columns are read by name, resource fields through ``resource`` (a column of a
+    joined row, or a field of an array element).
+    """
+    kind, tags, text = resource("resource_type"), resource("tags"), F.lower(resource("description"))
     yes = lambda c: F.coalesce(F.col(c), F.lit(False))
     age = F.col("age_group").isin("youth", "senior") & F.array_contains(tags, F.col("age_group"))
     tagged = lambda x: F.exists(tags, lambda g: F.contains(g, x))
     parts = [
-        F.col("priority"),
-        _points(F.array_contains("risk_levels", F.col("risk_level")), "level"),
+        resource("priority"),
+        _points(F.array_contains(resource("risk_levels"), F.col("risk_level")), "level"),
         _points(age, "age"),
         _points(yes("has_therapy_history") & (kind == "therapy"), "therapy_known"),
         _points(~yes("has_therapy_history") & kind.isin("support_group", "self_help"), "therapy_new"),
@@ -72,26 +76,54 @@ def score_resources(profiles: DataFrame, catalog: DataFrame) -> DataFrame:
     return pairs.withColumn("relevance_score", relevance_score())
 
 
+# What a profile may leave out.
+PROFILE_DEFAULTS = {
+    "age_group": "CAST(NULL AS STRING)", "has_therapy_history": "false", "has_medication_history": "false", "has_support_system": "false",
+    "prefers_online": "false", "prefers_group": "CAST(NULL AS BOOLEAN)", "specific_conditions": "CAST(array() AS array<string>)",
+    "contributing_factors": "CAST(array() AS array<string>)",
+}
+
+
+def with_profile_defaults(profiles: DataFrame) -> DataFrame:
+    missing = {c: F.expr(e) for c, e in PROFILE_DEFAULTS.items() if c not in profiles.columns}
+    return profiles.withColumns(missing) if missing else profiles
+
+
+def with_recommendations(profiles: DataFrame, catalog: DataFrame, k: int = 5, name: str = "recommendations") -> DataFrame:
+    """Add the best ``k`` resources of each row as an array, best first; null for an unknown level.
+
+    With a small catalog (its size is checked) the resources of each level travel as one
+    broadcast array and are ranked inside the row: no shuffle at all. A large catalog is
+    joined, ranked per individual and joined back.
+    """
+    full = with_profile_defaults(profiles)
+    entry = ("position", "resource_id", "resource_type", "description", "urgency", "risk_levels", "tags", "priority")
+    if small_enough_to_broadcast(catalog):
+        levels = catalog.filter("active").withColumn("risk_level", F.explode("risk_levels"))
+        packed = levels.groupBy("risk_level").agg(F.collect_list(F.struct(*entry)).alias("_resources"))
+        joined = full.join(F.broadcast(packed), "risk_level", "left")
+
+        def scored(x: Column) -> Column:
+            points = relevance_score(lambda c: x[c])
+            return F.struct((-points).alias("o"), x["position"].alias("position"), x["resource_id"].alias("resource_id"), points.alias("relevance_score"), x["resource_type"].alias("resource_type"), x["urgency"].alias("urgency"))
+
+        best = F.slice(F.array_sort(F.transform("_resources", scored)), 1, k)
+        shaped = F.transform(
+            best,
+            lambda x, i: F.struct((i + 1).alias("rank"), x["resource_id"].alias("resource_id"), x["relevance_score"].alias("relevance_score"), x["resource_type"].alias("resource_type"), x["urgency"].alias("urgency")),
+        )
+        return joined.select(*profiles.columns, shaped.alias(name))
+    ranked = top_k_per_key(score_resources(full, catalog), ["anonymized_id"], [F.desc("relevance_score"), F.asc("position")], k)
+    listed = ranked.groupBy("anonymized_id").agg(F.sort_array(F.collect_list(F.struct("rank", "resource_id", "relevance_score", "resource_type", "urgency"))).alias(name))
+    return profiles.join(listed, "anonymized_id", "left")
+
+
 def recommend(profiles: DataFrame, catalog: DataFrame, k: int = 5, immediate_only: bool = False) -> DataFrame:
-    """Best ``k`` resources per individual; equal scores keep the catalog's order."""
+    """Best ``k`` resources per individual, one row each; equal scores keep the catalog's order."""
     if immediate_only:
         catalog = catalog.filter("urgency = 'immediate'")
-    scored = score_resources(profiles, catalog)
-    ranked = top_k_per_key(scored, ["anonymized_id"], [F.desc("relevance_score"), F.asc("position")], k)
-    return ranked.select("anonymized_id", "resource_id", "relevance_score", "rank", "resource_type", "urgency")
-
-
-def recommend_by_level(levels: DataFrame, catalog: DataFrame, k: int = 5) -> DataFrame:
-    """Recommendations from a risk level and contributing factors alone."""
-    blank = {
-        "age_group": F.lit(None).cast("string"), "has_therapy_history": F.lit(False), "has_medication_history": F.lit(False),
-        "has_support_system": F.lit(False), "prefers_online": F.lit(False), "prefers_group": F.lit(None).cast("boolean"),
-        "specific_conditions": F.array().cast("array<string>"),
-    }
-    missing = {c: v for c, v in blank.items() if c not in levels.columns}
-    if "contributing_factors" not in levels.columns:
-        missing["contributing_factors"] = F.array().cast("array<string>")
-    return recommend(levels.withColumns(missing), catalog, k)
+    listed = with_recommendations(profiles, catalog, k, "_list")
+    return listed.select("anonymized_id", F.inline("_list")).select("anonymized_id", "resource_id", "relevance_score", "rank", "resource_type", "urgency")
 
 
 def recent_recommendations(recs: DataFrame, catalog: DataFrame, per_person: int = 10) -> DataFrame:

@@ -64,14 +64,12 @@ def screen_batch(
             "rule": F.when(F.col("passed"), explain.simple_rule(F.col("risk_level"), first)),
         }
     )
-    people = scored.filter("passed").select(
-        F.col("request_id").alias("anonymized_id"), "risk_level", F.col("top_features").alias("contributing_factors")
+    # ranked inside the row when the catalog is small, so requests are not shuffled again
+    people = scored.withColumnRenamed("anonymized_id", "_person").withColumns(
+        {"anonymized_id": F.col("request_id"), "contributing_factors": F.col("top_features")}
     )
-    best = recommend.recommend_by_level(people, catalog, k)
-    listed = best.groupBy(F.col("anonymized_id").alias("request_id")).agg(
-        F.sort_array(F.collect_list(F.struct("rank", "resource_id", "relevance_score"))).alias("recommendations")
-    )
-    return scored.join(listed, "request_id", "left").select(
+    listed = recommend.with_recommendations(people, catalog, k)
+    return listed.drop("anonymized_id").withColumnRenamed("_person", "anonymized_id").select(
         "request_id", "anonymized_id", "passed", "errors", "warnings", "risk_score", "confidence", "risk_level", F.coalesce("alert", F.lit(False)).alias("alert"),
         "requires_human_review", "top_features", "counterfactual", "rule", "recommendations",
     )
