@@ -6,7 +6,7 @@ import math
 from collections.abc import Sequence
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from tidemark.operators.clean import numeric_columns, string_columns
 from tidemark.operators.ordered import _null_safe_join, attach, long_values, running_totals
@@ -92,7 +92,7 @@ def kl_divergences(reference: DataFrame, current: DataFrame, columns: Sequence[s
     )
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def chi_square_p_value(statistic: pd.Series, dof: pd.Series) -> pd.Series:
     """Upper tail of the chi-square distribution; one call per report row."""
 

@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, functions as F
 
 from tidemark.operators.ordered import attach, keyed_join
-from tidemark.session import small_enough_to_broadcast
+from tidemark.session import checkpointed, small_enough_to_broadcast
 
 
 @dataclass(frozen=True)
@@ -31,12 +31,12 @@ class TargetEncoding:
 
 def fit_target_encoding(df: DataFrame, column: str, target: str, smoothing: float = 1.0) -> TargetEncoding:
     """(n·mean + s·global) / (n + s) per category; null categories get the global mean."""
-    overall = df.agg(F.avg(target).alias("_global"))
+    overall = checkpointed(df.agg(F.avg(target).alias("_global")))
     stats = df.filter(F.col(column).isNotNull()).groupBy(column).agg(
         F.count(target).alias("_n"), F.avg(target).alias("_mean")
     )
     blended = (F.col("_n") * F.col("_mean") + smoothing * F.col("_global")) / (F.col("_n") + smoothing)
-    mapping = attach(stats, overall).select(column, blended.alias("_encoded"))
+    mapping = checkpointed(attach(stats, overall).select(column, blended.alias("_encoded")))
     return TargetEncoding(column, mapping, overall)
 
 

@@ -8,6 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, functions as F
 
 from tidemark.operators.ordered import keyed_join
+from tidemark.session import checkpointed
 
 
 def _safe_std(std):
@@ -67,12 +68,13 @@ def fit_group_standard(df: DataFrame, columns: Sequence[str], group_by: str = "a
     """Group z-score parameters (global ones when the group column is absent).
 
     Aggregate and join, not a window over the group: partial sums keep a hot group split, and
-    so does the salted join that applies the parameters.
+    so does the salted join that applies the parameters. The fitted table is checkpointed:
+    applying it neither reads the training rows again nor depends on how they were summed.
     """
     if group_by not in df.columns:
         return fit_standard(df, columns)
-    params = df.filter(F.col(group_by).isNotNull()).groupBy(group_by).agg(
+    params = checkpointed(df.filter(F.col(group_by).isNotNull()).groupBy(group_by).agg(
         *[F.avg(c).alias(f"_mean_{c}") for c in columns],
         *[_safe_std(F.stddev_samp(c)).alias(f"_std_{c}") for c in columns],
-    )
+    ))
     return FittedGroupScaler(list(columns), group_by, params)

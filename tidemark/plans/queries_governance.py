@@ -18,7 +18,8 @@ def at(text):
     return F.lit(text).cast("timestamp_ntz")
 
 
-NOW = at("2001-08-02 06:00:00")
+def now():
+    return at("2001-08-02 06:00:00")
 
 # -- recommendations -------------------------------------------------------------------------
 
@@ -166,7 +167,7 @@ CASES = C + ", q AS (SELECT *, CASE WHEN risk_score >= 90 THEN 3 WHEN risk_score
 )
 def _(t):
     scored = m.order_cases(t).withColumn("risk_level", fn.risk_level(F.col("risk_score"))).withColumnRenamed("case_id", "prediction_id")
-    return gov.enqueue_cases(scored, NOW)
+    return gov.enqueue_cases(scored, now())
 
 
 @query(
@@ -193,7 +194,7 @@ def _(t):
 )
 def _(t):
     models = t.supplier.withColumn("status", F.when(F.col("s_acctbal") > 5000, "active").otherwise("retired"))
-    return gov.screening_statistics(cases(t), models, NOW)
+    return gov.screening_statistics(cases(t), models, now())
 
 
 @query(
@@ -352,7 +353,7 @@ def overrides(t):
     reviews = t.orders.filter("o_orderstatus = 'F'").select(
         F.col("o_orderkey").alias("override_id"), F.lit("boss").alias("supervisor_id"), F.lit("seen").alias("comments")
     )
-    return gov.review_overrides(started, reviews, NOW)
+    return gov.review_overrides(started, reviews, now())
 
 
 @query(
@@ -383,7 +384,7 @@ def _(t):
     "SELECT 'clin' || o_custkey % 7 AS clinician_id, count(*) AS overrides FROM orders WHERE o_orderdate >= TIMESTAMP '2001-08-02 06:00:00' - INTERVAL 365 DAY GROUP BY 1",
 )
 def _(t):
-    return gov.clinician_override_counts(overrides(t)[0], NOW, 365)
+    return gov.clinician_override_counts(overrides(t)[0], now(), 365)
 
 
 # -- monitoring ------------------------------------------------------------------------------
@@ -402,7 +403,8 @@ win AS (SELECT model_id, metric, count(*) AS data_points, avg(value) AS mean, st
 cmp AS (SELECT *, (latest - value) / value * 100 AS change_pct FROM win JOIN base USING (model_id, metric)),
 al AS (SELECT met.model_id, met.metric, ts, base.value AS b, met.value AS c, abs(met.value - base.value) / base.value * 100 AS pct FROM met JOIN base USING (model_id, metric)
   WHERE (met.value - base.value) / base.value < -0.1)"""
-WEEK = at("2024-01-28")
+def week():
+    return at("2024-01-28")
 
 
 def baselines(t):
@@ -416,7 +418,7 @@ def baselines(t):
     f"WITH {METRICS_SQL} SELECT * FROM win",
 )
 def _(t):
-    return monitor.window_summary(metrics(t), WEEK)
+    return monitor.window_summary(metrics(t), week())
 
 
 @query(
@@ -426,7 +428,7 @@ def _(t):
       CASE WHEN abs(change_pct) < 5 THEN 'stable' WHEN change_pct > 0 THEN 'improved' ELSE 'degraded' END AS status FROM cmp""",
 )
 def _(t):
-    return monitor.against_baseline(monitor.window_summary(metrics(t), WEEK), baselines(t))
+    return monitor.against_baseline(monitor.window_summary(metrics(t), week()), baselines(t))
 
 
 @query(
@@ -456,8 +458,8 @@ def _(t):
     SELECT * FROM f UNION ALL SELECT DISTINCT model_id, 'periodic_maintenance', 'low', 'No critical issues detected' FROM met WHERE model_id NOT IN (SELECT model_id FROM f)""",
 )
 def _(t):
-    comparison = monitor.against_baseline(monitor.window_summary(metrics(t), WEEK), baselines(t))
-    return monitor.retraining_advice(comparison, monitor.degradation_alerts(metrics(t), baselines(t)), metrics(t), WEEK)
+    comparison = monitor.against_baseline(monitor.window_summary(metrics(t), week()), baselines(t))
+    return monitor.retraining_advice(comparison, monitor.degradation_alerts(metrics(t), baselines(t)), metrics(t), week())
 
 
 @query(
@@ -468,7 +470,7 @@ def _(t):
 )
 def _(t):
     alerts = monitor.degradation_alerts(metrics(t), baselines(t))
-    return monitor.weekly_report(metrics(t), baselines(t), alerts, WEEK)
+    return monitor.weekly_report(metrics(t), baselines(t), alerts, week())
 
 
 @query(
@@ -487,7 +489,7 @@ def _(t):
     SELECT model_id, win.metric, mean - v AS improvement FROM win JOIN a USING (metric)""",
 )
 def _(t):
-    current = monitor.window_summary(metrics(t), WEEK).select("model_id", "metric", F.col("mean").alias("value"))
+    current = monitor.window_summary(metrics(t), week()).select("model_id", "metric", F.col("mean").alias("value"))
     return monitor.baseline_average(current, baselines(t))
 
 

@@ -612,12 +612,13 @@ def requests(t):
     )
 
 
-NOW = F.lit("1998-01-01").cast("timestamp_ntz")
+def now():
+    return F.lit("1998-01-01").cast("timestamp_ntz")
 
 
 @query("j11_u6_consent_status", "o_orderkey:l consent_status:s consent_valid:b", f"WITH {CONSENT_SQL} SELECT o_orderkey, consent_status, consent_status = 'valid' AS consent_valid FROM st")
 def _(t):
-    return consent.consent_status(requests(t), consents(t), NOW)
+    return consent.consent_status(requests(t), consents(t), now())
 
 
 @query(
@@ -626,7 +627,7 @@ def _(t):
     f"WITH {CONSENT_SQL} SELECT o_orderkey, CASE WHEN consent_status = 'valid' THEN 'passed' ELSE 'rejected' END AS branch FROM st",
 )
 def _(t):
-    passed, rejected = consent.consent_gate(requests(t), consents(t), NOW)
+    passed, rejected = consent.consent_gate(requests(t), consents(t), now())
     return passed.select("o_orderkey", F.lit("passed").alias("branch")).unionByName(
         rejected.select("o_orderkey", F.lit("rejected").alias("branch"))
     )

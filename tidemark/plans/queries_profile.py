@@ -223,12 +223,13 @@ def _(t):
 
 # -- drift ---------------------------------------------------------------------------------
 
-HALF = F.lit("1998-01-01").cast("timestamp_ntz")
+def half():
+    return F.lit("1998-01-01").cast("timestamp_ntz")
 
 
 def _halves(t):
-    a = t.orders.filter(F.col("o_orderdate") < HALF).select("o_totalprice", F.col("o_custkey").cast("double").alias("o_custkey"), "o_orderpriority")
-    b = t.orders.filter(F.col("o_orderdate") >= HALF).select(
+    a = t.orders.filter(F.col("o_orderdate") < half()).select("o_totalprice", F.col("o_custkey").cast("double").alias("o_custkey"), "o_orderpriority")
+    b = t.orders.filter(F.col("o_orderdate") >= half()).select(
         (F.col("o_totalprice") + 20000).alias("o_totalprice"), F.col("o_custkey").cast("double").alias("o_custkey"), "o_orderpriority"
     )
     return a, b

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidemark.functions.common import alert_flag, review_flag
-from tidemark.plans.queries_prepare import CONSENT_SQL, NOW, consents
+from tidemark.plans.queries_prepare import CONSENT_SQL, consents, now
 from tidemark.plans.registry import query
 from tidemark.session import scratch_folder
 from tidemark.streaming import jobs
@@ -142,7 +142,7 @@ def _(t):
     asks = stream(t, "orders").select(
         "o_orderkey", F.col("o_custkey").alias("anonymized_id"), F.when(F.col("o_orderstatus") == "F", both).otherwise(F.array(F.lit("survey"))).alias("data_types")
     )
-    return finish(t, jobs.gated(asks, consents(t), NOW).select("o_orderkey", "consent_status"), "r9")
+    return finish(t, jobs.gated(asks, consents(t), now()).select("o_orderkey", "consent_status"), "r9")
 
 
 @query(
