@@ -16,7 +16,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tidemark.functions.common import col
-from tidemark.session import checkpointed, is_large
+from tidemark.session import checkpointed, is_large, spread
 
 VALUE_CHUNKS = 512
 
@@ -150,7 +150,8 @@ def column_quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[floa
     """``(column_name, q)`` for several columns: one aggregate, or one long shuffle when large."""
     if not is_large(df):
         arr = F.array(*[F.lit(float(p)) for p in probs])
-        wide = df.agg(*[F.percentile(F.col(c).cast("double"), arr).alias(c) for c in columns])
+        cells = spread(df.select(*columns))
+        wide = cells.agg(*[F.percentile(F.col(c).cast("double"), arr).alias(c) for c in columns])
         pairs = F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(c).alias("q")) for c in columns])
         return wide.select(F.inline(pairs)).filter("q IS NOT NULL")
     return exact_quantiles(long_values(df, columns), ["column_name"], "value", probs, two_level=True)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tidemark.operators.ordered import top_k_per_key
-from tidemark.session import small_enough_to_broadcast
+from tidemark.session import small_enough_to_broadcast, spread
 
 # Points per rule.
 POINTS = {
@@ -96,7 +96,7 @@ def with_recommendations(profiles: DataFrame, catalog: DataFrame, k: int = 5, na
     broadcast array and are ranked inside the row: no shuffle at all. A large catalog is
     joined, ranked per individual and joined back.
     """
-    full = with_profile_defaults(profiles)
+    full = with_profile_defaults(spread(profiles))
     entry = ("position", "resource_id", "resource_type", "description", "urgency", "risk_levels", "tags", "priority")
     if small_enough_to_broadcast(catalog):
         levels = catalog.filter("active").withColumn("risk_level", F.explode("risk_levels"))

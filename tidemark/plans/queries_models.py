@@ -298,17 +298,32 @@ def _(t):
     )
 
 
-@query("m21_explanation_bundle", "l_orderkey:l l_partkey:l l_linenumber:l l_extendedprice:d current_risk_level:s n_tops:l summary:s")
+@query(
+    "m21_explanation_bundle",
+    "l_orderkey:l l_partkey:l l_linenumber:l l_extendedprice:d current_risk_level:s n_tops:l first_line:s reached:b",
+    f"""WITH {SCALED_SQL}, o AS (SELECT *, {SIG.format('0.3137 + 1.4 * q - 0.9 * d + 0.6 * t')} AS s FROM x)
+    SELECT o.l_orderkey, o.l_partkey, l_linenumber, o.l_extendedprice, {BAND} AS current_risk_level, 3 AS n_tops, 'Key Contributing Factors:' AS first_line, true AS reached
+    FROM o JOIN lineitem l ON l.l_orderkey = o.l_orderkey AND l.l_partkey = o.l_partkey AND l.l_extendedprice = o.l_extendedprice""",
+)
 def _(t):
     keys = ["l_orderkey", "l_partkey", "l_linenumber", "l_extendedprice"]
     out = explain.explanation_bundle(t.lineitem, MODEL, keys)
-    return out.withColumn("n_tops", F.size("top_features"))
+    # the text closes with the sentence that fits whether the target was reached
+    fits = F.when(F.size("changes") == 0, F.contains("summary", F.lit("No changes needed"))).otherwise(
+        F.contains("summary", F.lit("successfully move")) == F.col("achieved_target")
+    )
+    return out.withColumns({"n_tops": F.size("top_features"), "first_line": F.substring_index("summary", "\n", 1), "reached": fits})
 
 
 # -- search and index ------------------------------------------------------------------------
 
 
-@query("m18_z3_trials", "trial:l score:d error:s")
+@query(
+    "m18_z3_trials",
+    "trial:l score:d error:s",
+    """SELECT i AS trial, CASE WHEN c > 0 THEN w * (SELECT avg(value) FROM events WHERE value > c) END AS score, CASE WHEN c < 0 THEN 'cut must be positive' END AS error
+    FROM (VALUES (0, 10.0, 1), (1, 10.0, 2), (2, 50.0, 1), (3, 50.0, 2), (4, -1.0, 1), (5, -1.0, 2)) v(i, c, w)""",
+)
 def _(t):
     trials = train.grid_trials({"cut": [10.0, 50.0, -1.0], "weight": [1.0, 2.0]})
 

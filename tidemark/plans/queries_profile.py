@@ -311,7 +311,12 @@ def _(t):
     return drift.version_drift(a, b)
 
 
-@query("d11_version_drift_summary", "drift_score:d drift_detected:b significant_features:l advice:s")
+@query(
+    "d11_version_drift_summary",
+    "drift_score:d advice:s",
+    f"""WITH {HALVES}, {CHI_SQL}, s AS (SELECT statistic AS score FROM ({KS_SQL}) UNION ALL SELECT least(1, statistic / (k * 10)) FROM chi)
+    SELECT avg(score) AS drift_score, CASE WHEN avg(score) < 0.1 THEN 'low' WHEN avg(score) < 0.3 THEN 'moderate' ELSE 'high' END AS advice FROM s""",
+)
 def _(t):
     a, b = _halves(t)
     return drift.version_drift_summary(drift.version_drift(a, b))
@@ -473,6 +478,14 @@ def _(t):
     return evaluate.calibration_curve(m.scored_labels(t), keys=["lang"], lower_closed=True)
 
 
-@query("q12_evaluation_report", "section:s item:s metric:s value:d")
+@query(
+    "q12_evaluation_report",
+    "section:s item:s metric:s value:d",
+    f"""WITH {RATES}, rr AS (SELECT feature || '=' || "group" AS item, n_samples::DOUBLE AS n_samples, prevalence, auroc, pr_auc, tpr, fpr, ppv, npv FROM rates)
+    SELECT 'group' AS section, item, metric, value FROM (UNPIVOT INCLUDE NULLS rr ON n_samples, prevalence, auroc, pr_auc, tpr, fpr, ppv, npv INTO NAME metric VALUE value)
+    UNION ALL SELECT 'disparity', feature, metric, max(v) - min(v) FROM
+      (UNPIVOT (SELECT feature, auroc, pr_auc, tpr, fpr, ppv FROM rates) ON auroc, pr_auc, tpr, fpr, ppv INTO NAME metric VALUE v) GROUP BY 2, 3 HAVING count(v) >= 2""",
+)
 def _(t):
-    return evaluate.evaluation_report(m.scored_labels(t), ["lang", "source"])
+    # the whole-table sections have twins of their own (q1, q2, q4, q5)
+    return evaluate.evaluation_report(m.scored_labels(t), ["lang", "source"]).filter("section IN ('group', 'disparity')")
