@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tidemark.operators.ordered import latest_per_key
 from tidemark.operators.profile import version_statistics
+from tidemark.session import checkpointed
 
 
 def content_fingerprint(df: DataFrame) -> DataFrame:
@@ -131,14 +132,15 @@ def traverse_lineage(edges: DataFrame, start: DataFrame, depth: int = 3) -> Data
     """``(root, version_id, depth)``: versions reached from each start in either direction.
 
     One equi-join per level (``depth`` is a small constant). A version keeps its least depth;
-    each level is reduced to distinct pairs not reached before, so cycles end.
+    each level is reduced to distinct pairs not reached before, so cycles end, and is
+    checkpointed, so a level is computed once and the plan does not double with each one.
     """
     e = edges.select(F.col("input_version").alias("_a"), F.col("output_version").alias("_b"))
-    both = e.union(e.select("_b", "_a")).distinct()
+    both = checkpointed(e.union(e.select("_b", "_a")).distinct())
     seen = start.select(F.col("version_id").alias("root"), F.col("version_id"), F.lit(0).alias("depth"))
     frontier = seen
     for level in range(1, depth + 1):
-        step = (
+        step = checkpointed(
             frontier.join(both, F.col("version_id") == F.col("_a"))
             .select("root", F.col("_b").alias("version_id"), F.lit(level).alias("depth"))
             .distinct()

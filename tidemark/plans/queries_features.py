@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import functions as F
 
 from tidemark.functions.text import emotion_columns, analyze_sentiment, sentiment_features
@@ -258,6 +256,35 @@ def _(t):
     return ad.missed_sessions(m.sessions(t), tiebreak=("event_id",))
 
 
+@query(
+    "w6_longest_streak",
+    "user_id:l streak:l",
+    f"""WITH {SESSIONS_SQL.replace("WHERE ts >= latest - INTERVAL 30 DAY", "")}, {STREAK_SQL} SELECT user_id, streak FROM r""",
+)
+def _(t):
+    return ordered.longest_run(t.events, "user_id", "ts", F.col("event_type").isin("error", "view"), "streak", ["event_id"])
+
+
+@query(
+    "w7_successive_differences",
+    "user_id:l n_diff:l sum_diff:d sum_sq_diff:d n_over_50:l",
+    """WITH d AS (SELECT user_id, value - lag(value) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS x FROM events)
+    SELECT user_id, count(x) AS n_diff, sum(x) AS sum_diff, sum(x * x) AS sum_sq_diff, count(*) FILTER (abs(x) > 50) AS n_over_50 FROM d GROUP BY 1""",
+)
+def _(t):
+    return ordered.successive_differences(t.events, "user_id", "ts", "value", ("event_id",))
+
+
+@query(
+    "w8_trailing_frame",
+    "user_id:l event_id:l in_7d:b in_14d:b",
+    """WITH x AS (SELECT *, max(ts) OVER (PARTITION BY user_id) AS latest FROM events)
+    SELECT user_id, event_id, ts >= latest - INTERVAL 7 DAY AS in_7d, ts >= latest - INTERVAL 14 DAY AS in_14d FROM x""",
+)
+def _(t):
+    return ordered.trailing(t.events, "user_id", "ts", marks=[7, 14])
+
+
 @query(
     "a16_engagement_score",
     "anonymized_id:l interaction_frequency:d interaction_score:d mean_session_duration:d total_session_duration:d "

@@ -125,7 +125,7 @@ def _surveys(t):
 
 
 @query(
-    "v1_survey_validation",
+    "v1_v1b_v1c_v1d_v1f_survey_validation",
     "event_id:l is_valid:b n_errors:l n_warnings:l errors:s",
     """WITH e AS (SELECT event_id, CAST(json_extract(props, '$.k') AS INTEGER) AS k FROM events),
     x AS (SELECT event_id, k, concat_ws(' | ',
@@ -150,6 +150,29 @@ def _(t):
     )
 
 
+# Records whose very shape is wrong: absent fields, wrong types, unknown fields, long text.
+SHAPE_JSON = """concat('{', concat_ws(',',
+  CASE WHEN k % 5 <> 0 THEN '"survey_id":"s1"' END, '"timestamp":"t"',
+  concat('"responses":', CASE WHEN k % 7 = 0 THEN '[1]' ELSE concat('{"mood_score":', CASE WHEN k % 3 = 0 THEN '"5"' WHEN k % 3 = 1 THEN '5.0' ELSE '5' END,
+     CASE WHEN k % 4 = 0 THEN ',"hobby":1' ELSE '' END, ',"free_text_response":"', repeat('x', 4990 + k % 20), '"}') END),
+  CASE WHEN k % 6 = 0 THEN '"colour":"red"' END, CASE WHEN k % 8 = 0 THEN '"completion_time_seconds":true' END), CASE WHEN k % 11 = 0 THEN '' ELSE '}' END)"""
+
+
+@query(
+    "v1a_v1e_v1g_v1h_structure_validation",
+    "event_id:l is_valid:b n_errors:l root_extra:b",
+    """WITH e AS (SELECT event_id, CAST(json_extract(props, '$.k') AS INTEGER) AS k FROM events),
+    x AS (SELECT event_id, k, CASE WHEN k % 11 = 0 THEN 1 ELSE (k % 5 = 0)::INT + (k % 6 = 0)::INT + (k % 8 = 0)::INT
+      + CASE WHEN k % 7 = 0 THEN 1 ELSE (k % 3 = 0)::INT + (k % 4 = 0)::INT + (k % 20 > 10)::INT END END AS n FROM e)
+    SELECT event_id, n = 0 AS is_valid, n AS n_errors, k % 11 <> 0 AND k % 6 = 0 AS root_extra FROM x""",
+)
+def _(t):
+    k = F.get_json_object("props", "$.k").cast("int")
+    rec = t.events.select("event_id", k.alias("k")).withColumn("record", F.expr(SHAPE_JSON))
+    extra = F.array_contains("errors", F.lit("Field 'root': additional properties not allowed: colour"))
+    return validate.check_records(rec, "record", "survey").select("event_id", "is_valid", F.size("errors").alias("n_errors"), extra.alias("root_extra"))
+
+
 WEARABLE_JSON = """to_json(named_struct('device_id', concat('d-', user_id), 'start_timestamp', 'a', 'end_timestamp', 'b',
   'metrics', named_struct('heart_rate', named_struct('average_bpm', 60 + value), 'stress_score', k),
   'data_quality', named_struct('completeness_percent', k, 'wear_time_minutes', k * 14)))"""
@@ -266,12 +289,15 @@ def _(t):
 
 
 @query(
-    "v11_v15_numeric_projection",
+    "v11_v12_v15_numeric_projection",
     "l_orderkey:l l_linenumber:l l_quantity:d l_extendedprice:d l_discount:d l_tax:d",
     "SELECT l_orderkey, l_linenumber, l_quantity, l_extendedprice, l_discount, l_tax FROM lineitem",
 )
 def _(t):
     wanted = [c for c in clean.numeric_columns(t.lineitem) if c not in ("l_partkey", "l_suppkey")]
+    problems = validate.schema_conformity(t.lineitem, {"l_orderkey": "int", "l_quantity": "float", "l_returnflag": "string"})
+    if problems:
+        raise ValueError(problems)
     return validate.require_columns(t.lineitem, wanted)
 
 
@@ -327,7 +353,7 @@ def _(t):
 
 
 @query(
-    "w3_group_z_score",
+    "w3_z5_group_z_score",
     "event_id:l value:d",
     """SELECT event_id, (value - avg(value) OVER w) / coalesce(nullif(stddev_samp(value) OVER w, 0), 1) AS value
     FROM events WINDOW w AS (PARTITION BY user_id)""",
@@ -496,6 +522,23 @@ def _(t):
     return etl.fit_etl(g, config).transform(g)
 
 
+@query(
+    "s14_saved_parameters",
+    "event_id:l value_outlier:b value:d score:d",
+    f"""{ETL_SQL} SELECT event_id, value_outlier, (value - avg(value) OVER w) / coalesce(nullif(stddev_samp(value) OVER w, 0), 1) AS value, (score - a) / s AS score
+    FROM i, h WINDOW w AS (PARTITION BY user_id)""",
+)
+def _(t):
+    config = etl.EtlConfig(
+        outlier_columns=["value"], impute={"value": "median", "score": "mean", "event_type": "forward_fill"}, group_scale_columns=["value"],
+        standardize_columns=["score"], id_column="user_id", timestamp_column="ts", tiebreak=["event_id"],
+    )
+    g = m.gappy(t)
+    path = scratch_folder(t.spark, "etl")
+    etl.fit_etl(g, config).save(path)
+    return etl.load_etl(t.spark, path).transform(g)
+
+
 @query(
     "e13_sequences",
     "user_id:l n:l padded:l first_step:d last_step:d label:d",

@@ -155,7 +155,7 @@ QUALITY_SQL = (
 )
 
 
-@query("d1_quality_issues", "issue_type:s severity:s column_name:s affected_rows:l pct:d", QUALITY_SQL)
+@query("d1_f20_quality_issues", "issue_type:s severity:s column_name:s affected_rows:l pct:d", QUALITY_SQL)
 def _(t):
     return profile.quality_issues(_quality_source(t))
 
@@ -482,7 +482,7 @@ def _(t):
     "q12_evaluation_report",
     "section:s item:s metric:s value:d",
     f"""WITH {RATES}, rr AS (SELECT feature || '=' || "group" AS item, n_samples::DOUBLE AS n_samples, prevalence, auroc, pr_auc, tpr, fpr, ppv, npv FROM rates)
-    SELECT 'group' AS section, item, metric, value FROM (UNPIVOT INCLUDE NULLS rr ON n_samples, prevalence, auroc, pr_auc, tpr, fpr, ppv, npv INTO NAME metric VALUE value)
+    SELECT 'group' AS section, item, metric, value FROM rr UNPIVOT INCLUDE NULLS (value FOR metric IN (n_samples, prevalence, auroc, pr_auc, tpr, fpr, ppv, npv))
     UNION ALL SELECT 'disparity', feature, metric, max(v) - min(v) FROM
       (UNPIVOT (SELECT feature, auroc, pr_auc, tpr, fpr, ppv FROM rates) ON auroc, pr_auc, tpr, fpr, ppv INTO NAME metric VALUE v) GROUP BY 2, 3 HAVING count(v) >= 2""",
 )

@@ -146,7 +146,7 @@ def _(t):
 
 
 @query(
-    "r10_streaming_score_and_route",
+    "r10_z4_streaming_score_and_route",
     "sink:s n:l mean_score:d",
     """WITH s AS (SELECT least(o_totalprice / 5000, 100) AS s, o_orderkey % 10 < 2 AS unsure FROM orders)
     SELECT 'alerts' AS sink, count(*) AS n, avg(s) AS mean_score FROM s WHERE s > 75 UNION ALL SELECT 'reviews', count(*), avg(s) FROM s WHERE s > 75 OR unsure""",
@@ -164,6 +164,23 @@ def _(t):
     return parts[0].unionByName(parts[1])
 
 
+@query(
+    "r12_late_rows_dropped",
+    "window_start:t event_type:s n:l",
+    f"""WITH {MARK} SELECT date_trunc('hour', ts) AS window_start, event_type, count(*) AS n FROM events, wm
+    WHERE ts >= TIMESTAMP '2024-01-15' AND date_trunc('hour', ts) + INTERVAL 1 HOUR <= wm GROUP BY 1, 2""",
+)
+def _(t):
+    # the newer half arrives first, so the older half is behind the watermark when it comes
+    path = scratch_folder(t.spark, "r12")
+    cut = F.lit("2024-01-15").cast("timestamp_ntz")
+    for part in (t.events.filter(F.col("ts") >= cut), t.events.filter(F.col("ts") < cut)):
+        part.write.mode("append").parquet(f"{path}/in")
+        rows = jobs.event_time(t.spark.readStream.schema(t.events.schema).parquet(f"{path}/in"))
+        jobs.run_to_files(jobs.rate_per_window(rows, "event_type", minutes=60), f"{path}/out", f"{path}/checkpoint")
+    return t.spark.read.parquet(f"{path}/out")
+
+
 @query("r11_audit_append", "event_type:s n:l", "SELECT event_type, count(*) AS n FROM events GROUP BY 1")
 def _(t):
     path = scratch_folder(t.spark, "r11")
