@@ -100,7 +100,8 @@ def held_above(readings: DataFrame, limit: float, hold_seconds: int) -> DataFram
         else:
             state.update((started, fired))
             if not fired:
-                state.setTimeoutTimestamp(max(started + hold_ms, state.getCurrentWatermarkMs() + 1))
+                # timers fire once the watermark is past them, hence one millisecond earlier
+                state.setTimeoutTimestamp(max(started + hold_ms - 1, state.getCurrentWatermarkMs()))
         yield pd.DataFrame(out, columns=["key", "started_ms", "fired_ms"])
 
     rows = readings.withWatermark("at", "0 seconds").select("key", "at", F.unix_millis("at").alias("at_ms"), "value")
