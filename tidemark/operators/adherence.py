@@ -17,6 +17,8 @@ FULL_COMPLETION_RATE = 0.8
 HIGH_MISS_RATE = 30.0
 STREAK_FLAG = 3
 
+MAX_TYPES = 1000
+
 
 def adherence_rate(
     df: DataFrame,
@@ -55,7 +57,9 @@ def adherence_rate(
         kinds = intervention_types
         if kinds is None:
             found = people.select(intervention_type_column).filter(F.col(intervention_type_column).isNotNull())
-            kinds = sorted(r[0] for r in found.distinct().limit(1000).collect())
+            kinds = sorted(r[0] for r in found.distinct().limit(MAX_TYPES + 1).collect())
+            if len(kinds) > MAX_TYPES:
+                raise ValueError(f"more than {MAX_TYPES} intervention types: one column each is too many")
         for k in kinds:
             here = F.col(intervention_type_column) == k
             total = F.sum(F.when(here, s))

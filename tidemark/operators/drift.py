@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from tidemark.operators.clean import numeric_columns, string_columns
-from tidemark.operators.ordered import _null_safe_join, attach, long_values, running_totals
+from tidemark.operators.ordered import attach, long_values, running_totals
 from tidemark.operators.profile import value_counts
 
 # Thresholds of the two monitors and the advice bands.

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from tidemark.functions.common import count_if, severity
 from tidemark.operators.clean import numeric_columns, string_columns, wide_to_long
-from tidemark.operators.ordered import _null_safe_join, attach, column_quantiles, long_values, running_totals, top_k_per_key
+from tidemark.operators.ordered import attach, column_quantiles, long_values, running_totals, top_k_per_key
 
 # Severity limits in percent, and what counts as an identifier-like column.
 MISSING_STEPS = [(50.0, "critical"), (20.0, "high"), (5.0, "medium")]

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, functions as F
 from tidemark.operators.ordered import hash_rank, literal, nth_in_order, order_index, top_k_per_key
 
 MINORITY_THRESHOLD = 0.2
+MAX_CLASSES = 10_000
 
 
 def chronological_split(
@@ -36,8 +37,11 @@ def chronological_split(
 
 
 def class_counts(df: DataFrame, label: str) -> dict:
-    """Rows per class; a label has few values, so the counts come to the driver."""
-    return {r[label]: r["count"] for r in df.groupBy(label).count().collect()}
+    """Rows per class; a label has few values (checked), so the counts come to the driver."""
+    rows = df.groupBy(label).count().limit(MAX_CLASSES + 1).collect()
+    if len(rows) > MAX_CLASSES:
+        raise ValueError(f"{label} has more than {MAX_CLASSES} values and is no class label")
+    return {r[label]: r["count"] for r in rows}
 
 
 def stratified_folds(df: DataFrame, label: str, id_cols: Sequence[str], n_splits: int = 5, seed: int = 42) -> DataFrame:

@@ -2,12 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from tidemark.operators.ordered import latest_per_key
 from tidemark.operators.profile import version_statistics
 from tidemark.session import checkpointed
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidemark.operators import behavioral, clean, drift, evaluate, profile
+from tidemark.operators import behavioral, drift, evaluate, profile
 from tidemark.plans import modalities as m
 from tidemark.plans.registry import query
 from tidemark.plans.queries_features import ACTIVITY_SQL

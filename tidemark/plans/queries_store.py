@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidemark.operators import clean, ordered, runs, store, versions
+from tidemark.operators import runs, store, versions
 from tidemark.plans import features, modalities as m
 from tidemark.plans.queries_features import ACTIVITY_SQL
 from tidemark.plans.registry import query

@@ -78,10 +78,9 @@ def spread(df: DataFrame) -> DataFrame:
     if df.isStreaming:
         return df
     cores = df.sparkSession.sparkContext.defaultParallelism
-    files = len(df.inputFiles())
-    if 0 < files < cores and input_bytes(df) < cores * (128 << 20):
-        return df.repartition(cores)
-    return df
+    if input_bytes(df) >= cores * (128 << 20):  # checked first: a large table's files are never listed
+        return df
+    return df.repartition(cores) if 0 < len(df.inputFiles()) < cores else df
 
 
 def scratch_folder(spark: SparkSession, name: str) -> str:
