@@ -48,22 +48,40 @@ def is_large(df: DataFrame) -> bool:
     return input_bytes(df) > limit
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder named in ``spark.checkpoint.dir``; a temporary one only on a local master.
+
+    On a cluster the executors could not see a folder of the driver's machine, so an unset
+    folder is an error there.
+    """
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder is None:
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        folder = os.path.join(tempfile.gettempdir(), f"tidemark-{spark.sparkContext.applicationId}")
+    return folder.rstrip("/")
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut the lineage in the folder the cluster names in ``spark.checkpoint.dir``.
+    """Cut the lineage in the shared folder.
 
     Used where a value must not change if a lost executor makes Spark compute it again
     (sketch-based cut points, seeded model samples).
     """
     spark = df.sparkSession
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if folder is None:
-            folder = tempfile.mkdtemp(prefix="tidemark-checkpoint-", dir=os.environ.get("TMPDIR"))
-        context.setCheckpointDir(folder)
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(shared_folder(spark))
     return df.checkpoint(eager=True)
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """Write a table to a fresh path in the shared folder and read it back: lineage cut, columns prunable."""
+    path = scratch_folder(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def small_enough_to_broadcast(df: DataFrame, limit: int = 64 << 20) -> bool:
     """Whether the plan's own inputs are below ``limit`` bytes, so a broadcast is safe."""
     return input_bytes(df) <= limit
@@ -84,8 +102,5 @@ def spread(df: DataFrame) -> DataFrame:
 
 
 def scratch_folder(spark: SparkSession, name: str) -> str:
-    """A fresh path for derived files: under ``spark.checkpoint.dir``, else a local temp folder."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if base is None:
-        base = tempfile.mkdtemp(prefix="tidemark-", dir=os.environ.get("TMPDIR"))
-    return f"{base.rstrip('/')}/tidemark-{name}-{uuid.uuid4().hex}"
+    """A fresh path for derived files under the shared folder."""
+    return f"{shared_folder(spark)}/tidemark-{name}-{uuid.uuid4().hex}"
