@@ -26,7 +26,8 @@ SEED = 5
 #: Bound of the fit of the lists' centres: vectors with the lowest hashes.
 SAMPLE_ROWS = 20_000
 MAX_LISTS = 4096
-PROBED = 24
+#: Share of the lists that a query looks into: vectors without clear clusters need many for a recall of 0.9.
+PROBED_SHARE = 0.65
 BLOCK = 16
 #: Deviations of the hypothesis test: a wrong rejection has a chance of about 1e-4 per block.
 DEVIATIONS = 2.1
@@ -103,7 +104,7 @@ def usable(df: DataFrame, key: str, vector: str) -> DataFrame:
 
 
 def nearest_neighbours(
-    embeddings: DataFrame, is_query, key: str = "vec_id", vector: str = "embedding", nearest: int = NEAREST, probed: int = PROBED, sample_rows: int = SAMPLE_ROWS
+    embeddings: DataFrame, is_query, key: str = "vec_id", vector: str = "embedding", nearest: int = NEAREST, probed_share: float = PROBED_SHARE, sample_rows: int = SAMPLE_ROWS
 ) -> DataFrame:
     """(query_id, rank, vec_id, score): each query's nearest rows by cosine, its own row left out.
 
@@ -129,7 +130,7 @@ def nearest_neighbours(
     points = np.asarray(sample.flatten(), np.float64).reshape(-1, dimension)
     centres = centres_of(unit_rows(points) @ turn, lists)
     shared = spark.sparkContext.broadcast(centres)  # at most MAX_LISTS rows
-    width = min(probed, len(centres))
+    width = max(1, math.ceil(probed_share * len(centres)))
 
     @F.pandas_udf("int")
     def list_of(v: pd.Series) -> pd.Series:

@@ -52,6 +52,17 @@ class Memo(dict):
         super().__init__()
         self.compute, self.limit, self.old = compute, limit, {}
 
+    def all_of(self, keys: list, compute_all: Callable) -> list:
+        """The results of many keys; those not remembered are computed in one call."""
+        values = list(map(self.get, keys))
+        if None in values:
+            places = [i for i, v in enumerate(values) if v is None]
+            new = [k for k in dict.fromkeys(keys[i] for i in places) if k not in self.old]
+            self.old.update(zip(new, compute_all(new), strict=True))
+            for i in places:
+                values[i] = self[keys[i]]
+        return values
+
     def __missing__(self, key):
         value = self.old.get(key)
         if value is None:

@@ -9,11 +9,12 @@ are compared on their full sets.
 
 Long lists are not expanded into pairs. Each representative is first compared with three
 centres of each of its lists; lists whose members are linked by then are done. Only members
-of different components are still compared with one another.
+of different components are still compared with one another, through lists of a longer sketch.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,11 +29,19 @@ from tidemark.session import written
 WORDS = 5
 RETAINED = 64
 PERCENT = 75
-#: Of m retained values of one set, another that is alike enough holds at least this share but
-#: with a chance below 1e-7 at the limit of likeness (5.8 deviations of a binomial count).
-SHARED_SHARE = 0.4375
+#: Values retained for those that are still to be compared after the first round.
+RETAINED_THEN = 384
 CENTRES = 3
 
+
+def shared_share(retained: int) -> float:
+    """Of the retained values of one set, another that is alike enough holds at least this share.
+
+    Less has a chance below 1e-7 at the limit of likeness: 5.8 deviations of a binomial count.
+    """
+    return PERCENT / 100 - 5.8 * math.sqrt(PERCENT * (100 - PERCENT) / 1e4 / retained)
+
+
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 
 
@@ -92,17 +101,28 @@ def full_sets(documents: DataFrame, words: int = WORDS) -> DataFrame:
     return map_batches(documents, run, "rep long, shingles array<long>")
 
 
-def inverted_lists(reps: DataFrame) -> DataFrame:
-    """(value, rep, n): the rarest part of each sketch, without values that one representative alone retains."""
+def inverted_lists(reps: DataFrame, retained: int = RETAINED) -> DataFrame:
+    """(value, rep, n): the rarest part of each sketch, without values that one representative alone retains.
+
+    Sets so small that all sets alike to them are retained whole need the full share in common.
+    """
     every = reps.select("rep", "n", F.size("sketch").alias("m"), F.explode("sketch").alias("value"))
     common = every.groupBy("value").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
     shared = every.join(common, "value").groupBy("rep").agg(F.first("n").alias("n"), F.first("m").alias("m"), F.array_sort(F.collect_list(F.struct("df", "value"))).alias("held"))
+    share = F.when(F.col("n") * 100 <= retained * PERCENT, F.lit(PERCENT / 100)).otherwise(F.lit(shared_share(retained)))
     # values that nobody shares come first in the order, so they use up part of the prefix
-    room = F.col("m") - F.ceil(F.col("m") * SHARED_SHARE) + 1 - (F.col("m") - F.size("held"))
+    room = F.col("m") - F.ceil(F.col("m") * share - 1e-9) + 1 - (F.col("m") - F.size("held"))
     kept = shared.withColumn("room", room.cast("int")).where("room > 0").select("rep", "n", F.explode(F.slice("held", F.lit(1), F.col("room"))).alias("h"))
     return kept.select(F.col("h.value").alias("value"), "rep", "n")
 
 
+def open_lists(lists: DataFrame, grouped: DataFrame) -> DataFrame:
+    """(value, rep, n, component) of the lists whose members are not in one component yet."""
+    placed = lists.join(grouped.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    several = placed.groupBy("value").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("value")
+    return placed.join(several, "value")
+
+
 def _alike_in_size(a: str, b: str) -> F.Column:
     return (F.least(a, b) * 100) >= (F.greatest(a, b) * PERCENT)
 
@@ -112,7 +132,7 @@ def confirmed(pairs: DataFrame, reps: DataFrame, sets: DataFrame) -> DataFrame:
     sketch = reps.select("rep", "sketch")
     near = pairs.join(sketch.select(F.col("rep").alias("a"), F.col("sketch").alias("sa")), "a").join(sketch.select(F.col("rep").alias("b"), F.col("sketch").alias("sb")), "b")
     union = F.slice(F.array_sort(F.array_union("sa", "sb")), 1, RETAINED)
-    near = near.withColumn("u", union).where(F.size(F.array_intersect(F.array_intersect("sa", "sb"), "u")) >= F.size("u") * SHARED_SHARE).select("a", "b")
+    near = near.withColumn("u", union).where(F.size(F.array_intersect(F.array_intersect("sa", "sb"), "u")) >= F.size("u") * shared_share(RETAINED)).select("a", "b")
     near = near.join(sets.select(F.col("rep").alias("a"), F.col("shingles").alias("sa")), "a").join(sets.select(F.col("rep").alias("b"), F.col("shingles").alias("sb")), "b")
     both = F.size(F.array_intersect("sa", "sb"))
     return near.where(100 * both >= PERCENT * (F.size("sa") + F.size("sb") - both)).select("a", "b")
@@ -144,9 +164,10 @@ def near_duplicates(documents: DataFrame, key: str = "doc_id", text: str = "text
     links = written(confirmed(stars, reps, sets), "star-links")
     grouped = connected_components(links)
 
-    placed = lists.join(grouped.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    open_lists = placed.groupBy("value").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("value")
-    left = written(placed.join(open_lists, "value"), "open-lists")
+    # those in lists that are still open get longer sketches, whose rarest part is much smaller
+    waiting = open_lists(lists, grouped).select("rep").distinct()
+    longer = sets.join(waiting, "rep", "left_semi").select("rep", F.size("shingles").cast("long").alias("n"), F.slice("shingles", 1, RETAINED_THEN).alias("sketch"))
+    left = written(open_lists(inverted_lists(longer, RETAINED_THEN), grouped), "open-lists")
     x = left.select("value", F.col("rep").alias("x"), F.col("n").alias("nx"), F.col("component").alias("cx"))
     y = left.select("value", F.col("rep").alias("y"), F.col("n").alias("ny"), F.col("component").alias("cy"))
     rest = x.join(y, (x["value"] == y["value"]) & (F.col("cx") < F.col("cy")) & _alike_in_size("nx", "ny"))

@@ -9,7 +9,6 @@ a task at most is left partly filled. Nothing is shuffled.
 
 from __future__ import annotations
 
-import re
 from array import array
 from collections.abc import Callable, Iterator
 
@@ -24,11 +23,11 @@ from tidemark.llm.token_counts import pre_token_finder, special_texts, tokenizer
 WINDOW = 2048
 ID_BYTES = 4
 #: Words whose ids a worker remembers, twice.
-REMEMBERED = 300_000
+REMEMBERED = 700_000
 OUT_BYTES = 8 << 20
 
-#: White space other than single spaces and line ends between words: the text is then cut by the general pattern.
-UNEVEN = re.compile(f"[{WHITE}][{WHITE}]|[{WHITE.replace(' ', '').replace(chr(10), '')}]|^[{WHITE}]|[{WHITE}]$")
+#: What a text without single spaces and line ends between words only has somewhere.
+UNEVEN = ("  ", " \n", "\n ", "\n\n", *(c for c in WHITE if c not in " \n"))
 _IDS: dict[str, Callable[[str], bytes]] = {}
 
 
@@ -41,19 +40,22 @@ def encoder(path: str) -> Callable[[str], bytes]:
     def ids(text: str) -> bytes:
         return array("I", own.encode(text, add_special_tokens=False).ids).tobytes()
 
-    general = Memo(ids, REMEMBERED)
     # a word after a space, or after a line end (which is a token of its own there)
-    even = Memo(lambda word: ids(word if word[:1] == "\n" else " " + word), REMEMBERED)
+    def even_ids(words: list[str]) -> list[bytes]:
+        spaced = [word if word[:1] == "\n" else " " + word for word in words]
+        return [array("I", e.ids).tobytes() for e in own.encode_batch_fast(spaced, add_special_tokens=False)]
+
+    general = Memo(ids, REMEMBERED)
+    even = Memo(lambda word: even_ids([word])[0], REMEMBERED)
     line_end = len(ids("\n"))
     in_one_piece = any(" " in s or "\n" in s for s in specials)
 
     def encode(text: str) -> bytes:
         if not text:
             return b""
-        if in_one_piece or UNEVEN.search(text):
+        if in_one_piece or text[0] in " \n" or text[-1] in " \n" or any(c in text for c in UNEVEN):
             return b"".join(map(general.__getitem__, find(text)))
-        first, *words = text.replace("\n", " \n").split(" ")
-        return even["\n" + first][line_end:] + b"".join(map(even.__getitem__, words))
+        return b"".join(even.all_of(("\n" + text).replace("\n", " \n").split(" ")[1:], even_ids))[line_end:]
 
     _IDS[path] = encode
     return encode
