@@ -9,7 +9,7 @@ are compared on their full sets.
 
 Long lists are not expanded into pairs. Each representative is first compared with three
 centres of each of its lists; lists whose members are linked by then are done. Only members
-of different components are still compared with one another, through lists of a longer sketch.
+of different components are still compared with one another, through lists of their full sets.
 """
 
 from __future__ import annotations
@@ -29,8 +29,6 @@ from tidemark.session import written
 WORDS = 5
 RETAINED = 64
 PERCENT = 75
-#: Values retained for those that are still to be compared after the first round.
-RETAINED_THEN = 384
 CENTRES = 3
 
 
@@ -101,23 +99,23 @@ def full_sets(documents: DataFrame, words: int = WORDS) -> DataFrame:
     return map_batches(documents, run, "rep long, shingles array<long>")
 
 
-def inverted_lists(reps: DataFrame, retained: int = RETAINED) -> DataFrame:
-    """(value, rep, n): the rarest part of each sketch, without values that one representative alone retains.
+def inverted_lists(reps: DataFrame, share: float) -> DataFrame:
+    """(value, rep, n, pos): the rarest part of each sketch, without values that one representative alone retains.
 
-    Sets so small that all sets alike to them are retained whole need the full share in common.
+    ``share`` is the part of a sketch that an alike one must hold. ``pos`` is a value's place
+    in the order from rare to common, values of one representative alone first.
     """
     every = reps.select("rep", "n", F.size("sketch").alias("m"), F.explode("sketch").alias("value"))
     common = every.groupBy("value").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
     shared = every.join(common, "value").groupBy("rep").agg(F.first("n").alias("n"), F.first("m").alias("m"), F.array_sort(F.collect_list(F.struct("df", "value"))).alias("held"))
-    share = F.when(F.col("n") * 100 <= retained * PERCENT, F.lit(PERCENT / 100)).otherwise(F.lit(shared_share(retained)))
-    # values that nobody shares come first in the order, so they use up part of the prefix
-    room = F.col("m") - F.ceil(F.col("m") * share - 1e-9) + 1 - (F.col("m") - F.size("held"))
-    kept = shared.withColumn("room", room.cast("int")).where("room > 0").select("rep", "n", F.explode(F.slice("held", F.lit(1), F.col("room"))).alias("h"))
-    return kept.select(F.col("h.value").alias("value"), "rep", "n")
+    alone = F.col("m") - F.size("held")
+    room = F.col("m") - F.ceil(F.col("m") * share - 1e-9) + 1 - alone
+    kept = shared.withColumn("room", room.cast("int")).where("room > 0").select("rep", "n", alone.alias("alone"), F.posexplode(F.slice("held", F.lit(1), F.col("room"))).alias("i", "h"))
+    return kept.select(F.col("h.value").alias("value"), "rep", "n", (F.col("alone") + F.col("i")).alias("pos"))
 
 
 def open_lists(lists: DataFrame, grouped: DataFrame) -> DataFrame:
-    """(value, rep, n, component) of the lists whose members are not in one component yet."""
+    """The lists, with a component for each member, of those values whose members are not in one component yet."""
     placed = lists.join(grouped.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     several = placed.groupBy("value").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("value")
     return placed.join(several, "value")
@@ -151,7 +149,7 @@ def near_duplicates(documents: DataFrame, key: str = "doc_id", text: str = "text
     known = table.where(F.col("fp").isNotNull() & F.col("doc_id").isNotNull())
     reps = known.groupBy("fp").agg(F.min_by(F.struct("doc_id", F.col("n_shingles").alias("n"), "sketch"), "doc_id").alias("r"))
     reps = written(reps.select("fp", F.col("r.doc_id").alias("rep"), "r.n", "r.sketch"), "representatives")
-    lists = written(inverted_lists(reps), "inverted-lists")
+    lists = written(inverted_lists(reps, shared_share(RETAINED)), "inverted-lists")
     wanted = lists.select("rep").distinct()
     texts = documents.select(F.col(key).cast("long").alias("rep"), F.col(text).alias("text")).join(wanted, "rep", "left_semi")
     sets = written(full_sets(texts), "full-sets")
@@ -164,13 +162,15 @@ def near_duplicates(documents: DataFrame, key: str = "doc_id", text: str = "text
     links = written(confirmed(stars, reps, sets), "star-links")
     grouped = connected_components(links)
 
-    # those in lists that are still open get longer sketches, whose rarest part is much smaller
+    # those in lists that are still open are listed again by the rarest part of their full sets
     waiting = open_lists(lists, grouped).select("rep").distinct()
-    longer = sets.join(waiting, "rep", "left_semi").select("rep", F.size("shingles").cast("long").alias("n"), F.slice("shingles", 1, RETAINED_THEN).alias("sketch"))
-    left = written(open_lists(inverted_lists(longer, RETAINED_THEN), grouped), "open-lists")
-    x = left.select("value", F.col("rep").alias("x"), F.col("n").alias("nx"), F.col("component").alias("cx"))
-    y = left.select("value", F.col("rep").alias("y"), F.col("n").alias("ny"), F.col("component").alias("cy"))
-    rest = x.join(y, (x["value"] == y["value"]) & (F.col("cx") < F.col("cy")) & _alike_in_size("nx", "ny"))
+    whole = sets.join(waiting, "rep", "left_semi").select("rep", F.size("shingles").cast("long").alias("n"), F.col("shingles").alias("sketch"))
+    left = written(open_lists(written(inverted_lists(whole, PERCENT / 100), "full-lists"), grouped), "open-lists")
+    x = left.select("value", F.col("rep").alias("x"), F.col("n").alias("nx"), F.col("pos").alias("px"), F.col("component").alias("cx"))
+    y = left.select("value", F.col("rep").alias("y"), F.col("n").alias("ny"), F.col("pos").alias("py"), F.col("component").alias("cy"))
+    # at the first value that both have, what follows in either set bounds what they can share
+    enough = (100 + PERCENT) * F.least(F.col("nx") - F.col("px"), F.col("ny") - F.col("py")) >= PERCENT * (F.col("nx") + F.col("ny"))
+    rest = x.join(y, (x["value"] == y["value"]) & (F.col("cx") < F.col("cy")) & enough)
     rest = rest.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
     links = links.unionAll(written(confirmed(rest, reps, sets), "other-links"))
     # rows that share a key but not their words are tied through the key
