@@ -18,12 +18,3 @@ def spark():
     yield s
     s.stop()
 
-
-@pytest.fixture
-def large(spark):
-    """Every input counts as large: the two-level and salted forms are used."""
-    from tidemark.session import LARGE_INPUT_KEY
-
-    spark.conf.set(LARGE_INPUT_KEY, "0")
-    yield
-    spark.conf.unset(LARGE_INPUT_KEY)

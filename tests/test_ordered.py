@@ -25,13 +25,6 @@ def skewed(spark, n=600, parts=7):
     return rows, df
 
 
-@pytest.fixture(params=["plain", "two-level"])
-def mode(request):
-    if request.param == "two-level":
-        request.getfixturevalue("large")
-    return request.param
-
-
 def by_id(rows):
     out = {}
     for r in sorted(rows, key=lambda r: (r[1], r[2])):
@@ -39,7 +32,7 @@ def by_id(rows):
     return out
 
 
-def test_quantiles(spark, mode):
+def test_quantiles(spark):
     rows, df = skewed(spark)
     got = {r["id"]: r["q"] for r in ordered.exact_quantiles(df, ["id"], "value", [0.0, 0.25, 0.5, 1.0]).collect()}
     for who, items in by_id(rows).items():
@@ -54,7 +47,7 @@ def test_quantiles(spark, mode):
         assert got[who] == pytest.approx(want)
 
 
-def test_running_totals_both_directions(spark, mode):
+def test_running_totals_both_directions(spark):
     df = spark.createDataFrame([("a", float(v), v % 3 + 1) for v in range(200)], "k string, v double, n long")
     up = {r["v"]: r["cum_n"] for r in ordered.running_totals(df, ["k"], "v", ["n"]).collect()}
     down = {r["v"]: r["cum_n"] for r in ordered.running_totals(df, ["k"], "v", ["n"], descending=True).collect()}
@@ -103,7 +96,7 @@ def test_longest_run(spark):
         assert got[who] == best
 
 
-def test_trailing_and_latest(spark, mode):
+def test_trailing_and_latest(spark):
     rows, df = skewed(spark)
     got = {r["id"]: r["n"] for r in ordered.trailing(df, "id", "ts", 2).groupBy("id").agg(F.count("*").alias("n")).collect()}
     last = {r["id"]: r["seq"] for r in ordered.latest_per_key(df, ["id"], ["ts", "seq"]).collect()}
@@ -112,7 +105,7 @@ def test_trailing_and_latest(spark, mode):
         assert got[who] == sum(r[1] >= end - dt.timedelta(days=2) for r in items) and last[who] == items[-1][2]
 
 
-def test_hash_rank_and_order_index(spark, mode):
+def test_hash_rank_and_order_index(spark):
     _, df = skewed(spark)
     ranks = ordered.hash_rank(df, ["flag"], ["seq"], 3, "r")
     for flag in (True, False):
@@ -123,19 +116,17 @@ def test_hash_rank_and_order_index(spark, mode):
     assert [p[0] for p in placed] == list(range(600)) and [p[1] for p in placed] == sorted(p[1] for p in placed)
 
 
-def test_both_forms_of_hash_rank_agree(spark):
-    from tidemark.session import LARGE_INPUT_KEY
-
-    _, df = skewed(spark)
-    plain = {r["seq"]: r["r"] for r in ordered.hash_rank(df, ["flag"], ["seq"], 3, "r").collect()}
-    spark.conf.set(LARGE_INPUT_KEY, "0")
-    try:
-        assert {r["seq"]: r["r"] for r in ordered.hash_rank(df, ["flag"], ["seq"], 3, "r").collect()} == plain
-    finally:
-        spark.conf.unset(LARGE_INPUT_KEY)
+def test_hash_rank_is_a_repeatable_order_per_key(spark):
+    df = spark.createDataFrame([("a" if i % 3 else "b", i) for i in range(500)], "k string, i int")
+    ranked = ordered.hash_rank(df.repartition(7), ["k"], ["i"], 5, "r").collect()
+    again = {r["i"]: r["r"] for r in ordered.hash_rank(df.repartition(2), ["k"], ["i"], 5, "r").collect()}
+    assert {r["i"]: r["r"] for r in ranked} == again
+    for key in ("a", "b"):
+        own = sorted(r["r"] for r in ranked if r["k"] == key)
+        assert own == list(range(1, len(own) + 1))
 
 
-def test_group_agg_median(spark, mode):
+def test_group_agg_median(spark):
     rows, df = skewed(spark)
     got = {r["id"]: r for r in ordered.group_agg(df, ["id"], [F.count("value").alias("n")], {"mid": F.col("value")}).collect()}
     for who, items in by_id(rows).items():

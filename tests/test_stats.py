@@ -3,6 +3,8 @@
 import math
 import random
 
+import datetime as dt
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -186,3 +188,24 @@ def test_search_helpers(spark):
     stats = train.trial_statistics(trials).first()
     assert stats["best_trial"] == 1 and stats["lower"] < stats["mean"] < stats["upper"]
     assert train.t_quantile(0.975, 10) == pytest.approx(2.228139, abs=1e-4)
+
+
+def test_chronological_split_takes_any_key_and_puts_missing_times_last(spark):
+    rows = [(f"p{i:03d}", None if i % 10 == 0 else T(i // 4), i % 3) for i in range(100)]
+    df = spark.createDataFrame(rows, "id string, timestamp timestamp_ntz, label int").repartition(5)
+    train, test = split.chronological_split(df, "timestamp", 0.2, ["id"])
+    order = sorted(rows, key=lambda r: (r[1] is None, r[1] or T(0), r[0]))
+    assert sorted(r["id"] for r in train.collect()) == sorted(r[0] for r in order[:80])
+    assert sorted(r["id"] for r in test.collect()) == sorted(r[0] for r in order[80:])
+
+
+def test_missing_labels_are_no_class(spark):
+    rows = [(i, None if i < 3 else 0 if i < 90 else 1) for i in range(100)]
+    df = spark.createDataFrame(rows, "id int, label int")
+    assert split.class_counts(df, "label") == {0: 87, 1: 10}
+    kept = split.undersample(df, "label", ["id"]).groupBy("label").count().collect()
+    assert {r["label"]: r["count"] for r in kept} == {None: 3, 0: 10, 1: 10}
+
+
+def T(hours):
+    return dt.datetime(2024, 1, 1) + dt.timedelta(hours=hours)

@@ -56,16 +56,18 @@ def test_unknown_override_reviews_are_reported(spark):
     assert updated.first()["reviewed_by_supervisor"] == "s" and [x["override_id"] for x in unknown.collect()] == [7]
 
 
-def test_recommendations_agree_for_small_and_large_catalogs(spark, tmp_path, monkeypatch):
+def test_recommendations_in_the_row_are_those_of_all_scored_pairs(spark, tmp_path):
     people = spark.createDataFrame(
         [(i, lv, ["anxiety"], i % 2 == 0) for i, lv in enumerate(["low", "moderate", "high", "critical"] * 5)],
         "anonymized_id int, risk_level string, contributing_factors array<string>, prefers_online boolean",
     )
     catalog.load_catalog(spark, str(tmp_path / "cat"))
     full = spark.read.parquet(str(tmp_path / "cat"))
-    small = {(r["anonymized_id"], r["rank"], r["resource_id"]) for r in recommend.recommend(people, full).collect()}
-    monkeypatch.setattr(recommend, "small_enough_to_broadcast", lambda df: False)
-    assert small == {(r["anonymized_id"], r["rank"], r["resource_id"]) for r in recommend.recommend(people, full).collect()}
+    got = {(r["anonymized_id"], r["rank"], r["resource_id"]) for r in recommend.recommend(people, full).collect()}
+    pairs = {}
+    for r in recommend.score_resources(recommend.with_profile_defaults(people), full).collect():
+        pairs.setdefault(r["anonymized_id"], []).append((-r["relevance_score"], r["position"], r["resource_id"]))
+    assert got == {(i, rank, x[2]) for i, found in pairs.items() for rank, x in enumerate(sorted(found)[:5], 1)}
     assert [r["resource_id"] for r in catalog.search(full, risk_level="critical", resource_type="crisis_line").collect()] == ["crisis_line_988", "crisis_text_line"]
 
 

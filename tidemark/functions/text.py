@@ -6,7 +6,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tidemark.session import spread
+
 
 # Word and phrase lists of the lexicon.
 POSITIVE_WORDS = [
@@ -79,7 +79,7 @@ def analyze_sentiment(df: DataFrame, text_column: str = "text_response") -> Data
     The text is lowered once and each word list counted once, in projections of their own,
     so no expression repeats a scan of the text.
     """
-    data = spread(df).withColumn("_low", F.lower(text_column))
+    data = df.withColumn("_low", F.lower(text_column))
     counted = data.withColumns({**lexicon_counts(F.col(text_column), F.col("_low")), "_found": crisis_phrases(F.col("_low"))})
 
     def score(high, low):

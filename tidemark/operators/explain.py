@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Row, functions as F
 
 from tidemark.functions.common import LEVEL_RANGES, risk_level
 from tidemark.operators.ordered import attach, top_k_per_key
-from tidemark.session import spread
+
 
 
 @dataclass(frozen=True)
@@ -86,7 +86,7 @@ def counterfactuals(
     def score_of(logit: Column) -> Column:
         return 100.0 / (1.0 + F.exp(-logit))
 
-    data = spread(df).select(*keys, F.array_sort(F.array(*items)).alias("_items"), model.logit().alias("_logit0"))
+    data = df.select(*keys, F.array_sort(F.array(*items)).alias("_items"), model.logit().alias("_logit0"))
     data = data.withColumn("_score", score_of(F.col("_logit0")))
     data = data.withColumns({"_falling": F.col("_score") > high, "_done0": risk_level(F.col("_score")) == target})
     steps = min(max_changes, len(items))

@@ -16,9 +16,10 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tidemark.functions.common import col
-from tidemark.session import checkpointed, is_large, spread
+from tidemark.session import checkpointed
 
-VALUE_CHUNKS = 512
+#: Rows that a chunk of a value range should hold; the number of chunks follows from the rows counted.
+CHUNK_ROWS = 1 << 20
 
 
 def _null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
@@ -40,25 +41,24 @@ def attach(df: DataFrame, row: DataFrame) -> DataFrame:
     return df.withColumn("_s", cell).select(*df.columns, *[F.col(f"_s.{c}").alias(c) for c in names])
 
 
-def keyed_join(big: DataFrame, small: DataFrame, keys: Sequence[str], how: str = "inner", salts: int = 32) -> DataFrame:
+def keyed_join(big: DataFrame, small: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
     """Join rows to a table of one row per key (``how``: inner or left).
 
-    A large ``big`` is spread over ``salts`` copies of the key table, so a key that owns a
-    third of all rows is still read by many tasks, also where the join feeds an aggregate on
-    the same key (where adaptive skew splitting does not apply). The salt is a hash of the
-    row, so a repeated task makes the same choice.
+    A plain equi-join: adaptive execution splits the partitions of keys that own a large share
+    of the rows, by their measured bytes. ``session`` asks for that split also where the join
+    feeds an aggregate on the same key, at the price of one more exchange there.
     """
-    keys = list(keys)
-    if not is_large(big):
-        return big.join(small, keys, how)
-    hashed = [f.name for f in big.schema.fields if f.dataType.typeName() not in ("map", "variant")]
-    left = big.withColumn("_salt", F.pmod(F.xxhash64(*[F.col(c) for c in hashed]), F.lit(salts)).cast("int"))
-    right = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return left.join(right, [*keys, "_salt"], how).drop("_salt")
+    return big.join(small, list(keys), how)
+
 
+def value_chunks(counts: DataFrame, keys: Sequence[str], value: str, n: int | None = None) -> DataFrame:
+    """Add ``_chunk``, a number that never falls as ``value`` rises within ``keys``.
 
-def value_chunks(counts: DataFrame, keys: Sequence[str], value: str, n: int = VALUE_CHUNKS) -> DataFrame:
-    """Add ``_chunk``, a number that never falls as ``value`` rises within ``keys``."""
+    The number of chunks grows with the rows, one for each ``CHUNK_ROWS`` of the largest key.
+    """
+    if n is None:
+        most = counts.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
+        n = 2 + most // CHUNK_ROWS
     probs = F.array(*[F.lit(i / n) for i in range(1, n)])
     cuts = counts.groupBy(*keys).agg(
         F.array_sort(F.array_distinct(F.percentile_approx(F.col(value), probs, F.lit(20 * n)))).alias("_cuts")
@@ -75,13 +75,12 @@ def running_totals(
     value: str,
     measures: Sequence[str],
     descending: bool = False,
-    two_level: bool | None = None,
 ) -> DataFrame:
     """Add ``cum_<m>``: the sum of ``m`` over values up to and including this row's.
 
     ``counts`` must hold one row per (keys, value), i.e. be aggregated first, so that ties
-    share one row. Small inputs use one window per key; large ones (or ``two_level=True``)
-    sum inside chunks of the value range and add the totals of the chunks before.
+    share one row. Sums are taken inside chunks of the value range; the totals of the chunks
+    before are added.
     """
     keys = list(keys)
     order = F.desc if descending else F.asc
@@ -90,10 +89,6 @@ def running_totals(
         w = Window.partitionBy(*part).orderBy(order(by)).rowsBetween(Window.unboundedPreceding, 0)
         return df.select("*", *[F.sum(m).over(w).alias(f"cum_{m}") for m in measures])
 
-    if two_level is None:
-        two_level = is_large(counts)
-    if not two_level:
-        return cumulative(counts, keys or [F.lit(0)], value)
     chunked = value_chunks(counts, keys, value)
     totals = chunked.groupBy(*keys, "_chunk").agg(*[F.sum(m).alias(m) for m in measures])
     w = Window.partitionBy(*(keys or [F.lit(0)])).orderBy(order("_chunk")).rowsBetween(Window.unboundedPreceding, -1)
@@ -114,22 +109,17 @@ def exact_quantiles(
     value: str | Column,
     probs: Sequence[float],
     name: str = "q",
-    two_level: bool | None = None,
 ) -> DataFrame:
     """Exact linearly interpolated quantiles per key as ``array<double>``; nulls ignored.
 
-    The built-in ``percentile`` keeps every distinct value of a group in one task. Beyond
-    the large-input limit the distinct values are counted by a shuffle and the asked ranks
-    are picked from their running counts instead; the results are the same.
+    The built-in ``percentile`` would keep every distinct value of a group in one task. Here
+    the distinct values are counted by a shuffle and the asked ranks are picked from their
+    running counts; the results are the same.
     """
     keys = list(keys)
     data = df.select(*keys, col(value).cast("double").alias("_v")).filter("_v IS NOT NULL")
-    if two_level is None:
-        two_level = is_large(df)
-    if not two_level:
-        return data.groupBy(*keys).agg(F.percentile("_v", F.array(*[F.lit(float(p)) for p in probs])).alias(name))
     counts = data.groupBy(*keys, "_v").agg(F.count("*").alias("_n"))
-    run = running_totals(counts, keys, "_v", ["_n"], two_level=True)
+    run = running_totals(counts, keys, "_v", ["_n"])
     sizes = data.groupBy(*keys).agg(F.count("*").alias("_size"))
     ranked = _null_safe_join(run, sizes, keys)
     picks = []
@@ -147,14 +137,8 @@ def exact_quantiles(
 
 
 def column_quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float]) -> DataFrame:
-    """``(column_name, q)`` for several columns: one aggregate, or one long shuffle when large."""
-    if not is_large(df):
-        arr = F.array(*[F.lit(float(p)) for p in probs])
-        cells = spread(df.select(*columns))
-        wide = cells.agg(*[F.percentile(F.col(c).cast("double"), arr).alias(c) for c in columns])
-        pairs = F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(c).alias("q")) for c in columns])
-        return wide.select(F.inline(pairs)).filter("q IS NOT NULL")
-    return exact_quantiles(long_values(df, columns), ["column_name"], "value", probs, two_level=True)
+    """``(column_name, q)`` for several columns, through one long shuffle of distinct values."""
+    return exact_quantiles(long_values(df, columns), ["column_name"], "value", probs)
 
 
 def long_values(df: DataFrame, columns: Sequence[str], keys: Sequence[str] = ()) -> DataFrame:
@@ -171,13 +155,11 @@ def group_agg(
     aggs: Sequence[Column],
     medians: dict[str, Column] | None = None,
 ) -> DataFrame:
-    """Aggregates plus exact medians per key, in one pass or, when large, joined by key."""
+    """Aggregates plus exact medians per key, joined by key."""
     medians = medians or {}
-    if not is_large(df):
-        return df.groupBy(*keys).agg(*aggs, *[F.median(e.cast("double")).alias(n) for n, e in medians.items()])
     out = df.groupBy(*keys).agg(*aggs)
     for n, e in medians.items():
-        mid = exact_quantiles(df, keys, e, [0.5], name="_q", two_level=True)
+        mid = exact_quantiles(df, keys, e, [0.5], name="_q")
         out = _null_safe_join(out, mid.select(*keys, F.element_at("_q", 1).alias(n)), keys, "left")
     return out
 
@@ -342,42 +324,34 @@ def top_k_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column], k
 
 
 def nth_in_order(df: DataFrame, order: Sequence[str], k: int) -> list:
-    """Values of the ``order`` columns at 0-based position ``k`` of the whole table.
+    """Values of the ``order`` columns at 0-based position ``k`` of the whole table, nulls last.
 
-    One column is settled at a time from running counts, each pass reading only the rows
-    tied so far, so no total sort is made. The result is one row of scalars.
+    One column is settled at a time, each pass reading only the rows tied so far. Its values are
+    counted, dealt to ranges in order by ``repartitionByRange``, and the range that holds the
+    position is found from the totals of the ranges; so any type that can be ordered will do,
+    and no total sort is made in one task. The result is one row of scalars.
     """
     found: list = []
     rest = df
     for c in order:
-        counts = rest.groupBy(c).agg(F.count("*").alias("_n"))
-        run = running_totals(counts, [], c, ["_n"]) if _is_numeric(counts, c) else _date_like_totals(counts, c)
-        hit = run.filter(F.col("cum__n") > k).agg(F.min_by(F.struct(F.col(c).alias("v"), F.col("cum__n"), "_n"), c).alias("h")).first()["h"]
+        counts = rest.groupBy(F.struct(F.col(c).isNull().alias("last"), F.col(c).alias("v")).alias("o")).agg(F.count("*").alias("_n"))
+        # written once: the ranges of a recomputed sample could differ
+        ranged = checkpointed(counts.repartitionByRange("o").withColumn("_range", F.spark_partition_id()))
+        totals = ranged.groupBy("_range").agg(F.sum("_n").alias("_t")).orderBy("_range").collect()  # one row per partition
+        before = 0
+        for r in totals:
+            if before + r["_t"] > k:
+                break
+            before += r["_t"]
+        inside = Window.partitionBy("_range").orderBy("o").rowsBetween(Window.unboundedPreceding, 0)
+        run = ranged.filter(F.col("_range") == r["_range"]).withColumn("cum__n", F.sum("_n").over(inside) + F.lit(before))
+        hit = run.filter(F.col("cum__n") > k).agg(F.min_by(F.struct(F.col("o.v").alias("v"), F.col("cum__n"), "_n"), "o").alias("h")).first()["h"]
         found.append(hit["v"])
         k -= hit["cum__n"] - hit["_n"]
         rest = rest.filter(F.col(c).eqNullSafe(literal(hit["v"], df, c)))
     return found
 
 
-def _is_numeric(df: DataFrame, c: str) -> bool:
-    return df.schema[c].dataType.typeName() in ("byte", "short", "integer", "long", "float", "double")
-
-
-def _date_like_totals(counts: DataFrame, c: str) -> DataFrame:
-    """Running counts over a time column: calendar-day totals first, then inside the day."""
-    data = counts.withColumn("_day", F.date_trunc("day", F.col(c)))
-    totals = data.groupBy("_day").agg(F.sum("_n").alias("_t"))
-    prior = Window.partitionBy(F.lit(0)).orderBy("_day").rowsBetween(Window.unboundedPreceding, -1)
-    before = totals.select("_day", F.coalesce(F.sum("_t").over(prior), F.lit(0)).alias("_before"))
-    inner = Window.partitionBy("_day").orderBy(c).rowsBetween(Window.unboundedPreceding, 0)
-    return (
-        data.withColumn("_local", F.sum("_n").over(inner))
-        .join(before, "_day")
-        .withColumn("cum__n", F.col("_local") + F.col("_before"))
-        .select(c, "_n", "cum__n")
-    )
-
-
 def literal(value, like: DataFrame, column: str) -> Column:
     """A Python value as a literal of a column's type (times go by text, free of zones)."""
     return F.lit(None if value is None else str(value)).cast(like.schema[column].dataType)
@@ -386,13 +360,10 @@ def literal(value, like: DataFrame, column: str) -> Column:
 def hash_rank(df: DataFrame, keys: Sequence[str], id_cols: Sequence[str], seed: int, name: str) -> DataFrame:
     """1-based rank by a seeded hash of the id, per key: a repeatable random order.
 
-    When large, ranks are counted inside ranges of the hash and shifted by the sizes of the
-    ranges before, so one class may hold most rows.
+    Ranks are counted inside ranges of the hash and shifted by the sizes of the ranges before,
+    so one class may hold most rows.
     """
     h = F.xxhash64(F.lit(seed), *[F.col(c) for c in id_cols])
-    if not is_large(df):
-        w = Window.partitionBy(*(keys or [F.lit(0)])).orderBy(h, *id_cols)
-        return df.withColumn(name, F.row_number().over(w))
     data = df.withColumn("_h", h).withColumn("_range", F.shiftright("_h", 50))
     w = Window.partitionBy(*keys, "_range").orderBy("_h", *id_cols)
     local = data.withColumn(name, F.row_number().over(w))
@@ -405,11 +376,8 @@ def hash_rank(df: DataFrame, keys: Sequence[str], id_cols: Sequence[str], seed:
 
 def order_index(df: DataFrame, value: str, id_cols: Sequence[str], name: str) -> DataFrame:
     """0-based position of each row by ``value`` (equal values in a repeatable random order)."""
-    if not is_large(df):
-        w = Window.partitionBy(F.lit(0)).orderBy(value, F.xxhash64(F.lit(0), *[F.col(c) for c in id_cols]), *id_cols)
-        return df.withColumn(name, F.row_number().over(w) - 1)
     counts = df.groupBy(value).agg(F.count("*").alias("_n"))
-    run = running_totals(counts, [], value, ["_n"], two_level=True)
+    run = running_totals(counts, [], value, ["_n"])
     starts = run.select(value, (F.col("cum__n") - F.col("_n")).alias("_start"))
     ranked = hash_rank(df, [value], id_cols, 0, "_within")
     joined = _null_safe_join(ranked, starts, [value])

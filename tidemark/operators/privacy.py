@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from tidemark.functions.common import all_of, col
-from tidemark.session import spread
+
 
 # What is redacted, in this order.
 PII_PATTERNS = {
@@ -56,7 +56,7 @@ def redact(
     column; Spark evaluates every replacement once per row.
     """
     names = [n for n in patterns or PII_PATTERNS if n in PII_PATTERNS]
-    out = spread(df)
+    out = df
     current = text_column
     for i, n in enumerate(names):
         text, pattern = F.col(current), _pattern(n)

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tidemark.operators.ordered import top_k_per_key
-from tidemark.session import small_enough_to_broadcast, spread
 
 # Points per rule.
 POINTS = {
@@ -14,9 +13,6 @@ POINTS = {
 }
 
 
-LEVEL_SALTS = 256
-
-
 def _points(test: Column, key: str) -> Column:
     return F.when(F.coalesce(test, F.lit(False)), F.lit(POINTS[key])).otherwise(F.lit(0))
 
@@ -62,18 +58,11 @@ def relevance_score(resource=F.col) -> Column:
 def score_resources(profiles: DataFrame, catalog: DataFrame) -> DataFrame:
     """Every profile with every active resource of its risk level, scored.
 
-    An equi-join on the level: the catalog has one row per (resource, level) and is broadcast
-    only when its own size is small. There are but four levels, so a large catalog is salted
-    to spread the profiles of one level.
+    The output is all pairs of a level by its meaning; ``with_recommendations`` ranks inside
+    the row instead and keeps the best few only.
     """
     levels = catalog.filter("active").withColumn("risk_level", F.explode("risk_levels"))
-    if small_enough_to_broadcast(catalog):
-        pairs = profiles.join(F.broadcast(levels), "risk_level")
-    else:
-        salted = levels.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(LEVEL_SALTS - 1))))
-        people = profiles.withColumn("_salt", F.pmod(F.xxhash64("anonymized_id"), F.lit(LEVEL_SALTS)).cast("int"))
-        pairs = people.join(salted, ["risk_level", "_salt"]).drop("_salt")
-    return pairs.withColumn("relevance_score", relevance_score())
+    return profiles.join(levels, "risk_level").withColumn("relevance_score", relevance_score())
 
 
 # What a profile may leave out.
@@ -92,30 +81,26 @@ def with_profile_defaults(profiles: DataFrame) -> DataFrame:
 def with_recommendations(profiles: DataFrame, catalog: DataFrame, k: int = 5, name: str = "recommendations") -> DataFrame:
     """Add the best ``k`` resources of each row as an array, best first; null for an unknown level.
 
-    With a small catalog (its size is checked) the resources of each level travel as one
-    broadcast array and are ranked inside the row: no shuffle at all. A large catalog is
-    joined, ranked per individual and joined back.
+    The resources of each level travel as one array, a row per level, and are ranked inside
+    the profile's row: profiles are joined to a table of a few rows and nothing else. A level's
+    resources must fit a row, as a catalog that people read does.
     """
-    full = with_profile_defaults(spread(profiles))
+    full = with_profile_defaults(profiles)
     entry = ("position", "resource_id", "resource_type", "description", "urgency", "risk_levels", "tags", "priority")
-    if small_enough_to_broadcast(catalog):
-        levels = catalog.filter("active").withColumn("risk_level", F.explode("risk_levels"))
-        packed = levels.groupBy("risk_level").agg(F.collect_list(F.struct(*entry)).alias("_resources"))
-        joined = full.join(F.broadcast(packed), "risk_level", "left")
-
-        def scored(x: Column) -> Column:
-            points = relevance_score(lambda c: x[c])
-            return F.struct((-points).alias("o"), x["position"].alias("position"), x["resource_id"].alias("resource_id"), points.alias("relevance_score"), x["resource_type"].alias("resource_type"), x["urgency"].alias("urgency"))
-
-        best = F.slice(F.array_sort(F.transform("_resources", scored)), 1, k)
-        shaped = F.transform(
-            best,
-            lambda x, i: F.struct((i + 1).alias("rank"), x["resource_id"].alias("resource_id"), x["relevance_score"].alias("relevance_score"), x["resource_type"].alias("resource_type"), x["urgency"].alias("urgency")),
-        )
-        return joined.select(*profiles.columns, shaped.alias(name))
-    ranked = top_k_per_key(score_resources(full, catalog), ["anonymized_id"], [F.desc("relevance_score"), F.asc("position")], k)
-    listed = ranked.groupBy("anonymized_id").agg(F.sort_array(F.collect_list(F.struct("rank", "resource_id", "relevance_score", "resource_type", "urgency"))).alias(name))
-    return profiles.join(listed, "anonymized_id", "left")
+    levels = catalog.filter("active").withColumn("risk_level", F.explode("risk_levels"))
+    packed = levels.groupBy("risk_level").agg(F.collect_list(F.struct(*entry)).alias("_resources"))
+    joined = full.join(packed, "risk_level", "left")
+
+    def scored(x: Column) -> Column:
+        points = relevance_score(lambda c: x[c])
+        return F.struct((-points).alias("o"), x["position"].alias("position"), x["resource_id"].alias("resource_id"), points.alias("relevance_score"), x["resource_type"].alias("resource_type"), x["urgency"].alias("urgency"))
+
+    best = F.slice(F.array_sort(F.transform("_resources", scored)), 1, k)
+    shaped = F.transform(
+        best,
+        lambda x, i: F.struct((i + 1).alias("rank"), x["resource_id"].alias("resource_id"), x["relevance_score"].alias("relevance_score"), x["resource_type"].alias("resource_type"), x["urgency"].alias("urgency")),
+    )
+    return joined.select(*profiles.columns, shaped.alias(name))
 
 
 def recommend(profiles: DataFrame, catalog: DataFrame, k: int = 5, immediate_only: bool = False) -> DataFrame:
@@ -130,8 +115,6 @@ def recent_recommendations(recs: DataFrame, catalog: DataFrame, per_person: int
     """A person's newest recommendations with the resource's attributes."""
     newest = top_k_per_key(recs, ["anonymized_id"], [F.desc("recommended_at"), F.desc("recommendation_id")], per_person)
     side = catalog.select("resource_id", "name", "resource_type", "urgency")
-    if small_enough_to_broadcast(catalog):
-        side = F.broadcast(side)
     return newest.join(side, "resource_id")
 
 

@@ -20,7 +20,8 @@ def chronological_split(
     """First ``int(n·(1 − test_size))`` rows in time order, and the rest.
 
     The cut row is found from counts per time value; the split itself is then two filters,
-    with no sort of the table. ``tiebreak`` must make the order total.
+    with no sort of the table. ``tiebreak`` must make the order total. Rows without a time come
+    last, so they belong to the second part.
     """
     order = [timestamp_col, *tiebreak]
     n = df.count()
@@ -30,15 +31,17 @@ def chronological_split(
     cut = nth_in_order(df, order, k)
     before = F.lit(False)
     for c, v in zip(reversed(order), reversed(cut)):
-        limit = literal(v, df, c)
-        before = (F.col(c) < limit) | ((F.col(c) == limit) & before)
-    before = F.coalesce(before, F.lit(True))
+        if v is None:
+            before = F.col(c).isNotNull() | before
+        else:
+            limit = literal(v, df, c)
+            before = F.coalesce((F.col(c) < limit) | ((F.col(c) == limit) & before), F.lit(False))
     return df.filter(before), df.filter(~before)
 
 
 def class_counts(df: DataFrame, label: str) -> dict:
-    """Rows per class; a label has few values (checked), so the counts come to the driver."""
-    rows = df.groupBy(label).count().limit(MAX_CLASSES + 1).collect()
+    """Rows per class, null labels aside; a label has few values (checked), so the counts come to the driver."""
+    rows = df.filter(F.col(label).isNotNull()).groupBy(label).count().limit(MAX_CLASSES + 1).collect()
     if len(rows) > MAX_CLASSES:
         raise ValueError(f"{label} has more than {MAX_CLASSES} values and is no class label")
     return {r[label]: r["count"] for r in rows}
@@ -52,12 +55,12 @@ def stratified_folds(df: DataFrame, label: str, id_cols: Sequence[str], n_splits
 
 
 def undersample(df: DataFrame, label: str, id_cols: Sequence[str], seed: int = 42, threshold: float = MINORITY_THRESHOLD) -> DataFrame:
-    """Cut every class to the smallest one's size, if its share is below the threshold."""
+    """Cut every class to the smallest one's size, if its share is below the threshold; rows without a label stay out of the cut."""
     counts = class_counts(df, label)
     least = min(counts.values())
     if least / sum(counts.values()) >= threshold:
         return df
-    return hash_rank(df, [label], id_cols, seed, "_rank").filter(F.col("_rank") <= least).drop("_rank")
+    return hash_rank(df, [label], id_cols, seed, "_rank").filter(F.col(label).isNull() | (F.col("_rank") <= least)).drop("_rank")
 
 
 def near_neighbours(df: DataFrame, features: Sequence[str], id_col: str, k: int = 5, directions: int = 3, seed: int = 42) -> DataFrame:

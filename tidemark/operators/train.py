@@ -18,11 +18,10 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tidemark.functions.common import count_if
 from tidemark.operators.evaluate import auroc
-from tidemark.operators.ordered import attach, exact_quantiles, hash_rank, latest_per_key
+from tidemark.operators.ordered import attach, exact_quantiles, hash_rank, latest_per_key, top_k_per_key
 from tidemark.operators.score import calibrated_score, calibration_bounds
 from tidemark.operators.split import class_counts, stratified_folds
 from tidemark.session import checkpointed
-from tidemark.sources.files import sample_rows
 
 # Default search grids.
 LOGISTIC_GRID = {"C": [0.001, 0.01, 0.1, 1.0, 10.0, 100.0], "penalty": ["l1", "l2"], "class_weight": ["balanced", None]}
@@ -203,19 +202,20 @@ def fit_isolation_forest(
 ) -> IsolationForest:
     """Trees grow in parallel, each from its own hash-chosen sample; the cut is an exact percentile.
 
-    One pass takes the ``n_trees · sample_size`` rows with the smallest seeded hash and deals
-    them to the trees. A table smaller than that gives each tree its own hash order instead.
+    A row joins a tree if a hash of both falls under a share that gives each tree a few times
+    ``sample_size`` rows, the algorithm's bound per tree; of these the lowest hashes stay. The
+    small list of trees is filtered inside the row, so rows are not copied per tree, and the
+    rule is the same for every number of rows.
     """
     features = list(features)
     data = df.select(*id_cols, *[F.col(c).cast("double").alias(c) for c in features]).dropna()
-    pool = checkpointed(sample_rows(data, n_trees * sample_size, seed, id_cols))
-    size = pool.count()
-    if size >= n_trees * sample_size:
-        dealt = hash_rank(pool, [], id_cols, seed, "_r").withColumn("tree", (F.col("_r") % n_trees).cast("int"))
-    else:
-        sample_size = min(sample_size, size)
-        spread = pool.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(n_trees - 1))))
-        dealt = hash_rank(spread, ["tree"], [*id_cols, "tree"], seed, "_r").filter(F.col("_r") <= sample_size)
+    size = data.count()
+    share = min(1.0, (2 * sample_size + 64) / max(size, 1))
+    drawn = F.transform(F.sequence(F.lit(0), F.lit(n_trees - 1)), lambda t: F.struct(t.alias("tree"), F.xxhash64(F.lit(seed), t, *id_cols).alias("h")))
+    few = F.filter(drawn, lambda x: F.pmod(x["h"], F.lit(1 << 30)) < F.lit(int(share * (1 << 30))))
+    dealt = data.select(*features, F.explode(few).alias("_d")).select(*features, "_d.tree", "_d.h")
+    dealt = checkpointed(top_k_per_key(dealt, ["tree"], [F.asc("h")], sample_size, "_r"))
+    sample_size = min(sample_size, max(size, 1))
     trees = dealt.select("tree", *features).groupBy("tree").applyInPandas(lambda p: _grow(p, seed, features), _TREE_SCHEMA).toPandas()
     forest = IsolationForest(features, trees, sample_size)
     cut = exact_quantiles(forest.score(data), [], "score", [contamination]).first()["q"][0]

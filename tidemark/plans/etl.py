@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tidemark.functions.common import count_if
 from tidemark.operators import clean, encode, impute, scale
-from tidemark.operators.ordered import top_k_per_key
+from tidemark.operators.ordered import attach, top_k_per_key
 
 
 @dataclass
@@ -64,7 +64,7 @@ class FittedEtl:
             F.count("*").alias("rows_out"), *[count_if(F.col(n)).alias(n.replace("_outlier", "_outliers")) for n in flags]
         )
         before = df.agg(F.count("*").alias("rows_in"))
-        return before.join(after).withColumn("duplicates_removed", F.col("rows_in") - F.col("rows_out"))
+        return attach(before, after).withColumn("duplicates_removed", F.col("rows_in") - F.col("rows_out"))
 
     def save(self, path: str) -> None:
         """Scalar parameters as one JSON text file, per-group and per-category ones as parquet."""

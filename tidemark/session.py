@@ -1,4 +1,4 @@
-"""Session set-up and the few run-time settings the operators read."""
+"""Session set-up, and the shared folder for checkpoints and derived tables."""
 
 from __future__ import annotations
 
@@ -8,9 +8,6 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-LARGE_INPUT_KEY = "spark.tidemark.largeInputBytes"
-LARGE_INPUT_DEFAULT = 1 << 30
-
 
 def session(app: str = "tidemark", master: str | None = None, **conf) -> SparkSession:
     """A UTC session with adaptive execution; ``conf`` keys use ``__`` for dots."""
@@ -22,6 +19,8 @@ def session(app: str = "tidemark", master: str | None = None, **conf) -> SparkSe
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
+        # split a key that owns much of the rows also where an aggregate on it follows
+        "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
         "spark.sql.parquet.compression.codec": "zstd",
         # no call-site capture per Column call: plans with many expressions build twice as fast
         "spark.python.sql.dataFrameDebugging.enabled": "false",
@@ -32,22 +31,6 @@ def session(app: str = "tidemark", master: str | None = None, **conf) -> SparkSe
     return builder.getOrCreate()
 
 
-def input_bytes(df: DataFrame) -> int:
-    """Bytes of the files and tables a plan reads, from its own statistics; runs no job."""
-    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
-    return sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
-
-
-def is_large(df: DataFrame) -> bool:
-    """Whether a plan reads more than one task should ever sort or hold.
-
-    The limit is ``spark.tidemark.largeInputBytes`` (1 GiB). Operators that need a total
-    order or an exact percentile switch to their two-level form above it.
-    """
-    limit = int(df.sparkSession.conf.get(LARGE_INPUT_KEY, str(LARGE_INPUT_DEFAULT)))
-    return input_bytes(df) > limit
-
-
 def shared_folder(spark: SparkSession) -> str:
     """The folder named in ``spark.checkpoint.dir``; a temporary one only on a local master.
 
@@ -82,25 +65,6 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def small_enough_to_broadcast(df: DataFrame, limit: int = 64 << 20) -> bool:
-    """Whether the plan's own inputs are below ``limit`` bytes, so a broadcast is safe."""
-    return input_bytes(df) <= limit
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """Give every core a share of a small input that sits in fewer files than there are cores.
-
-    For row-wise work that costs much more than the scan (texts, long rule lists). Inputs of
-    a split per core or more are left as they are, so nothing is shuffled at scale.
-    """
-    if df.isStreaming:
-        return df
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if input_bytes(df) >= cores * (128 << 20):  # checked first: a large table's files are never listed
-        return df
-    return df.repartition(cores) if 0 < len(df.inputFiles()) < cores else df
-
-
 def scratch_folder(spark: SparkSession, name: str) -> str:
     """A fresh path for derived files under the shared folder."""
     return f"{shared_folder(spark)}/tidemark-{name}-{uuid.uuid4().hex}"

@@ -7,6 +7,8 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from tidemark.operators.ordered import attach
+
 from tidemark.operators.ordered import latest_per_key
 
 
@@ -38,7 +40,7 @@ def guarded_update(
 def match_counts(table: DataFrame, updates: DataFrame, keys: Sequence[str], guard: Column) -> DataFrame:
     """``(requested, matched)``: how many update keys find a row in the guarded state."""
     found = updates.join(table.filter(guard), list(keys), "left_semi").agg(F.count("*").alias("matched"))
-    return updates.agg(F.count("*").alias("requested")).join(found)
+    return attach(updates.agg(F.count("*").alias("requested")), found)
 
 
 def lookup(
