@@ -29,41 +29,34 @@ ANCHORS = frozenset(
 )
 WORD = re.compile(r"[^\W_]+")
 CHAIN = 2
-#: With fewer signatures than this from anchors, a text also gets those of all its content words.
-FEW = 8
+#: Words without an anchor after which content words start chains themselves.
+GAP = 8
 LENGTH_STEP = 1.15
 
 
 def signatures(text: str | None, anchors: frozenset = ANCHORS, chain: int = CHAIN) -> frozenset[int]:
     """The signatures of a whole text, hashed to 64 bits.
 
-    Where anchors give fewer than ``FEW`` signatures, every content word starts a chain too;
-    where content words do not make one chain, all words are one signature. Without words there
-    is none.
+    A content word with no anchor among the ``GAP`` words before it starts a chain too, so that
+    text without common words has signatures as well; whether it does depends on these words
+    alone, not on the rest of the text. Where no chain is whole, all words are one signature.
+    Without words there is none.
     """
     words = WORD.findall(text.lower()) if text else []
     if not words:
         return frozenset()
-    found, ahead = set(), [""] * chain  # the content words after the place, nearest first
-    if chain == 2:
-        first = second = ""
-        for word in reversed(words):
-            if word in anchors:
-                if second:
-                    found.add((word, first, second))
-            else:
-                first, second = word, first
-    else:
-        for word in reversed(words):
-            if word in anchors:
-                if ahead[-1]:
-                    found.add((word, *ahead))
-            else:
-                ahead = [word, *ahead[:-1]]
-    if len(found) < FEW:
-        content = [w for w in words if w not in anchors]
-        found |= {("", *content[i : i + chain]) for i in range(len(content) - chain + 1)}
-    found = found or {("", *words)}
+    content, starts, since = [], [], GAP
+    for word in words:
+        if word in anchors:
+            starts.append((word, len(content)))
+            since = 0
+        else:
+            if since >= GAP:
+                starts.append(("", len(content)))
+            since += 1
+            content.append(word)
+    last = len(content) - chain
+    found = {(word, *content[at : at + chain]) for word, at in starts if at <= last} or {("", *words)}
     digest = xxhash.xxh3_64_intdigest
     return frozenset(digest(" ".join(s)) for s in found)
 
