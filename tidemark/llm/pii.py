@@ -262,7 +262,8 @@ def redact(documents: DataFrame, model: PiiModel, text: str = "text") -> DataFra
 
     Where spans overlap, the first is replaced whole and the rest of the next after it.
     """
-    df = with_spans(documents, model, text).withColumn("_t", text_or_empty(text))
+    whole = documents.select(F.struct("*").alias("_row"), F.col(text).alias("_source"))  # columns of any name stay apart
+    df = with_spans(whole, model, "_source").withColumn("_t", text_or_empty("_source"))
     names = F.array(*(F.lit(f"[{k.upper()}]") for k in KINDS))
     start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("parts"))
 
@@ -271,6 +272,6 @@ def redact(documents: DataFrame, model: PiiModel, text: str = "text") -> DataFra
         fresh = F.struct(F.greatest(state["at"], c["end"]).alias("at"), F.concat(state["parts"], F.array(F.when(c["start"] > state["at"], between).otherwise(F.lit("")), F.get(names, c["kind"]))).alias("parts"))
         return F.when(c["end"] <= state["at"], state).otherwise(fresh)
 
-    whole = F.aggregate("_all", start, step, lambda s: F.concat(F.array_join(s["parts"], ""), F.substring(F.col("_t"), s["at"] + 1, F.char_length("_t"))))
-    new = F.when(F.col(text).isNotNull(), F.when(F.size("_all") == 0, F.col("_t")).otherwise(whole))
-    return df.select(*(new.alias(c) if c == text else F.col(f"`{c}`") for c in documents.columns))
+    whole_text = F.aggregate("_all", start, step, lambda s: F.concat(F.array_join(s["parts"], ""), F.substring(F.col("_t"), s["at"] + 1, F.char_length("_t"))))
+    new = F.when(F.col("_source").isNotNull(), F.when(F.size("_all") == 0, F.col("_t")).otherwise(whole_text))
+    return df.select(*(new.alias(c) if c == text else F.col("_row").getField(c).alias(c) for c in documents.columns))

@@ -125,4 +125,5 @@ def score_documents(documents: DataFrame, model: RuleEnsemble, key: str = "doc_i
 
 def keep_good(documents: DataFrame, model: RuleEnsemble, text: str = "text", threshold: float = 0.7) -> DataFrame:
     """The rows that score at least the threshold, with their own columns."""
-    return with_statistics(documents, text).where(model.score() >= threshold).select(*(F.col(f"`{c}`") for c in documents.columns))
+    whole = documents.select(F.struct("*").alias("_row"), F.col(text).alias("_source"))  # columns of any name stay apart
+    return with_statistics(whole, "_source").where(model.score() >= threshold).select("_row.*")
