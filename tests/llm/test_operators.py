@@ -248,3 +248,9 @@ def test_components_of_chains_and_stars(spark):
     links = [(i, i + 1) for i in range(60)] + [(100, 200 + i) for i in range(50)] + [(7, 7), (None, 3), (300, 301)]
     got = {r["node"]: r["component"] for r in components.connected_components(spark.createDataFrame(links, "a long, b long")).collect()}
     assert got == {**{i: 0 for i in range(61)}, 100: 100, **{200 + i: 100 for i in range(50)}, 300: 300, 301: 300}
+
+
+def test_components_of_light_and_heavy_nodes(spark):
+    links = [(2 * i, 2 * i + 1) for i in range(1500)] + [(90_000, 10_000 + i) for i in range(400)] + [(10_007, 9_999)]
+    got = {r["node"]: r["component"] for r in components.connected_components(spark.createDataFrame(links, "a long, b long")).collect()}
+    assert got == {**{2 * i + j: 2 * i for i in range(1500) for j in (0, 1)}, **{n: 9_999 for n in (9_999, 90_000, *range(10_000, 10_400))}}
