@@ -143,6 +143,30 @@ def test_base_spans_are_those_of_the_plain_patterns(spark):
     assert clean == {1: "mail [EMAIL] or [PHONE]!", 2: None, 3: "none"}
 
 
+def private_rows(n, ips=10):
+    """Texts with base spans, of which one in ``ips`` holds an address, and structurally wrong numbers."""
+    rng, rows = random.Random(12), []
+    for i in range(n):
+        card = "4" + "".join(rng.choice("0123456789") for _ in range(14))
+        card += next(c for c in "0123456789" if luhn(card + c))
+        bits = [f"{rng.choice(WORDS)}.{i}@mail{i % 7}.example.com", f"+1 ({rng.randrange(200, 999)}) 555-{rng.randrange(1000, 9999)}", card, f"19{i % 90 + 10}-0{i % 9 + 1}-1{i % 9}", f"{i}.{i + 12345678}"]
+        bits += [f"4111 1111 1111 {1112 + i % 5}", f"00:1A:2B:3C:4D:{i % 90 + 10}"] + ([f"10.{i % 250}.7.{i % 99}", f"300.1.1.{i}"] if i % ips == 0 else [])
+        rows.append((i, " ".join(f"{prose(i, 3)} {b}, " for b in bits)))
+    return rows
+
+
+PLANTED = ["ann.lee (at) mail3.example (dot) com", "(988) 555-2485", "988-555-2485", "2001:db8:85a3:0:0:8a2e:370:7334", "4111.1111.1111.1111"]
+WRONG = ["2024-01-15", "3.14159265", "4111.1111.1111.1112", "00:1A:2B:3C:4D:5E"]
+
+
+def test_spans_without_their_base_mark_are_found(spark):
+    rows = private_rows(300) + [(1000 + i, f"garden river {s}, house") for i, s in enumerate(PLANTED + WRONG)]
+    d = docs(spark, rows)
+    got = {r["doc_id"] - 1000: r["text"] for r in pii.redact(d, pii.fit(d)).where("doc_id >= 1000").collect()}
+    want = [f"garden river [{k}], house" for k in ("EMAIL", "PHONE", "PHONE", "IP", "CARD")] + [f"garden river {s}, house" for s in WRONG]
+    assert [got[i] for i in range(len(want))] == want
+
+
 def test_nearest_neighbours_by_brute_force(spark):
     rng = np.random.default_rng(2)
     centres = rng.normal(size=(12, 32))

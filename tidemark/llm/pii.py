@@ -2,8 +2,8 @@
 
 Base patterns find e-mail addresses, IP addresses, card and phone numbers. Generators with
 high recall propose more spans, which may overlap: written-out addresses, numbers in other
-groupings, long IP addresses. Trees, boosted on what the base patterns confirm and reject, look
-at a candidate's format and context, and a threshold for each kind picks those to redact. All
+groupings, long IP addresses. Trees, boosted on base spans in those spellings and on what the base
+patterns or its form rule out, look at a candidate's format and context, and a threshold for each kind picks those to redact. All
 work on a text is one projection of built-in functions; nothing is shuffled.
 """
 
@@ -45,6 +45,9 @@ DIGITS = {"card": (12, 19), "phone": (7, 15)}
 #: Bounds of the fit: documents and candidates that are read at most, those that hash lowest.
 SAMPLE_DOCUMENTS, SAMPLE_ROWS = 5_000, 20_000
 ROUNDS, DEPTH, SEED, PRECISION = 12, 3, 3, 0.95
+#: Spellings of examples: the @ and the dots of an address, the marks between groups of digits.
+WRITTEN_AT, WRITTEN_DOT, MARKS = (" (at) ", "(at)", " [at] ", "[at]", "{at}", " (@) "), (".", " (dot) ", "[dot]", " {dot} "), (" ", "-", ".", "/", "  ")
+_DATE = r"^(?:[0-9]{4}([-./])[0-9]{1,2}\1[0-9]{1,2}|[0-9]{1,2}([-./])[0-9]{1,2}\2[0-9]{4})(?: [0-9]{1,2})?$"
 _SPAN = "array<struct<start: int, `end`: int, s: string>>"
 
 
@@ -125,9 +128,9 @@ def _as_kind(matches: Column, kind: int) -> Column:
     return F.transform(matches, lambda m: F.struct(m["start"].alias("start"), F.lit(kind).alias("kind"), m["end"].alias("end"), m["s"].alias("s")))
 
 
-def _checked(text: Column, kind: int, right: bool) -> Column:
-    """The base matches of a kind that are confirmed, or those that are not."""
-    return _as_kind(F.filter(spans(text, BASE[KINDS[kind]]), lambda m: confirmed(KINDS[kind], m["s"]) == F.lit(right)), kind)
+def _checked(text: Column, kind: int) -> Column:
+    """The base matches of a kind that are confirmed."""
+    return _as_kind(F.filter(spans(text, BASE[KINDS[kind]]), lambda m: confirmed(KINDS[kind], m["s"])), kind)
 
 
 def _of_size(matches: Column, low: int, high: int) -> Column:
@@ -136,7 +139,7 @@ def _of_size(matches: Column, low: int, high: int) -> Column:
 
 def base_spans(text: Column) -> Column:
     """Confirmed base spans of all kinds: array of (start, kind, end, s), kind as a number."""
-    return F.concat(*(_checked(text, kind, True) for kind in range(len(KINDS))))
+    return F.concat(*(_checked(text, kind) for kind in range(len(KINDS))))
 
 
 def candidate_spans(text: Column) -> Column:
@@ -169,12 +172,93 @@ class PiiModel:
         return F.get(F.array(*(F.lit(t) for t in self.thresholds)), kind)
 
 
+def _unmarked(kind: int, c: Column) -> Column:
+    """The spellings that the generators look for, made from a confirmed base span ``c``: array of strings."""
+    s = c["s"]
+    if KINDS[kind] == "email":
+        name, host = F.substring_index(s, "@", 1), F.substring_index(s, "@", -1)
+        return F.array(*(F.concat(name, F.lit(at), F.replace(host, F.lit("."), F.lit(dot))) for at in WRITTEN_AT for dot in WRITTEN_DOT))
+    if KINDS[kind] == "ip":
+        return _let(F.md5(F.concat_ws("/", s, c["start"].cast("string"))), lambda h: _let(F.transform(F.sequence(F.lit(0), F.lit(7)), lambda i: F.substring(h, i * 4 + 1, F.lit(4))), _long_addresses))
+    if KINDS[kind] == "card":
+        return F.array(s, *(F.regexp_replace(_digits(s), "([0-9]{4})(?=[0-9])", f"$1{mark}") for mark in ("", *MARKS)))
+    short = F.regexp_replace(s, r"^\+[0-9]{1,3}[\x20.-]*", "")
+    numbers = [F.substring(s, 2, 1 << 20), short, F.concat(F.lit("0"), F.regexp_replace(short, "^[^0-9]+", ""))]
+    spelled_ = [n if mark is None else F.array_join(F.regexp_extract_all(n, F.lit("[0-9]+"), F.lit(0)), mark) for n in numbers for mark in (None, *MARKS)]
+    return F.filter(F.array(*spelled_), lambda n: F.char_length(_digits(n)).between(*DIGITS["phone"]))
+
+
+def _long_addresses(g: Column) -> Column:
+    """Spellings of a long IP address with the eight groups of an array: whole, of digits, short groups, mostly zeros."""
+    whole, zero = F.array_join(g, ":"), F.lit("0")
+
+    def part(i: int, n: int = 4) -> Column:
+        return F.substring(g[i], 1, n)
+
+    short = F.concat_ws(":", part(0), part(1, 3), part(2, 2), zero, zero, part(5, 3), part(6, 1), part(7))
+    return F.array(whole, F.translate(whole, "abcdef", "012345"), short, F.concat_ws(":", part(0), part(1, 3), zero, zero, zero, zero, zero, part(7, 1)))
+
+
+def _impossible(c: Column, after: Column) -> Column:
+    """Whether a candidate cannot be of its kind, whatever it means: its form alone tells."""
+    s, groups = c["s"], F.size(F.split(c["s"], ":"))
+    runs_on = after.rlike(r"^[\p{L}_]")
+    return (
+        F.when(c["kind"] == 0, ~s.rlike("(?i)(?:[a-z]{2,}|xn--[a-z0-9-]+)$"))
+        .when(c["kind"] == 1, runs_on | (groups < 8) & (after != ":") | (groups == 8) & (after == ":"))
+        .when(c["kind"] == 2, runs_on | ~F.call_function("luhn_check", _digits(s)))
+        .otherwise(runs_on | s.rlike(_DATE) | s.rlike(r"^[0-9]+\.[0-9]+$"))
+    )
+
+
+def examples(text: Column) -> Column:
+    """The labelled examples of a text: array of (start, end, s, kind, label)."""
+
+    def labelled(matches: Column, kind: Callable[[Column], Column], label: float) -> Column:
+        return F.transform(matches, lambda c: F.struct(c["start"].alias("start"), c["end"].alias("end"), c["s"].alias("s"), kind(c).alias("kind"), F.lit(label).alias("label")))
+
+    def of(found: Column) -> Column:
+        def sides(base: Column) -> Column:
+            def away(matches: Column) -> Column:
+                return F.filter(matches, lambda c: ~F.exists(base, lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"])))
+
+            right = [
+                F.flatten(F.transform(F.filter(base, lambda c: c["kind"] == kind), lambda c: F.transform(_unmarked(kind, c), lambda s: F.struct(
+                    c["start"].alias("start"), c["end"].alias("end"), s.alias("s"), c["kind"].alias("kind"), F.lit(1.0).alias("label"),
+                ))))
+                for kind in range(len(KINDS))
+            ]
+            other = labelled(F.filter(base, lambda c: c["kind"] > 1), lambda c: 5 - c["kind"], 0.0)
+            rejected = away(F.filter(found, lambda c: ~c["ok"]))
+            impossible = away(F.filter(candidate_spans(text), lambda c: _impossible(c, F.substring(text, c["end"] + 1, F.lit(1)))))
+            return F.concat(*right, other, *(labelled(x, lambda c: c["kind"], 0.0) for x in (rejected, impossible)))
+
+        return _let(F.filter(found, lambda c: c["ok"]), sides)
+
+    def checked(kind: int) -> Column:
+        return F.transform(spans(text, BASE[KINDS[kind]]), lambda m: F.struct(
+            m["start"].alias("start"), F.lit(kind).alias("kind"), m["end"].alias("end"), m["s"].alias("s"), F.coalesce(confirmed(KINDS[kind], m["s"]), F.lit(False)).alias("ok"),
+        ))
+
+    return _let(F.concat(*(checked(kind) for kind in range(len(KINDS)))), of)
+
+
+def _example_rows(documents: DataFrame) -> DataFrame:
+    """(kind, label, f, h) of every example in the texts ``_t``; ``h`` is the same for all spellings of one span."""
+    rows = documents.select("_t", F.explode(examples(F.col("_t"))).alias("c")).select("_t", "c.*")
+    before, after = _context(F.col("_t"), F.col("start"), F.col("end"))
+    return rows.select("kind", "label", F.array(*_features(F.col("kind"), F.col("s"), before, after)).alias("f"), F.xxhash64("_t", "start", "kind").alias("h"))
+
+
 def fit(documents: DataFrame, key: str = "doc_id", text: str = "text", sample_documents: int = SAMPLE_DOCUMENTS, sample_rows: int = SAMPLE_ROWS) -> PiiModel:
     """Learn from what the base patterns confirm and reject in a bounded sample of documents.
 
-    A confirmed span without its tell-tale mark (the plus and country code of a phone number,
-    the @ of an address) is an example of its kind, and none of the other number kind. What
-    base patterns or generators find away from confirmed spans is an example of none. A kind's
+    A confirmed span in the spellings that the generators look for (an address with the @
+    written out, a number in other groupings or without its plus, a long IP address in its
+    place) is an example of its kind, and none of the other number kind. What base patterns
+    find and reject, and what cannot be of its kind by its form (no Luhn number, a date, a
+    decimal, a wrong count of groups), is an example of none. Other finds of the generators are
+    not known to be right or wrong, and no examples. A kind's
     threshold is the lowest score from which on at least ``PRECISION`` of the examples of one
     half, kept apart from the fit, are right; a kind without such a score takes no candidate.
     Without examples of both sorts no candidate is taken at all.
@@ -183,15 +267,7 @@ def fit(documents: DataFrame, key: str = "doc_id", text: str = "text", sample_do
     docs = documents.select(F.col(key).alias("_id"), text_or_empty(text).alias("_t"))
     chosen = first_by_hash(docs.where(F.col("_id").isNotNull()).select("_id").distinct(), "_id", sample_documents)
     # at most sample_documents ids are broadcast
-    docs = docs.join(F.broadcast(chosen), "_id").select("_t", base_spans(F.col("_t")).alias("base"), candidate_spans(F.col("_t")).alias("more"))
-    rejected = F.concat(*(_checked(F.col("_t"), kind, False) for kind in range(len(KINDS))))
-    plain = F.when(F.col("c.kind") == 3, F.regexp_replace("c.s", r"^\+[0-9]{1,3}[\x20.-]*", "")).when(F.col("c.kind") == 0, F.regexp_replace("c.s", "@", " (at) ")).otherwise(F.col("c.s"))
-    right = docs.select("_t", F.explode("base").alias("c")).select("_t", "c.start", "c.end", plain.alias("s"), F.col("c.kind").alias("kind"), F.lit(1.0).alias("label"))
-    other = right.where("kind > 1").withColumns({"kind": 5 - F.col("kind"), "label": F.lit(0.0)})
-    away = F.filter(F.concat("more", rejected), lambda c: ~F.exists("base", lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"])))
-    wrong = docs.select("_t", F.explode(away).alias("c")).select("_t", "c.start", "c.end", "c.s", "c.kind", F.lit(0.0).alias("label"))
-    before, after = _context(F.col("_t"), F.col("start"), F.col("end"))
-    rows = right.unionAll(other).unionAll(wrong).select("kind", "label", F.array(*_features(F.col("kind"), F.col("s"), before, after)).alias("f"), F.xxhash64("_t", "start", "kind").alias("h"))
+    rows = _example_rows(docs.join(F.broadcast(chosen), "_id").select("_t"))
     rows = written(rows.orderBy("h", "label").limit(sample_rows), "span-sample").coalesce(2)
     train = rows.where("h % 2 = 0")
     if train.select("label").distinct().count() < 2:
