@@ -167,6 +167,16 @@ def test_spans_without_their_base_mark_are_found(spark):
     assert [got[i] for i in range(len(want))] == want
 
 
+def test_thresholds_follow_from_all_documents(spark):
+    ids = [r["id"] for r in spark.range(20_000).orderBy(F.xxhash64("id").desc()).limit(40).collect()]  # far from the ids that hash lowest
+    rare = dict(zip(ids, (t for _, t in private_rows(40, ips=1))))
+    planted = [(20_000 + i, f"garden river {s}, house") for i, s in enumerate(PLANTED)]
+    model = pii.fit(docs(spark, [(i, rare.get(i, "none")) for i in range(20_000)]))
+    assert model.trees and all(t <= 1.0 for t in model.thresholds)
+    got = [r["spans"].split(":")[0] for r in pii.find_personal_data(docs(spark, planted), model).orderBy("doc_id").collect()]
+    assert got == ["email", "phone", "phone", "ip", "card"]
+
+
 def test_nearest_neighbours_by_brute_force(spark):
     rng = np.random.default_rng(2)
     centres = rng.normal(size=(12, 32))

@@ -14,10 +14,11 @@ from dataclasses import dataclass
 
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.functions import array_to_vector
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from tidemark.llm.common import first_by_hash, text_or_empty
+from tidemark.llm.common import text_or_empty
 from tidemark.llm.trees import Node, trees_of
+from tidemark.operators.ordered import top_k_per_key
 from tidemark.session import written
 
 KINDS = ("email", "ip", "card", "phone")
@@ -42,8 +43,8 @@ CONTEXT = {
 FEATURES = ("kind", "digits", "length", "groups", "longest_group", "marks", "paren", "luhn", "leading_zero", "letter_before", "letter_after", "own_context", "other_context")
 #: Digits of a number that is proposed as a card or phone number.
 DIGITS = {"card": (12, 19), "phone": (7, 15)}
-#: Bounds of the fit: documents and candidates that are read at most, those that hash lowest.
-SAMPLE_DOCUMENTS, SAMPLE_ROWS = 5_000, 20_000
+#: Bound of the fit: different examples that the trees see at most; the thresholds follow from all.
+SAMPLE_ROWS = 20_000
 ROUNDS, DEPTH, SEED, PRECISION = 12, 3, 3, 0.95
 #: Spellings of examples: the @ and the dots of an address, the marks between groups of digits.
 WRITTEN_AT, WRITTEN_DOT, MARKS = (" (at) ", "(at)", " [at] ", "[at]", "{at}", " (@) "), (".", " (dot) ", "[dot]", " {dot} "), (" ", "-", ".", "/", "  ")
@@ -250,40 +251,40 @@ def _example_rows(documents: DataFrame) -> DataFrame:
     return rows.select("kind", "label", F.array(*_features(F.col("kind"), F.col("s"), before, after)).alias("f"), F.xxhash64("_t", "start", "kind").alias("h"))
 
 
-def fit(documents: DataFrame, key: str = "doc_id", text: str = "text", sample_documents: int = SAMPLE_DOCUMENTS, sample_rows: int = SAMPLE_ROWS) -> PiiModel:
-    """Learn from what the base patterns confirm and reject in a bounded sample of documents.
+def fit(documents: DataFrame, text: str = "text", sample_rows: int = SAMPLE_ROWS) -> PiiModel:
+    """Learn from what the base patterns confirm and reject in all documents.
 
     A confirmed span in the spellings that the generators look for (an address with the @
     written out, a number in other groupings or without its plus, a long IP address in its
     place) is an example of its kind, and none of the other number kind. What base patterns
     find and reject, and what cannot be of its kind by its form (no Luhn number, a date, a
     decimal, a wrong count of groups), is an example of none. Other finds of the generators are
-    not known to be right or wrong, and no examples. A kind's
-    threshold is the lowest score from which on at least ``PRECISION`` of the examples of one
-    half, kept apart from the fit, are right; a kind without such a score takes no candidate.
-    Without examples of both sorts no candidate is taken at all.
+    not known to be right or wrong, and no examples.
+
+    Examples are counted by their features, so that one pass over the texts serves all. The
+    trees see at most ``sample_rows`` different ones of one half, dealt evenly to kinds and
+    labels, each of which weighs the same in all. A kind's threshold is the lowest score from
+    which on at least ``PRECISION`` of all examples of the other half are right; a kind without
+    such a score takes no candidate. Without examples of both sorts no candidate is taken at all.
     """
     never = PiiModel((), (), (2.0,) * len(KINDS))
-    docs = documents.select(F.col(key).alias("_id"), text_or_empty(text).alias("_t"))
-    chosen = first_by_hash(docs.where(F.col("_id").isNotNull()).select("_id").distinct(), "_id", sample_documents)
-    # at most sample_documents ids are broadcast
-    rows = _example_rows(docs.join(F.broadcast(chosen), "_id").select("_t"))
-    rows = written(rows.orderBy("h", "label").limit(sample_rows), "span-sample").coalesce(2)
-    train = rows.where("h % 2 = 0")
-    if train.select("label").distinct().count() < 2:
+    half = (F.col("h") % 2 == 0).alias("fitted")
+    counts = _example_rows(documents.select(text_or_empty(text).alias("_t"))).groupBy("kind", "label", "f", half).agg(F.count("*").alias("n"))
+    counts = written(counts, "span-examples")
+    sorts = counts.where("fitted").groupBy("kind", "label").agg(F.sum("n").alias("all"))  # at most two a kind
+    if sorts.select("label").distinct().count() < 2:
         return never
-    fitted = GBTClassifier(maxIter=ROUNDS, maxDepth=DEPTH, seed=SEED).fit(train.sortWithinPartitions("h", "label").select("label", array_to_vector("f").alias("features")))
+    h = F.xxhash64("f")
+    dealt = top_k_per_key(counts.where("fitted"), ["kind", "label"], [h, F.col("f")], sample_rows).orderBy("rank", "kind", "label").limit(sample_rows)
+    train = written(dealt.join(F.broadcast(sorts), ["kind", "label"]).select("rank", "kind", "label", "f", (F.col("n") / F.col("all")).alias("weight")), "span-sample").coalesce(2)
+    train = train.sortWithinPartitions("rank", "kind", "label").select("label", "weight", array_to_vector("f").alias("features"))
+    fitted = GBTClassifier(maxIter=ROUNDS, maxDepth=DEPTH, seed=SEED, weightCol="weight").fit(train)
     model = PiiModel(tuple(trees_of(fitted)), tuple(fitted.treeWeights), never.thresholds)
-    checked = rows.where("h % 2 != 0").select("kind", "label", model.score(F.col("f")).alias("score")).collect()  # at most sample_rows
-    thresholds = []
-    for kind in range(len(KINDS)):
-        own, best, right_so_far, seen = sorted(((r["score"], r["label"]) for r in checked if r["kind"] == kind), reverse=True), 2.0, 0.0, 0
-        for i, (score, label) in enumerate(own):
-            right_so_far, seen = right_so_far + label, seen + 1
-            if (i + 1 == len(own) or own[i + 1][0] < score) and right_so_far >= PRECISION * seen:
-                best = score
-        thresholds.append(best)
-    return PiiModel(model.trees, model.weights, tuple(thresholds))
+    scores = counts.where("not fitted").groupBy("kind", model.score(F.col("f")).alias("score")).agg(F.sum("n").alias("seen"), F.sum(F.col("n") * F.col("label")).alias("right"))
+    down = Window.partitionBy("kind").orderBy(F.desc("score"))  # one row for each score that the trees give
+    running = scores.select("kind", "score", F.sum("seen").over(down).alias("seen"), F.sum("right").over(down).alias("right"))
+    best = {r["kind"]: r["best"] for r in running.where(F.col("right") >= PRECISION * F.col("seen")).groupBy("kind").agg(F.min("score").alias("best")).collect()}
+    return PiiModel(model.trees, model.weights, tuple(best.get(kind, 2.0) for kind in range(len(KINDS))))
 
 
 def with_spans(documents: DataFrame, model: PiiModel, text: str = "text") -> DataFrame:
