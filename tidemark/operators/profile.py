@@ -112,13 +112,15 @@ def outlier_counts(df: DataFrame, columns: Sequence[str], k: float = 3.0) -> Dat
     return joined.agg(*aggs).select(F.inline(F.array(*[F.col(c) for c in columns])))
 
 
-def outlier_rows(df: DataFrame, columns: Sequence[str], key: Sequence[str], k: float = 3.0, per_column: int = 100) -> DataFrame:
-    """First outlying rows of each column by key: ``(column_name, key…, value)``."""
+def outlier_rows(df: DataFrame, columns: Sequence[str], key: Sequence[str], k: float = 3.0, per_column: int | None = None) -> DataFrame:
+    """Outlying rows of each column, or the first ``per_column`` of them by key: ``(column_name, key…, value)``."""
     q = column_quantiles(df, columns, [0.25, 0.75])
     cells = long_values(df, columns, key)
     low, high = F.col("q")[0], F.col("q")[1]
     spread = high - low
     hits = cells.join(q, "column_name").filter((F.col("value") < low - k * spread) | (F.col("value") > high + k * spread))
+    if per_column is None:
+        return hits.select("column_name", *key, "value")
     return top_k_per_key(hits.drop("q"), ["column_name"], [F.asc(c) for c in key], per_column).drop("rank")
 
 

@@ -180,6 +180,15 @@ def _(t):
     return gov.pending_cases(cases(t), "rev3", 200)
 
 
+@query(
+    "k2_pending_queue_whole",
+    "case_id:l priority:l created_at:t",
+    f"""WITH {CASES} SELECT case_id, priority, created_at FROM q WHERE status IN ('PENDING', 'ASSIGNED', 'IN_REVIEW') AND assigned_to = 'rev3'""",
+)
+def _(t):
+    return gov.pending_cases(cases(t), "rev3")
+
+
 @query(
     "a22_g14_queue_statistics",
     "section:s key:s value:d",
@@ -340,6 +349,15 @@ def _(t):
     return tables.history(t.orders, {"o_orderstatus": "F", "o_orderpriority": None}, "o_orderdate", "1996-01-01", "1997-06-30", ["o_orderkey"], 100)
 
 
+@query(
+    "v17_history_filters_whole",
+    "o_orderkey:l o_orderdate:t",
+    """SELECT o_orderkey, o_orderdate FROM orders WHERE o_orderstatus = 'F' AND o_orderdate BETWEEN TIMESTAMP '1996-01-01' AND TIMESTAMP '1997-06-30'""",
+)
+def _(t):
+    return tables.history(t.orders, {"o_orderstatus": "F", "o_orderpriority": None}, "o_orderdate", "1996-01-01", "1997-06-30", ["o_orderkey"])
+
+
 # -- overrides -------------------------------------------------------------------------------
 
 

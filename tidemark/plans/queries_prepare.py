@@ -107,6 +107,11 @@ def _(t):
     return tables.lookup(t.orders, {"o_orderpriority": "1-URGENT"}, ["o_orderdate", "o_orderkey"], 100)
 
 
+@query("s16_lookup_newest_whole", "o_orderkey:l o_orderdate:t", "SELECT o_orderkey, o_orderdate FROM orders WHERE o_orderpriority = '1-URGENT'")
+def _(t):
+    return tables.lookup(t.orders, {"o_orderpriority": "1-URGENT"}, ["o_orderdate", "o_orderkey"])
+
+
 # -- validation ----------------------------------------------------------------------------
 
 # Survey records built from events: the number in ``props`` drives which rules break.

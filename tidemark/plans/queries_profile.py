@@ -167,6 +167,16 @@ def _(t):
     SELECT 'value' AS column_name, event_id, value FROM events, q WHERE value < a - 3 * (b - a) OR value > b + 3 * (b - a)
     ORDER BY event_id LIMIT 100""",
 )
+def _(t):
+    return profile.outlier_rows(t.events, ["value"], ["event_id"], per_column=100)
+
+
+@query(
+    "d2_outlier_rows_whole",
+    "column_name:s event_id:l value:d",
+    """WITH q AS (SELECT quantile_cont(value, 0.25) AS a, quantile_cont(value, 0.75) AS b FROM events)
+    SELECT 'value' AS column_name, event_id, value FROM events, q WHERE value < a - 3 * (b - a) OR value > b + 3 * (b - a)""",
+)
 def _(t):
     return profile.outlier_rows(t.events, ["value"], ["event_id"])
 
