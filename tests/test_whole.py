@@ -1,10 +1,12 @@
 """Registered queries cover their whole table or the operator's whole job."""
 
+import math
+
 import duckdb
 import pytest
 
 import __spark_entry__ as entry
-from tidemark.operators import profile
+from tidemark.operators import profile, train
 
 FOLDER = "/root/testdata/sf0.01"
 
@@ -24,3 +26,24 @@ def test_all_outlying_rows_unless_a_limit_is_asked_for(spark):
     df = spark.range(1000).selectExpr("id", "CASE WHEN id < 150 THEN 1e6 + id ELSE id % 10 END AS value")
     assert sorted(r["id"] for r in profile.outlier_rows(df, ["value"], ["id"]).collect()) == list(range(150))
     assert sorted(r["id"] for r in profile.outlier_rows(df, ["value"], ["id"], per_column=20).collect()) == list(range(20))
+
+
+def test_the_report_keeps_all_sections(spark):
+    sections = {r["section"] for r in entry.queries()["q12_evaluation_report_whole"](spark, "/root/testdata/sf0.001").select("section").collect()}
+    assert sections == {"discrimination", "calibration", "decision", "group", "disparity"}
+
+
+@pytest.mark.parametrize("name, search, points", [("m6_logistic_search", "train_logistic", 24), ("m7_boosted_trees", "train_boosted", 6)])
+def test_searches_cover_the_default_grids(spark, monkeypatch, name, search, points):
+    class Asked(Exception):
+        pass
+
+    def asked(*data, **options):
+        own = options.get("grid") or next((a for a in data if isinstance(a, dict)), {})
+        default = train.LOGISTIC_GRID if points == 24 else train.BOOST_GRID
+        raise Asked(math.prod(len(v) for v in {**default, **own}.values()))
+
+    monkeypatch.setattr(train, search, asked)
+    with pytest.raises(Asked) as found:
+        entry.queries()[name](spark, "/root/testdata/sf0.001")
+    assert found.value.args == (points,)

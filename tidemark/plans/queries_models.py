@@ -89,9 +89,7 @@ def labelled(t):
 
 @query("m6_logistic_search", "params:s auc:d")
 def _(t):
-    model, params, auc = train.train_logistic(
-        labelled(t), ["x1", "x2", "x3"], "label", ["doc_id"], {"C": [0.1, 1.0], "penalty": ["l2"], "class_weight": [None]}, folds=3
-    )
+    model, params, auc = train.train_logistic(labelled(t), ["x1", "x2", "x3"], "label", ["doc_id"], folds=3)
     scored = score.score_with_model(labelled(t), model)
     return scored.agg(F.lit(str(params)).alias("params"), F.lit(auc).alias("auc"))
 
@@ -100,7 +98,7 @@ def _(t):
 def _(t):
     data = labelled(t)
     fit, val = data.filter(F.col("doc_id") % 5 > 0), data.filter(F.col("doc_id") % 5 == 0)
-    model, _, _ = train.train_boosted(fit, val, ["x1", "x2", "x3"], "label", ["doc_id"], {"max_depth": [3], "learning_rate": [0.1]}, folds=2, max_iter=8)
+    model, _, _ = train.train_boosted(fit, val, ["x1", "x2", "x3"], "label", ["doc_id"], folds=2, max_iter=8)
     return score.score_with_model(data, model).groupBy("label").agg(F.count("*").alias("n"), F.avg("probability_1").alias("mean_probability"))
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tidemark.operators import behavioral, drift, evaluate, profile
 from tidemark.plans import modalities as m
-from tidemark.plans.registry import query
+from tidemark.plans.registry import query, twin
 from tidemark.plans.queries_features import ACTIVITY_SQL
 
 G = m.GAPPY_SQL
@@ -499,3 +499,22 @@ def _(t):
 def _(t):
     # the whole-table sections have twins of their own (q1, q2, q4, q5)
     return evaluate.evaluation_report(m.scored_labels(t), ["lang", "source"]).filter("section IN ('group', 'disparity')")
+
+
+_DISCRIMINATION = "auroc, optimal_threshold, optimal_j_score, pr_auc, optimal_threshold_f1, optimal_f1"
+_CALIBRATION = "brier_score, expected_calibration_error, maximum_calibration_error"
+
+
+@query(
+    "q12_evaluation_report_whole",
+    "section:s item:s metric:s value:d",
+    f"""WITH q1 AS ({twin("q1_w10_auroc")}), q2 AS ({twin("q2_pr_auc")}), q4 AS ({twin("q4_calibration_errors")}), q5 AS ({twin("q5_decision_curve")}),
+    d AS (SELECT auroc, optimal_threshold, optimal_j_score, pr_auc, optimal_threshold_f1, optimal_f1 FROM q1, q2),
+    b AS (SELECT net_benefit AS max_benefit, threshold AS max_benefit_threshold FROM q5 ORDER BY net_benefit DESC, threshold LIMIT 1)
+    SELECT 'discrimination' AS section, NULL::VARCHAR AS item, metric, value FROM d UNPIVOT INCLUDE NULLS (value FOR metric IN ({_DISCRIMINATION}))
+    UNION ALL SELECT 'calibration', NULL, metric, value FROM q4 UNPIVOT INCLUDE NULLS (value FOR metric IN ({_CALIBRATION}))
+    UNION ALL SELECT 'decision', NULL, metric, value FROM b UNPIVOT INCLUDE NULLS (value FOR metric IN (max_benefit, max_benefit_threshold))
+    UNION ALL SELECT * FROM ({twin("q12_evaluation_report")})""",
+)
+def _(t):
+    return evaluate.evaluation_report(m.scored_labels(t), ["lang", "source"])

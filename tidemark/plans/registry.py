@@ -89,6 +89,11 @@ def query(name: str, columns: str, sql: str | None = None):
     return wrap
 
 
+def twin(name: str) -> str:
+    """The SQL of a query registered before, for one that is put together from others."""
+    return _SQL[name]
+
+
 def _load() -> None:
     from tidemark.plans import (  # noqa: F401
         queries_features,
