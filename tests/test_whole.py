@@ -1,12 +1,13 @@
 """Registered queries cover their whole table or the operator's whole job."""
 
 import math
+import random
 
 import duckdb
 import pytest
 
 import __spark_entry__ as entry
-from tidemark.operators import profile, train
+from tidemark.operators import profile, split, train
 
 FOLDER = "/root/testdata/sf0.01"
 
@@ -47,3 +48,17 @@ def test_searches_cover_the_default_grids(spark, monkeypatch, name, search, poin
     with pytest.raises(Asked) as found:
         entry.queries()[name](spark, "/root/testdata/sf0.001")
     assert found.value.args == (points,)
+
+
+@pytest.mark.parametrize("scales, copies", [((1.0, 1000.0), 0), ((1.0, 1.0, 1.0, 1.0), 40)])
+def test_near_neighbours_are_those_of_brute_force(spark, scales, copies):
+    rng, k = random.Random(8), 5
+    x = [[rng.gauss(0, s) for s in scales] for _ in range(300)]
+    x[:copies] = [x[0]] * copies
+    names = [f"x{i}" for i in range(len(scales))]
+    df = spark.createDataFrame([(i, *p) for i, p in enumerate(x)], ["id", *names])
+    got = {}
+    for r in split.near_neighbours(df, names, "id", k).collect():
+        got.setdefault(r["_id"], []).append(math.dist(x[r["_id"]], r["_nx"]))
+    for i, p in enumerate(x):
+        assert sorted(got[i]) == pytest.approx(sorted(math.dist(p, q) for j, q in enumerate(x) if j != i)[:k])

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import random
 from collections.abc import Sequence
 from functools import reduce
@@ -9,6 +10,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, functions as F
 
 from tidemark.operators.ordered import hash_rank, literal, nth_in_order, order_index, top_k_per_key
+from tidemark.session import checkpointed
 
 MINORITY_THRESHOLD = 0.2
 MAX_CLASSES = 10_000
@@ -64,29 +66,51 @@ def undersample(df: DataFrame, label: str, id_cols: Sequence[str], seed: int = 4
 
 
 def near_neighbours(df: DataFrame, features: Sequence[str], id_col: str, k: int = 5, directions: int = 3, seed: int = 42) -> DataFrame:
-    """``(id, rank, neighbour features)``: the nearest of the rows next to each row on random lines.
+    """``(id, rank, neighbour features)``: the k nearest of all other rows, exactly.
 
-    Along each line a row meets its k neighbours on either side through an equi-join on
-    positions, so the work is linear and copies of one row cannot form a hot bucket.
-    Approximate by design, as the neighbours only seed synthetic rows.
+    The neighbours of a row on random lines bound how far its k nearest can be. Rows are cut
+    into blocks along the first line, and a row is compared with all rows of those blocks whose
+    stretch of the line and box of values come nearer than its bound. Copies of one row bound
+    each other by zero and visit no block. Where boxes tell little (many features), most blocks
+    are visited and the work grows with the square of the rows.
     """
     rng = random.Random(seed)
     base = df.select(F.col(id_col).alias("_id"), F.array(*[F.col(c).cast("double") for c in features]).alias("_x"))
-    candidates = []
+    candidates, lines = [], []
     n = base.count()
     reach = min(k, max((n - 1) // 2, 1))
     offsets = F.array(*[F.lit(d) for d in range(-reach, reach + 1) if d != 0])
     for _ in range(directions):
         weights = [rng.gauss(0, 1) for _ in features]
-        line = sum((F.col("_x")[i] * w for i, w in enumerate(weights)), F.lit(0.0))
-        placed = order_index(base.withColumn("_p", line), "_p", ["_id"], "_at").drop("_p")
+        length = math.hypot(*weights)
+        line = sum((F.col("_x")[i] * (w / length) for i, w in enumerate(weights)), F.lit(0.0))
+        placed = order_index(base.withColumn("_p", line), "_p", ["_id"], "_at")
+        lines.append(placed)
         asks = placed.select("_id", "_x", F.explode(offsets).alias("_d"), "_at").withColumn("_at", F.pmod(F.col("_at") + F.col("_d"), F.lit(n)))
         other = placed.select(F.col("_at"), F.col("_id").alias("_nid"), F.col("_x").alias("_nx"))
         candidates.append(asks.join(other, "_at").filter("_id != _nid").select("_id", "_x", "_nid", "_nx"))
-    pairs = reduce(lambda a, b: a.unionByName(b), candidates).dropDuplicates(["_id", "_nid"])
     gap = F.aggregate(F.zip_with("_x", "_nx", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, v: s + v)
-    near = top_k_per_key(pairs.withColumn("_gap", gap), ["_id"], [F.asc("_gap"), F.asc("_nid")], k)
-    return near.select("_id", "rank", "_nx")
+    order = [F.asc("_gap"), F.asc("_nid")]
+    seen = reduce(lambda a, b: a.unionByName(b), candidates).dropDuplicates(["_id", "_nid"]).withColumn("_gap", gap)
+    first = checkpointed(top_k_per_key(seen, ["_id"], order, k).select("_id", "_nid", "_nx", "_gap"))
+
+    far = F.lit(float("inf"))
+    bounds = first.groupBy("_id").agg(F.when(F.count("*") >= k, F.max("_gap")).otherwise(far).alias("_bound"))
+    placed = checkpointed(lines[0].withColumn("_block", F.floor(F.col("_at") / max(64, math.isqrt(n)))))
+    boxes = placed.groupBy("_block").agg(
+        F.min("_p").alias("_from"), F.max("_p").alias("_to"), *(f(F.col("_x")[i]).alias(f"{name}{i}") for i in range(len(features)) for f, name in ((F.min, "_low"), (F.max, "_high")))
+    )
+    asks = placed.select("_id", "_x", "_p").join(bounds, "_id", "left").withColumn("_bound", F.coalesce("_bound", far)).withColumn("_r", F.sqrt("_bound"))
+    # what rounding of the line may hide
+    slack = (F.abs("_p") + F.col("_r")) * 1e-9
+    outside = [F.greatest(F.col(f"_low{i}") - F.col("_x")[i], F.col("_x")[i] - F.col(f"_high{i}"), F.lit(0.0)) for i in range(len(features))]
+    meets = (F.col("_to") >= F.col("_p") - F.col("_r") - slack) & (F.col("_from") <= F.col("_p") + F.col("_r") + slack)
+    visits = asks.join(boxes, meets & (sum((o * o for o in outside), F.lit(0.0)) < F.col("_bound"))).select("_id", "_x", "_bound", "_block")
+    others = placed.select("_block", F.col("_id").alias("_nid"), F.col("_x").alias("_nx"))
+    nearer = visits.join(others, "_block").filter("_id != _nid").withColumn("_gap", gap).filter("_gap < _bound")
+    # what lies within the bound and the bounding rows themselves, each once
+    found = first.unionByName(nearer.select("_id", "_nid", "_nx", "_gap").join(first.select("_id", "_nid"), ["_id", "_nid"], "left_anti"))
+    return top_k_per_key(found, ["_id"], order, k).select("_id", "rank", "_nx")
 
 
 def smote(
@@ -95,7 +119,7 @@ def smote(
     """Original rows plus synthetic minority rows up to the largest class.
 
     Output has the features, the label and ``is_synthetic``. Every synthetic row lies on the
-    segment between a minority row and one of its near neighbours.
+    segment between a minority row and one of its k nearest neighbours.
     """
     counts = class_counts(df, label)
     minority, n = min(counts.items(), key=lambda x: (x[1], str(x[0])))
