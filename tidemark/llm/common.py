@@ -36,6 +36,11 @@ def text_or_empty(column: str | Column) -> Column:
     return F.coalesce(c, F.lit(""))
 
 
+def let(value: Column, then: Callable[[Column], Column]) -> Column:
+    """A value computed once and used many times inside an expression, wherever the optimizer moves it."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
 def first_by_hash(df: DataFrame, key: str, rows: int) -> DataFrame:
     """A bounded sample that repeats: the ``rows`` rows whose key hashes lowest."""
     return df.orderBy(F.xxhash64(key), key).limit(rows)

@@ -14,7 +14,7 @@ from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tidemark.llm.common import first_by_hash, text_or_empty
+from tidemark.llm.common import first_by_hash, let, text_or_empty
 from tidemark.llm.trees import trees_of
 from tidemark.session import written
 
@@ -27,37 +27,52 @@ STATISTICS = (
 )
 
 
-def with_statistics(df: DataFrame, text: str | Column = "text") -> DataFrame:
-    """Add ``_stats``, a struct of doubles over the whole text (null: empty; then all are 0)."""
-    df = df.withColumn("_text", text_or_empty(text))
-    df = df.withColumns({"_words": F.split(F.trim("_text"), r"\s+"), "_lines": F.split("_text", "\n")})
+def statistics(text: str | Column = "text") -> Column:
+    """A struct of doubles over the whole text (null: empty; then all are 0).
 
-    def left(pattern: str) -> Column:
-        return F.char_length(F.regexp_replace("_text", pattern, "")).cast("double")
+    One expression that splits and scans the text once, also where a filter on it is pushed to
+    the scan: what is used more than once is bound by ``let``, and no lambda over the words sees
+    anything but its own elements.
+    """
+
+    def left(t: Column, pattern: str) -> Column:
+        return F.char_length(F.regexp_replace(t, pattern, "")).cast("double")
+
+    def counted(t: Column) -> Column:
+        return F.struct(
+            F.split(F.trim(t), r"\s+").alias("words"), F.split(t, "\n").alias("lines"), F.char_length(t).cast("double").alias("n"), left(t, r"[^\p{L}]+").alias("letters"),
+            left(t, r"[^\p{Lu}]+").alias("upper"), left(t, r"[\p{L}\p{N}\s.,;:'\"()-]+").alias("odd"), left(t, "[^0-9]+").alias("digits"),
+        )
+
+    def sized(c: Column) -> Column:
+        following = F.zip_with(c["words"], F.slice(c["words"], 2, 1 << 30), lambda w, after: w == after)  # null behind the last
+        return F.struct(
+            c["n"].alias("n"), F.greatest(c["n"], F.lit(1.0)).alias("some"), c["letters"].alias("letters"), c["upper"].alias("upper"), c["odd"].alias("odd"), c["digits"].alias("digits"),
+            F.size(c["words"]).cast("double").alias("words"), F.size(c["lines"]).cast("double").alias("lines"), F.size(F.array_distinct(c["words"])).alias("different"),
+            F.size(F.filter(following, lambda same: same)).cast("double").alias("again"), F.size(F.array_distinct(c["lines"])).alias("different_lines"),
+        )
 
-    df = df.withColumns({
-        "_n": F.char_length("_text").cast("double"), "_letters": left(r"[^\p{L}]+"), "_upper": left(r"[^\p{Lu}]+"), "_odd": left(r"[\p{L}\p{N}\s.,;:'\"()-]+"),
-        "_digits": left("[^0-9]+"), "_again": F.size(F.filter("_words", lambda w, i: (i > 0) & (w == F.get(F.col("_words"), i - 1)))).cast("double"),
-    })
-    words, lines, some = F.size("_words").cast("double"), F.size("_lines").cast("double"), F.greatest(F.col("_n"), F.lit(1.0))
-    stats = {
-        "log_words": F.when(F.col("_n") > 0, F.log1p(words)).otherwise(F.lit(0.0)), "word_length": F.col("_n") / words, "letter_share": F.col("_letters") / some,
-        "upper_share": F.col("_upper") / F.greatest(F.col("_letters"), F.lit(1.0)), "symbol_share": F.col("_odd") / some, "digit_share": F.col("_digits") / some,
-        "distinct_share": F.when(F.col("_n") > 0, F.size(F.array_distinct("_words")) / words).otherwise(F.lit(0.0)), "repeat_share": F.col("_again") / words,
-        "words_per_line": F.when(F.col("_n") > 0, words / lines).otherwise(F.lit(0.0)), "repeated_line_share": 1 - F.size(F.array_distinct("_lines")) / lines,
-    }
-    df = df.withColumn("_stats", F.struct(*(stats[name].alias(name) for name in STATISTICS)))
-    return df.drop("_text", "_words", "_lines", "_n", "_letters", "_upper", "_odd", "_digits", "_again")
+    def shares(c: Column) -> Column:
+        words, lines, some, filled = c["words"], c["lines"], c["some"], c["n"] > 0
+        stats = {
+            "log_words": F.when(filled, F.log1p(words)).otherwise(F.lit(0.0)), "word_length": c["n"] / words, "letter_share": c["letters"] / some,
+            "upper_share": c["upper"] / F.greatest(c["letters"], F.lit(1.0)), "symbol_share": c["odd"] / some, "digit_share": c["digits"] / some,
+            "distinct_share": F.when(filled, c["different"] / words).otherwise(F.lit(0.0)), "repeat_share": c["again"] / words,
+            "words_per_line": F.when(filled, words / lines).otherwise(F.lit(0.0)), "repeated_line_share": 1 - c["different_lines"] / lines,
+        }
+        return F.struct(*(stats[name].alias(name) for name in STATISTICS))
+
+    return let(let(let(text_or_empty(text), counted), sized), shares)
 
 
 Rule = tuple[tuple[int, str, float], ...]
 
 
-def holds(rule: Rule, stats: str = "_stats") -> Column:
-    """A rule as a Boolean column."""
+def holds(rule: Rule, stats: Column) -> Column:
+    """A rule as a Boolean column over a struct of statistics."""
     out = None
     for feature, side, cut in rule:
-        value = F.col(f"{stats}.{STATISTICS[feature]}")
+        value = stats[STATISTICS[feature]]
         test = value <= F.lit(cut) if side == "<=" else value > F.lit(cut)
         out = test if out is None else out & test
     return out
@@ -69,12 +84,16 @@ class RuleEnsemble:
     weights: tuple[float, ...]
     intercept: float
 
-    def score(self) -> Column:
-        """The probability of label 1, as one expression over ``_stats``."""
-        logit = F.lit(self.intercept)
-        for rule, weight in zip(self.rules, self.weights, strict=True):
-            logit = logit + F.when(holds(rule), F.lit(weight)).otherwise(F.lit(0.0))
-        return F.lit(1.0) / (F.lit(1.0) + F.exp(-logit))
+    def score(self, text: str | Column = "text") -> Column:
+        """The probability of label 1, as one expression over a text column."""
+
+        def of(stats: Column) -> Column:
+            logit = F.lit(self.intercept)
+            for rule, weight in zip(self.rules, self.weights, strict=True):
+                logit = logit + F.when(holds(rule, stats), F.lit(weight)).otherwise(F.lit(0.0))
+            return F.lit(1.0) / (F.lit(1.0) + F.exp(-logit))
+
+        return let(statistics(text), of)
 
     def described(self) -> list[str]:
         """The rules as text, heaviest first."""
@@ -98,7 +117,7 @@ def fit(documents: DataFrame, labels: DataFrame, key: str = "doc_id", text: str
     known = first_by_hash(known.distinct(), "_id", sample_rows)
     # the sample is broadcast: sample_rows rows at most
     texts = documents.select(F.col(key).alias("_id"), F.col(text).alias("_t")).join(F.broadcast(known), "_id")
-    rows = written(with_statistics(texts, "_t").select("_id", "_stats", F.col("_y").cast("double").alias("label")), "quality-sample")
+    rows = written(texts.select("_id", statistics("_t").alias("_stats"), F.col("_y").cast("double").alias("label")), "quality-sample")
     sizes = {r["label"]: r["count"] for r in rows.groupBy("label").count().collect()}
     ones, total = sizes.get(1.0, 0), sum(sizes.values())
     if len(sizes) < 2:
@@ -108,7 +127,7 @@ def fit(documents: DataFrame, labels: DataFrame, key: str = "doc_id", text: str
     ordered = rows.coalesce(2).sortWithinPartitions("_id").withColumn("features", vector)
     forest = RandomForestClassifier(numTrees=TREES, maxDepth=DEPTH, seed=SEED, subsamplingRate=0.7, minInstancesPerNode=5).fit(ordered)
     rules = list(dict.fromkeys(path for tree in trees_of(forest) for path in tree.paths()))
-    marks = array_to_vector(F.array(*(holds(rule).cast("double") for rule in rules)))
+    marks = array_to_vector(F.array(*(holds(rule, F.col("_stats")).cast("double") for rule in rules)))
     lasso = LogisticRegression(regParam=PENALTY, elasticNetParam=1.0, maxIter=60).fit(rows.coalesce(2).select("label", marks.alias("features")))
     kept = [(rule, float(w)) for rule, w in zip(rules, lasso.coefficients, strict=True) if abs(w) > 1e-9]
     return RuleEnsemble(tuple(r for r, _ in kept), tuple(w for _, w in kept), float(lasso.intercept))
@@ -119,11 +138,9 @@ def score_documents(documents: DataFrame, model: RuleEnsemble, key: str = "doc_i
 
     Repeated rows each get their score; other columns, clashing names included, are left out.
     """
-    scored = with_statistics(documents.select(F.col(key).alias("_id"), F.col(text).alias("_t")), "_t")
-    return scored.select(F.col("_id").alias(key), held_out("_id").alias("held_out"), model.score().alias("score"))
+    return documents.select(F.col(key), held_out(key).alias("held_out"), model.score(text).alias("score"))
 
 
 def keep_good(documents: DataFrame, model: RuleEnsemble, text: str = "text", threshold: float = 0.7) -> DataFrame:
     """The rows that score at least the threshold, with their own columns."""
-    whole = documents.select(F.struct("*").alias("_row"), F.col(text).alias("_source"))  # columns of any name stay apart
-    return with_statistics(whole, "_source").where(model.score() >= threshold).select("_row.*")
+    return documents.where(model.score(text) >= threshold)
