@@ -9,22 +9,33 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tidemark.llm import near_dup, packing, pii, quality
-from tidemark.session import scratch_folder
+from tidemark.session import scratch_folder, written
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that score below 0.7 go. The rules are learned on the labelled documents of this stage's input."""
+    """Documents that score below 0.7 go, null and empty texts by the score of an empty text.
+
+    The rules are learned on the labelled documents of this stage's input; without any the
+    score is the same for all.
+    """
     docs = docs.select(*COLUMNS)
     return quality.keep_good(docs, quality.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays, the one with the smallest id."""
+    """One document of each group of near copies stays, the one with the smallest id.
+
+    Rows that share an id are one document: of those, the row that sorts first by its columns
+    stays. Rows without an id are kept as they are.
+    """
     docs = docs.select(*COLUMNS)
-    gone = near_dup.near_duplicates(docs).where(~F.col("kept")).select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*COLUMNS)
+    judged = near_dup.near_duplicates(docs).where("doc_id IS NOT NULL")
+    ids = written(judged.groupBy("doc_id").agg(F.min("kept").alias("kept"), F.count(F.lit(1)).alias("n")).where("NOT kept OR n > 1"), "pipeline-ids")
+    once = docs.join(ids, "doc_id", "left_anti").select(*COLUMNS)
+    repeated = docs.join(ids.where("kept"), "doc_id", "left_semi").groupBy("doc_id").agg(F.min(F.struct("text", "lang", "source", "n_chars")).alias("r"))
+    return once.unionByName(repeated.select("doc_id", "r.*"))
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
