@@ -41,6 +41,12 @@ def let(value: Column, then: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), then), F.lit(0))
 
 
+def finite_vectors(df: DataFrame, key: str, vector: str, *others: str) -> DataFrame:
+    """(id, v, others): rows whose vector, as doubles, is there, not empty, and holds neither null nor a non-finite entry."""
+    v = df.select(F.col(key).alias("id"), F.col(vector).cast("array<double>").alias("v"), *others).where(F.size("v") > 0)
+    return v.where(F.forall("v", lambda x: x.isNotNull() & (F.abs(F.coalesce(x, F.lit(0.0))) < F.lit(float("inf")))))
+
+
 def first_by_hash(df: DataFrame, key: str, rows: int) -> DataFrame:
     """A bounded sample that repeats: the ``rows`` rows whose key hashes lowest."""
     return df.orderBy(F.xxhash64(key), key).limit(rows)

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tidemark.llm import ann, fingerprints, near_dup, packing, pii, piece_codec, quality, sharding, token_counts, url_rules
+from tidemark.llm import ann, fingerprints, mixing, near_dup, packing, pii, piece_codec, quality, sharding, token_counts, url_rules, whitening
 from tidemark.llm.common import documents
 
 
@@ -69,11 +69,20 @@ def op10_prefix_table(spark: SparkSession, folder: str) -> DataFrame:
     return piece_codec.round_trip(documents(spark, folder), _vocabulary("piece_bpe_32k.model"))
 
 
+def op11_jacobi_whitening(spark: SparkSession, folder: str) -> DataFrame:
+    white = whitening.whiten(spark.read.parquet(f"{folder}/embeddings.parquet"))
+    return white.withColumn("deviation", F.col("deviation").try_cast("long"))  # null only where a long cannot hold it
+
+
+def op13_van_der_corput(spark: SparkSession, folder: str) -> DataFrame:
+    return mixing.mix_counts(documents(spark, folder))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_spotsigs, op2_virtual_slots, op3_rule_ensemble, op4_candidate_boosting, op5_dimension_scan, op6_url_rules, op7_token_counts, op8_bottom_k, op9_sum_of_squares,
-        op10_prefix_table,
+        op10_prefix_table, op11_jacobi_whitening, op13_van_der_corput,
     )
 }
 
@@ -103,4 +112,22 @@ links AS (SELECT a, b FROM shared JOIN sizes p ON p.doc_id = a JOIN sizes q ON q
 reach(a, b) AS (SELECT doc_id, doc_id FROM documents UNION SELECT reach.a, links.b FROM reach JOIN links ON reach.b = links.a)
 SELECT doc_id, CAST(n AS BIGINT) AS n_shingles, component_id, doc_id = component_id AS kept
 FROM sizes JOIN (SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY a) USING (doc_id)""",
+    "op13_van_der_corput": r"""
+WITH sized AS (
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size, md5(concat_ws('/', '13', CAST(doc_id AS VARCHAR), text)) AS h FROM documents),
+totals AS (
+  SELECT source, sum(size) AS n, CASE (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 WHEN 0 THEN 5 WHEN 1 THEN 2 ELSE 1 END AS w FROM sized GROUP BY source),
+tried AS (
+  SELECT *, 3 * sum(n) OVER () AS shared, coalesce(sum(4 * n) OVER before, 0) AS used, sum(w) OVER () - coalesce(sum(w) OVER before, 0) AS weights FROM totals
+  WINDOW before AS (ORDER BY n * (10 // w), source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+stopped AS (SELECT *, (shared - used) * w >= 4 * n * weights AS stops FROM tried),
+targets AS (
+  SELECT source, n, CASE WHEN stops THEN CAST(2 * n AS DOUBLE)
+    ELSE CAST((shared - coalesce(sum(4 * n) FILTER (stops) OVER (), 0)) * w AS DOUBLE) / CAST(2 * sum(w) FILTER (NOT stops) OVER () AS DOUBLE) END AS target FROM stopped),
+placed AS (
+  SELECT doc_id, size, n, target, coalesce(sum(size) OVER (PARTITION BY sized.source ORDER BY h, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start
+  FROM sized JOIN targets ON sized.source IS NOT DISTINCT FROM targets.source)
+SELECT doc_id, CAST(size AS BIGINT) AS size, CAST(n AS BIGINT) AS source_size, target,
+  CAST(CASE WHEN n = 0 THEN 0 ELSE size * (CAST(floor(target) AS HUGEINT) // n) + greatest(0, least(size, CAST(floor(target) AS HUGEINT) % n - start)) END AS BIGINT) AS taken
+FROM placed""",
 }
