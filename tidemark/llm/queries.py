@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tidemark.llm import ann, fingerprints, mixing, near_dup, packing, pii, piece_codec, quality, sharding, token_counts, url_rules, whitening
+from tidemark.llm import ann, fingerprints, hard_negatives, mixing, near_dup, packing, pii, piece_codec, quality, sharding, token_counts, url_rules, whitening
 from tidemark.llm.common import documents
 
 
@@ -74,6 +74,10 @@ def op11_jacobi_whitening(spark: SparkSession, folder: str) -> DataFrame:
     return white.withColumn("deviation", F.col("deviation").try_cast("long"))  # null only where a long cannot hold it
 
 
+def op12_spanning_tree(spark: SparkSession, folder: str) -> DataFrame:
+    return hard_negatives.hard_negatives(spark.read.parquet(f"{folder}/embeddings.parquet"), lambda key: key % 100 == 0)
+
+
 def op13_van_der_corput(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mix_counts(documents(spark, folder))
 
@@ -82,7 +86,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_spotsigs, op2_virtual_slots, op3_rule_ensemble, op4_candidate_boosting, op5_dimension_scan, op6_url_rules, op7_token_counts, op8_bottom_k, op9_sum_of_squares,
-        op10_prefix_table, op11_jacobi_whitening, op13_van_der_corput,
+        op10_prefix_table, op11_jacobi_whitening, op12_spanning_tree, op13_van_der_corput,
     )
 }
 
@@ -112,6 +116,18 @@ links AS (SELECT a, b FROM shared JOIN sizes p ON p.doc_id = a JOIN sizes q ON q
 reach(a, b) AS (SELECT doc_id, doc_id FROM documents UNION SELECT reach.a, links.b FROM reach JOIN links ON reach.b = links.a)
 SELECT doc_id, CAST(n AS BIGINT) AS n_shingles, component_id, doc_id = component_id AS kept
 FROM sizes JOIN (SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY a) USING (doc_id)""",
+    "op12_spanning_tree": """
+WITH rows AS (
+  SELECT vec_id AS id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x : floor(256 * CAST(x AS DOUBLE))) AS v
+  FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x : x IS NOT NULL AND isfinite(x))) = len(embedding)),
+scored AS (
+  SELECT a.id AS anchor_id, r.id AS other, a.label = r.label AS same, CAST(list_inner_product(a.v, r.v) AS BIGINT) AS score FROM rows a JOIN rows r ON a.id % 100 = 0 AND a.id <> r.id),
+positives AS (
+  SELECT anchor_id, other AS positive_id, score AS positive_score FROM scored WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other) <= 5),
+mined AS (
+  SELECT p.anchor_id, positive_id, other AS negative_id, positive_score, score AS negative_score, row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY score DESC, other) AS rank
+  FROM positives p JOIN scored s ON p.anchor_id = s.anchor_id AND NOT same AND 80 * positive_score <= 100 * score AND score <= positive_score)
+SELECT anchor_id, positive_id, CAST(rank AS INTEGER) AS rank, negative_id, positive_score, negative_score FROM mined WHERE rank <= 5""",
     "op13_van_der_corput": r"""
 WITH sized AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size, md5(concat_ws('/', '13', CAST(doc_id AS VARCHAR), text)) AS h FROM documents),
