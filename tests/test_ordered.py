@@ -126,6 +126,31 @@ def test_hash_rank_is_a_repeatable_order_per_key(spark):
         assert own == list(range(1, len(own) + 1))
 
 
+def test_a_hot_id_is_split_within_a_day(spark):
+    """One id with a third of all rows, all on one day, lies in several ranges; so do its values."""
+    rows = [("hot" if i % 3 == 0 else f"id{i % 50}", START + dt.timedelta(seconds=i), i, float(i) if i % 4 else None) for i in range(3000)]
+    df = spark.createDataFrame(rows, "id string, ts timestamp_ntz, seq int, value double")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        parts = ordered.in_ranges(df, ["id", "ts", "seq"]).groupBy("id").agg(F.count_distinct("_range").alias("n"), F.count("*").alias("rows"))
+        filled = ordered.forward_fill(df, "id", "ts", ["value"], ["seq"]).filter("id = 'hot'")
+        diffs = ordered.successive_differences(df, "id", "ts", "value", ("seq",)).filter("id = 'hot'").first()
+        cut = ordered.exact_quantiles(df, ["id"], "value", [0.3]).filter("id = 'hot'").first()["q"][0]
+        assert parts.filter("id = 'hot'").first()["n"] > 1
+        assert filled.filter("value IS NULL").count() == 1 and filled.count() == 1000  # nothing comes before the first
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    v = [float(i) for i in range(0, 3000, 3) if i % 4]
+    assert diffs["n_diff"] == len(v) - 1 and diffs["sum_diff"] == v[-1] - v[0]
+    assert cut == pytest.approx(statistics.quantiles(v, n=10, method="inclusive")[2])
+
+
+def test_quantile_plan_searches_no_chunks(spark):
+    df = spark.range(1000).select((F.col("id") % 7).alias("k"), F.col("id").cast("double").alias("v"))
+    plan = ordered.exact_quantiles(df, ["k"], "v", [0.5])._jdf.queryExecution().executedPlan().toString()
+    assert "lambda" not in plan and "Range (" not in plan  # the source itself is read when the counts are written
+
+
 def test_group_agg_median(spark):
     rows, df = skewed(spark)
     got = {r["id"]: r for r in ordered.group_agg(df, ["id"], [F.count("value").alias("n")], {"mid": F.col("value")}).collect()}

@@ -158,3 +158,44 @@ def test_upsert_and_lookup(spark):
     keys = spark.createDataFrame([(1,), (9,)], "k int")
     assert tables.match_counts(old, keys, ["k"], F.col("v") == "a").first().asDict() == {"requested": 2, "matched": 1}
     assert [r["k"] for r in tables.lookup(old, {"v": "b", "ts": None}).collect()] == [2]
+
+
+def test_a_repeated_append_adds_no_row_and_half_batches_are_not_read(spark, tmp_path):
+    path = str(tmp_path / "log")
+    rows = spark.createDataFrame([("a", T0), ("b", T0)], "event_type string, timestamp timestamp_ntz")
+    assert files.append_json_lines(rows, path, batch="one") and not files.append_json_lines(rows, path, batch="one")
+    files.write_json(rows, f"{path}/batch-two")  # a writer that died before its marker
+    read = lambda: sorted(r["event_type"] for r in files.read_log(spark, path, "event_type STRING, timestamp STRING").collect())
+    assert read() == ["a", "b"]
+    assert files.append_json_lines(rows.limit(1), path, batch="two") and read() == ["a", "a", "b"]
+    log = runs.RunLog(spark, str(tmp_path / "runs"))
+    metric = [{"run_id": "r", "metric": "m", "value": 1.0, "step": 1, "ts": T0}]
+    assert log.append("metrics", metric, "x") and not log.append("metrics", metric, "x") and log.append("metrics", metric)
+    assert log.table("metrics").count() == 2 and log.table("params").count() == 0
+
+
+def test_two_writers_get_two_numbers(spark, tmp_path, monkeypatch):
+    vs, other = (versions.VersionStore(spark, str(tmp_path / "v")) for _ in range(2))
+    a = spark.range(5)
+    assert vs.register(a, "d", "t", at("2024-01-01")) == "1"
+    stale = vs.latest("d")
+    monkeypatch.setattr(versions.VersionStore, "latest", lambda self, name: stale)  # both see version 1 as the latest
+    assert vs.register(spark.range(6), "d", "t", at("2024-01-02")) == "2"
+    assert other.register(spark.range(7), "d", "t", at("2024-01-02")) == "3"
+    assert [other.get("d", v).count() for v in "123"] == [5, 6, 7]
+    with pytest.raises(ValueError):
+        other.register(spark.range(8), "d", "t", at("2024-01-03"), version="2")
+
+
+def test_a_version_evaluates_its_input_once(spark, tmp_path):
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            seen.add(len(b))
+            yield b
+
+    df = spark.range(100, numPartitions=2).mapInPandas(counted, "id long")
+    vs = versions.VersionStore(spark, str(tmp_path / "v"))
+    vs.register(df, "d", "t", at("2024-01-01"))
+    assert seen.value == 100 and vs.get("d").count() == 100 and vs.statistics("d", "1").count() > 0

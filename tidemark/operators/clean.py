@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from tidemark.functions.common import count_if
 from tidemark.operators.ordered import attach, column_quantiles, latest_per_key
@@ -89,16 +89,21 @@ def flag_outliers_iqr(df: DataFrame, columns: Sequence[str], k: float = 1.5) ->
     return out.withColumns(flags).select(*df.columns, *flags)
 
 
+def valid_value(field: T.StructField, invalid_values: Sequence[str] | None = None) -> Column:
+    """A column with invalid markers (strings) or ±infinity and NaN (floats) as null."""
+    tokens = INVALID_TOKENS if invalid_values is None else list(invalid_values)
+    c = F.col(field.name)
+    if isinstance(field.dataType, T.StringType):
+        return F.when(~c.isin(tokens), c)
+    if isinstance(field.dataType, (T.FloatType, T.DoubleType)):
+        return F.when(~F.isnan(c) & (F.abs(c) != float("inf")), c)
+    return c
+
+
 def handle_invalid_values(df: DataFrame, invalid_values: Sequence[str] | None = None) -> DataFrame:
     """Invalid markers in string columns and ±infinity in float columns become null."""
-    tokens = INVALID_TOKENS if invalid_values is None else list(invalid_values)
-    out = {}
-    for f in df.schema.fields:
-        c = F.col(f.name)
-        if isinstance(f.dataType, T.StringType):
-            out[f.name] = F.when(~c.isin(tokens), c)
-        elif isinstance(f.dataType, (T.FloatType, T.DoubleType)):
-            out[f.name] = F.when(~F.isnan(c) & (F.abs(c) != float("inf")), c)
+    kinds = (T.StringType, T.FloatType, T.DoubleType)
+    out = {f.name: valid_value(f, invalid_values) for f in df.schema.fields if isinstance(f.dataType, kinds)}
     return df.withColumns(out) if out else df
 
 

@@ -32,18 +32,10 @@ def ks_statistics(reference: DataFrame, current: DataFrame, columns: Sequence[st
         F.sum((F.col("_side") == 0).cast("long")).alias("n_ref"), F.sum((F.col("_side") == 1).cast("long")).alias("n_cur")
     )
     run = running_totals(counts, ["column_name"], "value", ["n_ref", "n_cur"])
-    totals = both.groupBy("column_name").agg(
-        F.sum((F.col("_side") == 0).cast("long")).alias("_ref"), F.sum((F.col("_side") == 1).cast("long")).alias("_cur")
-    )
-    j = run.join(totals, "column_name")
-    some = (F.col("_ref") > 0) & (F.col("_cur") > 0)
-    gap = F.when(
-        some,
-        F.abs(F.col("cum_n_ref") / F.when(some, F.col("_ref")) - F.col("cum_n_cur") / F.when(some, F.col("_cur"))),
-    ).otherwise(F.lit(0.0))
-    return j.groupBy("column_name").agg(
-        F.max("_ref").alias("n_ref"), F.max("_cur").alias("n_cur"), F.max(gap).alias("statistic")
-    )
+    ref, cur = F.col("total_n_ref"), F.col("total_n_cur")
+    some = (ref > 0) & (cur > 0)
+    gap = F.when(some, F.abs(F.col("cum_n_ref") / F.when(some, ref) - F.col("cum_n_cur") / F.when(some, cur))).otherwise(F.lit(0.0))
+    return run.groupBy("column_name").agg(F.max(ref).alias("n_ref"), F.max(cur).alias("n_cur"), F.max(gap).alias("statistic"))
 
 
 def ks_p_value(d: Column, n: Column, m: Column, terms: int = 100) -> Column:
@@ -121,10 +113,11 @@ def chi_square_drift(reference: DataFrame, current: DataFrame, columns: Sequence
     a = value_counts(reference, columns).select("column_name", "value", F.col("n").alias("_e"))
     b = value_counts(current, columns).select("column_name", "value", F.col("n").alias("_o"))
     j = a.join(b, ["column_name", "value"], "full_outer").fillna(0, ["_e", "_o"])
-    totals = j.groupBy("column_name").agg(F.sum("_e").alias("_te"), F.sum("_o").alias("_to"))
-    scaled = j.join(totals, "column_name").filter("_te > 0 AND _to > 0").withColumn(
-        "_x", F.col("_e") * F.col("_to") / F.col("_te")
-    )
+    totals = j.groupBy("column_name").agg(F.sum("_e").alias("e"), F.sum("_o").alias("o"))
+    # one entry per column asked for, attached as one row: a column may own most values
+    both = totals.agg(F.map_from_entries(F.collect_list(F.struct("column_name", F.struct("e", "o")))).alias("_totals"))
+    own = F.element_at("_totals", F.col("column_name"))
+    scaled = attach(j, both).withColumn("_t", own).filter("_t.e > 0 AND _t.o > 0").withColumn("_x", F.col("_e") * F.col("_t.o") / F.col("_t.e"))
     per = scaled.groupBy("column_name").agg(
         F.count("*").alias("k"),
         F.max((F.col("_e") == 0).cast("int")).alias("_new"),

@@ -26,8 +26,7 @@ def score_table(df: DataFrame, label: str = "label", score: str = "score", keys:
         F.sum((F.col(label) == 1).cast("long")).alias("pos"), F.sum((F.col(label) != 1).cast("long")).alias("neg")
     )
     run = running_totals(counts, keys, "score", ["pos", "neg"], descending=True)
-    totals = counts.groupBy(*keys).agg(F.sum("pos").alias("n_pos"), F.sum("neg").alias("n_neg"))
-    return _null_safe_join(run, totals, keys)
+    return run.withColumnsRenamed({"total_pos": "n_pos", "total_neg": "n_neg"})
 
 
 def _both() -> Column:

@@ -120,6 +120,7 @@ def counterfactuals(
     )
 
 
+# fixed values: the sentences
 def describe_counterfactual(cf: DataFrame) -> DataFrame:
     """Add ``description``: a header, one line per change and a closing line."""
     reached = F.col("achieved_target")
@@ -186,6 +187,7 @@ def surrogate_rules(df: DataFrame, features: Sequence[str], score: str, max_dept
     return attach(per, overall).select("rule_text", "prediction", (F.col("_right") / F.col("n_samples")).alias("confidence"), "n_samples", "fidelity")
 
 
+# fixed values: the sentences
 def simple_counterfactual(level: Column, top_feature: Column) -> Column:
     """A sentence from the level (in any case) and the strongest feature."""
     raised = F.lower(level).isin("high", "critical")
@@ -196,22 +198,32 @@ def simple_counterfactual(level: Column, top_feature: Column) -> Column:
     return F.when(raised, text).otherwise("Current risk level is within acceptable range.")
 
 
+# fixed values: the sentences
 def simple_rule(level: Column, top_feature: Column) -> Column:
     return F.when(
         top_feature.isNotNull(), F.concat(F.lit("IF "), top_feature, F.lit(" is elevated THEN risk is "), F.lower(level))
     ).otherwise(F.concat(F.lit("Risk classified as "), F.lower(level)))
 
 
+def ranked_contributions(model: LinearModel, k: int) -> Column:
+    """The ``k`` largest contributions of a row as ``(rank, feature, phi)``, sorted inside the row; means are ``_m_<feature>``."""
+    phis = []
+    for c, w in model.weights.items():
+        phi = F.lit(w) * (model.scaled(c) - F.col(f"_m_{c}"))
+        phis.append(F.struct(F.coalesce(-F.abs(phi), F.lit(float("inf"))).alias("o"), F.lit(c).alias("feature"), phi.alias("phi")))
+    return F.transform(F.slice(F.array_sort(F.array(*phis)), 1, k), lambda x, i: F.struct((i + 1).alias("rank"), x["feature"].alias("feature"), x["phi"].alias("phi")))
+
+
 def explanation_bundle(df: DataFrame, model: LinearModel, keys: Sequence[str], target: str = "low", top_k: int = 10, max_changes: int = 5) -> DataFrame:
-    """One row per key: top contributions, counterfactual and the summary text."""
-    phis = top_contributions(contributions(df, model, keys), keys, top_k)
-    tops = phis.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("rank", "feature", "phi"))).alias("top_features"))
-    cf = describe_counterfactual(counterfactuals(df, model, keys, target, max_changes))
-    j = cf.join(tops, list(keys), "left")
+    """One row per row: top contributions, counterfactual and the summary text, all from the row and the features' means."""
+    means = df.agg(*[F.avg(model.scaled(c)).alias(f"_m_{c}") for c in model.weights])
+    rows = attach(df, means).withColumn("top_features", ranked_contributions(model, top_k))
+    j = describe_counterfactual(counterfactuals(rows, model, [*keys, "top_features"], target, max_changes))
     factors = F.transform(
         F.slice("top_features", 1, 5), lambda x: F.format_string("  %d. %s (importance: %.3f)", x["rank"], x["feature"], F.abs(x["phi"]))
     )
     first = F.try_element_at("top_features", F.lit(1))["feature"]
+    # fixed values: the headings of the summary
     summary = F.concat_ws("\n", F.lit("Key Contributing Factors:"), F.array_join(factors, "\n"), F.lit("Actionable Changes:"), F.col("description"))
     return j.withColumns(
         {

@@ -49,19 +49,24 @@ def mode_value(df: DataFrame, column: str) -> DataFrame:
     return counts.agg(F.min_by(F.col(column), F.struct(-F.col("_n"), F.col(column))).alias("mode"))
 
 
-def fit_imputer(df: DataFrame, strategies: dict[str, str], constant: object = 0) -> FittedImputer:
-    """Fit every column's fill value, also for columns that have no null yet."""
+def known_strategies(strategies: dict[str, str], columns: Sequence[str]) -> dict[str, str]:
+    """The strategies of the columns that are there; an unknown strategy is an error."""
     unknown = sorted(set(strategies.values()) - set(STRATEGIES))
     if unknown:
         raise ValueError(f"unknown strategies: {unknown}")
-    present = {c: s for c, s in strategies.items() if c in df.columns}
-    values: dict[str, object] = {c: constant for c, s in present.items() if s == "constant"}
-    means = [c for c, s in present.items() if s == "mean"]
+    return {c: s for c, s in strategies.items() if c in columns}
+
+
+def fit_imputer(df: DataFrame, strategies: dict[str, str], constant: object = 0, known: dict[str, object] | None = None) -> FittedImputer:
+    """Fit every column's fill value, also for columns that have no null yet; ``known`` values are not fitted again."""
+    present = known_strategies(strategies, df.columns)
+    values: dict[str, object] = {c: constant for c, s in present.items() if s == "constant"} | (known or {})
+    means = [c for c, s in present.items() if s == "mean" and c not in values]
     if means:
         values.update(df.agg(*[F.avg(c).alias(c) for c in means]).first().asDict())
-    medians = [c for c, s in present.items() if s == "median"]
+    medians = [c for c, s in present.items() if s == "median" and c not in values]
     if medians:
         values.update({r["column_name"]: r["q"][0] for r in column_quantiles(df, medians, [0.5]).collect()})
-    for c in (c for c, s in present.items() if s == "mode"):
+    for c in (c for c, s in present.items() if s == "mode" and c not in values):
         values[c] = mode_value(df, c).first()["mode"]
     return FittedImputer(present, values)

@@ -58,6 +58,7 @@ def degradation_alerts(current: DataFrame, baselines: DataFrame, limit: float =
         "baseline_value",
         F.col("value").alias("current_value"),
         pct.alias("degradation_pct"),
+        # fixed value: the message
         F.format_string(
             "Performance degradation detected for model %s: %s decreased by %.1f%% (baseline: %.4f, current: %.4f)",
             F.col("model_id").cast("string"), F.col("metric"), pct, F.col("baseline_value").cast("double"), F.col("value").cast("double"),
@@ -97,6 +98,7 @@ def retraining_advice(comparison: DataFrame, alerts: DataFrame, models: DataFram
         return df.select("model_id", F.lit(kind).alias("type"), F.lit(priority).alias("priority"), reason.alias("reason"))
 
     dropped = comparison.filter(F.col("change_pct") < RETRAIN_DROP_PCT)
+    # fixed values: kinds, priorities and reasons
     parts = [
         rows(dropped, "performance_degradation", "high", F.format_string("%s degraded by %.1f%%", F.col("metric"), F.abs("change_pct"))),
         rows(counts.filter("_drift > 0"), "data_drift", "medium", F.format_string("%d drift alerts in past week", F.col("_drift"))),

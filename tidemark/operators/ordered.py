@@ -3,23 +3,24 @@
 Each has a form in which no task holds a whole key, so that one key (or the global
 "no key" case) may own a third of all rows:
 
-* a running sum is a sum inside a chunk plus the total of the earlier chunks;
-* chunks of a numeric value come from approximate cut points (checkpointed, because a
-  recomputed sketch may differ); chunks of a time series are fixed calendar spans;
-* percentiles are read off the running counts of the distinct values.
+* rows, or counts of distinct values, are dealt to ranges in their order by
+  ``repartitionByRange`` and written once with the number of their range, because the ranges of
+  a recomputed sample may differ;
+* a running sum is a sum inside a range plus the totals of the key's earlier ranges, a filled
+  value or a difference comes from the range or from the last value before it;
+* percentiles are read off the running counts in those ranges that hold the asked ranks.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tidemark.functions.common import col
-from tidemark.session import checkpointed
-
-#: Rows that a chunk of a value range should hold; the number of chunks follows from the rows counted.
-CHUNK_ROWS = 1 << 20
+from tidemark.session import checkpointed, written
 
 
 def _null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
@@ -51,22 +52,28 @@ def keyed_join(big: DataFrame, small: DataFrame, keys: Sequence[str], how: str =
     return big.join(small, list(keys), how)
 
 
-def value_chunks(counts: DataFrame, keys: Sequence[str], value: str, n: int | None = None) -> DataFrame:
-    """Add ``_chunk``, a number that never falls as ``value`` rises within ``keys``.
+def in_ranges(df: DataFrame, order: Sequence[str | Column]) -> DataFrame:
+    """The rows, written once, with ``_range``: ranges of bounded size that follow each other in the order."""
+    return written(df.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()), "ranges")
 
-    The number of chunks grows with the rows, one for each ``CHUNK_ROWS`` of the largest key.
-    """
-    if n is None:
-        most = counts.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
-        n = 2 + most // CHUNK_ROWS
-    probs = F.array(*[F.lit(i / n) for i in range(1, n)])
-    cuts = counts.groupBy(*keys).agg(
-        F.array_sort(F.array_distinct(F.percentile_approx(F.col(value), probs, F.lit(20 * n)))).alias("_cuts")
-    )
-    cuts = checkpointed(cuts)
-    chunked = _null_safe_join(counts, cuts, keys)
-    below = F.size(F.filter("_cuts", lambda c: c <= F.col(value)))
-    return chunked.withColumn("_chunk", below).drop("_cuts")
+
+def _per_key(keys: Sequence[str]) -> Window:
+    return Window.partitionBy(*(keys or [F.lit(0)]))
+
+
+def range_totals(ranged: DataFrame, keys: Sequence[str], measures: Sequence[str], descending: bool = False) -> DataFrame:
+    """One row per key and range: ``_in_<m>`` of the range, ``_before_<m>`` of the key's ranges before it, ``total_<m>`` of the key."""
+    totals = ranged.groupBy(*keys, "_range").agg(*[F.sum(m).alias(f"_in_{m}") for m in measures])
+    earlier = _per_key(keys).orderBy(F.desc("_range") if descending else F.asc("_range")).rowsBetween(Window.unboundedPreceding, -1)
+    before = [F.coalesce(F.sum(f"_in_{m}").over(earlier), F.lit(0)).alias(f"_before_{m}") for m in measures]
+    return totals.select("*", *before, *[F.sum(f"_in_{m}").over(_per_key(keys)).alias(f"total_{m}") for m in measures])
+
+
+def _accumulated(ranged: DataFrame, totals: DataFrame, keys: Sequence[str], value: str, measures: Sequence[str], descending: bool = False) -> DataFrame:
+    """The rows of the ranges in ``totals`` with ``cum_<m>``."""
+    joined = _null_safe_join(ranged, totals, [*keys, "_range"])
+    inside = Window.partitionBy(*keys, "_range").orderBy(F.desc(value) if descending else F.asc(value)).rowsBetween(Window.unboundedPreceding, 0)
+    return joined.select("*", *[(F.sum(m).over(inside) + F.col(f"_before_{m}")).alias(f"cum_{m}") for m in measures])
 
 
 def running_totals(
@@ -76,31 +83,15 @@ def running_totals(
     measures: Sequence[str],
     descending: bool = False,
 ) -> DataFrame:
-    """Add ``cum_<m>``: the sum of ``m`` over values up to and including this row's.
+    """Add ``cum_<m>``, the sum of ``m`` over values up to and including this row's, and ``total_<m>``, over all of the key.
 
     ``counts`` must hold one row per (keys, value), i.e. be aggregated first, so that ties
-    share one row. Sums are taken inside chunks of the value range; the totals of the chunks
-    before are added.
+    share one row.
     """
     keys = list(keys)
-    order = F.desc if descending else F.asc
-
-    def cumulative(df, part, by):
-        w = Window.partitionBy(*part).orderBy(order(by)).rowsBetween(Window.unboundedPreceding, 0)
-        return df.select("*", *[F.sum(m).over(w).alias(f"cum_{m}") for m in measures])
-
-    chunked = value_chunks(counts, keys, value)
-    totals = chunked.groupBy(*keys, "_chunk").agg(*[F.sum(m).alias(m) for m in measures])
-    w = Window.partitionBy(*(keys or [F.lit(0)])).orderBy(order("_chunk")).rowsBetween(Window.unboundedPreceding, -1)
-    before = totals.select(
-        *keys, "_chunk", *[F.coalesce(F.sum(m).over(w), F.lit(0)).alias(f"_before_{m}") for m in measures]
-    )
-    local = cumulative(chunked, keys + ["_chunk"], value)
-    joined = _null_safe_join(local, before, keys + ["_chunk"])
-    out = joined
-    for m in measures:
-        out = out.withColumn(f"cum_{m}", F.col(f"cum_{m}") + F.col(f"_before_{m}"))
-    return out.drop("_chunk", *[f"_before_{m}" for m in measures])
+    ranged = in_ranges(counts, [*keys, value])
+    out = _accumulated(ranged, range_totals(ranged, keys, measures, descending), keys, value, measures, descending)
+    return out.select(*counts.columns, *[f"cum_{m}" for m in measures], *[f"total_{m}" for m in measures])
 
 
 def exact_quantiles(
@@ -113,27 +104,21 @@ def exact_quantiles(
     """Exact linearly interpolated quantiles per key as ``array<double>``; nulls ignored.
 
     The built-in ``percentile`` would keep every distinct value of a group in one task. Here
-    the distinct values are counted by a shuffle and the asked ranks are picked from their
-    running counts; the results are the same.
+    the distinct values are counted once and dealt to ranges; only the ranges that hold an asked
+    rank are ordered. The results are the same.
     """
     keys = list(keys)
     data = df.select(*keys, col(value).cast("double").alias("_v")).filter("_v IS NOT NULL")
-    counts = data.groupBy(*keys, "_v").agg(F.count("*").alias("_n"))
-    run = running_totals(counts, keys, "_v", ["_n"])
-    sizes = data.groupBy(*keys).agg(F.count("*").alias("_size"))
-    ranked = _null_safe_join(run, sizes, keys)
-    picks = []
-    for i, p in enumerate(probs):
-        h = (F.col("_size") - 1) * F.lit(float(p))
-        picks.append(F.min(F.when(F.col("cum__n") > F.floor(h), F.col("_v"))).alias(f"_lo{i}"))
-        picks.append(F.min(F.when(F.col("cum__n") > F.ceil(h), F.col("_v"))).alias(f"_hi{i}"))
-    picked = ranked.groupBy(*keys).agg(F.max("_size").alias("_size"), *picks)
-
-    def at(i, p):
-        h = (F.col("_size") - 1) * F.lit(float(p))
-        return F.col(f"_lo{i}") + (F.col(f"_hi{i}") - F.col(f"_lo{i}")) * (h - F.floor(h))
-
-    return picked.select(*keys, F.array(*[at(i, p) for i, p in enumerate(probs)]).alias(name))
+    ranged = in_ranges(data.groupBy(*keys, "_v").agg(F.count("*").alias("_n")), [*keys, "_v"])
+    places = [(F.col("total__n") - 1) * F.lit(float(p)) for p in probs]
+    ranks = [side(h) for h in places for side in (F.floor, F.ceil)]
+    holds = [(F.col("_before__n") <= r) & (r < F.col("_before__n") + F.col("_in__n")) for r in ranks]
+    asked = range_totals(ranged, keys, ["_n"]).filter(reduce(or_, holds))
+    run = _accumulated(ranged, asked, keys, "_v", ["_n"])
+    picks = [F.min(F.when(F.col("cum__n") > r, F.col("_v"))).alias(f"_at{i}") for i, r in enumerate(ranks)]
+    picked = run.groupBy(*keys).agg(F.max("total__n").alias("total__n"), *picks)
+    cells = [F.col(f"_at{2 * i}") + (F.col(f"_at{2 * i + 1}") - F.col(f"_at{2 * i}")) * (h - F.floor(h)) for i, h in enumerate(places)]
+    return picked.select(*keys, F.array(*cells).alias(name))
 
 
 def column_quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float]) -> DataFrame:
@@ -156,30 +141,28 @@ def group_agg(
     medians: dict[str, Column] | None = None,
 ) -> DataFrame:
     """Aggregates plus exact medians per key, joined by key."""
-    medians = medians or {}
     out = df.groupBy(*keys).agg(*aggs)
-    for n, e in medians.items():
-        mid = exact_quantiles(df, keys, e, [0.5], name="_q")
-        out = _null_safe_join(out, mid.select(*keys, F.element_at("_q", 1).alias(n)), keys, "left")
-    return out
-
-
-def time_chunk(ts: str | Column, unit: str = "day") -> Column:
-    return F.date_trunc(unit, col(ts))
+    if not medians:
+        return out
+    cells = F.array(*[F.struct(F.lit(n).alias("_name"), e.cast("double").alias("_value")) for n, e in medians.items()])
+    mid = exact_quantiles(df.select(*keys, F.inline(cells)), [*keys, "_name"], "_value", [0.5])
+    wide = mid.groupBy(*keys).agg(*[F.max(F.when(F.col("_name") == n, F.element_at("q", 1))).alias(n) for n in medians])
+    return _null_safe_join(out, wide, keys, "left")
 
 
 def successive_differences(
-    df: DataFrame, id_col: str, ts_col: str, value: str, tiebreak: Sequence[str] = (), unit: str = "day"
+    df: DataFrame, id_col: str, ts_col: str, value: str, tiebreak: Sequence[str] = ()
 ) -> DataFrame:
     """``value - previous value`` per id in time order, as sums that need no whole-id sort.
 
     Returns per id: ``n_diff``, ``sum_diff``, ``sum_sq_diff`` and ``n_over_50`` (|diff| > 50).
-    Differences inside a calendar chunk come from a window over that chunk; those across
-    chunks come from the first and last value of each non-empty chunk.
+    Differences inside a range of (id, time) come from a window over that range; those across
+    ranges come from the first and last value of each.
     """
     data = df.filter(F.col(value).isNotNull() & F.col(id_col).isNotNull()).select(
-        id_col, F.col(ts_col).alias("_t"), F.struct(ts_col, *tiebreak).alias("_o"), F.col(value).cast("double").alias("_v")
-    ).withColumn("_c", time_chunk("_t", unit))
+        id_col, F.struct(ts_col, *tiebreak).alias("_o"), F.col(value).cast("double").alias("_v")
+    )
+    data = in_ranges(data, [id_col, "_o"]).withColumnRenamed("_range", "_c")
     inner = Window.partitionBy(id_col, "_c").orderBy("_o")
     chunks = (
         data.withColumn("_d", F.col("_v") - F.lag("_v").over(inner))
@@ -208,20 +191,15 @@ def successive_differences(
 
 
 def running_count_by_time(
-    df: DataFrame, id_col: str, ts_col: str, flag: Column, name: str, tiebreak: Sequence[str] = (), unit: str = "day"
+    df: DataFrame, id_col: str, ts_col: str, flag: Column, name: str, tiebreak: Sequence[str] = ()
 ) -> DataFrame:
-    """Add ``name``: rows with ``flag`` up to and including this one, per id in time order."""
-    data = df.withColumn("_c", time_chunk(ts_col, unit)).withColumn("_f", F.coalesce(flag, F.lit(False)).cast("long"))
-    totals = data.groupBy(id_col, "_c").agg(F.sum("_f").alias("_t"))
-    prior = Window.partitionBy(id_col).orderBy("_c").rowsBetween(Window.unboundedPreceding, -1)
-    before = totals.select(id_col, "_c", F.coalesce(F.sum("_t").over(prior), F.lit(0)).alias("_before"))
-    inner = Window.partitionBy(id_col, "_c").orderBy(ts_col, *tiebreak).rowsBetween(Window.unboundedPreceding, 0)
-    return (
-        data.withColumn("_local", F.sum("_f").over(inner))
-        .join(before, [id_col, "_c"])
-        .withColumn(name, F.col("_local") + F.col("_before"))
-        .select(*df.columns, name)
-    )
+    """Add ``name``: rows with ``flag`` up to and including this one, per id in time order (rows without an id: left out)."""
+    data = df.filter(F.col(id_col).isNotNull()).withColumn("_f", F.coalesce(flag, F.lit(False)).cast("long"))
+    data = in_ranges(data, [id_col, ts_col, *tiebreak])
+    totals = range_totals(data, [id_col], ["_f"]).select(id_col, "_range", "_before__f")
+    inner = Window.partitionBy(id_col, "_range").orderBy(ts_col, *tiebreak).rowsBetween(Window.unboundedPreceding, 0)
+    counted = data.join(totals, [id_col, "_range"]).withColumn(name, F.sum("_f").over(inner) + F.col("_before__f"))
+    return counted.select(*df.columns, name)
 
 
 def longest_run(
@@ -243,24 +221,23 @@ def forward_fill(
     tiebreak: Sequence[str] = (),
     limit: int | None = None,
     backward: bool = False,
-    unit: str = "day",
 ) -> DataFrame:
     """Carry the last (or, backward, the next) non-null value of each column within an id.
 
     ``id_col=None`` is the ungrouped form: one ordered series over all rows. A value from an
-    earlier chunk reaches a row through the chunk table, so no id is ever sorted in one task.
-    ``limit`` bounds how many nulls in a row are filled. ``ts_col`` plus ``tiebreak`` must
-    order the rows of an id fully; a null time sorts first.
+    earlier range of (id, time) reaches a row through the table of ranges, so no id, and no day
+    of an id, is ever sorted in one task. ``limit`` bounds how many nulls in a row are filled.
+    ``ts_col`` plus ``tiebreak`` must order the rows of an id fully; a null time sorts first.
     """
     keys = [id_col] if id_col else []
     order = [ts_col, *tiebreak]
-    data = df.withColumn("_c", time_chunk(ts_col, unit))
+    data = in_ranges(df, [*keys, *order]).withColumnRenamed("_range", "_c")
     direction = F.desc if backward else F.asc
     inner = Window.partitionBy(*keys, "_c").orderBy(*[direction(c) for c in order])
     if limit is not None:
         data = data.withColumn("_local_pos", F.row_number().over(inner))
         sizes = data.groupBy(*keys, "_c").agg(F.count("*").alias("_n"))
-        prior_rows = Window.partitionBy(*(keys or [F.lit(0)])).orderBy(direction("_c")).rowsBetween(Window.unboundedPreceding, -1)
+        prior_rows = _per_key(keys).orderBy(direction("_c")).rowsBetween(Window.unboundedPreceding, -1)
         offsets = sizes.select(*keys, "_c", F.coalesce(F.sum("_n").over(prior_rows), F.lit(0)).alias("_offset"))
         data = _null_safe_join(data, offsets, keys + ["_c"]).withColumn("_pos", F.col("_local_pos") + F.col("_offset"))
     else:
@@ -271,7 +248,7 @@ def forward_fill(
     summary = data.groupBy(*keys, "_c").agg(
         *[pick(cell[c], F.when(F.col(c).isNotNull(), at)).alias(f"_s_{c}") for c in columns]
     )
-    prior = Window.partitionBy(*(keys or [F.lit(0)])).orderBy(direction("_c")).rowsBetween(Window.unboundedPreceding, -1)
+    prior = _per_key(keys).orderBy(direction("_c")).rowsBetween(Window.unboundedPreceding, -1)
     carried = summary.select(
         *keys, "_c", *[F.last(f"_s_{c}", ignorenulls=True).over(prior).alias(f"_k_{c}") for c in columns]
     )
@@ -357,18 +334,27 @@ def literal(value, like: DataFrame, column: str) -> Column:
     return F.lit(None if value is None else str(value)).cast(like.schema[column].dataType)
 
 
+def content_hash(seed: int | str, *columns: str | Column) -> Column:
+    """md5 of the seed and the columns as text, joined by ``|``: the same in any engine, so a twin can state the choice."""
+    return F.md5(F.concat_ws("|", F.lit(str(seed)), *[col(c).cast("string") for c in columns]))
+
+
+def hash_number(hashed: Column) -> Column:
+    """The first 8 hexadecimal digits of a hash as a number below 2^32."""
+    return F.conv(F.substring(hashed, 1, 8), 16, 10).cast("bigint")
+
+
 def hash_rank(df: DataFrame, keys: Sequence[str], id_cols: Sequence[str], seed: int, name: str) -> DataFrame:
     """1-based rank by a seeded hash of the id, per key: a repeatable random order.
 
     Ranks are counted inside ranges of the hash and shifted by the sizes of the ranges before,
     so one class may hold most rows.
     """
-    h = F.xxhash64(F.lit(seed), *[F.col(c) for c in id_cols])
-    data = df.withColumn("_h", h).withColumn("_range", F.shiftright("_h", 50))
+    data = df.withColumn("_h", content_hash(seed, *id_cols)).withColumn("_range", F.substring("_h", 1, 4))
     w = Window.partitionBy(*keys, "_range").orderBy("_h", *id_cols)
     local = data.withColumn(name, F.row_number().over(w))
     sizes = data.groupBy(*keys, "_range").agg(F.count("*").alias("_n"))
-    prior = Window.partitionBy(*(list(keys) or [F.lit(0)])).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    prior = _per_key(keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     before = sizes.select(*keys, "_range", F.coalesce(F.sum("_n").over(prior), F.lit(0)).alias("_before"))
     joined = _null_safe_join(local, before, [*keys, "_range"])
     return joined.withColumn(name, F.col(name) + F.col("_before")).select(*df.columns, name)

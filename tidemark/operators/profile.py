@@ -91,6 +91,18 @@ def null_counts(df: DataFrame, columns: Sequence[str] | None = None) -> DataFram
     return wide_to_long(df.agg(*[count_if(F.col(c).isNull()).alias(c) for c in cols]), cols, "column_name", "nulls")
 
 
+def compare_columns(left: DataFrame, right: DataFrame) -> DataFrame:
+    """``(column_name, place, left_type, right_type, left_nulls, right_nulls)``: columns of one table, the other or both."""
+    def described(df, side):
+        kinds = F.create_map(*[F.lit(x) for f in df.schema.fields for x in (f.name, f.dataType.simpleString())])
+        nulls = null_counts(df)
+        return nulls.select("column_name", F.element_at(kinds, F.col("column_name")).alias(f"{side}_type"), F.col("nulls").alias(f"{side}_nulls"))
+
+    both = described(left, "left").join(described(right, "right"), "column_name", "full_outer")
+    place = F.when(F.col("right_type").isNull(), "left").when(F.col("left_type").isNull(), "right").otherwise("both")
+    return both.select("column_name", place.alias("place"), "left_type", "right_type", "left_nulls", "right_nulls")
+
+
 def duplicate_rows(df: DataFrame) -> DataFrame:
     """``(rows, duplicates)``: rows beyond the first of each identical set."""
     per = df.groupBy(*df.columns).agg(F.count("*").alias("_n"))
@@ -114,11 +126,17 @@ def outlier_counts(df: DataFrame, columns: Sequence[str], k: float = 3.0) -> Dat
 
 def outlier_rows(df: DataFrame, columns: Sequence[str], key: Sequence[str], k: float = 3.0, per_column: int | None = None) -> DataFrame:
     """Outlying rows of each column, or the first ``per_column`` of them by key: ``(column_name, key…, value)``."""
-    q = column_quantiles(df, columns, [0.25, 0.75])
-    cells = long_values(df, columns, key)
+    fences = column_quantiles(df, columns, [0.25, 0.75])
+    names = [f"_b{i}" for i in range(len(columns))]
+    row = fences.agg(*[F.max(F.when(F.col("column_name") == c, F.col("q"))).alias(b) for c, b in zip(columns, names)])
+    cells = F.array(*[
+        F.struct(F.lit(c).alias("column_name"), F.col(c).cast("double").alias("value"), F.col(b).alias("q")) for c, b in zip(columns, names)
+    ])
+    # the fences come as one row, so a table of few columns is not dealt by their names
+    hits = attach(df.select(*dict.fromkeys([*key, *columns])), row).select(*key, F.inline(cells))
     low, high = F.col("q")[0], F.col("q")[1]
     spread = high - low
-    hits = cells.join(q, "column_name").filter((F.col("value") < low - k * spread) | (F.col("value") > high + k * spread))
+    hits = hits.filter((F.col("value") < low - k * spread) | (F.col("value") > high + k * spread))
     if per_column is None:
         return hits.select("column_name", *key, "value")
     return top_k_per_key(hits.drop("q"), ["column_name"], [F.asc(c) for c in key], per_column).drop("rank")

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from tidemark.operators.ordered import latest_per_key
 from tidemark.operators.tables_schema import RUN_SCHEMAS
+from tidemark.sources.batches import append_batch, committed
 
 
 def latest_runs(runs: DataFrame, experiments: DataFrame) -> DataFrame:
@@ -16,7 +17,7 @@ def latest_runs(runs: DataFrame, experiments: DataFrame) -> DataFrame:
     return last.join(experiments.select("experiment_id", "experiment_name"), "experiment_id")
 
 
-def search_runs(runs: DataFrame, where: str | None = None, order_by: Sequence[str] = (), limit: int | None = 100, status: str | None = None) -> DataFrame:
+def search_runs(runs: DataFrame, where: str | None = None, order_by: Sequence[str] = (), limit: int | None = None, status: str | None = None) -> DataFrame:
     """Runs by SQL condition and order (``"column [asc|desc]"``); newest first by default."""
     out = runs
     if status is not None:
@@ -64,25 +65,32 @@ def merged_params(changes: DataFrame) -> DataFrame:
 
 
 class RunLog:
-    """Append-only experiment, run, metric, parameter and artifact tables below one path."""
+    """Append-only experiment, run, metric, parameter and artifact tables below one path.
+
+    Every append is a batch of its own that counts once it is committed; a call that names its
+    batch can be made again. Many rows at once come as a table, by ``append_table``.
+    """
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
         self.active: str | None = None
 
     def table(self, name: str) -> DataFrame:
-        return self.spark.read.schema(RUN_SCHEMAS[name]).parquet(f"{self.root}/{name}")
+        folders = committed(self.spark, f"{self.root}/{name}")
+        if not folders:
+            return self.spark.createDataFrame([], RUN_SCHEMAS[name])
+        return self.spark.read.schema(RUN_SCHEMAS[name]).parquet(*folders)
+
+    def append_table(self, name: str, rows: DataFrame, batch: str | None = None) -> bool:
+        """Append a table with the columns of ``name``; false if the batch was there already."""
+        columns = [f.name for f in T.StructType.fromDDL(RUN_SCHEMAS[name]).fields]
+        return append_batch(rows.select(*columns), f"{self.root}/{name}", lambda df, folder: df.write.mode("overwrite").parquet(folder), batch)
 
-    def append(self, name: str, rows: list[dict]) -> None:
-        self.spark.createDataFrame(rows, RUN_SCHEMAS[name]).coalesce(1).write.mode("append").parquet(f"{self.root}/{name}")
+    def append(self, name: str, rows: list[dict], batch: str | None = None) -> bool:
+        return self.append_table(name, self.spark.createDataFrame(rows, RUN_SCHEMAS[name]).coalesce(1), batch)
 
     def _experiments(self, name: str) -> list:
-        try:
-            return self.table("experiments").filter(F.col("experiment_name") == name).limit(1).collect()
-        except Exception as error:  # the table does not exist yet
-            if "PATH_NOT_FOUND" in str(error):
-                return []
-            raise
+        return self.table("experiments").filter(F.col("experiment_name") == name).limit(1).collect()
 
     def create_experiment(self, name: str, now, description: str | None = None) -> str:
         if self._experiments(name):

@@ -5,10 +5,10 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from tidemark.operators.ordered import keyed_join
-from tidemark.session import checkpointed
+from tidemark.session import written
 
 
 def _safe_std(std):
@@ -30,23 +30,31 @@ class FittedScaler:
         return df.withColumns(out) if out else df
 
 
-def fit_standard(df: DataFrame, columns: Sequence[str]) -> FittedScaler:
+def scale_statistics(standard: Sequence[str], min_max: Sequence[str]) -> list[Column]:
+    """The aggregates that both scalers are fitted from; they can be observed while a table is written."""
+    moments = [[F.avg(c).alias(f"avg {c}"), F.stddev_samp(c).alias(f"std {c}")] for c in standard]
+    ends = [[F.min(c).cast("double").alias(f"min {c}"), F.max(c).cast("double").alias(f"max {c}")] for c in min_max]
+    return sum(moments + ends, [])
+
+
+def standard_scaler(row: dict, columns: Sequence[str]) -> FittedScaler:
     """Mean and sample deviation; a zero or undefined deviation counts as 1."""
-    row = df.agg(*[F.struct(F.avg(c).alias("m"), F.stddev_samp(c).alias("s")).alias(c) for c in columns]).first()
-    return FittedScaler({c: (row[c]["m"] or 0.0, row[c]["s"] or 1.0, 0.0, 1.0) for c in columns})
+    return FittedScaler({c: (row[f"avg {c}"] or 0.0, row[f"std {c}"] or 1.0, 0.0, 1.0) for c in columns})
 
 
-def fit_min_max(df: DataFrame, columns: Sequence[str], feature_range: tuple[float, float] = (0.0, 1.0)) -> FittedScaler:
+def min_max_scaler(row: dict, columns: Sequence[str], feature_range: tuple[float, float] = (0.0, 1.0)) -> FittedScaler:
     """Range scaling; a constant column is treated as one unit wide."""
     low, high = map(float, feature_range)
-    row = df.agg(
-        *[F.struct(F.min(c).cast("double").alias("a"), F.max(c).cast("double").alias("b")).alias(c) for c in columns]
-    ).first()
-    params = {}
-    for c in columns:
-        a, b = row[c]["a"] or 0.0, row[c]["b"] or 0.0
-        params[c] = (a, (b - a) or 1.0, low, high - low)
-    return FittedScaler(params)
+    ends = {c: (row[f"min {c}"] or 0.0, row[f"max {c}"] or 0.0) for c in columns}
+    return FittedScaler({c: (a, (b - a) or 1.0, low, high - low) for c, (a, b) in ends.items()})
+
+
+def fit_standard(df: DataFrame, columns: Sequence[str]) -> FittedScaler:
+    return standard_scaler(df.agg(*scale_statistics(columns, [])).first().asDict(), columns)
+
+
+def fit_min_max(df: DataFrame, columns: Sequence[str], feature_range: tuple[float, float] = (0.0, 1.0)) -> FittedScaler:
+    return min_max_scaler(df.agg(*scale_statistics([], columns)).first().asDict(), columns, feature_range)
 
 
 @dataclass(frozen=True)
@@ -68,13 +76,13 @@ def fit_group_standard(df: DataFrame, columns: Sequence[str], group_by: str = "a
     """Group z-score parameters (global ones when the group column is absent).
 
     Aggregate and join, not a window over the group: partial sums keep a hot group split, and
-    so does the salted join that applies the parameters. The fitted table is checkpointed:
+    so does the join that applies the parameters. The fitted table is written:
     applying it neither reads the training rows again nor depends on how they were summed.
     """
     if group_by not in df.columns:
         return fit_standard(df, columns)
-    params = checkpointed(df.filter(F.col(group_by).isNotNull()).groupBy(group_by).agg(
+    params = written(df.filter(F.col(group_by).isNotNull()).groupBy(group_by).agg(
         *[F.avg(c).alias(f"_mean_{c}") for c in columns],
         *[_safe_std(F.stddev_samp(c)).alias(f"_std_{c}") for c in columns],
-    ))
+    ), "group-scale")
     return FittedGroupScaler(list(columns), group_by, params)

@@ -3,16 +3,16 @@
 from __future__ import annotations
 
 import math
-import random
 from collections.abc import Sequence
-from functools import reduce
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from tidemark.operators.ordered import hash_rank, literal, nth_in_order, order_index, top_k_per_key
-from tidemark.session import checkpointed
+from tidemark.operators.ordered import attach, content_hash, hash_number, hash_rank, literal, nth_in_order, top_k_per_key
+from tidemark.session import written
 
 MINORITY_THRESHOLD = 0.2
+#: Bound of the list of pivots that every row looks through.
+MAX_PIVOTS = 4096
 MAX_CLASSES = 10_000
 
 
@@ -65,52 +65,74 @@ def undersample(df: DataFrame, label: str, id_cols: Sequence[str], seed: int = 4
     return hash_rank(df, [label], id_cols, seed, "_rank").filter(F.col(label).isNull() | (F.col("_rank") <= least)).drop("_rank")
 
 
-def near_neighbours(df: DataFrame, features: Sequence[str], id_col: str, k: int = 5, directions: int = 3, seed: int = 42) -> DataFrame:
-    """``(id, rank, neighbour features)``: the k nearest of all other rows, exactly.
+def near_neighbours(df: DataFrame, features: Sequence[str], id_col: str, k: int = 5) -> DataFrame:
+    """``(id, rank, nid, neighbour features)``: the k nearest of all other rows, exactly, ties by id.
 
-    The neighbours of a row on random lines bound how far its k nearest can be. Rows are cut
-    into blocks along the first line, and a row is compared with all rows of those blocks whose
-    stretch of the line and box of values come nearer than its bound. Copies of one row bound
-    each other by zero and visit no block. Where boxes tell little (many features), most blocks
-    are visited and the work grows with the square of the rows.
+    Equal rows are one point with its smallest ids. Points chosen by a hash are pivots, the
+    square root of their number, and a point belongs to the cell of its nearest pivot. The
+    distances to the pivots, which are points, and to the points of its own cell bound how far a
+    point's k nearest can be. By the triangle inequality a cell whose pivot is farther than its
+    radius plus that bound holds none of them; the cells that are left are found in the row,
+    among the pivots, and joined by their number. With many features few cells are left out and
+    the work grows with the square of the points.
     """
-    rng = random.Random(seed)
     base = df.select(F.col(id_col).alias("_id"), F.array(*[F.col(c).cast("double") for c in features]).alias("_x"))
-    candidates, lines = [], []
-    n = base.count()
-    reach = min(k, max((n - 1) // 2, 1))
-    offsets = F.array(*[F.lit(d) for d in range(-reach, reach + 1) if d != 0])
-    for _ in range(directions):
-        weights = [rng.gauss(0, 1) for _ in features]
-        length = math.hypot(*weights)
-        line = sum((F.col("_x")[i] * (w / length) for i, w in enumerate(weights)), F.lit(0.0))
-        placed = order_index(base.withColumn("_p", line), "_p", ["_id"], "_at")
-        lines.append(placed)
-        asks = placed.select("_id", "_x", F.explode(offsets).alias("_d"), "_at").withColumn("_at", F.pmod(F.col("_at") + F.col("_d"), F.lit(n)))
-        other = placed.select(F.col("_at"), F.col("_id").alias("_nid"), F.col("_x").alias("_nx"))
-        candidates.append(asks.join(other, "_at").filter("_id != _nid").select("_id", "_x", "_nid", "_nx"))
-    gap = F.aggregate(F.zip_with("_x", "_nx", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, v: s + v)
-    order = [F.asc("_gap"), F.asc("_nid")]
-    seen = reduce(lambda a, b: a.unionByName(b), candidates).dropDuplicates(["_id", "_nid"]).withColumn("_gap", gap)
-    first = checkpointed(top_k_per_key(seen, ["_id"], order, k).select("_id", "_nid", "_nx", "_gap"))
-
-    far = F.lit(float("inf"))
-    bounds = first.groupBy("_id").agg(F.when(F.count("*") >= k, F.max("_gap")).otherwise(far).alias("_bound"))
-    placed = checkpointed(lines[0].withColumn("_block", F.floor(F.col("_at") / max(64, math.isqrt(n)))))
-    boxes = placed.groupBy("_block").agg(
-        F.min("_p").alias("_from"), F.max("_p").alias("_to"), *(f(F.col("_x")[i]).alias(f"{name}{i}") for i in range(len(features)) for f, name in ((F.min, "_low"), (F.max, "_high")))
-    )
-    asks = placed.select("_id", "_x", "_p").join(bounds, "_id", "left").withColumn("_bound", F.coalesce("_bound", far)).withColumn("_r", F.sqrt("_bound"))
-    # what rounding of the line may hide
-    slack = (F.abs("_p") + F.col("_r")) * 1e-9
-    outside = [F.greatest(F.col(f"_low{i}") - F.col("_x")[i], F.col("_x")[i] - F.col(f"_high{i}"), F.lit(0.0)) for i in range(len(features))]
-    meets = (F.col("_to") >= F.col("_p") - F.col("_r") - slack) & (F.col("_from") <= F.col("_p") + F.col("_r") + slack)
-    visits = asks.join(boxes, meets & (sum((o * o for o in outside), F.lit(0.0)) < F.col("_bound"))).select("_id", "_x", "_bound", "_block")
-    others = placed.select("_block", F.col("_id").alias("_nid"), F.col("_x").alias("_nx"))
-    nearer = visits.join(others, "_block").filter("_id != _nid").withColumn("_gap", gap).filter("_gap < _bound")
-    # what lies within the bound and the bounding rows themselves, each once
-    found = first.unionByName(nearer.select("_id", "_nid", "_nx", "_gap").join(first.select("_id", "_nid"), ["_id", "_nid"], "left_anti"))
-    return top_k_per_key(found, ["_id"], order, k).select("_id", "rank", "_nx")
+    lowest = top_k_per_key(base.select("_id", "_x"), ["_x"], [F.asc("_id")], k + 1)
+    points = lowest.groupBy("_x").agg(F.array_sort(F.collect_list("_id")).alias("_ids")).withColumn("_p", content_hash("point", F.concat_ws(",", F.col("_x").cast("array<string>"))))
+    points = written(points, "points")
+    n = points.count()
+    pivots = points.orderBy("_p").limit(min(MAX_PIVOTS, max(1, math.isqrt(n)))).select("_p", "_x").withColumn("_cell", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("_p")))
+    row = written(pivots.agg(F.collect_list(F.struct("_cell", "_x")).alias("_pivots")), "pivots")  # at most MAX_PIVOTS
+    away = F.transform("_pivots", lambda p: F.struct(_distance(F.col("_x"), p["_x"]).alias("d"), p["_cell"].alias("c")))
+    placed = attach(points, row).withColumn("_away", away).withColumn("_near", F.array_min("_away"))
+    # of k + 1 pivots one may be the point itself; copies of a point are its neighbours at no distance
+    to_pivots = F.coalesce(F.get(F.array_sort("_away"), F.lit(k))["d"], F.lit(float("inf")))
+    bound = F.when(F.size("_ids") > k, F.lit(0.0)).otherwise(to_pivots)
+    placed = written(placed.select("_p", "_x", "_ids", F.col("_near.c").alias("_cell"), F.col("_near.d").alias("_far"), F.transform("_away", lambda a: a["d"]).alias("_to"), bound.alias("_bound")), "cells")
+    cells = placed.select("_cell", F.col("_p").alias("_np"), F.col("_x").alias("_nx"), F.col("_ids").alias("_nids"))
+    gap = _distance(F.col("_x"), F.col("_nx"))
+
+    def met(asks: DataFrame) -> DataFrame:
+        """The k + 1 nearest ids of each asking point among the points of the cells that it names."""
+        pairs = asks.join(cells, "_cell").withColumn("_gap", gap).filter("_gap <= _bound").select("_p", "_gap", F.explode("_nids").alias("_nid"), "_nx")
+        return top_k_per_key(pairs, ["_p"], [F.asc("_gap"), F.asc("_nid")], k + 1).drop("rank")
+
+    own = written(met(placed.select("_p", "_x", "_cell", "_bound")), "own-cells")
+    seen = own.groupBy("_p").agg(F.when(F.count("*") > k, F.max("_gap")).alias("_seen"))
+    radii = placed.groupBy("_cell").agg(F.max("_far").alias("r"))
+    radius = written(radii.agg(F.map_from_entries(F.collect_list(F.struct("_cell", "r"))).alias("_radii")), "radii")
+    asks = attach(placed.filter("_bound > 0").join(seen, "_p", "left"), radius).withColumn("_bound", F.least("_bound", "_seen"))
+    # what rounding of the distances may hide
+    reach = F.col("_bound") * (1 + 1e-9) + 1e-12
+    visits = F.filter(F.map_entries("_radii"), lambda e: (e["key"] != F.col("_cell")) & (F.get(F.col("_to"), e["key"] - 1) - e["value"] <= reach))
+    asks = asks.withColumn("_visits", F.transform(visits, lambda e: e["key"])).select("_p", "_x", "_bound", F.explode("_visits").alias("_cell"))
+    found = top_k_per_key(own.unionByName(met(asks)), ["_p"], [F.asc("_gap"), F.asc("_nid")], k + 1)
+    lists = found.groupBy("_p").agg(F.array_sort(F.collect_list(F.struct("rank", F.col("_nid").alias("nid"), F.col("_nx").alias("nx")))).alias("_near"))
+    lists = lists.join(points.select("_p", "_x"), "_p")
+    near = base.join(lists, "_x").select("_id", F.slice(F.filter("_near", lambda x: x["nid"] != F.col("_id")), 1, k).alias("_near"))
+    return near.select("_id", F.posexplode("_near").alias("_i", "_n")).select("_id", (F.col("_i") + 1).alias("rank"), F.col("_n.nid").alias("_nid"), F.col("_n.nx").alias("_nx"))
+
+
+def _distance(a: Column, b: Column) -> Column:
+    return F.sqrt(F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, v: s + v))
+
+
+def smote_parents(rows: DataFrame, features: Sequence[str], id_col: str, wanted: int, k: int = 5, seed: int = 42) -> DataFrame:
+    """``(id, j, nid, share, x, nx)``: the parents of each of ``wanted`` synthetic rows, and how far it lies between them.
+
+    Every row gets its copies in turn, the first rows of a seeded order one more; neighbour
+    and share of a copy follow from the md5 of seed, id and copy.
+    """
+    n = rows.count()
+    near = near_neighbours(rows, features, id_col, k)
+    found = near.groupBy("_id").agg(F.max("rank").alias("_k"))
+    base = rows.select(F.col(id_col).alias("_id"), F.array(*[F.col(c).cast("double") for c in features]).alias("_x"))
+    ranked = hash_rank(base, [], ["_id"], seed, "_r")
+    copies = F.lit(wanted // n) + (F.col("_r") <= wanted % n).cast("int")
+    asks = ranked.withColumn("_copies", copies).filter("_copies > 0").select("_id", "_x", F.explode(F.sequence(F.lit(1), F.col("_copies"))).alias("_j"))
+    picked = asks.join(found, "_id").withColumn("rank", (hash_number(content_hash(seed, "_id", "_j")) % F.col("_k") + 1).cast("int"))
+    share = hash_number(content_hash(seed + 1, "_id", "_j")) / F.lit(float(1 << 32))
+    return picked.withColumn("_g", share).join(near, ["_id", "rank"]).select("_id", "_j", "_nid", "_g", "_x", "_nx")
 
 
 def smote(
@@ -128,15 +150,7 @@ def smote(
     if n < 2 or wanted <= 0 or n / sum(counts.values()) >= threshold:
         return original
     rows = df.filter(F.col(label) == literal(minority, df, label))
-    near = near_neighbours(rows, features, id_col, k, seed=seed)
-    found = near.groupBy("_id").agg(F.max("rank").alias("_k"))
-    base = rows.select(F.col(id_col).alias("_id"), F.array(*[F.col(c).cast("double") for c in features]).alias("_x"))
-    ranked = hash_rank(base, [], ["_id"], seed, "_r")
-    copies = F.lit(wanted // n) + (F.col("_r") <= wanted % n).cast("int")
-    asks = ranked.withColumn("_copies", copies).filter("_copies > 0").select("_id", "_x", F.explode(F.sequence(F.lit(1), F.col("_copies"))).alias("_j"))
-    picked = asks.join(found, "_id").withColumn("rank", (F.pmod(F.xxhash64(F.lit(seed), "_id", "_j"), F.col("_k")) + 1).cast("int"))
-    share = F.pmod(F.xxhash64(F.lit(seed + 1), "_id", "_j"), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    made = picked.withColumn("_g", share).join(near, ["_id", "rank"])
+    made = smote_parents(rows, features, id_col, wanted, k, seed)
     point = F.zip_with("_x", "_nx", lambda a, b: F.struct(a.alias("a"), b.alias("b")))
     mixed = made.withColumn("_pt", point).select(
         *[(F.col("_pt")[i]["a"] + F.col("_g") * (F.col("_pt")[i]["b"] - F.col("_pt")[i]["a"])).alias(c) for i, c in enumerate(features)],

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import itertools
 import math
 import random
@@ -276,22 +277,29 @@ def anomaly_evaluation(scores: DataFrame, label: str, score: str = "score", flag
 def permutation_shift(df: DataFrame, features: Sequence[str], id_cols: Sequence[str], score: Callable[[DataFrame], DataFrame], seed: int = 42) -> DataFrame:
     """``(feature, importance)``: |mean score − mean score with that column shuffled|.
 
-    A shuffle pairs each row with another row by two repeatable hash orders and an
-    equi-join of the positions.
+    All rows are placed once in a repeatable random order. A column's shuffle moves it by an
+    offset of its own along that order, in a circle, which pairs every row with another one. So
+    each row sends its values to one place per feature, and one join by place brings them all.
     """
-    data = df.select(*id_cols, *features)
-    base = score(data).agg(F.avg("score").alias("_base"))
-    rows = hash_rank(data, [], id_cols, seed, "_at")
-    parts = []
-    for i, f in enumerate(features):
-        other = hash_rank(data, [], id_cols, seed + 1 + i, "_at").select("_at", F.col(f).alias("_other"))
-        moved = rows.join(other, "_at").withColumn(f, F.col("_other")).drop("_other", "_at")
-        mean = score(moved).agg(F.avg("score").alias("_mean"))
-        parts.append(attach(mean, base).select(F.lit(f).alias("feature"), F.abs(F.col("_mean") - F.col("_base")).alias("importance")))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    features = list(features)
+    data = hash_rank(df.select(*id_cols, *features), [], id_cols, seed, "_at")
+    n = data.count()
+    steps = [shuffle_offset(seed, i, n) for i in range(len(features))]
+    sent = [F.struct(F.pmod(F.col("_at") - 1 - step, F.lit(n)).alias("_to"), F.lit(i).alias("_i"), F.col(f).cast("double").alias("_v")) for i, (f, step) in enumerate(zip(features, steps))]
+    moved = data.select(F.inline(F.array(*sent))).groupBy("_to").agg(*[F.max(F.when(F.col("_i") == i, F.col("_v"))).alias(f"_m{i}") for i in range(len(features))])
+    rows = data.withColumn("_to", F.col("_at") - 1).join(moved, "_to")
+    # one row per row and shuffled feature, and one as it is, scored in one pass
+    forms = [F.struct(F.lit(i).alias("_form"), *[(F.col(f"_m{i}") if i == j else F.col(f).cast("double")).alias(f) for j, f in enumerate(features)]) for i in range(-1, len(features))]
+    means = score(rows.select(*id_cols, F.inline(F.array(*forms)))).groupBy("_form").agg(F.avg("score").alias("_mean"))
+    base = means.agg(F.max(F.when(F.col("_form") == -1, F.col("_mean"))).alias("_base"))
+    names = F.array(*[F.lit(f) for f in features])
+    shift = F.abs(F.col("_mean") - F.col("_base")).alias("importance")
+    return attach(means.filter("_form >= 0"), base).select(F.element_at(names, F.col("_form") + 1).alias("feature"), shift)
+
+
+def shuffle_offset(seed: int, place: int, n: int) -> int:
+    """How far a column is moved along the order of ``n`` rows: never by a full circle, if there are two rows."""
+    return 1 + int(hashlib.md5(f"{seed}|{place}".encode()).hexdigest()[:8], 16) % max(n - 1, 1)
 
 
 # -- search ----------------------------------------------------------------------------------
@@ -303,20 +311,24 @@ def grid_trials(space: dict[str, Sequence]) -> list[dict]:
 
 
 def random_trials(space: dict[str, dict], n: int, seed: int = 42) -> list[dict]:
-    """Seeded draws: ``float``/``int`` between ``low`` and ``high`` (optionally log), or ``categorical``."""
-    rng = random.Random(seed)
+    """Seeded draws: ``float``/``int`` between ``low`` and ``high`` (optionally log), or ``categorical``.
+
+    A draw is the md5 of seed, name and trial, so that it is the same anywhere.
+    """
 
-    def draw(p):
+    def draw(name, p, i):
+        u = int(hashlib.md5(f"{seed}|{name}|{i}".encode()).hexdigest()[:8], 16) / 2**32
         if p["type"] == "categorical":
-            return rng.choice(list(p["choices"]))
+            choices = list(p["choices"])
+            return choices[int(u * len(choices))]
         low, high, whole = p["low"], p["high"], p["type"] == "int"
         if p["type"] not in ("float", "int"):
             raise ValueError(f"unknown parameter type: {p['type']}")
         top = high + 1 if whole else high
-        value = math.exp(rng.uniform(math.log(low), math.log(top))) if p.get("log") else rng.uniform(low, top)
+        value = math.exp(math.log(low) + u * (math.log(top) - math.log(low))) if p.get("log") else low + u * (top - low)
         return min(int(value), high) if whole else value
 
-    return [{name: draw(p) for name, p in space.items()} for _ in range(n)]
+    return [{name: draw(name, p, i) for name, p in space.items()} for i in range(n)]
 
 
 def run_trials(
@@ -328,7 +340,7 @@ def run_trials(
         try:
             value = float(objective(params))
         except Exception as error:
-            rows.append((i, {k: str(v) for k, v in params.items()}, None, str(error)[:200]))
+            rows.append((i, {k: str(v) for k, v in params.items()}, None, str(error)))
             continue
         rows.append((i, {k: str(v) for k, v in params.items()}, value, None))
         gain = None if best is None else (value - best if maximize else best - value)
@@ -366,9 +378,11 @@ def trial_statistics(trials: DataFrame, maximize: bool = True, level: float = 0.
     pick = F.max_by if maximize else F.min_by
     row = done.agg(
         F.count("*").alias("n_trials"), F.avg("score").alias("mean"), F.stddev_pop("score").alias("std"), F.min("score").alias("min"),
-        F.max("score").alias("max"), F.median("score").alias("median"), (F.stddev_samp("score") / F.sqrt(F.count("*"))).alias("_sem"),
+        F.max("score").alias("max"), (F.stddev_samp("score") / F.sqrt(F.count("*"))).alias("_sem"),
         pick("trial", F.struct("score", -F.col("trial") if maximize else F.col("trial"))).alias("best_trial"),
     )
+    middle = exact_quantiles(done, [], "score", [0.5]).select(F.element_at("q", 1).alias("median"))
+    row = attach(row, middle)
     n = done.count()
     t = t_quantile(0.5 + level / 2, n - 1) if n > 1 else None
     half = F.col("_sem") * F.lit(t)

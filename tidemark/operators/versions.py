@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+from itertools import chain, count
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tidemark.operators.profile import version_statistics
 from tidemark.session import checkpointed
+from tidemark.sources.batches import create_new, file_system
 
 
 def content_fingerprint(df: DataFrame) -> DataFrame:
@@ -45,33 +49,32 @@ class VersionStore:
         ).parquet(self._meta("lineage"))
 
     def _has(self, table: str) -> bool:
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(self._meta(table))
-        return path.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(path)
+        fs, path = file_system(self.spark, self._meta(table))
+        return fs.exists(path)
 
     def register(self, df: DataFrame, name: str, source: str, created_at: Column, version: str | None = None, parent: str | None = None) -> str:
         """Write a version unless the same content is already there; returns the version.
 
-        The number is latest + 1, or a time stamp when the latest is not a number.
+        The rows are written first, to a folder of their own, and what was written is
+        fingerprinted and described; so the input is evaluated once. Then a number is
+        claimed by creating its file, which one writer alone can do: latest + 1, or the next
+        that is free, or a time stamp when the latest is not a number. A given version that is
+        taken is an error. A writer that dies before its row is appended leaves a gap in the
+        numbers, and its next try is a version of its own.
         """
-        f = content_fingerprint(df).first()
+        uri = f"{self.root}/{name}/{uuid.uuid4().hex}"
+        df.write.option("compression", "zstd").parquet(uri)
+        stored = self.spark.read.schema(df.schema).parquet(uri)
+        f = content_fingerprint(stored).first()
         digest = f"{f['schema_hash'][:16]}-{f['n_rows']}-{f['row_hash_sum']}-{f['row_hash_xor']}"
         if self._has("versions"):
             same = find_duplicate(self.versions(), name, digest).limit(1).collect()
             if same:
+                fs, copy = file_system(self.spark, uri)
+                fs.delete(copy, True)
                 return same[0]["version"]
-            latest = self.latest(name)
-        else:
-            latest = None
-        if version is None:
-            if latest is None:
-                version = "1"
-            elif latest["version"].isdigit():
-                version = str(int(latest["version"]) + 1)
-            else:
-                version = self.spark.range(1).select(F.date_format(created_at, "yyyyMMddHHmmss")).first()[0]
-        uri = f"{self.root}/{name}/v={version}"
-        df.write.mode("overwrite").option("compression", "zstd").parquet(uri)
-        version_statistics(df).write.mode("overwrite").parquet(f"{self.root}/_statistics/{name}/v={version}")
+        version = self._claim(name, version, created_at)
+        version_statistics(stored).write.parquet(f"{self.root}/_statistics/{name}/v={version}")
         row = self.spark.range(1).select(
             F.lit(name).alias("dataset_name"), F.lit(version).alias("version"), F.lit(digest).alias("content_hash"),
             F.lit(f["n_rows"]).cast("long").alias("n_rows"), F.lit(uri).alias("uri"), F.lit(source).alias("source"),
@@ -80,6 +83,21 @@ class VersionStore:
         row.write.mode("append").parquet(self._meta("versions"))
         return version
 
+    def _claim(self, name: str, version: str | None, created_at: Column) -> str:
+        def free(v: str) -> bool:
+            return create_new(self.spark, f"{self._meta('claims')}/{name}/{v}")
+
+        if version is not None:
+            taken = self._has("versions") and self.versions().filter((F.col("dataset_name") == name) & (F.col("version") == version)).limit(1).collect()
+            if taken or not free(version):
+                raise ValueError(f"version {version} of {name} exists")
+            return version
+        latest = self.latest(name) if self._has("versions") else None
+        if latest is None or latest["version"].isdigit():
+            return next(v for v in map(str, count(int(latest["version"]) + 1 if latest else 1)) if free(v))
+        stamp = self.spark.range(1).select(F.date_format(created_at, "yyyyMMddHHmmss")).first()[0]
+        return next(v for v in chain([stamp], (f"{stamp}-{i}" for i in count(2))) if free(v))
+
     def latest(self, name: str):
         rows = self.versions().filter(F.col("dataset_name") == name).orderBy(F.desc("created_at"), F.desc(F.length("version")), F.desc("version")).limit(1).collect()
         return rows[0] if rows else None

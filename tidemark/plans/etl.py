@@ -6,11 +6,12 @@ import json
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F
 
 from tidemark.functions.common import count_if
 from tidemark.operators import clean, encode, impute, scale
-from tidemark.operators.ordered import attach, top_k_per_key
+from tidemark.operators.ordered import attach, exact_quantiles, top_k_per_key
+from tidemark.session import written
 
 
 @dataclass
@@ -34,7 +35,10 @@ class EtlConfig:
 
 @dataclass
 class FittedEtl:
-    """Everything learnt at fit. ``transform`` is lazy and independent of how rows are batched."""
+    """Everything learnt at fit. ``transform`` does not depend on how rows are batched.
+
+    It is lazy, but for fills in time order, whose series are written in ranges first.
+    """
 
     config: EtlConfig
     bounds: dict[str, tuple[float, float]]
@@ -48,9 +52,10 @@ class FittedEtl:
         c = self.config
         out = _clean(df, c, self.bounds)
         out = _impute(out, c, self.imputer)
-        out = _encode(out, c, self.targets, self.one_hot)
-        if self.group_scaler is not None:
-            out = self.group_scaler.transform(out)
+        return self.scaled(_encode(out, c, self.targets, self.one_hot))
+
+    def scaled(self, encoded: DataFrame) -> DataFrame:
+        out = self.group_scaler.transform(encoded) if self.group_scaler is not None else encoded
         for s in self.scalers:
             out = s.transform(out)
         return out
@@ -146,15 +151,55 @@ def _encode(df: DataFrame, c: EtlConfig, targets, one_hot) -> DataFrame:
     return encode.ordinal_encode(df, {k: v for k, v in c.ordinal.items() if k in df.columns}) if c.ordinal else df
 
 
+def _written_observing(df: DataFrame, name: str, aggregates: list[Column]) -> tuple[DataFrame, dict]:
+    """The table, written once, and the aggregates over its rows, taken as they pass."""
+    if not aggregates:
+        return written(df, name), {}
+    seen = Observation()
+    return written(df.observe(seen, *aggregates), name), seen.get
+
+
+def _quartiles(df: DataFrame, fences: dict[str, Column], medians: dict[str, Column], k: float) -> tuple[dict, dict]:
+    """Outlier fences and medians of all columns, by one pass over their distinct values."""
+    cells = [F.struct(F.lit(use).alias("use"), F.lit(x).alias("x"), v.cast("double").alias("v")) for use, of in (("fence", fences), ("median", medians)) for x, v in of.items()]
+    if not cells:
+        return {}, {}
+    found = exact_quantiles(df.select(F.inline(F.array(*cells))), ["use", "x"], "v", [0.25, 0.5, 0.75]).collect()  # one row per column
+    spread = {r["x"]: r["q"][2] - r["q"][0] for r in found if r["use"] == "fence"}
+    bounds = {r["x"]: (r["q"][0] - k * spread[r["x"]], r["q"][2] + k * spread[r["x"]]) for r in found if r["use"] == "fence"}
+    return bounds, {x: None for x in medians} | {r["x"]: r["q"][1] for r in found if r["use"] == "median"}
+
+
 def fit_etl(df: DataFrame, config: EtlConfig) -> FittedEtl:
     """Fit stage by stage: each stage's parameters come from the output of the stages before."""
+    return fit_transform(df, config)[0]
+
+
+def fit_transform(df: DataFrame, config: EtlConfig) -> tuple[FittedEtl, DataFrame]:
+    """The fitted job and its result on the rows that it was fitted on.
+
+    The rows are written twice, without duplicates and filled. What a stage needs is observed
+    while they are written, or read in one pass over what was written: the quartiles and
+    medians of all columns together, the levels, the groups. Nothing is computed twice.
+    """
     c = config
     unique = _deduplicate(df, c)
-    fence_columns = [x for x in c.outlier_columns if x in df.columns and x not in c.domain_rules]
-    bounds = clean.iqr_bounds(unique, fence_columns, c.iqr_k) if fence_columns else {}
+    fields = {f.name: f for f in unique.schema.fields}
+    strategies = impute.known_strategies(c.impute, unique.columns)
+    valid = {x: clean.valid_value(fields[x], c.invalid_values) for x in strategies}
+    means = [x for x, s in strategies.items() if s == "mean"]
+    unique, known = _written_observing(unique, "etl-unique", [F.avg(valid[x]).alias(x) for x in means])
+    fences = [x for x in c.outlier_columns if x in fields and x not in c.domain_rules]
+    medians = [x for x, s in strategies.items() if s == "median"]
+    bounds, middles = _quartiles(unique, {x: F.col(x) for x in fences}, {x: valid[x] for x in medians}, c.iqr_k)
     cleaned = _flag_and_null(unique, c, bounds)
-    imputer = impute.fit_imputer(cleaned, c.impute)
+    imputer = impute.fit_imputer(cleaned, c.impute, known=known | middles)
     filled = _impute(cleaned, c, imputer)
+
+    changed = {*c.target_encode_columns, *c.one_hot_columns, *c.ordinal}
+    early = lambda cols: [x for x in cols if x in filled.columns and x not in changed]
+    observed = scale.scale_statistics(early(c.standardize_columns), early(c.min_max_columns))
+    filled, stats = _written_observing(filled, "etl-filled", observed)
     targets = [
         encode.fit_target_encoding(filled, x, c.target_column)
         for x in c.target_encode_columns
@@ -163,15 +208,19 @@ def fit_etl(df: DataFrame, config: EtlConfig) -> FittedEtl:
     one_hot = encode.fit_one_hot(filled, [x for x in c.one_hot_columns if x in filled.columns])
     encoded = _encode(filled, c, targets, one_hot)
     present = lambda cols: [x for x in cols if x in encoded.columns]
+    late = [[x for x in present(cols) if x in changed or x not in filled.columns] for cols in (c.standardize_columns, c.min_max_columns)]
+    if any(late):
+        stats |= encoded.agg(*scale.scale_statistics(*late)).first().asDict()
     group = None
     if present(c.group_scale_columns):
         group = scale.fit_group_standard(encoded, present(c.group_scale_columns), c.id_column)
     scalers = []
     if present(c.standardize_columns):
-        scalers.append(scale.fit_standard(encoded, present(c.standardize_columns)))
+        scalers.append(scale.standard_scaler(stats, present(c.standardize_columns)))
     if present(c.min_max_columns):
-        scalers.append(scale.fit_min_max(encoded, present(c.min_max_columns)))
-    return FittedEtl(c, bounds, imputer, targets, one_hot, group, scalers)
+        scalers.append(scale.min_max_scaler(stats, present(c.min_max_columns)))
+    fitted = FittedEtl(c, bounds, imputer, targets, one_hot, group, scalers)
+    return fitted, fitted.scaled(encoded)
 
 
 def sequences(

@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidemark.functions import common as fn
-from tidemark.operators import governance as gov, monitor, recommend
+from tidemark.operators import drift, governance as gov, monitor, recommend
 from tidemark.plans import modalities as m
+from tidemark.plans.queries_profile import HALVES, KS_SQL, _halves
 from tidemark.plans.registry import query
-from tidemark.sources import catalog, tables
+from tidemark.session import scratch_folder
+from tidemark.sources import catalog, files, tables
 
 C = m.CASES_SQL
 NOW_SQL = "TIMESTAMP '2001-08-02 06:00:00'"
@@ -112,7 +114,22 @@ def _(t):
     levels = found.select("resource_id", "priority", "name", F.explode("risk_levels").alias("risk_level"))
     people = profiles(t).select(F.col("anonymized_id").alias("c_custkey"), "risk_level")
     w = Window.partitionBy("c_custkey").orderBy(F.desc("priority"), F.asc("name"))
-    return people.join(F.broadcast(levels), "risk_level").withColumn("place", F.row_number().over(w))
+    return people.join(levels, "risk_level").withColumn("place", F.row_number().over(w))
+
+
+@query(
+    "s12_loaded_catalog",
+    "resource_id:s priority:l people:l",
+    f"""WITH {CATALOG_SQL}, {PROFILE_SQL}, n AS (SELECT risk_level, count(*) AS n FROM prof GROUP BY 1)
+    SELECT resource_id, priority, coalesce((SELECT sum(n) FROM n WHERE list_contains(cat.risk_levels, n.risk_level)), 0) AS people FROM cat""",
+)
+def _(t):
+    path = scratch_folder(t.spark, "catalog")
+    catalog.load_catalog(t.spark, path)
+    loaded = catalog.search(t.spark.read.parquet(path))
+    people = profiles(t).groupBy("risk_level").agg(F.count("*").alias("n"))
+    levels = loaded.select("resource_id", "priority", F.explode("risk_levels").alias("risk_level"))
+    return levels.join(people, "risk_level", "left").groupBy("resource_id", "priority").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("people"))
 
 
 RECS_SQL = """recs AS (SELECT o_orderkey AS recommendation_id, o_custkey AS anonymized_id, o_orderdate AS recommended_at,
@@ -458,6 +475,25 @@ def _(t):
     return monitor.degradation_alerts(metrics(t), baselines(t))
 
 
+@query(
+    "s13_alert_log",
+    "model_id:s alert_type:s severity:s n:l highest:d",
+    f"""WITH {METRICS_SQL}, {HALVES}, k AS ({KS_SQL}), d AS (SELECT max(statistic) AS s FROM k),
+    every AS (SELECT model_id, 'performance_degradation' AS alert_type, CASE WHEN pct > 20 THEN 'high' ELSE 'medium' END AS severity, pct AS score FROM al
+      UNION ALL SELECT 'm-drift', 'data_drift', 'medium', s FROM d WHERE s > 0.01)
+    SELECT model_id, alert_type, severity, count(*) AS n, max(score) AS highest FROM every GROUP BY 1, 2, 3""",
+)
+def _(t):
+    path = scratch_folder(t.spark, "alerts")
+    fell = monitor.degradation_alerts(metrics(t), baselines(t)).select("model_id", "ts", "alert_type", "severity", F.col("degradation_pct").alias("score"))
+    report = drift.monitor_drift(*_halves(t), ["o_totalprice", "o_custkey"], limit=0.01)
+    drifted = monitor.drift_alerts(report, "data", "m-drift", week(), 0.01).select("model_id", "ts", "alert_type", "severity", F.col("drift_score").alias("score"))
+    for name, alerts in (("fell", fell), ("drifted", drifted), ("fell", fell)):  # a job that is run again adds nothing
+        files.append_alerts(alerts, path, name)
+    log = files.read_alerts(t.spark, path, "model_id STRING, ts TIMESTAMP_NTZ, alert_type STRING, severity STRING, score DOUBLE")
+    return log.groupBy("model_id", "alert_type", "severity").agg(F.count("*").alias("n"), F.max("score").alias("highest"))
+
+
 @query(
     "a30_alerts_per_day",
     "day:a alerts:l",

@@ -39,6 +39,15 @@ def _(t):
     return split.stratified_folds(t.events, "event_type", ["event_id"]).groupBy("event_type", "fold").agg(F.count("*").alias("n"))
 
 
+@query(
+    "m2_fold_rows",
+    "event_id:l event_type:s fold:l",
+    """SELECT event_id, event_type, (row_number() OVER (PARTITION BY event_type ORDER BY md5('42|' || event_id), event_id) - 1) % 5 AS fold FROM events""",
+)
+def _(t):
+    return split.stratified_folds(t.events, "event_type", ["event_id"])
+
+
 def rare(t):
     """Orders with a rare positive class (price above 440 000)."""
     return t.orders.select(
@@ -55,6 +64,20 @@ def _(t):
     return split.undersample(rare(t), "label", ["o_orderkey"]).groupBy("label").agg(F.count("*").alias("n"))
 
 
+RARE_SQL = "r AS (SELECT o_orderkey, o_orderdate, o_totalprice, CAST(o_custkey AS DOUBLE) AS o_custkey, (o_totalprice > 440000)::INT AS label FROM orders)"
+
+
+def _kept_sql(table):
+    """The rows that an undersampled table keeps: of each class the first by the hash, as many as the smallest has."""
+    return f"""(SELECT * FROM {table} QUALIFY row_number() OVER (PARTITION BY label ORDER BY md5('42|' || o_orderkey), o_orderkey)
+      <= (SELECT min(n) FROM (SELECT count(*) AS n FROM {table} GROUP BY label)))"""
+
+
+@query("m3_undersampled_rows", "o_orderkey:l label:l", f"WITH {RARE_SQL} SELECT o_orderkey, label FROM {_kept_sql('r')}")
+def _(t):
+    return split.undersample(rare(t), "label", ["o_orderkey"])
+
+
 @query(
     "m4_smote",
     "label:l n:l in_range:b",
@@ -66,6 +89,40 @@ def _(t):
     return out.groupBy("label").agg(F.count("*").alias("n"), F.min(fits).alias("in_range"))
 
 
+@query(
+    "m4_synthetic_parents",
+    "id:l j:l nid:l share:d8 x0:d x1:d nx0:d nx1:d",
+    f"""WITH {RARE_SQL}, p AS (SELECT o_orderkey AS id, o_totalprice AS a, o_custkey AS b FROM r WHERE label = 1),
+    z AS (SELECT count(*) AS n, (SELECT count(*) FROM r WHERE label = 0) - count(*) AS wanted FROM p),
+    c AS (SELECT id, a, b, wanted // n + (row_number() OVER (ORDER BY md5('42|' || id), id) <= wanted % n)::INT AS copies FROM p, z),
+    k AS (SELECT id, a, b, unnest(range(1, copies + 1)) AS j FROM c),
+    g AS (SELECT p.id, q.id AS nid, q.a AS na, q.b AS nb, row_number() OVER (PARTITION BY p.id ORDER BY sqrt((p.a - q.a) * (p.a - q.a) + (p.b - q.b) * (p.b - q.b)), q.id) AS rk
+      FROM p JOIN p q ON p.id <> q.id QUALIFY rk <= 5),
+    m AS (SELECT id, max(rk) AS m FROM g GROUP BY 1)
+    SELECT k.id, j, nid, CAST('0x' || substr(md5('43|' || k.id || '|' || j), 1, 8) AS BIGINT) / 4294967296.0::DOUBLE AS share, a AS x0, b AS x1, na AS nx0, nb AS nx1
+    FROM k JOIN m USING (id) JOIN g ON g.id = k.id AND g.rk = CAST('0x' || substr(md5('42|' || k.id || '|' || j), 1, 8) AS BIGINT) % m + 1""",
+)
+def _(t):
+    rows = rare(t)
+    counts = split.class_counts(rows, "label")
+    made = split.smote_parents(rows.filter("label = 1"), ["o_totalprice", "o_custkey"], "o_orderkey", counts[0] - counts[1])
+    sides = [F.col(c)[i].alias(f"{c[1:]}{i}") for c in ("_x", "_nx") for i in (0, 1)]
+    return made.select(F.col("_id").alias("id"), F.col("_j").alias("j"), F.col("_nid").alias("nid"), F.col("_g").alias("share"), *sides)
+
+
+@query(
+    "m5_split_rows",
+    "o_orderkey:l part:s",
+    f"""WITH {RARE_SQL}, o AS (SELECT *, row_number() OVER (ORDER BY o_orderdate, o_orderkey) AS rn, count(*) OVER () AS n FROM r),
+    p AS (SELECT *, CASE WHEN rn <= floor(floor(n * 0.8) * 0.8) THEN 'train' WHEN rn <= floor(n * 0.8) THEN 'val' ELSE 'test' END AS part FROM o), t AS (SELECT * FROM p WHERE part = 'train')
+    SELECT o_orderkey, part FROM {_kept_sql('t')} UNION ALL SELECT o_orderkey, part FROM p WHERE part <> 'train'""",
+)
+def _(t):
+    parts = split.train_val_test_split(rare(t), ["o_totalprice", "o_custkey"], "label", "o_orderkey", "o_orderdate", balance="undersample")
+    named = [d.select("o_orderkey", F.lit(n).alias("part")) for d, n in zip(parts, ("train", "val", "test"))]
+    return named[0].union(named[1]).union(named[2])
+
+
 @query(
     "m5_train_val_test_split",
     "part:s n:l",
@@ -120,6 +177,24 @@ def _(t):
     return train.permutation_shift(data, ["value", "group", "hour"], ["event_id"], forest.score)
 
 
+@query(
+    "d13_shift_of_a_linear_score",
+    "feature:s importance:d",
+    """WITH o AS (SELECT value, CAST(user_id % 20 AS DOUBLE) AS grp, CAST(hour(ts) AS DOUBLE) AS hour, row_number() OVER (ORDER BY md5('42|' || event_id), event_id) - 1 AS at, count(*) OVER () AS n FROM events),
+    s AS (SELECT f.feature, i, 1 + CAST('0x' || substr(md5('42|' || i), 1, 8) AS BIGINT) % (n - 1) AS step, n FROM (SELECT any_value(n) AS n FROM o), (VALUES ('value', 0), ('group', 1), ('hour', 2)) f(feature, i)),
+    m AS (SELECT feature, 1 / (1 + exp(-(CASE i WHEN 0 THEN b.value ELSE a.value END / 50 - CASE i WHEN 1 THEN b.grp ELSE a.grp END / 10
+        + CASE i WHEN 2 THEN b.hour ELSE a.hour END * CASE i WHEN 0 THEN b.value ELSE a.value END / 600))) AS score
+      FROM s JOIN o a ON true JOIN o b ON b.at = (a.at + step) % s.n)
+    SELECT feature, abs(avg(score) - (SELECT avg(1 / (1 + exp(-(value / 50 - grp / 10 + hour * value / 600)))) FROM o)) AS importance FROM m GROUP BY 1""",
+)
+def _(t):
+    def score_of(df):
+        logit = F.col("value") / 50 - F.col("group") / 10 + F.col("hour") * F.col("value") / 600
+        return df.withColumn("score", 1 / (1 + F.exp(-logit)))
+
+    return train.permutation_shift(_readings(t), ["value", "group", "hour"], ["event_id"], score_of)
+
+
 ANOMALY_SQL = """z AS (SELECT -value / 500 AS score, (event_type = 'error')::INT AS label FROM events),
 b AS (SELECT min(score) AS lo, max(score) AS hi FROM z), k AS (SELECT score, label, 100 * (hi - score) / (hi - lo) AS c FROM z, b)"""
 
@@ -298,9 +373,12 @@ def _(t):
 
 @query(
     "m21_explanation_bundle",
-    "l_orderkey:l l_partkey:l l_linenumber:l l_extendedprice:d current_risk_level:s n_tops:l first_line:s reached:b",
-    f"""WITH {SCALED_SQL}, o AS (SELECT *, {SIG.format('0.3137 + 1.4 * q - 0.9 * d + 0.6 * t')} AS s FROM x)
-    SELECT o.l_orderkey, o.l_partkey, l_linenumber, o.l_extendedprice, {BAND} AS current_risk_level, 3 AS n_tops, 'Key Contributing Factors:' AS first_line, true AS reached
+    "l_orderkey:l l_partkey:l l_linenumber:l l_extendedprice:d current_risk_level:s n_tops:l first_line:s reached:b top_phi:d second_phi:d third_phi:d simple_rule:s",
+    f"""WITH {SCALED_SQL}, mu AS (SELECT avg(q) AS mq, avg(d) AS md, avg(t) AS mt FROM x),
+    o AS (SELECT *, {SIG.format('0.3137 + 1.4 * q - 0.9 * d + 0.6 * t')} AS s, 1.4 * (q - mq) AS pq, -0.9 * (d - md) AS pd, 0.6 * (t - mt) AS pt,
+      list_sort([(-abs(1.4 * (q - mq)), 'l_quantity', 1.4 * (q - mq)), (-abs(-0.9 * (d - md)), 'l_discount', -0.9 * (d - md)), (-abs(0.6 * (t - mt)), 'l_tax', 0.6 * (t - mt))]) AS tops FROM x, mu)
+    SELECT o.l_orderkey, o.l_partkey, l_linenumber, o.l_extendedprice, {BAND} AS current_risk_level, 3 AS n_tops, 'Key Contributing Factors:' AS first_line, true AS reached,
+      tops[1][3] AS top_phi, tops[2][3] AS second_phi, tops[3][3] AS third_phi, 'IF ' || tops[1][2] || ' is elevated THEN risk is ' || {BAND} AS simple_rule
     FROM o JOIN lineitem l ON l.l_orderkey = o.l_orderkey AND l.l_partkey = o.l_partkey AND l.l_extendedprice = o.l_extendedprice""",
 )
 def _(t):
@@ -310,7 +388,8 @@ def _(t):
     fits = F.when(F.size("changes") == 0, F.contains("summary", F.lit("No changes needed"))).otherwise(
         F.contains("summary", F.lit("successfully move")) == F.col("achieved_target")
     )
-    return out.withColumns({"n_tops": F.size("top_features"), "first_line": F.substring_index("summary", "\n", 1), "reached": fits})
+    phis = {f"{name}_phi": F.get(F.col("top_features"), F.lit(i))["phi"] for i, name in enumerate(("top", "second", "third"))}
+    return out.withColumns({"n_tops": F.size("top_features"), "first_line": F.substring_index("summary", "\n", 1), "reached": fits, **phis})
 
 
 # -- search and index ------------------------------------------------------------------------
@@ -333,6 +412,33 @@ def _(t):
     return train.run_trials(t.spark, trials, objective)
 
 
+@query(
+    "m18_random_trials",
+    "trial:l cut:d score:d",
+    """WITH d AS (SELECT i, CAST('0x' || substr(md5('42|cut|' || i), 1, 8) AS BIGINT) / 4294967296.0::DOUBLE AS u, CAST('0x' || substr(md5('42|weight|' || i), 1, 8) AS BIGINT) / 4294967296.0::DOUBLE AS v,
+      CAST('0x' || substr(md5('42|kind|' || i), 1, 8) AS BIGINT) / 4294967296.0::DOUBLE AS c FROM range(0, 12) r(i)),
+    p AS (SELECT i, exp(ln(5.0::DOUBLE) + u * (ln(100.0::DOUBLE) - ln(5.0::DOUBLE))) AS cut, 1 + CAST(floor(v * 3) AS INT) AS w, ['click', 'view', 'error'][1 + CAST(floor(c * 3) AS INT)] AS kind FROM d)
+    SELECT i AS trial, cut, w * (SELECT avg(value) FROM events WHERE value > cut AND event_type = kind) AS score FROM p""",
+)
+def _(t):
+    space = {"cut": {"type": "float", "low": 5.0, "high": 100.0, "log": True}, "weight": {"type": "int", "low": 1, "high": 3}, "kind": {"type": "categorical", "choices": ["click", "view", "error"]}}
+
+    def objective(p):
+        return p["weight"] * t.events.filter((F.col("value") > p["cut"]) & (F.col("event_type") == p["kind"])).agg(F.avg("value")).first()[0]
+
+    return train.run_trials(t.spark, train.random_trials(space, 12), objective).withColumn("cut", F.col("params")["cut"].cast("double"))
+
+
+@query(
+    "m18_search_advice",
+    "advice:s",
+    "SELECT unnest(CASE WHEN count(*) < 50 THEN ['run more trials', 'use a guided search'] ELSE ['use a guided search'] END) AS advice FROM events",
+)
+def _(t):
+    trials = t.events.select(F.col("event_id").alias("trial"), F.col("value").alias("score"))
+    return train.search_advice(train.trial_statistics(trials), "random")
+
+
 @query(
     "a32_trial_statistics",
     "n_trials:l mean:d std:d min:d max:d median:d best_trial:l",

@@ -52,6 +52,21 @@ def _(t):
     )
 
 
+@query(
+    "s4_repeated_appends",
+    "event_id:l event_type:s timestamp:t",
+    """SELECT event_id, event_type, CASE WHEN event_id % 10 = 0 THEN TIMESTAMP '2024-06-01' ELSE ts END AS timestamp FROM events""",
+)
+def _(t):
+    path = scratch_folder(t.spark, "appends")
+    stamp = F.when(F.col("event_id") % 10 > 0, F.col("ts"))
+    for half in (0, 1, 0):  # the first batch comes twice, and counts once
+        part = t.events.filter(F.col("event_id") % 2 == half).select("event_id", "event_type", stamp.alias("timestamp"))
+        files.append_json_lines(part, path, now="2024-06-01 00:00:00", batch=f"half-{half}")
+    files.write_json(t.events.select("event_id", "event_type", F.col("ts").alias("timestamp")), f"{path}/batch-died")  # never committed
+    return files.good_lines(files.read_log(t.spark, path, "event_id BIGINT, event_type STRING, timestamp STRING"))
+
+
 @query(
     "s6_records_from_json",
     "event_id:l k:l",
@@ -73,6 +88,22 @@ def _(t):
     )
 
 
+@query(
+    "s11_own_artifacts",
+    "k:l size_bytes:l sha256:s",
+    """SELECT s_nationkey AS k, octet_length(encode(string_agg(s_name || ',' || s_suppkey, chr(10) ORDER BY s_suppkey) || chr(10))) AS size_bytes,
+      sha256(string_agg(s_name || ',' || s_suppkey, chr(10) ORDER BY s_suppkey) || chr(10)) AS sha256 FROM supplier GROUP BY 1""",
+)
+def _(t):
+    path = scratch_folder(t.spark, "own-artifacts")
+    line = F.concat_ws(",", "s_name", "s_suppkey")
+    # one file per nation, its lines in the order of the key
+    lines = t.supplier.select(F.col("s_nationkey").alias("k"), "s_suppkey", line.alias("value")).repartition(8, "k").sortWithinPartitions("k", "s_suppkey")
+    lines.select("k", "value").write.partitionBy("k").text(path)
+    found = files.artifact_inventory(t.spark, path)
+    return found.select(F.regexp_extract("path", "k=([0-9]+)/", 1).cast("long").alias("k"), "size_bytes", "sha256")
+
+
 @query(
     "s10_upsert_latest_wins",
     "o_custkey:l o_orderkey:l o_totalprice:d",
@@ -97,6 +128,17 @@ def _(t):
     return tables.guarded_update(t.orders, debtors, ["o_custkey"], F.col("o_orderstatus") == "O", {"o_orderstatus": F.lit("R")})
 
 
+@query(
+    "s15_match_counts",
+    "requested:l matched:l",
+    """SELECT (SELECT count(*) FROM customer WHERE c_acctbal < 0) AS requested,
+      (SELECT count(*) FROM customer WHERE c_acctbal < 0 AND c_custkey IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'O')) AS matched""",
+)
+def _(t):
+    debtors = t.customer.filter("c_acctbal < 0").select(F.col("c_custkey").alias("o_custkey"))
+    return tables.match_counts(t.orders, debtors, ["o_custkey"], F.col("o_orderstatus") == "O")
+
+
 @query(
     "s16_lookup_newest",
     "o_orderkey:l o_orderdate:t",
@@ -524,7 +566,7 @@ def _(t):
         tiebreak=["event_id"],
     )
     g = m.gappy(t)
-    return etl.fit_etl(g, config).transform(g)
+    return etl.fit_transform(g, config)[1]
 
 
 @query(

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidemark.operators import runs, store, versions
+from tidemark.operators import profile, runs, store, versions
 from tidemark.plans import features, modalities as m
 from tidemark.plans.queries_features import ACTIVITY_SQL
 from tidemark.plans.registry import query
@@ -94,6 +94,24 @@ def _(t):
     return vs.get("orders").withColumn("version", F.lit(again))
 
 
+@query(
+    "x9_tracked_transformations",
+    "input_version:s output_version:s transformation:s rows_in:l rows_out:l",
+    """WITH n AS (SELECT count(*) AS n1, count(*) FILTER (o_orderstatus = 'F') AS n2, count(*) FILTER (o_orderstatus = 'F' AND o_totalprice > 100000) AS n3 FROM orders)
+    SELECT '1' AS input_version, '2' AS output_version, 'closed' AS transformation, n1 AS rows_in, n2 AS rows_out FROM n UNION ALL SELECT '2', '3', 'large', n2, n3 FROM n""",
+)
+def _(t):
+    vs = versions.VersionStore(t.spark, scratch_folder(t.spark, "tracked"))
+    last = vs.register(t.orders, "orders", "given", at("2024-01-01"))
+    for name, rule, day in (("closed", "o_orderstatus = 'F'", "2024-01-02"), ("large", "o_totalprice > 100000", "2024-01-03")):
+        made = vs.register(vs.get("orders", last).filter(rule), "orders", name, at(day), parent=last)
+        vs.track(last, made, name, at(day), code=rule)
+        last = made
+    known = versions.list_versions(vs.versions()).select("version", "n_rows")
+    sizes = vs.lineage().join(known.withColumnsRenamed({"version": "input_version", "n_rows": "rows_in"}), "input_version")
+    return sizes.join(known.withColumnsRenamed({"version": "output_version", "n_rows": "rows_out"}), "output_version")
+
+
 VERSIONS_SQL = """v AS (SELECT p_partkey AS version_id, 'd' || p_size AS dataset_name, CAST(p_partkey AS VARCHAR) AS version,
   TIMESTAMP '2024-01-01' + to_minutes(CAST(p_partkey AS INTEGER)) AS created_at FROM part),
 e AS (SELECT p_partkey AS input_version, p_partkey + 1 + p_size AS output_version, p_type AS transformation FROM part)"""
@@ -248,7 +266,21 @@ def _(t):
     )
 
 
-@query("k8_seeded_sample", "o_orderkey:l o_custkey:l")
+@query(
+    "u2_compared_columns",
+    "column_name:s place:s left_type:s right_type:s left_nulls:l right_nulls:l",
+    """SELECT 'event_id' AS column_name, 'left' AS place, 'bigint' AS left_type, NULL AS right_type, count(*) FILTER (event_id IS NULL) AS left_nulls, NULL AS right_nulls FROM events
+    UNION ALL SELECT 'user_id', 'both', 'bigint', 'bigint', count(*) FILTER (user_id IS NULL), count(*) FILTER (user_id IS NULL) FROM events
+    UNION ALL SELECT 'value', 'both', 'double', 'double', count(*) FILTER (value IS NULL), count(*) FILTER (value IS NULL OR event_type = 'error') FROM events
+    UNION ALL SELECT 'event_type', 'right', NULL, 'string', NULL, count(*) FILTER (event_type IS NULL) FROM events""",
+)
+def _(t):
+    left = t.events.select("event_id", "user_id", "value")
+    right = t.events.select("user_id", F.when(F.col("event_type") != "error", F.col("value")).alias("value"), "event_type")
+    return profile.compare_columns(left, right)
+
+
+@query("k8_seeded_sample", "o_orderkey:l o_custkey:l", "SELECT o_orderkey, o_custkey FROM orders ORDER BY md5('7|' || o_orderkey), o_orderkey LIMIT 100")
 def _(t):
     return files.sample_rows(t.orders, 100, 7, ["o_orderkey"])
 

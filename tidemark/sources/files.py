@@ -6,6 +6,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
+from tidemark.sources.batches import append_batch, committed
+
 CORRUPT = "_corrupt"
 NTZ_FORMAT = "yyyy-MM-dd'T'HH:mm:ss[.SSSSSS]"
 
@@ -27,14 +29,29 @@ def write_json(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     df.write.mode(mode).option("timestampNTZFormat", NTZ_FORMAT).json(path)
 
 
-def append_json_lines(df: DataFrame, path: str, timestamp_column: str = "timestamp", now=None) -> None:
-    """Append rows as JSON lines; a missing time is stamped."""
+def append_json_lines(df: DataFrame, path: str, timestamp_column: str = "timestamp", now=None, batch: str | None = None) -> bool:
+    """Append rows as JSON lines; a missing time is stamped. A batch that was appended before adds nothing."""
     stamp = F.lit(now).cast("timestamp_ntz") if now is not None else F.localtimestamp()
     if timestamp_column in df.columns:
         df = df.withColumn(timestamp_column, F.coalesce(F.col(timestamp_column).cast("timestamp_ntz"), stamp))
     else:
         df = df.withColumn(timestamp_column, stamp)
-    write_json(df, path, "append")
+    return append_batch(df, path, write_json, batch)
+
+
+def append_alerts(alerts: DataFrame, path: str, batch: str | None = None) -> bool:
+    return append_batch(alerts, path, write_json, batch)
+
+
+def read_alerts(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
+    """The alerts of all committed batches."""
+    return _lines(spark, path).select(F.from_json("value", schema, {"timestampNTZFormat": NTZ_FORMAT}).alias("r")).select("r.*")
+
+
+def _lines(spark: SparkSession, path: str) -> DataFrame:
+    """The lines of the files in a folder and of the committed batches below it."""
+    own, folders = spark.read.text(path), committed(spark, path)
+    return own.unionByName(spark.read.text(folders)) if folders else own
 
 
 def read_log(spark: SparkSession, path: str, schema: str, timestamp_column: str = "timestamp") -> DataFrame:
@@ -44,11 +61,8 @@ def read_log(spark: SparkSession, path: str, schema: str, timestamp_column: str
     string is a time, as the line's own content decides.
     """
     full = T.StructType.fromDDL(schema).add(CORRUPT, T.StringType())
-    rows = (
-        spark.read.text(path)
-        .select(F.from_json("value", full, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT}).alias("r"))
-        .select("r.*")
-    )
+    parsed = F.from_json("value", full, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT})
+    rows = _lines(spark, path).select(parsed.alias("r")).select("r.*")
     time = F.try_to_timestamp(F.col(timestamp_column)).cast("timestamp_ntz")
     return (
         rows.withColumn("_time", time)
@@ -86,16 +100,10 @@ def artifact_inventory(spark: SparkSession, path: str) -> DataFrame:
     return files.select("path", F.col("length").alias("size_bytes"), F.sha2("content", 256).alias("sha256"))
 
 
-def artifact_sizes(spark: SparkSession, path: str) -> DataFrame:
-    """Path and size only: the file content is never read (pruned from the scan)."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
-    return files.select("path", F.col("length").alias("size_bytes"))
-
-
-def append_alerts(alerts: DataFrame, path: str) -> None:
-    write_json(alerts, path, "append")
-
-
 def sample_rows(df: DataFrame, n: int, seed: int, key: Sequence[str]) -> DataFrame:
-    """``n`` rows chosen by a seeded hash of a key: the same rows on every run."""
-    return df.orderBy(F.xxhash64(F.lit(seed), *[F.col(k) for k in key]), *key).limit(n)
+    """``n`` rows chosen by the md5 of seed and key: the same rows on every run, and in any engine.
+
+    The key's columns are joined by ``|`` as text; rows of equal keys follow in the order of the key.
+    """
+    chosen = F.md5(F.concat_ws("|", F.lit(str(seed)), *[F.col(k).cast("string") for k in key]))
+    return df.orderBy(chosen, *key).limit(n)

@@ -35,8 +35,15 @@ def rate_per_window(df: DataFrame, key: str, ts: str = "ts", minutes: int = 5) -
 
 
 def sliding_totals(df: DataFrame, key: str, ts: str = "ts", length: str = "24 hours", slide: str = "1 hour") -> DataFrame:
-    """Counts by key over a sliding window."""
-    counts = df.groupBy(_window(df, ts, length, slide).alias("w"), key).agg(F.count("*").alias("n"))
+    """Counts by key over a sliding window, whose length is a multiple of its slide.
+
+    Two chained stateful aggregations: rows are counted in windows of one slide, and only these
+    counts, one per key and slide, are dealt to the windows that they belong to.
+    """
+    if pd.Timedelta(length) % pd.Timedelta(slide):
+        raise ValueError(f"{length} is not a multiple of {slide}")
+    steps = df.groupBy(_window(df, ts, slide).alias("step"), key).agg(F.count("*").alias("n"))
+    counts = steps.groupBy(F.window(F.window_time("step"), length, slide).alias("w"), key).agg(F.sum("n").alias("n"))
     return counts.select(F.col("w.end").alias("window_end"), key, "n")
 
 
