@@ -107,9 +107,18 @@ def exact_quantiles(
     the distinct values are counted once and dealt to ranges; only the ranges that hold an asked
     rank are ordered. The results are the same.
     """
-    keys = list(keys)
+    return ranged_quantiles(counted_in_ranges(df, keys, value), keys, probs, name)
+
+
+def counted_in_ranges(df: DataFrame, keys: Sequence[str], value: str | Column) -> DataFrame:
+    """``(keys, _v, _n, _range)``: the distinct non-null values per key as doubles, counted and dealt to ranges."""
     data = df.select(*keys, col(value).cast("double").alias("_v")).filter("_v IS NOT NULL")
-    ranged = in_ranges(data.groupBy(*keys, "_v").agg(F.count("*").alias("_n")), [*keys, "_v"])
+    return in_ranges(data.groupBy(*keys, "_v").agg(F.count("*").alias("_n")), [*keys, "_v"])
+
+
+def ranged_quantiles(ranged: DataFrame, keys: Sequence[str], probs: Sequence[float], name: str = "q") -> DataFrame:
+    """Quantiles of values that ``counted_in_ranges`` has dealt."""
+    keys = list(keys)
     places = [(F.col("total__n") - 1) * F.lit(float(p)) for p in probs]
     ranks = [side(h) for h in places for side in (F.floor, F.ceil)]
     holds = [(F.col("_before__n") <= r) & (r < F.col("_before__n") + F.col("_in__n")) for r in ranks]

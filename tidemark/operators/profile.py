@@ -3,14 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
+from functools import cached_property, reduce
 from itertools import combinations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tidemark.functions.common import count_if, severity
 from tidemark.operators.clean import numeric_columns, string_columns, wide_to_long
-from tidemark.operators.ordered import attach, column_quantiles, long_values, running_totals, top_k_per_key
+from tidemark.operators.ordered import attach, column_quantiles, counted_in_ranges, long_values, ranged_quantiles, running_totals, top_k_per_key
+from tidemark.session import written
 
 # Severity limits in percent, and what counts as an identifier-like column.
 MISSING_STEPS = [(50.0, "critical"), (20.0, "high"), (5.0, "medium")]
@@ -32,33 +33,92 @@ def sample_kurtosis(g2: Column, n: Column) -> Column:
     return F.when(n > 3, (n - 1) / ((n - 2) * (n - 3)) * ((n + 1) * g2 + 6))
 
 
+def _moments(c: str) -> Column:
+    x = F.col(c).cast("double")
+    n = F.count(x).cast("double")
+    flat = F.var_pop(x) == 0
+    g1 = F.when(flat, F.lit(0.0)).otherwise(F.skewness(x))
+    g2 = F.when(flat, F.lit(0.0)).otherwise(F.kurtosis(x))
+    return F.struct(
+        F.lit(c).alias("column_name"),
+        F.count(x).alias("count"),
+        F.avg(x).alias("mean"),
+        F.stddev_samp(x).alias("std"),
+        F.min(x).alias("min"),
+        F.max(x).alias("max"),
+        F.when(flat & (n > 2), F.lit(0.0)).otherwise(sample_skewness(g1, n)).alias("skewness"),
+        F.when(flat & (n > 3), F.lit(0.0)).otherwise(sample_kurtosis(g2, n)).alias("kurtosis"),
+    )
+
+
+class Profile:
+    """What summaries, issues and statistics of a table have in common, each part read once.
+
+    ``row`` is one aggregate over the table: rows, nulls, moments and covariances. ``values``
+    holds the counted values of text columns, ``numbers`` those of numeric ones, in ranges, from
+    which quartiles and outliers follow without another look at the table.
+    """
+
+    def __init__(self, df: DataFrame, numeric: Sequence[str] | None = None, text: Sequence[str] | None = None, pairs: bool = False):
+        self.df, self.pairs = df, pairs
+        self.numeric = list(numeric) if numeric is not None else numeric_columns(df)
+        self.text = list(text) if text is not None else string_columns(df)
+
+    @cached_property
+    def row(self) -> DataFrame:
+        parts = [F.count("*").alias("rows"), F.array(*[F.struct(F.lit(c).alias("column_name"), count_if(F.col(c).isNull()).alias("nulls")) for c in self.df.columns]).alias("nulls")]
+        if self.numeric:
+            parts.append(F.array(*[_moments(c) for c in self.numeric]).alias("moments"))
+        if self.pairs and len(self.numeric) > 1:
+            parts.append(F.array(*_pearson_cells(self.numeric)).alias("pairs"))
+        return written(self.df.agg(*parts), "profile")
+
+    @cached_property
+    def values(self) -> DataFrame:
+        return written(value_counts(self.df, self.text), "values")
+
+    @cached_property
+    def numbers(self) -> DataFrame:
+        return counted_in_ranges(long_values(self.df, self.numeric), ["column_name"], "value")
+
+    @cached_property
+    def quartiles(self) -> DataFrame:
+        return written(ranged_quantiles(self.numbers, ["column_name"], [0.25, 0.5, 0.75]), "quartiles")
+
+    def numeric_summary(self) -> DataFrame:
+        moments = self.row.select(F.inline("moments")).filter(F.col("count") > 0)
+        return moments.join(self.quartiles, "column_name").select(
+            "column_name", "count", "mean", "std", "min", F.col("q")[0].alias("q25"), F.col("q")[1].alias("median"), F.col("q")[2].alias("q75"), "max", "skewness", "kurtosis",
+        )
+
+    def categorical_summary(self) -> DataFrame:
+        per = self.values.groupBy("column_name").agg(
+            F.sum("n").alias("count"),
+            F.count("*").alias("unique"),
+            F.min_by("value", F.struct(-F.col("n"), F.col("value"))).alias("top"),
+            F.max("n").alias("freq"),
+        )
+        return attach(per, self.row.select("rows")).withColumn("missing", F.col("rows") - F.col("count")).drop("rows")
+
+    def null_counts(self) -> DataFrame:
+        return self.row.select(F.inline("nulls"))
+
+    def outlier_counts(self, k: float = 3.0) -> DataFrame:
+        """``(column_name, count, outliers)`` beyond k·IQR of the quartiles, from the counted values."""
+        # one entry per column, attached as one row: a column may own most values
+        fences = self.quartiles.agg(F.map_from_entries(F.collect_list(F.struct("column_name", "q"))).alias("_q"))
+        rows = attach(self.numbers, fences).withColumn("_q", F.element_at("_q", F.col("column_name")))
+        low, high = F.col("_q")[0], F.col("_q")[2]
+        out = (F.col("_v") < low - k * (high - low)) | (F.col("_v") > high + k * (high - low))
+        return rows.groupBy("column_name").agg(F.sum("_n").alias("count"), F.coalesce(F.sum(F.when(out, F.col("_n"))), F.lit(0)).alias("outliers"))
+
+    def correlations(self) -> DataFrame:
+        return self.row.select(F.inline("pairs"))
+
+
 def numeric_summary(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """One row per numeric column with any value: moments and exact quartiles."""
-    cols = list(columns) if columns is not None else numeric_columns(df)
-
-    def stats(c):
-        x = F.col(c).cast("double")
-        n = F.count(x).cast("double")
-        flat = F.var_pop(x) == 0
-        g1 = F.when(flat, F.lit(0.0)).otherwise(F.skewness(x))
-        g2 = F.when(flat, F.lit(0.0)).otherwise(F.kurtosis(x))
-        return F.struct(
-            F.lit(c).alias("column_name"),
-            F.count(x).alias("count"),
-            F.avg(x).alias("mean"),
-            F.stddev_samp(x).alias("std"),
-            F.min(x).alias("min"),
-            F.max(x).alias("max"),
-            F.when(flat & (n > 2), F.lit(0.0)).otherwise(sample_skewness(g1, n)).alias("skewness"),
-            F.when(flat & (n > 3), F.lit(0.0)).otherwise(sample_kurtosis(g2, n)).alias("kurtosis"),
-        ).alias(c)
-
-    moments = df.agg(*[stats(c) for c in cols]).select(F.inline(F.array(*[F.col(c) for c in cols])))
-    quartiles = column_quantiles(df, cols, [0.25, 0.5, 0.75])
-    return moments.filter(F.col("count") > 0).join(quartiles, "column_name").select(
-        "column_name", "count", "mean", "std", "min", F.col("q")[0].alias("q25"), F.col("q")[1].alias("median"),
-        F.col("q")[2].alias("q75"), "max", "skewness", "kurtosis",
-    )
+    return Profile(df, columns).numeric_summary()
 
 
 def value_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -74,16 +134,7 @@ def top_values(df: DataFrame, columns: Sequence[str], k: int) -> DataFrame:
 
 def categorical_summary(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """Count, distinct values, commonest value with its frequency, and missing cells."""
-    cols = list(columns) if columns is not None else string_columns(df)
-    counts = value_counts(df, cols)
-    per = counts.groupBy("column_name").agg(
-        F.sum("n").alias("count"),
-        F.count("*").alias("unique"),
-        F.min_by("value", F.struct(-F.col("n"), F.col("value"))).alias("top"),
-        F.max("n").alias("freq"),
-    )
-    rows = df.agg(F.count("*").alias("_rows"))
-    return attach(per, rows).withColumn("missing", F.col("_rows") - F.col("count")).drop("_rows")
+    return Profile(df, text=columns).categorical_summary()
 
 
 def null_counts(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
@@ -109,21 +160,6 @@ def duplicate_rows(df: DataFrame) -> DataFrame:
     return per.agg(F.sum("_n").alias("rows"), F.sum(F.col("_n") - 1).alias("duplicates"))
 
 
-def outlier_counts(df: DataFrame, columns: Sequence[str], k: float = 3.0) -> DataFrame:
-    """``(column_name, count, outliers)`` beyond k·IQR of the quartiles."""
-    q = column_quantiles(df, columns, [0.25, 0.75])
-    names = [f"_b{i}" for i in range(len(columns))]
-    fences = q.agg(*[F.max(F.when(F.col("column_name") == c, F.col("q"))).alias(b) for c, b in zip(columns, names)])
-    joined = attach(df.select(*columns), fences)
-    aggs = []
-    for c, b in zip(columns, names):
-        low, high = F.col(b)[0], F.col(b)[1]
-        spread = high - low
-        out = (F.col(c) < low - k * spread) | (F.col(c) > high + k * spread)
-        aggs.append(F.struct(F.lit(c).alias("column_name"), F.count(c).alias("count"), count_if(out).alias("outliers")).alias(c))
-    return joined.agg(*aggs).select(F.inline(F.array(*[F.col(c) for c in columns])))
-
-
 def outlier_rows(df: DataFrame, columns: Sequence[str], key: Sequence[str], k: float = 3.0, per_column: int | None = None) -> DataFrame:
     """Outlying rows of each column, or the first ``per_column`` of them by key: ``(column_name, key…, value)``."""
     fences = column_quantiles(df, columns, [0.25, 0.75])
@@ -144,59 +180,32 @@ def outlier_rows(df: DataFrame, columns: Sequence[str], key: Sequence[str], k: f
 
 def quality_issues(df: DataFrame) -> DataFrame:
     """``(issue_type, severity, column_name, affected_rows, pct)`` for every defect found."""
-    numeric, text = numeric_columns(df), string_columns(df)
-    rows = df.agg(F.count("*").alias("_rows"))
+    return _issues(Profile(df))
+
+
+def _issues(p: Profile) -> DataFrame:
+    rows = p.row.select(F.col("rows").alias("_rows"))
     parts = []
-    missing = attach(null_counts(df), rows).withColumn("pct", F.col("nulls") / F.col("_rows") * 100)
-    parts.append(
-        missing.filter("nulls > 0").select(
-            F.lit("missing").alias("issue_type"), severity(F.col("pct"), MISSING_STEPS, "low").alias("severity"),
-            "column_name", F.col("nulls").alias("affected_rows"), "pct",
-        )
-    )
-    if numeric:
-        out = outlier_counts(df, numeric).filter("outliers > 0").withColumn("pct", F.col("outliers") / F.col("count") * 100)
-        parts.append(
-            out.select(
-                F.lit("outlier").alias("issue_type"), severity(F.col("pct"), OUTLIER_STEPS, "low").alias("severity"),
-                "column_name", F.col("outliers").alias("affected_rows"), "pct",
-            )
-        )
-        row = df.agg(*[F.struct(F.min(c).alias("a"), F.max(c).alias("b")).alias(c) for c in numeric])
-        cells = F.array(*[F.struct(F.lit(c).alias("column_name"), (F.col(f"{c}.a") == F.col(f"{c}.b")).alias("same")) for c in numeric])
-        constant = attach(row.select(F.inline(cells)).filter("same"), rows)
-        parts.append(
-            constant.select(
-                F.lit("inconsistent").alias("issue_type"), F.lit("medium").alias("severity"), "column_name",
-                F.col("_rows").alias("affected_rows"), F.lit(100.0).alias("pct"),
-            )
-        )
-    dup = duplicate_rows(df).filter("duplicates > 0").withColumn("pct", F.col("duplicates") / F.col("rows") * 100)
-    parts.append(
-        dup.select(
-            F.lit("duplicate").alias("issue_type"), severity(F.col("pct"), DUPLICATE_STEPS, "low").alias("severity"),
-            F.lit(None).cast("string").alias("column_name"), F.col("duplicates").alias("affected_rows"), "pct",
-        )
-    )
-    if text:
-        uniques = attach(value_counts(df, text).groupBy("column_name").agg(F.count("*").alias("u")), rows)
+
+    def issue(found, kind, level, column, affected):
+        return found.select(F.lit(kind).alias("issue_type"), level.alias("severity"), column.alias("column_name"), F.col(affected).alias("affected_rows"), "pct")
+
+    missing = attach(p.null_counts(), rows).filter("nulls > 0").withColumn("pct", F.col("nulls") / F.col("_rows") * 100)
+    parts.append(issue(missing, "missing", severity(F.col("pct"), MISSING_STEPS, "low"), F.col("column_name"), "nulls"))
+    if p.numeric:
+        out = p.outlier_counts().filter("outliers > 0").withColumn("pct", F.col("outliers") / F.col("count") * 100)
+        parts.append(issue(out, "outlier", severity(F.col("pct"), OUTLIER_STEPS, "low"), F.col("column_name"), "outliers"))
+        constant = attach(p.row.select(F.inline("moments")).filter("min = max"), rows).withColumn("pct", F.lit(100.0))
+        parts.append(issue(constant, "inconsistent", F.lit("medium"), F.col("column_name"), "_rows"))
+    dup = duplicate_rows(p.df).filter("duplicates > 0").withColumn("pct", F.col("duplicates") / F.col("rows") * 100)
+    parts.append(issue(dup, "duplicate", severity(F.col("pct"), DUPLICATE_STEPS, "low"), F.lit(None).cast("string"), "duplicates"))
+    if p.text:
+        uniques = attach(p.values.groupBy("column_name").agg(F.count("*").alias("u")), rows)
         many = uniques.withColumn("pct", F.col("u") / F.col("_rows") * 100).filter(F.col("pct") >= HIGH_CARDINALITY_PCT)
-        parts.append(
-            many.select(
-                F.lit("inconsistent").alias("issue_type"), F.lit("medium").alias("severity"), "column_name",
-                F.col("_rows").alias("affected_rows"), "pct",
-            )
-        )
+        parts.append(issue(many, "inconsistent", F.lit("medium"), F.col("column_name"), "_rows"))
     return reduce(lambda a, b: a.unionByName(b), parts)
 
 
-def average_ranks(df: DataFrame, value: str) -> DataFrame:
-    """``(value, rank)`` of every distinct value, ties sharing their mean rank."""
-    counts = df.groupBy(F.col(value).alias("_x")).agg(F.count("*").alias("_n"))
-    run = running_totals(counts, [], "_x", ["_n"])
-    return run.select("_x", (F.col("cum__n") - (F.col("_n") - 1) / 2.0).alias("rank"))
-
-
 def _pearson(a: str, b: str) -> Column:
     """Correlation over rows where both are present; null for a constant side."""
     x = F.when(F.col(b).isNotNull(), F.col(a).cast("double"))
@@ -204,32 +213,39 @@ def _pearson(a: str, b: str) -> Column:
     return F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))
 
 
+def _pearson_cells(columns: Sequence[str]) -> list[Column]:
+    return [F.struct(F.lit(a).alias("feature_a"), F.lit(b).alias("feature_b"), _pearson(a, b).alias("r")) for a, b in combinations(columns, 2)]
+
+
 def correlations(df: DataFrame, columns: Sequence[str], method: str = "pearson") -> DataFrame:
     """``(feature_a, feature_b, r)`` for each pair, over rows where both are present."""
-    pairs = list(combinations(columns, 2))
     if method == "pearson":
-        row = df.agg(*[_pearson(a, b).alias(f"{i}") for i, (a, b) in enumerate(pairs)])
-        cells = F.array(
-            *[F.struct(F.lit(a).alias("feature_a"), F.lit(b).alias("feature_b"), F.col(f"{i}").alias("r")) for i, (a, b) in enumerate(pairs)]
-        )
-        return row.select(F.inline(cells))
+        return df.agg(F.array(*_pearson_cells(columns)).alias("pairs")).select(F.inline("pairs"))
     if method != "spearman":
         raise ValueError(f"unknown method: {method}")
-    parts = []
-    for a, b in pairs:
-        both = df.select(F.col(a).cast("double").alias("_a"), F.col(b).cast("double").alias("_b")).dropna()
-        joint = both.groupBy("_a", "_b").agg(F.count("*").alias("_w"))
-        ra = average_ranks(both.select("_a"), "_a").select(F.col("_x").alias("_a"), F.col("rank").alias("_ra"))
-        rb = average_ranks(both.select("_b"), "_b").select(F.col("_x").alias("_b"), F.col("rank").alias("_rb"))
-        w, x, y = F.col("_w"), F.col("_ra"), F.col("_rb")
-        sums = joint.join(ra, "_a").join(rb, "_b").agg(
-            F.sum(w).alias("n"), F.sum(w * x).alias("sx"), F.sum(w * y).alias("sy"), F.sum(w * x * y).alias("sxy"),
-            F.sum(w * x * x).alias("sxx"), F.sum(w * y * y).alias("syy"),
-        )
-        top = F.col("sxy") - F.col("sx") * F.col("sy") / F.col("n")
-        bottom = F.sqrt((F.col("sxx") - F.col("sx") ** 2 / F.col("n")) * (F.col("syy") - F.col("sy") ** 2 / F.col("n")))
-        parts.append(sums.select(F.lit(a).alias("feature_a"), F.lit(b).alias("feature_b"), F.when(bottom > 0, top / bottom).alias("r")))
-    return reduce(lambda p, q: p.unionByName(q), parts)
+    return _rank_correlations(df, columns)
+
+
+def _rank_correlations(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Spearman of all pairs in one pass: joint counts of each pair's values, both sides ranked together."""
+    pairs = list(combinations(columns, 2))
+    cells = F.array(*[F.struct(F.lit(i).alias("_i"), F.col(a).cast("double").alias("_a"), F.col(b).cast("double").alias("_b")) for i, (a, b) in enumerate(pairs)])
+    joint = written(df.select(F.inline(cells)).dropna().groupBy("_i", "_a", "_b").agg(F.count("*").alias("_w")), "joint-counts")
+    sides = joint.select("_i", F.inline(F.array(*[F.struct(F.lit(side).alias("_side"), F.col(x).alias("_x"), F.col("_w").alias("_n")) for side, x in ((0, "_a"), (1, "_b"))])))
+    run = running_totals(sides.groupBy("_i", "_side", "_x").agg(F.sum("_n").alias("_n")), ["_i", "_side"], "_x", ["_n"])
+    ranks = run.select("_i", "_side", "_x", (F.col("cum__n") - (F.col("_n") - 1) / 2.0).alias("_r"))  # ties share their mean rank
+    first, second = (ranks.filter(F.col("_side") == side).select("_i", F.col("_x").alias(x), F.col("_r").alias(r)) for side, x, r in ((0, "_a", "_ra"), (1, "_b", "_rb")))
+    w, x, y = F.col("_w"), F.col("_ra"), F.col("_rb")
+    sums = joint.join(first, ["_i", "_a"]).join(second, ["_i", "_b"]).groupBy("_i").agg(
+        F.sum(w).alias("n"), F.sum(w * x).alias("sx"), F.sum(w * y).alias("sy"), F.sum(w * x * y).alias("sxy"),
+        F.sum(w * x * x).alias("sxx"), F.sum(w * y * y).alias("syy"),
+    )
+    top = F.col("sxy") - F.col("sx") * F.col("sy") / F.col("n")
+    bottom = F.sqrt((F.col("sxx") - F.col("sx") ** 2 / F.col("n")) * (F.col("syy") - F.col("sy") ** 2 / F.col("n")))
+    found = sums.select("_i", F.when(bottom > 0, top / bottom).alias("r"))
+    names = F.array(*[F.struct(F.lit(i).alias("_i"), F.lit(a).alias("feature_a"), F.lit(b).alias("feature_b")) for i, (a, b) in enumerate(pairs)])
+    every = df.sparkSession.range(1).select(F.inline(names))  # a pair without common rows has no coefficient
+    return every.join(found, "_i", "left").select("feature_a", "feature_b", "r")
 
 
 def high_correlations(matrix: DataFrame, limit: float = HIGH_CORRELATION) -> DataFrame:
@@ -238,60 +254,59 @@ def high_correlations(matrix: DataFrame, limit: float = HIGH_CORRELATION) -> Dat
 
 def dataset_flags(df: DataFrame) -> DataFrame:
     """``(flag, n)`` of the advice rules that apply to a dataset."""
-    numeric = numeric_columns(df)
-    issues = quality_issues(df).groupBy("severity").agg(F.count("*").alias("n"))
+    p = Profile(df, pairs=True)
+    issues = _issues(p).groupBy("severity").agg(F.count("*").alias("n"))
+    rows = p.row.select(F.col("rows").alias("n"))
     parts = [
         issues.filter("severity = 'critical'").select(F.lit("critical_issues").alias("flag"), "n"),
         issues.filter("severity = 'high'").select(F.lit("high_issues").alias("flag"), "n"),
-        df.agg(F.count("*").alias("n")).filter(F.col("n") < SMALL_DATASET).select(F.lit("small_dataset").alias("flag"), "n"),
+        rows.filter(F.col("n") < SMALL_DATASET).select(F.lit("small_dataset").alias("flag"), "n"),
     ]
-    if len(numeric) > MANY_NUMERIC:
-        parts.append(df.limit(1).select(F.lit("many_features").alias("flag"), F.lit(len(numeric)).cast("long").alias("n")))
-    if len(numeric) > 1:
-        pairs = high_correlations(correlations(df, numeric)).agg(F.count("*").alias("n")).filter("n > 0")
+    if len(p.numeric) > MANY_NUMERIC:
+        parts.append(rows.filter("n > 0").select(F.lit("many_features").alias("flag"), F.lit(len(p.numeric)).cast("long").alias("n")))
+    if len(p.numeric) > 1:
+        pairs = high_correlations(p.correlations()).agg(F.count("*").alias("n")).filter("n > 0")
         parts.append(pairs.select(F.lit("correlated_pairs").alias("flag"), "n"))
     return reduce(lambda a, b: a.unionByName(b), parts)
 
 
 def full_profile(df: DataFrame) -> DataFrame:
-    """Long ``(section, column_name, key, value)`` of summaries, issues and correlations."""
+    """Long ``(section, column_name, key, value)`` of summaries, issues and correlations; the table is read four times."""
+    p = Profile(df, pairs=True)
     parts = []
-    numeric, text = numeric_columns(df), string_columns(df)
-    if numeric:
-        s = numeric_summary(df, numeric)
-        keys = [c for c in s.columns if c != "column_name"]
-        cells = F.array(*[F.struct(F.lit(k).alias("key"), F.col(k).cast("double").alias("value")) for k in keys])
-        parts.append(s.select(F.lit("numeric").alias("section"), "column_name", F.inline(cells)))
-    if text:
-        s = categorical_summary(df, text)
-        cells = F.array(*[F.struct(F.lit(k).alias("key"), F.col(k).cast("double").alias("value")) for k in ("count", "unique", "freq", "missing")])
-        parts.append(s.select(F.lit("categorical").alias("section"), "column_name", F.inline(cells)))
-    issues = quality_issues(df)
-    parts.append(issues.select(F.lit("issue").alias("section"), "column_name", F.concat_ws(":", "issue_type", "severity").alias("key"), F.col("affected_rows").cast("double").alias("value")))
-    if len(numeric) > 1:
-        c = correlations(df, numeric)
-        parts.append(c.select(F.lit("correlation").alias("section"), F.col("feature_a").alias("column_name"), F.col("feature_b").alias("key"), F.col("r").alias("value")))
+
+    def cells(summary, section, keys):
+        long = F.array(*[F.struct(F.lit(k).alias("key"), F.col(k).cast("double").alias("value")) for k in keys])
+        return summary.select(F.lit(section).alias("section"), "column_name", F.inline(long))
+
+    if p.numeric:
+        s = p.numeric_summary()
+        parts.append(cells(s, "numeric", [c for c in s.columns if c != "column_name"]))
+    if p.text:
+        parts.append(cells(p.categorical_summary(), "categorical", ("count", "unique", "freq", "missing")))
+    issue = F.concat_ws(":", "issue_type", "severity").alias("key")
+    parts.append(_issues(p).select(F.lit("issue").alias("section"), "column_name", issue, F.col("affected_rows").cast("double").alias("value")))
+    if len(p.numeric) > 1:
+        parts.append(p.correlations().select(F.lit("correlation").alias("section"), F.col("feature_a").alias("column_name"), F.col("feature_b").alias("key"), F.col("r").alias("value")))
     return reduce(lambda a, b: a.unionByName(b), parts)
 
 
 def version_statistics(df: DataFrame, top: int = 5) -> DataFrame:
     """Long statistics stored with a dataset version: numeric, categorical with top values, nulls."""
+    p = Profile(df)
     parts = []
-    numeric, text = numeric_columns(df), string_columns(df)
     nothing = F.lit(None).cast("string")
-    if numeric:
-        s = numeric_summary(df, numeric)
+    if p.numeric:
         keys = ("mean", "std", "min", "max", "median")
         cells = F.array(*[F.struct(F.lit(k).alias("key"), F.col(k).alias("value")) for k in keys])
-        parts.append(s.select("column_name", F.inline(cells)).withColumn("item", nothing))
-    if text:
-        counts = value_counts(df, text)
+        parts.append(p.numeric_summary().select("column_name", F.inline(cells)).withColumn("item", nothing))
+    if p.text:
         parts.append(
-            counts.groupBy("column_name").agg(F.count("*").cast("double").alias("value")).withColumns({"key": F.lit("unique"), "item": nothing})
+            p.values.groupBy("column_name").agg(F.count("*").cast("double").alias("value")).withColumns({"key": F.lit("unique"), "item": nothing})
         )
-        best = top_k_per_key(counts, ["column_name"], [F.desc("n"), F.asc("value")], top)
+        best = top_k_per_key(p.values, ["column_name"], [F.desc("n"), F.asc("value")], top)
         parts.append(best.select("column_name", F.lit("top").alias("key"), F.col("n").cast("double").alias("value"), F.col("value").alias("item")))
-    parts.append(null_counts(df).select("column_name", F.lit("nulls").alias("key"), F.col("nulls").cast("double").alias("value"), nothing.alias("item")))
+    parts.append(p.null_counts().select("column_name", F.lit("nulls").alias("key"), F.col("nulls").cast("double").alias("value"), nothing.alias("item")))
     return reduce(lambda a, b: a.unionByName(b), parts)
 
 

@@ -205,6 +205,19 @@ def _(t):
     return profile.correlations(m.gappy(t), ["value", "score"], "spearman")
 
 
+@query(
+    "d3_spearman_all_pairs",
+    "feature_a:s feature_b:s r:d",
+    " UNION ALL ".join(
+        f"""SELECT '{a}' AS feature_a, '{b}' AS feature_b, (SELECT corr(x, y) FROM (SELECT rank() OVER (ORDER BY {a}) + (count(*) OVER (PARTITION BY {a}) - 1) / 2.0 AS x,
+        rank() OVER (ORDER BY {b}) + (count(*) OVER (PARTITION BY {b}) - 1) / 2.0 AS y FROM lineitem)) AS r"""
+        for a, b in LINE_PAIRS
+    ),
+)
+def _(t):
+    return profile.correlations(t.lineitem, ["l_quantity", "l_extendedprice", "l_discount"], "spearman")
+
+
 @query(
     "d4_high_correlations",
     "feature_a:s feature_b:s r:d",
@@ -226,7 +239,24 @@ def _(t):
     return profile.dataset_flags(_quality_source(t))
 
 
-@query("d6_full_profile", "section:s column_name:s key:s value:d4")
+def _profile_sql():
+    """The whole profile of orders, section by section."""
+    numeric, text = ("o_orderkey", "o_custkey", "o_totalprice"), ("o_orderstatus", "o_orderpriority")
+    forms = {"count": "count({})", "mean": "avg({})", "std": "stddev_samp({})", "min": "min({})", "q25": "quantile_cont({}, 0.25)", "median": "median({})", "q75": "quantile_cont({}, 0.75)",
+             "max": "max({})", "skewness": "skewness({})", "kurtosis": "kurtosis({})"}
+    parts = [f"SELECT 'numeric', '{c}', '{k}', CAST({f.format(f'CAST({c} AS DOUBLE)')} AS DOUBLE) FROM orders" for c in numeric for k, f in forms.items()]
+    parts = [parts[0].replace("SELECT 'numeric',", "SELECT 'numeric' AS section,").replace("'o_orderkey',", "'o_orderkey' AS column_name,").replace("'count',", "'count' AS key,").replace(" FROM", " AS value FROM"), *parts[1:]]
+    for c in text:
+        counts = f"(SELECT {c}, count(*) AS n FROM orders WHERE {c} IS NOT NULL GROUP BY 1)"
+        parts += [f"SELECT 'categorical', '{c}', '{k}', {f} FROM {counts}" for k, f in (("count", "sum(n)"), ("unique", "count(*)"), ("freq", "max(n)"), ("missing", f"max((SELECT count(*) FROM orders WHERE {c} IS NULL))"))]
+    for c in numeric:
+        out = f"(SELECT count(*) FILTER ({c} < a - 3 * (b - a) OR {c} > b + 3 * (b - a)) AS n, count({c}) AS k FROM orders, (SELECT quantile_cont({c}, 0.25) AS a, quantile_cont({c}, 0.75) AS b FROM orders))"
+        parts.append(f"SELECT 'issue', '{c}', 'outlier:' || CASE WHEN 100.0 * n / k >= 10 THEN 'high' WHEN 100.0 * n / k >= 5 THEN 'medium' ELSE 'low' END, n FROM {out} WHERE n > 0")
+    parts += [f"SELECT 'correlation', '{a}', '{b}', corr({a}, {b}) FROM orders" for i, a in enumerate(numeric) for b in numeric[i + 1 :]]
+    return " UNION ALL ".join(parts)
+
+
+@query("d6_full_profile", "section:s column_name:s key:s value:d4", _profile_sql())
 def _(t):
     return profile.full_profile(t.orders)
 
