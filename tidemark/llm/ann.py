@@ -110,7 +110,8 @@ def nearest_neighbours(
 
     ``is_query`` is a condition on the key. Ties go to the smaller id. Vectors that are null,
     zero, or hold null or non-finite components take no part, nor do those of another dimension
-    than most. A query with fewer candidates has fewer rows. Rows that share a key and a vector
+    than most. A query looks into the nearest lists, a share of all, and further ones while these
+    hold no more than ``nearest`` rows, so it is short of rows only if the table is. A query with fewer candidates has fewer rows. Rows that share a key and a vector
     are one; with the same key and other vectors each is a candidate and a query of its own.
     """
     spark = embeddings.sparkSession
@@ -140,10 +141,15 @@ def nearest_neighbours(
     def lists_near(v: pd.Series) -> pd.Series:
         if not len(v):
             return pd.Series([], dtype=object)
-        near = unit_rows(v) @ turn @ shared.value.T
-        return pd.Series(list(np.argpartition(-near, width - 1, axis=1)[:, :width].astype(np.int32)))
+        order = np.argsort(-(unit_rows(v) @ turn @ shared.value.T), axis=1, kind="stable").astype(np.int32)
+        # on small tables more lists than the share, until they hold enough rows; all if none do
+        short = (np.cumsum(held[order], axis=1) <= nearest).sum(axis=1)
+        return pd.Series([row[: max(width, n + 1)] for row, n in zip(order, short, strict=True)])
 
     listed = written(entries.withColumn("list", list_of("v")), "inverted-lists")
+    held = np.zeros(len(centres), np.int64)  # ids kept in each list, of at most MAX_LISTS
+    for r in listed.groupBy("list").agg(F.sum(F.size("ids")).alias("n")).collect():
+        held[r["list"]] = r["n"]
     # one search per different vector that is asked for, however many rows ask for it
     name = F.md5(F.concat_ws(",", F.col("v").cast("array<string>")))
     queries = asked.select("v").distinct().select(name.alias("q"), F.hash("v").alias("qh"), F.col("v").alias("qv"))
