@@ -28,13 +28,13 @@ OUT_BYTES = 8 << 20
 
 #: What a text without single spaces and line ends between words only has somewhere.
 UNEVEN = ("  ", " \n", "\n ", "\n\n", *(c for c in WHITE if c not in " \n"))
-_IDS: dict[str, Callable[[str], bytes]] = {}
+_IDS: dict[tuple[str, int], Callable[[str], bytes]] = {}
 
 
-def encoder(path: str) -> Callable[[str], bytes]:
+def encoder(path: str, remembered: int = REMEMBERED) -> Callable[[str], bytes]:
     """A function from a text to its ids as little-endian unsigned 32-bit bytes; a worker remembers words."""
-    if path in _IDS:
-        return _IDS[path]
+    if (path, remembered) in _IDS:
+        return _IDS[path, remembered]
     own, find, specials = tokenizer(path), pre_token_finder(path), special_texts(path)
 
     def ids(text: str) -> bytes:
@@ -45,8 +45,8 @@ def encoder(path: str) -> Callable[[str], bytes]:
         spaced = [word if word[:1] == "\n" else " " + word for word in words]
         return [array("I", e.ids).tobytes() for e in own.encode_batch_fast(spaced, add_special_tokens=False)]
 
-    general = Memo(ids, REMEMBERED)
-    even = Memo(lambda word: even_ids([word])[0], REMEMBERED)
+    general = Memo(ids, remembered)
+    even = Memo(lambda word: even_ids([word])[0], remembered)
     line_end = len(ids("\n"))
     in_one_piece = any(" " in s or "\n" in s for s in specials)
 
@@ -57,7 +57,7 @@ def encoder(path: str) -> Callable[[str], bytes]:
             return b"".join(map(general.__getitem__, find(text)))
         return b"".join(even.all_of(("\n" + text).replace("\n", " \n").split(" ")[1:], even_ids))[line_end:]
 
-    _IDS[path] = encode
+    _IDS[path, remembered] = encode
     return encode
 
 
@@ -116,13 +116,14 @@ class LevelPacker:
             yield pieces
 
 
-def pack_documents(documents: DataFrame, path: str, key: str = "doc_id", text: str = "text", end_id: int = 1, window: int = WINDOW) -> DataFrame:
+def pack_documents(documents: DataFrame, path: str, key: str = "doc_id", text: str = "text", end_id: int = 1, window: int = WINDOW, remembered: int = REMEMBERED) -> DataFrame:
     """One row per piece: key, start, length, ids (binary), doc_tokens, sequence_id, offset.
 
     A document's tokens are those of its whole text (null: none) and ``end_id``, so every row
     has at least one piece, empty texts included. Each token is in one piece. ``ids`` are
     little-endian unsigned 32-bit. ``sequence_id`` tells the task in its upper bits. Rows that
-    repeat are packed each; other columns are left out; an empty table gives no row.
+    repeat are packed each; other columns are left out; an empty table gives no row. A worker
+    remembers the ids of up to three times ``remembered`` words, about 150 bytes each.
     """
     end = np.array([end_id], "<u4").tobytes()
     kind = dict(documents.select(F.col(key)).dtypes)[key]
@@ -130,7 +131,7 @@ def pack_documents(documents: DataFrame, path: str, key: str = "doc_id", text: s
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         packer, sequence = LevelPacker(window), TaskContext.get().partitionId() << 33
-        encode, rows, held, key_type = encoder(path), [], 0, None
+        encode, rows, held, key_type = encoder(path, remembered), [], 0, None
 
         def put(pieces: list[tuple]) -> None:
             nonlocal sequence, held
