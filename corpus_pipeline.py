@@ -50,7 +50,8 @@ def packed_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     """Token sequences of at most 2048 ids: one row per piece, with its ids."""
     import public_tokenizers
 
-    return packing.pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"))
+    # workers and heaps of the stages before hold memory still, so fewer words are remembered than by default
+    return packing.pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"), remembered=200_000)
 
 
 STAGES = [("quality", quality_filter), ("near_duplicates", near_duplicates), ("personal_data", personal_data), ("packing", packed_sequences)]
