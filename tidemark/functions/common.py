@@ -68,10 +68,6 @@ def whole_days_between(start: Column, end: Column) -> Column:
     return F.floor(F.timestamp_diff("MICROSECOND", start, end) / F.lit(86400e6))
 
 
-def days_before(ts: Column, days: int) -> Column:
-    return ts - F.expr(f"INTERVAL '{int(days)}' DAY")
-
-
 def calendar_parts(ts: Column) -> dict[str, Column]:
     """Hour, weekday with Monday as 0, and calendar date."""
     return {"hour": F.hour(ts), "weekday": F.weekday(ts), "date": F.to_date(ts)}
@@ -133,8 +129,3 @@ def level_range(level: Column) -> Column:
 def stable_hash(columns: list[str]) -> Column:
     """sha-256 of the columns as JSON with sorted names; nulls are kept as fields."""
     return F.sha2(F.to_json(F.struct(*sorted(columns)), {"ignoreNullFields": "false"}), 256)
-
-
-def flatten_map(df, key_col: str, map_col: str, prefix: str, names: list[str]):
-    """One column per asked map key, named ``prefix + key``."""
-    return df.select("*", *[F.col(map_col)[n].alias(f"{prefix}{n}") for n in names]).drop(map_col)

@@ -8,7 +8,6 @@ from pyspark.sql import DataFrame, functions as F
 
 from tidemark.functions.text import sentiment_features
 from tidemark.operators import adherence as ad, behavioral as be, clean, physiological as ph
-from tidemark.operators.validate import completeness
 
 
 def merge_features(parts: list[DataFrame], id_column: str = "anonymized_id") -> DataFrame:
@@ -65,8 +64,3 @@ def extract_features(
     if not parts:
         raise ValueError("no modality given")
     return clean.handle_invalid_values(merge_features(parts, id_column), invalid_values=[])
-
-
-def validated_features(features: DataFrame, threshold: float = 0.8) -> DataFrame:
-    """The merged table with each row's null share and the mostly-missing flag."""
-    return completeness(features, threshold)

@@ -413,6 +413,15 @@ def _(t):
     return overrides(t)[0]
 
 
+@query(
+    "g16_pending_supervisor_reviews",
+    "override_id:l clinician_id:s",
+    "SELECT o_orderkey AS override_id, 'clin' || o_custkey % 7 AS clinician_id FROM orders WHERE o_orderstatus <> 'F'",
+)
+def _(t):
+    return gov.pending_supervisor_reviews(overrides(t)[0])
+
+
 @query(
     "g6_clinician_recent_overrides",
     "clinician_id:s overrides:l",

@@ -449,6 +449,31 @@ def _(t):
     return train.trial_statistics(t.events.select(F.col("event_id").alias("trial"), F.col("value").alias("score")))
 
 
+@query(
+    "m19_listed_models",
+    "model_id:l status:s",
+    "SELECT o_orderkey AS model_id, 'active' AS status FROM orders WHERE o_custkey % 5 = 2 AND o_orderstatus <> 'P'",
+)
+def _(t):
+    index = t.orders.select(
+        F.col("o_orderkey").alias("model_id"), F.concat(F.lit("t"), (F.col("o_custkey") % 5).cast("string")).alias("model_type"),
+        F.when(F.col("o_orderstatus") == "P", "retired").otherwise("active").alias("status"), F.col("o_orderdate").alias("registered_at"),
+    )
+    return train.list_models(index, "t2", "active")
+
+
+@query(
+    "m11_weights_from_scores",
+    "l_orderkey:l l_linenumber:l l_partkey:l mixed:d",
+    f"""WITH {PROB_SQL}, w AS (SELECT avg(a) AS x, avg(b) AS y FROM p) SELECT l_orderkey, l_linenumber, l_partkey, (a * x + b * y) / (x + y) AS mixed FROM p, w""",
+)
+def _(t):
+    p = probabilities(t)
+    row = p.agg(F.avg("a").alias("a"), F.avg("b").alias("b")).first()  # the models' validation scores
+    weights = score.weights_from_scores(row.asDict())
+    return p.withColumn("mixed", F.col("a") * weights[0] + F.col("b") * weights[1])
+
+
 @query(
     "m19_active_models",
     "model_type:s model_id:l",

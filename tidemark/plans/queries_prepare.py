@@ -287,6 +287,17 @@ def _(t):
     return clean.handle_invalid_values(marked)
 
 
+@query(
+    "v4_invalid_counts",
+    "column_name:s replaced:l",
+    """SELECT 'event_type' AS column_name, count(*) FILTER (event_type IN ('error', 'view')) AS replaced FROM events
+    UNION ALL SELECT 'value', count(*) FILTER (event_id % 11 = 0) FROM events""",
+)
+def _(t):
+    value = F.when(F.col("event_id") % 22 == 0, float("inf")).when(F.col("event_id") % 11 == 0, float("nan")).otherwise(F.col("value"))
+    return clean.invalid_counts(t.events.select("event_id", "event_type", value.alias("value")), ["error", "view"])
+
+
 @query(
     "v6_domain_outliers",
     "event_id:l value_outlier:b",

@@ -233,6 +233,25 @@ def _(t):
     return out.select("run_id", F.col("params")["color"].alias("color"), F.col("params")["size"].alias("size"))
 
 
+@query(
+    "x12_logged_artifacts",
+    "run_id:s artifact_type:s size_bytes:l",
+    """SELECT 'run-' || n_regionkey AS run_id, 'lines' AS artifact_type, sum(octet_length(encode(n_name)) + 1) AS size_bytes FROM nation GROUP BY n_regionkey""",
+)
+def _(t):
+    import datetime as dt
+
+    root = scratch_folder(t.spark, "artifacts-of-runs")
+    t.nation.select(F.col("n_regionkey").alias("k"), F.col("n_name").alias("value")).repartition(1).write.partitionBy("k").text(f"{root}/files")
+    log = runs.RunLog(t.spark, f"{root}/log")
+    now = dt.datetime(2024, 1, 1)
+    for k in [r["n_regionkey"] for r in t.nation.select("n_regionkey").distinct().collect()]:  # a run per region
+        log.start_run("regions", f"run-{k}", now)
+        log.log_artifact(f"{root}/files/k={k}", now, "lines")
+        log.end_run(now)
+    return log.table("artifacts")
+
+
 @query("x13_s13_run_lifecycle", "status:s metrics:l total:d2", "SELECT 'FINISHED' AS status, 2 AS metrics, (SELECT sum(o_totalprice) FROM orders) + (SELECT count(*) FROM orders) AS total")
 def _(t):
     import datetime as dt

@@ -17,10 +17,6 @@ def upsert(current: DataFrame, changes: DataFrame, keys: Sequence[str], order: S
     return latest_per_key(current.unionByName(changes), keys, order)
 
 
-def current_state(changes: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
-    return latest_per_key(changes, keys, order)
-
-
 def guarded_update(
     table: DataFrame, updates: DataFrame, keys: Sequence[str], guard: Column, assignments: dict[str, Column]
 ) -> DataFrame:
