@@ -114,6 +114,40 @@ def train_boosted(
     return model, params, fitted.avgMetrics[i]
 
 
+def linear_terms(model) -> dict[str, float]:
+    """Weight per raw feature, and ``""`` for the intercept, of a fitted logistic pipeline: the scaler is folded in."""
+    assembler, final = model.stages[0], model.stages[-1]
+    scaler = next((s for s in model.stages if hasattr(s, "std")), None)
+    weights, intercept = final.coefficients.toArray(), float(final.intercept)
+    if scaler is not None:
+        mean, std = scaler.mean.toArray(), scaler.std.toArray()
+        weights = np.where(std > 0, weights / np.where(std > 0, std, 1.0), 0.0)
+        intercept -= float(weights @ mean)
+    return {**dict(zip(assembler.getInputCols(), map(float, weights))), "": intercept}
+
+
+def tree_nodes(model) -> pd.DataFrame:
+    """The nodes of a fitted boosted-trees pipeline: ``tree, node, feature, threshold, left, right, value, weight``.
+
+    A row goes left if its feature is at most the threshold; ``feature`` is empty in a leaf. The
+    probability is that of twice the weighted sum of the leaves' values.
+    """
+    final, names = model.stages[-1], model.stages[0].getInputCols()
+    rows: list[list] = []
+
+    def add(tree: int, node, weight: float) -> int:
+        at = len(rows)
+        rows.append([tree, at, "", 0.0, -1, -1, float(node.prediction()), weight])
+        if node.getClass().getSimpleName() != "LeafNode":
+            rows[at][2:4] = [names[node.split().featureIndex()], float(node.split().threshold())]
+            rows[at][4:6] = [add(tree, node.leftChild(), weight), add(tree, node.rightChild(), weight)]
+        return at
+
+    for i, (tree, weight) in enumerate(zip(final.trees, final.treeWeights)):
+        add(i, tree._call_java("rootNode"), float(weight))
+    return pd.DataFrame(rows, columns=["tree", "node", "feature", "threshold", "left", "right", "value", "weight"])
+
+
 # -- isolation forest ------------------------------------------------------------------------
 
 _TREE_SCHEMA = "tree int, node int, feature int, threshold double, left int, right int, path double"
