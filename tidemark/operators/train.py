@@ -22,7 +22,7 @@ from tidemark.operators.evaluate import auroc
 from tidemark.operators.ordered import attach, exact_quantiles, hash_rank, latest_per_key, top_k_per_key
 from tidemark.operators.score import calibrated_score, calibration_bounds
 from tidemark.operators.split import class_counts, stratified_folds
-from tidemark.session import checkpointed
+from tidemark.session import checkpointed, written
 
 # Default search grids.
 LOGISTIC_GRID = {"C": [0.001, 0.01, 0.1, 1.0, 10.0, 100.0], "penalty": ["l1", "l2"], "class_weight": ["balanced", None]}
@@ -60,7 +60,8 @@ def train_logistic(
     """
     grid = {**LOGISTIC_GRID, **(grid or {})}
     n = df.count()
-    data = _balanced_weight(stratified_folds(df, label, id_cols, folds, seed), label).withColumn("label", F.col(label).cast("double"))
+    folded = _balanced_weight(stratified_folds(df, label, id_cols, folds, seed), label).withColumn("label", F.col(label).cast("double"))
+    data = written(folded.select(*features, "label", "fold", "_weight"), "folds")  # every fit reads it
     k = min(folds, min(class_counts(df, label).values()))
     evaluator = BinaryClassificationEvaluator(labelCol="label", metricName="areaUnderROC")
     best = None
@@ -90,7 +91,8 @@ def train_boosted(
 ):
     """Boosted trees: depth × learning rate by cross-validated AUROC, final fit stopped early on ``val``."""
     grid = {**BOOST_GRID, **(grid or {})}
-    data = stratified_folds(train, label, id_cols, folds, seed).withColumn("label", F.col(label).cast("double"))
+    folded = stratified_folds(train, label, id_cols, folds, seed).withColumn("label", F.col(label).cast("double"))
+    data = written(folded.select(*features, "label", "fold"), "folds")  # every fit reads it
     k = min(folds, min(class_counts(train, label).values()))
     evaluator = BinaryClassificationEvaluator(labelCol="label", metricName="areaUnderROC")
     base = GBTClassifier(featuresCol="features", labelCol="label", maxIter=max_iter, seed=seed)
