@@ -47,7 +47,8 @@ def keyed_join(big: DataFrame, small: DataFrame, keys: Sequence[str], how: str =
 
     A plain equi-join: adaptive execution splits the partitions of keys that own a large share
     of the rows, by their measured bytes. ``session`` asks for that split also where the join
-    feeds an aggregate on the same key, at the price of one more exchange there.
+    feeds an aggregate on the same key, at the price of one more exchange there; a session made
+    otherwise must set ``spark.sql.adaptive.forceOptimizeSkewedJoin``.
     """
     return big.join(small, list(keys), how)
 
