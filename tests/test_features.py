@@ -2,6 +2,7 @@
 
 import datetime as dt
 import math
+import random
 
 import pytest
 
@@ -99,3 +100,35 @@ def test_merge_keeps_everyone_and_suffixes_clashes(spark):
     assert (out["x"]["n"], out["x"]["n_1"], out["y"]["n"], out["y"]["n_1"]) == (1, None, None, 2)
     with pytest.raises(ValueError):
         extract_features()
+
+
+def test_features_in_few_passes_are_those_of_the_lone_functions(spark):
+    rng = random.Random(3)
+    pick = lambda *v: rng.choice(v)
+    acts = [(pick("a", "b", "c", "d", None), pick("walk", "run", "swim", None), day(rng.randrange(50), rng.randrange(24)) if rng.random() < 0.9 else None, pick(None, 5.0, 7.5, 20.0)) for _ in range(300)]
+    acts += [("e", None, day(1), None), ("f", "walk", None, 3.0)]
+    nights = [(pick("a", "b", "x"), day(i), day(i, rng.randrange(-2, 30)), pick(None, 1, 2, 3)) for i in range(40)]
+    beats = [(pick("a", "y", None), float(rng.randrange(60, 190)), pick(None, 100, 250), day(i)) for i in range(60)] + [("z", None, None, day(1))]
+    uses = [(pick("a", "b", "w"), pick(None, 1, 9), pick(None, 10.0, 50.0), day(rng.randrange(45))) for _ in range(60)] + [("v", 1, 1.0, None)]
+    held = [(pick("a", "u"), day(i), pick("missed", "completed", None)) for i in range(30)]
+    b = spark.createDataFrame(acts, "anonymized_id string, activity_type string, timestamp timestamp_ntz, duration_minutes double")
+    s = spark.createDataFrame(nights, "anonymized_id string, sleep_start timestamp_ntz, sleep_end timestamp_ntz, interruptions int")
+    h = spark.createDataFrame(beats, "anonymized_id string, heart_rate double, steps int, timestamp timestamp_ntz")
+    e = spark.createDataFrame(uses, "anonymized_id string, interaction_count int, session_duration_minutes double, timestamp timestamp_ntz")
+    m = spark.createDataFrame(held, "anonymized_id string, session_date timestamp_ntz, status string")
+    lone = [
+        be.activity_features(b), be.routine_consistency(b), be.social_metrics(b, interaction_column="activity_type"), ph.sleep_features(s),
+        ph.hrv_metrics(h), ph.activity_intensity(h), ad.missed_sessions(m), ad.engagement_score(e),
+    ]
+    want, got = merge_features(lone), extract_features(behavioral=b, sleep=s, hrv=h, activity=h, sessions=m, engagement=e)
+    assert got.columns == want.columns and dict(got.dtypes) == dict(want.dtypes)
+    want, got = rows(want), rows(got)
+    assert set(got) == set(want) == set("abcdefuwxyz")
+    for key, row in want.items():
+        for name, value in row.asDict().items():
+            assert got[key][name] == (pytest.approx(value) if isinstance(value, float) else value), (key, name)
+
+
+def test_features_of_empty_tables(spark):
+    b = spark.createDataFrame([], "anonymized_id string, activity_type string, timestamp timestamp_ntz, duration_minutes double")
+    assert extract_features(behavioral=b).count() == 0

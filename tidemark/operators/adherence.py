@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from tidemark.functions.common import count_if, ratio
 from tidemark.operators.behavioral import daily_regularity
@@ -119,45 +119,66 @@ def engagement_score(
 ) -> DataFrame:
     """Mean of the components that are present: contact, duration, completion, consistency."""
     recent = trailing(df, id_column, timestamp_column, window_days)
-    aggs, out, parts = [], [F.col(id_column)], []
-    if interaction_column in df.columns:
+    aggs = engagement_aggregates(df.columns, interaction_column, duration_column, completion_column, window_days)
+    flat = recent.groupBy(id_column).agg(*aggs)
+    daily = daily_regularity(recent, id_column, timestamp_column)
+    out = engagement_columns(F.col, df.columns, F.col("active_days"), F.col("regularity"), interaction_column, duration_column, completion_column, window_days)
+    return flat.join(daily, id_column, "left").select(id_column, *[e.alias(c) for c, e in out.items()])
+
+
+def engagement_aggregates(
+    columns: Sequence[str], interaction_column: str = "interaction_count", duration_column: str = "session_duration_minutes",
+    completion_column: str = "completed_activities", window_days: int = 30,
+) -> list[Column]:
+    """The plain aggregates of the engagement score over recent rows, of the columns that are there."""
+    aggs = [F.count("*").alias("_rows")]
+    if interaction_column in columns:
         aggs.append((F.coalesce(F.sum(interaction_column), F.lit(0)) / F.lit(float(window_days))).alias("interaction_frequency"))
-        score = F.least(F.col("interaction_frequency") / FULL_INTERACTIONS_PER_DAY, F.lit(1.0))
-        parts.append(score)
-        out += [F.col("interaction_frequency"), score.alias("interaction_score")]
-    if duration_column in df.columns:
+    if duration_column in columns:
         aggs += [
             F.avg(duration_column).alias("mean_session_duration"),
             F.sum(duration_column).cast("double").alias("total_session_duration"),
         ]
-        mean = F.col("mean_session_duration")
-        score = F.when(mean.isNotNull(), F.least(mean / FULL_SESSION_MINUTES, F.lit(1.0)))
-        parts.append(score)
-        out += [mean, F.col("total_session_duration"), score.alias("duration_score")]
-    if completion_column in df.columns:
+    if completion_column in columns:
         aggs += [
             F.sum(completion_column).cast("double").alias("total_completions"),
             ratio(F.sum(completion_column), F.count("*")).alias("completion_rate"),
         ]
-        rate = F.col("completion_rate")
+    return aggs
+
+
+def engagement_columns(
+    c: Callable[[str], Column], columns: Sequence[str], active_days: Column, regularity: Column, interaction_column: str = "interaction_count",
+    duration_column: str = "session_duration_minutes", completion_column: str = "completed_activities", window_days: int = 30,
+) -> dict[str, Column]:
+    """The engagement features from their aggregates, which ``c`` gives by name, and the active days."""
+    out, parts = {}, []
+    if interaction_column in columns:
+        score = F.least(c("interaction_frequency") / FULL_INTERACTIONS_PER_DAY, F.lit(1.0))
+        parts.append(score)
+        out |= {"interaction_frequency": c("interaction_frequency"), "interaction_score": score}
+    if duration_column in columns:
+        mean = c("mean_session_duration")
+        score = F.when(mean.isNotNull(), F.least(mean / FULL_SESSION_MINUTES, F.lit(1.0)))
+        parts.append(score)
+        out |= {"mean_session_duration": mean, "total_session_duration": c("total_session_duration"), "duration_score": score}
+    if completion_column in columns:
+        rate = c("completion_rate")
         score = F.when(rate.isNotNull(), F.least(rate / FULL_COMPLETION_RATE, F.lit(1.0)))
         parts.append(score)
-        out += [F.col("total_completions"), rate, score.alias("completion_score")]
-    flat = recent.groupBy(id_column).agg(*aggs) if aggs else recent.select(id_column).distinct()
-    daily = daily_regularity(recent, id_column, timestamp_column)
-    several = F.col("active_days") > 1
-    consistency = F.when(several, F.col("regularity"))
+        out |= {"total_completions": c("total_completions"), "completion_rate": rate, "completion_score": score}
+    several = active_days > 1
+    consistency = F.when(several, regularity)
     parts.append(consistency)
-    out += [
-        consistency.alias("engagement_consistency"),
-        F.when(several, F.col("active_days")).alias("active_days"),
-        F.when(several, F.col("active_days") / F.lit(float(window_days)) * 100).alias("active_days_pct"),
-    ]
     present = F.array_compact(F.array(*parts))
-    total = F.aggregate(present, F.lit(0.0), lambda a, x: a + x)
-    overall = F.when(F.size(present) > 0, total / F.size(present)).otherwise(F.lit(0.0))
+    overall = F.when(F.size(present) > 0, F.aggregate(present, F.lit(0.0), lambda a, x: a + x) / F.size(present)).otherwise(F.lit(0.0))
     level = (
         F.when(F.size(present) == 0, "none").when(overall >= 0.7, "high").when(overall >= 0.4, "moderate").otherwise("low")
     )
-    out += [overall.alias("overall_engagement_score"), level.alias("engagement_level")]
-    return flat.join(daily, id_column, "left").select(*out)
+    return out | {
+        "engagement_consistency": consistency,
+        "active_days": F.when(several, active_days),
+        "active_days_pct": F.when(several, active_days / F.lit(float(window_days)) * 100),
+        "overall_engagement_score": overall,
+        "engagement_level": level,
+    }

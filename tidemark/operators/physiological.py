@@ -26,6 +26,20 @@ def sleep_features(
     Without an efficiency column it is estimated from **all** durations, also invalid ones,
     as closeness to eight hours.
     """
+    data, aggs, medians, defaults = sleep_parts(df, id_column, sleep_start_column, sleep_end_column, interruptions_column, efficiency_column)
+    out = group_agg(data, [id_column], aggs, medians)
+    return out.withColumns({c: F.coalesce(c, F.lit(0.0)) for c in defaults})
+
+
+def sleep_parts(
+    df: DataFrame,
+    id_column: str = "anonymized_id",
+    sleep_start_column: str = "sleep_start",
+    sleep_end_column: str = "sleep_end",
+    interruptions_column: str | None = "interruptions",
+    efficiency_column: str = "sleep_efficiency",
+) -> tuple[DataFrame, list[Column], dict[str, Column], list[str]]:
+    """Rows, aggregates, medians, and the medians that are 0 where there is none, of the sleep features."""
     data = df.filter(F.col(id_column).isNotNull()).withColumn(
         "_h", hours_between(F.col(sleep_start_column), F.col(sleep_end_column))
     )
@@ -56,8 +70,7 @@ def sleep_features(
         efficiency = clip(1 - F.abs(F.col("_h") - BEST_SLEEP_HOURS) / BEST_SLEEP_HOURS, 0.0, 1.0)
         aggs.append(F.avg(efficiency).alias("mean_sleep_efficiency"))
     medians["median_sleep_efficiency"] = efficiency
-    out = group_agg(data, [id_column], aggs, medians)
-    return out.withColumns({c: F.coalesce(c, zero) for c in defaults})
+    return data, aggs, medians, defaults
 
 
 def hrv_metrics(
@@ -128,7 +141,19 @@ def activity_intensity(
     calories_column: str = "calories",
 ) -> DataFrame:
     """Share of readings per heart-rate zone, intensity, step and calorie statistics."""
-    aggs, medians, order = [], {}, []
+    data, aggs, medians = activity_parts(df, id_column, heart_rate_column, steps_column, calories_column)
+    return group_agg(data, [id_column], aggs, medians)
+
+
+def activity_parts(
+    df: DataFrame,
+    id_column: str = "anonymized_id",
+    heart_rate_column: str = "heart_rate",
+    steps_column: str = "steps",
+    calories_column: str = "calories",
+) -> tuple[DataFrame, list[Column], dict[str, Column]]:
+    """Rows, aggregates and medians of the activity intensity."""
+    aggs, medians = [], {}
     if heart_rate_column in df.columns:
         hr = F.col(heart_rate_column)
         edges = [e * MAX_HEART_RATE for e in ZONE_EDGES] + [None]
@@ -157,4 +182,4 @@ def activity_intensity(
         c = F.col(calories_column)
         aggs += [F.sum(c).cast("double").alias("total_calories"), F.avg(c).alias("mean_daily_calories")]
         medians["median_daily_calories"] = c
-    return group_agg(df.filter(F.col(id_column).isNotNull()), [id_column], aggs, medians)
+    return df.filter(F.col(id_column).isNotNull()), aggs, medians
