@@ -288,3 +288,14 @@ def test_components_of_light_and_heavy_nodes(spark):
     links = [(2 * i, 2 * i + 1) for i in range(1500)] + [(90_000, 10_000 + i) for i in range(400)] + [(10_007, 9_999)]
     got = {r["node"]: r["component"] for r in components.connected_components(spark.createDataFrame(links, "a long, b long")).collect()}
     assert got == {**{2 * i + j: 2 * i for i in range(1500) for j in (0, 1)}, **{n: 9_999 for n in (9_999, 90_000, *range(10_000, 10_400))}}
+
+
+def test_long_pre_tokens_are_counted_by_their_digest(spark):
+    longs = ["=" * 64, "=" * 65, " " + "ab" * 40, "ü😀" * 50, "x" * 3_000]
+    rows = [(i, " ".join(longs[j % 5] for j in range(i, i + 4 + i % 3))) for i in range(60)]
+    d, bpe = docs(spark, rows).repartition(3), token_counts.tokenizer(BPE)
+    want = {i: len(bpe.encode(t, add_special_tokens=False).ids) for i, t in rows}
+    for head in (0, 2, token_counts.HEAD_ROWS):
+        assert {r["doc_id"]: r["n_tokens"] for r in token_counts.count_tokens(d, BPE, head_rows=head).collect()} == want
+    keys = spark.createDataFrame([(t,) for t in longs], "t string").select("t", token_counts.key_column("t").alias("k")).collect()
+    assert all(r["k"] == token_counts.key_of(r["t"]) and len(r["k"]) <= 65 for r in keys)

@@ -4,26 +4,29 @@ A pre-token here is a word with the white space before it: no token of a byte-le
 crosses these cuts, so a document's count is the sum of its pre-tokens' counts. Each distinct
 pre-token of the corpus is counted by the tokenizer once. Documents carry frequencies of
 pre-tokens and are joined to these counts. The most frequent pre-tokens, a fixed number, go to
-every task instead of through the shuffle: they are most of the volume and all of the skew.
+every task instead of through the shuffle: they are most of the volume and all of the skew. Long
+pre-tokens are known by a digest there, so a frequent one may be among them, and none travels
+whole with a document.
 """
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from tidemark.llm.common import SPACED_WORD, map_batches
 from tidemark.session import written
 
 #: Pre-tokens whose counts every task gets; a fixed bound on what is broadcast.
 HEAD_ROWS = 400_000
-#: Longer pre-tokens are never in the head, which bounds its bytes.
-HEAD_CHARS = 64
+#: Longer pre-tokens are known by a digest, which bounds the bytes of what is broadcast.
+KEY_CHARS = 64
 #: Distinct pre-tokens that a task gathers before it passes them on.
 GATHERED = 300_000
 
@@ -59,6 +62,16 @@ def pre_token_finder(path: str):
     return lambda text: [p for part in cut.split(text) if part for p in ([part] if part in spaced else SPACED_WORD.findall(part))]
 
 
+def key_of(pre_token: str) -> str:
+    """What stands for a pre-token in joins: itself, or, if it is long, its SHA-256 and a mark, which is longer than any short one."""
+    return pre_token if len(pre_token) <= KEY_CHARS else hashlib.sha256(pre_token.encode()).hexdigest() + ":"
+
+
+def key_column(pre_token: str) -> Column:
+    """``key_of`` as a column."""
+    return F.when(F.char_length(pre_token) <= KEY_CHARS, F.col(pre_token)).otherwise(F.concat(F.sha2(pre_token, 256), F.lit(":")))
+
+
 def _frequencies(text: str, path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         find, seen = pre_token_finder(path), Counter()
@@ -104,9 +117,8 @@ def count_tokens(documents: DataFrame, path: str, key: str = "doc_id", text: str
     """
     spark = documents.sparkSession
     docs = documents.select(F.col(key).alias("_key"), F.coalesce(F.col(text), F.lit("")).alias("_text"))
-    counts = pre_token_counts(docs, path, "_text")
-    short = counts.where(F.char_length("pre_token") <= HEAD_CHARS)
-    head = {r["pre_token"]: r["tokens"] for r in short.orderBy(F.desc("n"), "pre_token").limit(head_rows).select("pre_token", "tokens").toLocalIterator()}
+    counts = pre_token_counts(docs, path, "_text").select(key_column("pre_token").alias("key"), "n", "tokens")
+    head = {r["key"]: r["tokens"] for r in counts.orderBy(F.desc("n"), "key").limit(head_rows).select("key", "tokens").toLocalIterator()}
     shared = spark.sparkContext.broadcast(head)
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -117,9 +129,10 @@ def count_tokens(documents: DataFrame, path: str, key: str = "doc_id", text: str
             for value in texts:
                 total, tail = 0, []
                 for pre_token, n in Counter(find(value)).items():
-                    tokens = known.get(pre_token)
+                    name = key_of(pre_token)
+                    tokens = known.get(name)
                     if tokens is None:
-                        tail.append((pre_token, n))
+                        tail.append((name, n))
                     else:
                         total += tokens * n
                 sums.append(total)
@@ -134,7 +147,7 @@ def count_tokens(documents: DataFrame, path: str, key: str = "doc_id", text: str
 
     kind = dict(docs.dtypes)["_key"]
     rows = written(map_batches(docs, split, f"_key {kind}, n_bytes long, _row long, _sum long, _rest array<struct<p: string, n: long>>"), "document-pre-tokens")
-    tail = rows.select("_row", F.explode("_rest").alias("r")).select("_row", F.col("r.p").alias("pre_token"), F.col("r.n").alias("f"))
-    tail = tail.join(counts.select("pre_token", "tokens"), "pre_token").groupBy("_row").agg(F.sum(F.col("f") * F.col("tokens")).alias("_tail"))
+    tail = rows.select("_row", F.explode("_rest").alias("r")).select("_row", F.col("r.p").alias("key"), F.col("r.n").alias("f"))
+    tail = tail.join(counts.select("key", "tokens"), "key").groupBy("_row").agg(F.sum(F.col("f") * F.col("tokens")).alias("_tail"))
     both = rows.select("_key", "n_bytes", "_row", "_sum").join(tail, "_row", "left")
     return both.select(F.col("_key").alias(key), "n_bytes", (F.col("_sum") + F.coalesce(F.col("_tail"), F.lit(0))).alias("n_tokens"))
