@@ -162,7 +162,7 @@ def compare_with_next(documents: DataFrame, key: str = "doc_id", text: str = "te
     own, guest = F.struct(F.col("_range").alias("range"), F.lit(0).alias("guest")), F.struct(F.col("_also").alias("range"), F.lit(1).alias("guest"))
     dealt = docs.withColumn("_p", F.explode(F.when(F.col("_also").isNull(), F.array(own)).otherwise(F.array(own, guest))))
     dealt = dealt.select("_p.range", "_p.guest", "_k", "_key", F.char_length("_text").alias("_n"), F.crc32("_text").alias("_c"), "_text")
-    ordered = dealt.repartition("range").sortWithinPartitions("range", "guest", F.desc("_k"), F.desc("_n"), F.desc("_c"))
+    ordered = dealt.repartitionById(len(cuts), "range").sortWithinPartitions("range", "guest", F.desc("_k"), F.desc("_n"), F.desc("_c"))
     kind = dict(documents.select(F.col(key)).dtypes)[key]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
