@@ -62,3 +62,39 @@ def test_near_neighbours_are_those_of_brute_force(spark, scales, copies):
         got.setdefault(r["_id"], []).append(math.dist(x[r["_id"]], r["_nx"]))
     for i, p in enumerate(x):
         assert sorted(got[i]) == pytest.approx(sorted(math.dist(p, q) for j, q in enumerate(x) if j != i)[:k])
+
+
+def test_neighbour_search_writes_no_pairs_and_no_pivot_distances(spark, monkeypatch):
+    """What the search writes grows with the rows: no array of distances to all pivots, and few found points per row."""
+    kept = {}
+
+    def noted(df, name, write=split.written):
+        kept[name] = write(df, name)
+        return kept[name]
+
+    monkeypatch.setattr(split, "written", noted)
+    rng, n = random.Random(3), 900
+    df = spark.createDataFrame([(i, rng.random(), rng.random()) for i in range(n)], ["id", "a", "b"])
+    assert split.near_neighbours(df, ["a", "b"], "id", 5).count() == 5 * n
+    assert [c for c, t in kept["cells"].dtypes if t.startswith("array") and c not in ("_x", "_ids")] == []
+    assert kept["own-cells"].count() <= 6 * n
+
+
+def test_near_neighbours_of_text_ids_ties_copies_and_nulls(spark):
+    points = [(f"r{i:03d}", float(i % 7), float(i % 5)) for i in range(80)] + [("none", None, 1.0), ("nan", math.nan, 1.0)]
+    got = {}
+    for r in split.near_neighbours(spark.createDataFrame(points, "id string, a double, b double"), ["a", "b"], "id", 3).collect():
+        got.setdefault(r["_id"], {})[r["rank"]] = r["_nid"]
+    whole = points[:80]
+    for i, a, b in whole:
+        want = sorted((math.dist((a, b), (c, d)), j) for j, c, d in whole if j != i)[:3]
+        assert [got[i][r] for r in (1, 2, 3)] == [j for _, j in want]
+    assert len(got) == 80
+
+
+def test_synthetic_parents_of_ids_that_repeat(spark):
+    df = spark.createDataFrame([(1, 0.0, 0.0), (1, 5.0, 5.0), (2, 1.0, 0.0), (3, 0.0, 2.0), (None, 9.0, 9.0)], "id long, a double, b double")
+    made = split.smote_parents(df, ["a", "b"], "id", 20, k=2).collect()
+    assert {r["_id"] for r in made} <= {1, 2, 3} and all(r["_nid"] != r["_id"] and 0 <= r["_g"] < 1 for r in made)
+    # the rows of an id meet the neighbours of each other
+    assert {tuple(r["_x"]) for r in made if r["_id"] == 1} == {(0.0, 0.0), (5.0, 5.0)}
