@@ -63,3 +63,27 @@ def test_forest_scores_follow_from_the_nodes(data):
     assert max(abs(want[k] - s) for k, s in zip(rows.k, rows.score)) < 1e-12
     # the cut is the exact tenth percentile of the scores
     assert forest.offset == pytest.approx(rows.score.quantile(0.1)) and (rows.is_anomaly == (rows.score < forest.offset)).all()
+
+
+def test_logistic_search_equals_cross_validation_with_models(data, monkeypatch):
+    """The averages of the search are those of Spark's own cross validation, and no held-out row goes through a fitted model."""
+    from pyspark.ml import Pipeline
+    from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
+    from pyspark.ml.evaluation import BinaryClassificationEvaluator
+    from pyspark.ml.tuning import CrossValidator
+
+    from tidemark.operators import split
+
+    base = LogisticRegression(maxIter=100, standardization=False)
+    maps = [{base.regParam: 1.0 / (c * 600), base.elasticNetParam: e} for c in (0.001, 1.0) for e in (1.0, 0.0)]
+    folded = split.stratified_folds(data, "label", ["k"], 3).withColumn("label", F.col("label").cast("double"))
+    flow = Pipeline(stages=[*train._assemble(FEATURES, True), base])
+    want = CrossValidator(estimator=flow, estimatorParamMaps=maps, evaluator=BinaryClassificationEvaluator(), numFolds=3, foldCol="fold").fit(folded).avgMetrics
+
+    def refused(self, *_):
+        raise AssertionError("a model was sent to the tasks")
+
+    monkeypatch.setattr(LogisticRegressionModel, "transform", refused)
+    _, params, auc = train.train_logistic(data, FEATURES, "label", ["k"], grid={"C": [0.001, 1.0], "penalty": ["l1", "l2"], "class_weight": [None]}, folds=3)
+    assert auc == pytest.approx(max(want), abs=1e-9)
+    assert params == {"C": [0.001, 1.0][want.index(max(want)) // 2], "penalty": ["l1", "l2"][want.index(max(want)) % 2], "class_weight": None}

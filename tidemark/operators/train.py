@@ -7,13 +7,16 @@ import itertools
 import math
 import random
 from collections.abc import Callable, Sequence
+from multiprocessing.pool import ThreadPool
 
 import numpy as np
 import pandas as pd
+from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.feature import StandardScaler, VectorAssembler
+from pyspark.ml.functions import vector_to_array
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -56,33 +59,51 @@ def train_logistic(
 ):
     """Standardize, search C × penalty × class weight by cross-validated AUROC, refit the best.
 
-    Returns ``(model, best_params, best_auc)``. Folds are stratified and repeatable.
+    Returns ``(model, best_params, best_auc)``. Folds are stratified and repeatable. The rows are
+    read once, and every fold is standardized once for all points of the grid. Held-out rows are
+    scored by an expression on the fitted weights, so no fitted model travels to the tasks.
     """
     grid = {**LOGISTIC_GRID, **(grid or {})}
+    df = written(df.select(*dict.fromkeys([*id_cols, *features, label])), "labelled")
     n = df.count()
     folded = _balanced_weight(stratified_folds(df, label, id_cols, folds, seed), label).withColumn("label", F.col(label).cast("double"))
     data = written(folded.select(*features, "label", "fold", "_weight"), "folds")  # every fit reads it
     k = min(folds, min(class_counts(df, label).values()))
     evaluator = BinaryClassificationEvaluator(labelCol="label", metricName="areaUnderROC")
-    best = None
     rng = random.Random(seed)
+    points = []
     for class_weight in grid["class_weight"]:
-        base = LogisticRegression(featuresCol="features", labelCol="label", maxIter=100, standardization=False)
-        if class_weight == "balanced":
-            base = base.setWeightCol("_weight")
         combos = list(itertools.product(grid["C"], grid["penalty"]))
         if search == "random":
             combos = rng.sample(combos, min(len(combos), max(1, n_random // len(grid["class_weight"]))))
-        maps = [{base.regParam: 1.0 / (c * n), base.elasticNetParam: 1.0 if p == "l1" else 0.0} for c, p in combos]
-        flow = Pipeline(stages=[*_assemble(features, True), base])
-        cv = CrossValidator(
-            estimator=flow, estimatorParamMaps=maps, evaluator=evaluator, numFolds=k, foldCol="fold", parallelism=parallelism, seed=seed
+        points += [{"C": c, "penalty": p, "class_weight": class_weight} for c, p in combos]
+
+    def estimator(params: dict) -> LogisticRegression:
+        base = LogisticRegression(
+            featuresCol="features", labelCol="label", maxIter=100, standardization=False, regParam=1.0 / (params["C"] * n), elasticNetParam=1.0 if params["penalty"] == "l1" else 0.0
         )
-        fitted = cv.fit(data)
-        i = max(range(len(combos)), key=lambda j: fitted.avgMetrics[j])
-        if best is None or fitted.avgMetrics[i] > best[2]:
-            best = (fitted.bestModel, {"C": combos[i][0], "penalty": combos[i][1], "class_weight": class_weight}, fitted.avgMetrics[i])
-    return best
+        return base.setWeightCol("_weight") if params["class_weight"] == "balanced" else base
+
+    found = []
+    for fold in range(k):
+        scale = Pipeline(stages=_assemble(features, True)).fit(data.filter(F.col("fold") != fold))
+        # cached as numbers: what the expression reads and what the fits read
+        fit = scale.transform(data.filter(F.col("fold") != fold)).select("features", "label", "_weight").persist()
+        held_out = scale.transform(data.filter(F.col("fold") == fold)).select(vector_to_array("features").alias("_x"), "label").persist()
+
+        def measure(params: dict) -> float:
+            model = estimator(params).fit(fit)
+            margin = sum((F.col("_x")[i] * F.lit(float(w)) for i, w in enumerate(model.coefficients.toArray())), F.lit(0.0)) + F.lit(float(model.intercept))
+            return evaluator.evaluate(held_out.select(margin.alias("rawPrediction"), "label"))
+
+        with ThreadPool(min(parallelism, len(points))) as pool:
+            found.append(pool.map(inheritable_thread_target(df.sparkSession)(measure), points))
+        fit.unpersist()
+        held_out.unpersist()
+    averages = np.mean(found, axis=0)
+    best = int(np.argmax(averages))
+    model = Pipeline(stages=[*_assemble(features, True), estimator(points[best])]).fit(data)
+    return model, points[best], float(averages[best])
 
 
 def train_boosted(
