@@ -198,3 +198,20 @@ def test_bins_levels_and_weekdays(spark):
     assert values(s.select(fn.risk_level(F.col("s")).alias("l")), "l") == ["low", "low", "moderate", "high", "critical", None]
     monday = spark.sql("SELECT TIMESTAMP_NTZ'2024-01-01 05:00:00' AS t")
     assert monday.select(*[c.alias(n) for n, c in fn.calendar_parts(F.col("t")).items()]).first()["weekday"] == 0
+
+
+def test_artifacts_do_not_grow_with_the_table(spark, tmp_path, monkeypatch):
+    from tidemark.plans import registry
+    from tidemark.sources import files
+
+    rows = spark.range(4000).selectExpr("id AS doc_id", "sha2(CAST(id AS STRING), 512) AS text")
+    rows.repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    documents = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    size = sum(f.stat().st_size for f in (tmp_path / "documents.parquet").glob("*.parquet"))
+    assert files.parts_for(documents, 4) == 4  # a small table
+    assert files.parts_for(documents, 4, 20_000) == -(-size // 20_000) > 10
+    assert files.parts_for(documents.limit(0), 4) == 4
+    own = files.parts_for
+    monkeypatch.setattr(files, "parts_for", lambda df, least: own(df, least, 20_000))
+    found = registry.jobs()["s11_artifact_inventory"](spark, str(tmp_path)).first()
+    assert (found["n_files"], found["bad_hashes"], found["empty_files"]) == (-(-size // 20_000), 0, 0)

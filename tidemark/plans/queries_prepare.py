@@ -79,7 +79,7 @@ def _(t):
 @query("s11_artifact_inventory", "n_files:l bad_hashes:l empty_files:l")
 def _(t):
     path = scratch_folder(t.spark, "artifacts")
-    t.documents.repartition(4, "doc_id").write.parquet(path)
+    t.documents.repartition(files.parts_for(t.documents, 4), "doc_id").write.parquet(path)
     found = files.artifact_inventory(t.spark, path)
     return found.agg(
         F.count("*").alias("n_files"),

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
@@ -9,6 +10,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from tidemark.sources.batches import append_batch, committed
 
 CORRUPT = "_corrupt"
+#: Bytes of a file that one task writes, or hashes, as a whole.
+PART_BYTES = 32 << 20
 NTZ_FORMAT = "yyyy-MM-dd'T'HH:mm:ss[.SSSSSS]"
 
 
@@ -94,6 +97,12 @@ def json_records(df: DataFrame, json_column: str, schema: str) -> DataFrame:
     return df.select(*keep, F.from_json(json_column, schema).alias("_r")).select(*keep, "_r.*")
 
 
+def parts_for(df: DataFrame, least: int, part_bytes: int = PART_BYTES) -> int:
+    """How many files a table read from files should be written to, so that none grows with the table: at least ``least``."""
+    sizes = df.select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_size").alias("size")).distinct()
+    return max(least, math.ceil((sizes.agg(F.sum("size")).first()[0] or 0) / part_bytes))
+
+
 def artifact_inventory(spark: SparkSession, path: str) -> DataFrame:
     """Every file below a path with its size and sha-256, hashed inside the scan tasks."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
