@@ -299,3 +299,23 @@ def test_long_pre_tokens_are_counted_by_their_digest(spark):
         assert {r["doc_id"]: r["n_tokens"] for r in token_counts.count_tokens(d, BPE, head_rows=head).collect()} == want
     keys = spark.createDataFrame([(t,) for t in longs], "t string").select("t", token_counts.key_column("t").alias("k")).collect()
     assert all(r["k"] == token_counts.key_of(r["t"]) and len(r["k"]) <= 65 for r in keys)
+
+
+def test_packed_ids_are_the_librarys_while_few_words_are_remembered(spark):
+    """Batches with more new words than are remembered, even and uneven texts mixed; each new word is computed in one call."""
+    from tidemark.llm.common import Memo
+
+    calls = []
+    memo = Memo(lambda key: calls.append([key]) or key * 2, 10)
+    assert memo.all_of(keys := [f"w{i % 40}" for i in range(100)], lambda new: calls.append(new) or [k * 2 for k in new]) == [k * 2 for k in keys]
+    assert [len(c) for c in calls] == [40] and len(memo) <= 10 and len(memo.old) <= 40
+    rng = random.Random(5)
+    words = ["data", "été", "Zug,", "don't", "日本語", "x" * 70, "12.5", "<|endoftext|>", "naïve—so", "😀!"]
+    texts = [sep.join(rng.choice(words) + str(rng.randrange(400)) for _ in range(rng.randrange(0, 60))) for sep in (" ", "\n", "  ", " \n", "\t") for _ in range(40)]
+    texts += ["", " ", "\n", " a", "a ", "\na", "a\nb c"]
+    own = packing.tokenizer(BPE)
+    packed = packing.pack_documents(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), BPE, remembered=50).toPandas()
+    for key, rows in packed.groupby("doc_id"):
+        ids = b"".join(rows.sort_values("start").ids)
+        assert list(np.frombuffer(ids, "<u4")) == [*own.encode(texts[key], add_special_tokens=False).ids, 1]
+    assert packed.doc_id.nunique() == len(texts)

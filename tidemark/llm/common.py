@@ -69,15 +69,17 @@ class Memo(dict):
         if None in values:
             places = [i for i, v in enumerate(values) if v is None]
             new = [k for k in dict.fromkeys(keys[i] for i in places) if k not in self.old]
-            self.old.update(zip(new, compute_all(new), strict=True))
+            made = dict(zip(new, compute_all(new), strict=True))
             for i in places:
-                values[i] = self[keys[i]]
+                key = keys[i]
+                values[i] = self.keep(key, made[key]) if key in made else self[key]
         return values
 
     def __missing__(self, key):
         value = self.old.get(key)
-        if value is None:
-            value = self.compute(key)
+        return self.keep(key, self.compute(key) if value is None else value)
+
+    def keep(self, key, value):
         if len(self) >= self.limit:
             self.old = dict(self)
             self.clear()

@@ -9,11 +9,13 @@ a task at most is left partly filled. Nothing is shuffled.
 
 from __future__ import annotations
 
+import itertools
 from array import array
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
@@ -28,11 +30,17 @@ OUT_BYTES = 8 << 20
 
 #: What a text without single spaces and line ends between words only has somewhere.
 UNEVEN = ("  ", " \n", "\n ", "\n\n", *(c for c in WHITE if c not in " \n"))
-_IDS: dict[tuple[str, int], Callable[[str], bytes]] = {}
+#: Characters of texts whose words are looked up together.
+TOGETHER = 4 << 20
+_IDS: dict[tuple[str, int], Callable[[list[str]], Iterator[bytes]]] = {}
 
 
-def encoder(path: str, remembered: int = REMEMBERED) -> Callable[[str], bytes]:
-    """A function from a text to its ids as little-endian unsigned 32-bit bytes; a worker remembers words."""
+def encoder(path: str, remembered: int = REMEMBERED) -> Callable[[list[str]], Iterator[bytes]]:
+    """A function from texts to their ids as little-endian unsigned 32-bit bytes, in turn; a worker remembers words.
+
+    The words of texts with single spaces and line ends between words are numbered by Arrow, so
+    each different one of some megabytes is looked up once; the ids are gathered by number.
+    """
     if (path, remembered) in _IDS:
         return _IDS[path, remembered]
     own, find, specials = tokenizer(path), pre_token_finder(path), special_texts(path)
@@ -50,12 +58,32 @@ def encoder(path: str, remembered: int = REMEMBERED) -> Callable[[str], bytes]:
     line_end = len(ids("\n"))
     in_one_piece = any(" " in s or "\n" in s for s in specials)
 
-    def encode(text: str) -> bytes:
-        if not text:
-            return b""
-        if in_one_piece or text[0] in " \n" or text[-1] in " \n" or any(c in text for c in UNEVEN):
-            return b"".join(map(general.__getitem__, find(text)))
-        return b"".join(even.all_of(("\n" + text).replace("\n", " \n").split(" ")[1:], even_ids))[line_end:]
+    def is_even(text: str) -> bool:
+        return not (in_one_piece or not text or text[0] in " \n" or text[-1] in " \n" or any(c in text for c in UNEVEN))
+
+    def encode_even(texts: list[str]) -> list[bytes]:
+        words = pc.split_pattern(pa.array([("\n" + text).replace("\n", " \n")[1:] for text in texts], pa.large_string()), " ")
+        numbered = words.flatten().dictionary_encode()
+        known = pa.array(even.all_of(numbered.dictionary.to_numpy(zero_copy_only=False).tolist(), even_ids), pa.large_binary())
+        gathered = known.take(numbered.indices)
+        _, starts, data = gathered.buffers()
+        cuts = np.frombuffer(starts, np.int64)[words.offsets.to_numpy()].tolist()
+        # the first word of a text came with a line end of ours
+        return [data[a + line_end : b].to_pybytes() for a, b in zip(cuts, cuts[1:])]
+
+    def encode(texts: list[str]) -> Iterator[bytes]:
+        at = 0
+        while at < len(texts):
+            to, chars = at, 0
+            while to < len(texts) and (to == at or chars + len(texts[to]) <= TOGETHER):
+                chars += len(texts[to])
+                to += 1
+            part = texts[at:to]
+            plain = [is_even(text) for text in part]
+            evens = iter(encode_even(list(itertools.compress(part, plain)))) if any(plain) else iter(())
+            for text, simple in zip(part, plain):
+                yield next(evens) if simple else b"".join(map(general.__getitem__, find(text)))
+            at = to
 
     _IDS[path, remembered] = encode
     return encode
@@ -152,8 +180,9 @@ def pack_documents(documents: DataFrame, path: str, key: str = "doc_id", text: s
 
         for batch in batches:
             key_type = batch.column(0).type
-            for name, value in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                for pieces in packer.add(name, encode(value or "") + end):
+            texts = [value or "" for value in batch.column(1).to_pylist()]
+            for name, ids in zip(batch.column(0).to_pylist(), encode(texts), strict=True):
+                for pieces in packer.add(name, ids + end):
                     put(pieces)
                 if held > OUT_BYTES:
                     yield out()
