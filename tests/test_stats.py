@@ -167,6 +167,43 @@ def test_counterfactual_by_brute_force(spark):
         assert got[i]["description"].startswith("Already" if n == 0 else "To ")
 
 
+def test_explanation_methods_are_small_enough_to_be_compiled(spark):
+    """The JVM only interprets methods above 8,000 bytes; no expression but the two over ``changes`` is interpreted."""
+    rng = random.Random(9)
+    rows = [(i, rng.uniform(-2, 2), rng.uniform(-2, 2), rng.uniform(-2, 2)) for i in range(20)]
+    df = spark.createDataFrame(rows, "id int, p double, q double, r double")
+    out = explain.explanation_bundle(df, explain.LinearModel({"p": 2.0, "q": -1.0, "r": 0.5}, 0.2, {"p": 0.1}, {"q": 2.0}), ["id"])
+    assert len(out.collect()) == 20
+    plan = out._jdf.queryExecution().executedPlan()
+    parts = getattr(getattr(spark._jvm.org.apache.spark.sql.execution.debug, "package$"), "MODULE$").codegenStringSeq(plan)
+    assert parts.size() and max(parts.apply(i)._3().maxMethodCodeSize() for i in range(parts.size())) <= 8000
+    assert "array_sort(" not in plan.toString()
+
+
+def test_fixed_writes_what_format_string_writes(spark):
+    rng = random.Random(10)
+    values = [None, 0.0, -0.0, 0.005, -0.005, 0.0049, 0.125, 1.005, 2.675, 99.995, -0.05, 0.05, 1e11, 999999999999.95, 1e12, 1e300, 5e-324, math.nan, math.inf, -math.inf]
+    values += [round(rng.uniform(-30, 30), rng.randint(1, 5)) for _ in range(2000)] + [rng.gauss(0, 10.0 ** rng.randint(-4, 12)) for _ in range(2000)]
+    df = spark.createDataFrame([(v,) for v in values], "x double")
+    for digits in (1, 2, 3):
+        pairs = df.select(explain.fixed(F.col("x"), digits).alias("got"), F.format_string(f"%.{digits}f", "x").alias("want"))
+        assert [r for r in pairs.collect() if r["got"] != r["want"]] == []
+
+
+def test_change_texts(spark):
+    model = explain.LinearModel({"p": 2.0, "q": -1.0}, 0.0, {"p": 1.0}, {"p": 2.0}, {"q": "the q"})
+    df = spark.createDataFrame([(1, 3.0, 0.0), (2, -9.0, 0.0), (3, 9.0, 0.0), (4, None, 0.0)], "id int, p double, q double")
+    got = {r["id"]: r for r in explain.explanation_bundle(df, model, ["id"]).collect()}
+    assert got[1]["summary"].split("\n") == [
+        "Key Contributing Factors:", "  1. p (importance: 2.000)", "  2. q (importance: 0.000)", "Actionable Changes:",
+        "To move toward low risk level (from 88.1 to 62.2), the following changes would help:",
+        "1. Decrease p from 3.00 to 2.00", "2. Increase the q from 0.00 to 0.50", "",
+        "These 2 change(s) would move the risk score to 62.2 (high risk level), closer to the target of low.",
+    ]
+    assert got[2]["description"] == got[4]["description"] == "Already at low risk level. No changes needed."
+    assert [r["feature"] for r in got[4]["top_features"]] == ["q", "p"] and got[4]["summary"].split("\n")[2] == "  2. p (importance: nul)"  # the formatter cuts a null to the digits
+
+
 def test_isolation_forest_ranks_the_outlier_first(spark):
     rng = random.Random(8)
     rows = [(i, rng.gauss(0, 1), rng.gauss(0, 1)) for i in range(300)] + [(999, 12.0, -12.0)]

@@ -66,87 +66,117 @@ def counterfactuals(
 
     A step is the larger of 10 % of the scaled value and 0.5, against the sign of the
     feature's pull when risk must fall and with it when it must rise. The at most
-    ``max_changes`` steps are unrolled into projections, all inside code generation.
+    ``max_changes`` steps are unrolled into projections. Only a feature's place, its scaled
+    and its given value are sorted; weights, scaling and names are looked up by the place, and
+    each step's values are columns, so that the generated methods stay small enough for the JVM
+    to compile.
     """
     low, high = LEVEL_RANGES[target]
     ranges = ranges or {}
+    features = list(model.weights)
     items = []
     for i, (c, w) in enumerate(model.weights.items()):
         x = model.scaled(c).cast("double")
-        lo, hi = ranges.get(c, (None, None))
-        items.append(
-            F.struct(
-                (-F.abs(x * w)).alias("o"), F.lit(i).alias("i"), F.lit(c).alias("feature"), F.lit(model.names.get(c, c)).alias("clinical_name"),
-                F.lit(float(w)).alias("w"), x.alias("x"), F.col(c).cast("double").alias("original"),
-                F.lit(float(model.means.get(c, 0.0))).alias("mean"), F.lit(float(model.stds.get(c, 1.0))).alias("std"),
-                F.lit(lo).cast("double").alias("lo"), F.lit(hi).cast("double").alias("hi"),
-            )
-        )
+        items.append(F.struct((-F.abs(x * w)).alias("o"), F.lit(i).alias("i"), x.alias("x"), F.col(c).cast("double").alias("original")))
+    steps = min(max_changes, len(items))
 
     def score_of(logit: Column) -> Column:
         return 100.0 / (1.0 + F.exp(-logit))
 
-    data = df.select(*keys, F.array_sort(F.array(*items)).alias("_items"), model.logit().alias("_logit0"))
-    data = data.withColumn("_score", score_of(F.col("_logit0")))
-    data = data.withColumns({"_falling": F.col("_score") > high, "_done0": risk_level(F.col("_score")) == target})
-    steps = min(max_changes, len(items))
+    def of(n: int, values: Sequence, kind: str) -> Column:
+        return F.try_element_at(F.array(*[F.lit(v).cast(kind) for v in values]), F.col(f"_f{n}")["i"] + 1)
+
+    # places are unique, so no two items are equal
+    data = df.select(*keys, F.sort_array(F.array(*items)).alias("_items"), model.logit().alias("_logit0"))
+    data = data.select(*keys, "_logit0", score_of(F.col("_logit0")).alias("_score"), *[F.try_element_at("_items", F.lit(n + 1)).alias(f"_f{n}") for n in range(steps)])
+    data = data.withColumns(
+        {
+            "_falling": F.col("_score") > high,
+            "_done0": risk_level(F.col("_score")) == target,
+            **{f"_w{n}": of(n, model.weights.values(), "double") for n in range(steps)},
+        }
+    )
+    data = data.withColumn("_way", F.when(F.col("_falling"), F.lit(-1.0)).otherwise(F.lit(1.0)))
+    data = data.withColumns({f"_pull{n}": F.col(f"_w{n}") * F.col(f"_f{n}")["x"] for n in range(steps)})
+    moves = {}
+    for n in range(steps):
+        x = F.col(f"_f{n}")["x"]
+        moved = x + F.when(F.col(f"_pull{n}") > 0, F.col("_way")).otherwise(-F.col("_way")) * F.greatest(F.abs(x * 0.1), F.lit(0.5))
+        if ranges:
+            lo, hi = (of(n, [ranges.get(c, (None, None))[end] for c in features], "double") for end in (0, 1))
+            # greatest and least skip a missing bound
+            moved = F.least(F.greatest(moved, lo), hi)
+        moves[f"_moved{n}"] = moved
+    data = data.withColumns(moves)
+    for n in range(steps):
+        logit, done = F.col(f"_logit{n}"), F.col(f"_done{n}")
+        step = F.col(f"_w{n}") * (F.col(f"_moved{n}") - F.col(f"_f{n}")["x"])
+        data = data.withColumn(f"_logit{n + 1}", F.when(done, logit).otherwise(logit + step))
+        data = data.withColumn(f"_after{n}", score_of(F.col(f"_logit{n + 1}")))
+        after = F.col(f"_after{n}")
+        data = data.withColumn(f"_done{n + 1}", done | F.when(F.col("_falling"), after <= high).otherwise(after >= low))
+    changes = []
     for n in range(steps):
-        f, falling, done, logit = F.col("_items")[n], F.col("_falling"), F.col(f"_done{n}"), F.col(f"_logit{n}")
-        pull = f["w"] * f["x"]
-        up = F.when(pull > 0, F.lit(1.0)).otherwise(F.lit(-1.0))
-        raw = f["x"] + F.when(falling, -up).otherwise(up) * F.greatest(F.abs(f["x"] * 0.1), F.lit(0.5))
-        # greatest and least skip a missing bound
-        data = data.withColumn("_moved", F.least(F.greatest(raw, f["lo"]), f["hi"]))
-        moved = F.col("_moved")
+        f = F.col(f"_f{n}")
+        std, mean = of(n, [float(model.stds.get(c, 1.0)) for c in features], "double"), of(n, [float(model.means.get(c, 0.0)) for c in features], "double")
         change = F.struct(
-            f["feature"].alias("feature"), f["clinical_name"].alias("clinical_name"), f["original"].alias("original_value"),
-            (moved * f["std"] + f["mean"]).alias("proposed_value"), pull.alias("importance"),
+            of(n, features, "string").alias("feature"), of(n, [model.names.get(c, c) for c in features], "string").alias("clinical_name"),
+            f["original"].alias("original_value"), (F.col(f"_moved{n}") * std + mean).alias("proposed_value"), F.col(f"_pull{n}").alias("importance"),
         )
-        data = data.withColumns(
-            {f"_logit{n + 1}": F.when(done, logit).otherwise(logit + f["w"] * (moved - f["x"])), f"_change{n}": F.when(~done, change)}
-        )
-        after = score_of(F.col(f"_logit{n + 1}"))
-        data = data.withColumn(f"_done{n + 1}", done | F.when(falling, after <= high).otherwise(after >= low))
-    final = score_of(F.col(f"_logit{steps}"))
+        changes.append(F.when(~F.col(f"_done{n}"), change))
+    final = F.col(f"_after{steps - 1}" if steps else "_score")
     return data.withColumn("_final", final).select(
         *keys,
         F.col("_score").alias("current_score"),
         risk_level(F.col("_score")).alias("current_risk_level"),
         F.lit(target).alias("target_risk_level"),
-        F.array_compact(F.array(*[F.col(f"_change{n}") for n in range(steps)])).alias("changes"),
+        F.array_compact(F.array(*changes)).alias("changes"),
         F.col("_final").alias("counterfactual_score"),
         risk_level(F.col("_final")).alias("counterfactual_risk_level"),
         (risk_level(F.col("_final")) == target).alias("achieved_target"),
     )
 
 
+def fixed(x: Column, digits: int) -> Column:
+    """``x`` as ``format_string("%.<digits>f", x)`` writes it.
+
+    A decimal rounds the same digits the same way at a fraction of the formatter's price;
+    the formatter writes what a decimal would not: null, NaN, infinities, the sign of a zero.
+    """
+    size = F.abs(x)
+    return F.when((size >= 10.0**-digits) & (size < 1e12), x.cast(f"decimal(18,{digits})").cast("string")).otherwise(F.format_string(f"%.{digits}f", x))
+
+
+def shown(c: Column) -> Column:
+    """A text, or ``null`` as ``format_string`` writes it."""
+    return F.coalesce(c, F.lit("null"))
+
+
+def words(*parts: str | Column) -> Column:
+    return F.concat(*[F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts])
+
+
 # fixed values: the sentences
 def describe_counterfactual(cf: DataFrame) -> DataFrame:
     """Add ``description``: a header, one line per change and a closing line."""
-    reached = F.col("achieved_target")
-    head = F.format_string(
-        "%s %s risk level (from %.1f to %.1f), the following changes would %s:",
-        F.when(reached, "To reach").otherwise("To move toward"), F.col("target_risk_level"), F.col("current_score"), F.col("counterfactual_score"),
-        F.when(reached, "be needed").otherwise("help"),
-    )
-    lines = F.transform(
-        "changes",
-        lambda c, i: F.format_string(
-            "%d. %s %s from %.2f to %.2f", i + 1, F.when(c["proposed_value"] > c["original_value"], "Increase").otherwise("Decrease"), c["clinical_name"],
-            c["original_value"], c["proposed_value"],
-        ),
+    reached, level = F.col("achieved_target"), shown(F.col("target_risk_level"))
+    head = words(
+        F.when(reached, "To reach").otherwise("To move toward"), " ", level, " risk level (from ", fixed(F.col("current_score"), 1), " to ",
+        fixed(F.col("counterfactual_score"), 1), "), the following changes would ", F.when(reached, "be needed").otherwise("help"), ":",
     )
-    tail = F.when(
-        reached,
-        F.format_string("\nThese %d change(s) would successfully move the individual to %s risk level.", F.size("changes"), F.col("target_risk_level")),
-    ).otherwise(
-        F.format_string(
-            "\nThese %d change(s) would move the risk score to %.1f (%s risk level), closer to the target of %s.", F.size("changes"),
-            F.col("counterfactual_score"), F.col("counterfactual_risk_level"), F.col("target_risk_level"),
+
+    def line(c: Column, i: Column) -> Column:
+        way = F.when(c["proposed_value"] > c["original_value"], "Increase").otherwise("Decrease")
+        return words(i + 1, ". ", way, " ", shown(c["clinical_name"]), " from ", fixed(c["original_value"], 2), " to ", fixed(c["proposed_value"], 2))
+
+    tail = F.when(reached, words("\nThese ", F.size("changes"), " change(s) would successfully move the individual to ", level, " risk level.")).otherwise(
+        words(
+            "\nThese ", F.size("changes"), " change(s) would move the risk score to ", fixed(F.col("counterfactual_score"), 1), " (",
+            shown(F.col("counterfactual_risk_level")), " risk level), closer to the target of ", level, ".",
         )
     )
-    none = F.format_string("Already at %s risk level. No changes needed.", F.col("target_risk_level"))
-    text = F.concat_ws("\n", head, F.array_join(lines, "\n"), tail)
+    none = words("Already at ", level, " risk level. No changes needed.")
+    text = F.concat_ws("\n", head, F.array_join(F.transform("changes", line), "\n"), tail)
     return cf.withColumn("description", F.when(F.size("changes") == 0, none).otherwise(text))
 
 
@@ -205,26 +235,27 @@ def simple_rule(level: Column, top_feature: Column) -> Column:
     ).otherwise(F.concat(F.lit("Risk classified as "), F.lower(level)))
 
 
-def ranked_contributions(model: LinearModel, k: int) -> Column:
-    """The ``k`` largest contributions of a row as ``(rank, feature, phi)``, sorted inside the row; means are ``_m_<feature>``."""
+def sorted_contributions(model: LinearModel) -> Column:
+    """All contributions of a row as ``(o, feature, phi)``, the largest first, sorted inside the row; means are ``_m_<feature>``."""
     phis = []
     for c, w in model.weights.items():
         phi = F.lit(w) * (model.scaled(c) - F.col(f"_m_{c}"))
         phis.append(F.struct(F.coalesce(-F.abs(phi), F.lit(float("inf"))).alias("o"), F.lit(c).alias("feature"), phi.alias("phi")))
-    return F.transform(F.slice(F.array_sort(F.array(*phis)), 1, k), lambda x, i: F.struct((i + 1).alias("rank"), x["feature"].alias("feature"), x["phi"].alias("phi")))
+    return F.sort_array(F.array(*phis))
 
 
 def explanation_bundle(df: DataFrame, model: LinearModel, keys: Sequence[str], target: str = "low", top_k: int = 10, max_changes: int = 5) -> DataFrame:
     """One row per row: top contributions, counterfactual and the summary text, all from the row and the features' means."""
     means = df.agg(*[F.avg(model.scaled(c)).alias(f"_m_{c}") for c in model.weights])
-    rows = attach(df, means).withColumn("top_features", ranked_contributions(model, top_k))
-    j = describe_counterfactual(counterfactuals(rows, model, [*keys, "top_features"], target, max_changes))
-    factors = F.transform(
-        F.slice("top_features", 1, 5), lambda x: F.format_string("  %d. %s (importance: %.3f)", x["rank"], x["feature"], F.abs(x["phi"]))
-    )
+    rows = attach(df, means).withColumn("_sorted", sorted_contributions(model))
+    ranked = [F.get("_sorted", F.lit(i)) for i in range(min(top_k, len(model.weights)))]
+    tops = F.array(*[F.struct(F.lit(i + 1).alias("rank"), x["feature"].alias("feature"), x["phi"].alias("phi")) for i, x in enumerate(ranked)])
+    j = describe_counterfactual(counterfactuals(rows.withColumn("top_features", tops), model, [*keys, "top_features"], target, max_changes))
+    tops = [F.get("top_features", F.lit(i)) for i in range(min(5, len(ranked)))]
+    factors = F.concat_ws("\n", *[words("  ", x["rank"], ". ", x["feature"], " (importance: ", fixed(F.abs(x["phi"]), 3), ")") for x in tops])
     first = F.try_element_at("top_features", F.lit(1))["feature"]
     # fixed values: the headings of the summary
-    summary = F.concat_ws("\n", F.lit("Key Contributing Factors:"), F.array_join(factors, "\n"), F.lit("Actionable Changes:"), F.col("description"))
+    summary = F.concat_ws("\n", F.lit("Key Contributing Factors:"), factors, F.lit("Actionable Changes:"), F.col("description"))
     return j.withColumns(
         {
             "summary": summary,
